@@ -55,23 +55,30 @@ def scan_with_file(spark: SparkSession, path: str, fmt: str = "parquet", **optio
 
 
 def grid_to_long(
-    grid: DataFrame, values: str, n_x: int, out_col: str = "precip"
+    grid: DataFrame, values: str, n_x: int, out_col: str = "precip", row_col: str | None = None
 ) -> DataFrame:
     """Column-major cells (x fastest) -> rows with proj_x, proj_y, station.
 
-    ``values`` is an array column; position k (0-based) is cell
-    x = k % n_x + 1, y = k div n_x + 1, and station = (y - 1) n_x + x is the
-    row number by (proj_y, proj_x), computed without a global sort.
+    ``values`` is an array column.  Without ``row_col`` it holds a whole grid:
+    position k (0-based) is cell x = k % n_x + 1, y = k div n_x + 1.  With
+    ``row_col`` it holds one lattice row y = row_col (1-based) and k gives x.
+    station = (y - 1) n_x + x is the row number by (proj_y, proj_x),
+    computed without a global sort.
     """
-    keep = [c for c in grid.columns if c != values]
-    cells = grid.select(*keep, F.posexplode(values).alias("_k", out_col))
-    x = (F.col("_k") % n_x + 1).cast("int")
-    y = (F.floor(F.col("_k") / n_x) + 1).cast("int")
+    keep = [c for c in grid.columns if c not in (values, row_col)]
+    extra = [F.col(row_col).alias("_row")] if row_col else []
+    cells = grid.select(*keep, *extra, F.posexplode(values).alias("_k", out_col))
+    if row_col:
+        x = (F.col("_k") + 1).cast("int")
+        y = F.col("_row").cast("int")
+    else:
+        x = (F.col("_k") % n_x + 1).cast("int")
+        y = (F.floor(F.col("_k") / n_x) + 1).cast("int")
     return (
         cells.withColumn("proj_x", x)
         .withColumn("proj_y", y)
         .withColumn("station", ((F.col("proj_y") - 1) * n_x + F.col("proj_x")).cast("int"))
-        .drop("_k")
+        .drop("_k", "_row")
     )
 
 
