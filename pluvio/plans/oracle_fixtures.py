@@ -95,3 +95,8 @@ def with_ctes(body: str, *names: str, extra: list[tuple[str, str]] | None = None
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def rnd(expr: str, digits: int) -> str:
+    """round() for the oracle; ``+ 0.0`` turns DuckDB's -0.0 into 0.0 as Spark's round does."""
+    return f"(round({expr}, {digits}) + 0.0)"

@@ -230,8 +230,8 @@ def transformed_params(fx: Fixtures):
     "transformed_params",
     "P1 P5 E5 E6 E7",
     with_ctes(
-        "SELECT station, round(mu0, 3) AS mu0, round(sigma, 3) AS sigma, round(xi, 9) AS xi, "
-        f"round(delta, 9) AS delta FROM ({_transformed_sql()})",
+        "SELECT station, round(mu0, 3) AS mu0, round(sigma, 3) AS sigma, round(xi, 9) + 0.0 AS xi, "
+        f"round(delta, 9) + 0.0 AS delta FROM ({_transformed_sql()})",
         "params",
     ),
 )
