@@ -391,3 +391,39 @@ def is_finite(x) -> Column:
     """Not NULL, not NaN, not +-Inf (R's is.finite)."""
     x = _c(x)
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def t_cdf_int(x, nu) -> Column:
+    """Student-t CDF for any integer degrees of freedom ``nu`` (a Column or int).
+
+    Finite trigonometric series (Abramowitz & Stegun 26.7.3-4) with
+    theta = atan(x / sqrt nu), c = cos^2 theta:
+      nu odd:  A = 2/pi (theta + sin theta cos theta sum_{k<(nu-1)/2} b_k c^k),
+               b_0 = 1, b_k = b_{k-1} 2k / (2k + 1)   (the sum is empty for nu = 1)
+      nu even: A = sin theta sum_{k<nu/2} a_k c^k, a_0 = 1, a_k = a_{k-1} (2k-1)/(2k)
+    and F(x) = 1/2 + sign(x) A(|x|) / 2.  The sum runs per row as an
+    ``aggregate`` over ``sequence``, so nu may differ row by row.
+    """
+    x = _c(x)
+    nu = _c(nu).cast("int")
+    th = F.atan(F.abs(x) / F.sqrt(nu.cast("double")))
+    c2 = F.cos(th) * F.cos(th)
+    odd = (nu % 2) == 1
+    n_terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("int")
+
+    def step(acc, k):
+        kd = k.cast("double")
+        ratio = F.when(odd, 2.0 * kd / (2.0 * kd + 1.0)).otherwise((2.0 * kd - 1.0) / (2.0 * kd))
+        term = acc["term"] * ratio * c2
+        live = k < n_terms
+        return F.struct(
+            F.when(live, term).otherwise(acc["term"]).alias("term"),
+            F.when(live, acc["total"] + term).otherwise(acc["total"]).alias("total"),
+        )
+
+    init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.greatest(n_terms, F.lit(1))), init, step)["total"]
+    a_odd = 2.0 / math.pi * (th + F.when(nu > 1, F.sin(th) * F.cos(th) * series).otherwise(F.lit(0.0)))
+    a_even = F.sin(th) * series
+    a = F.when(odd, a_odd).otherwise(a_even)
+    return F.when(x >= 0, 0.5 + a / 2.0).otherwise(0.5 - a / 2.0)

@@ -196,3 +196,24 @@ def inv_logit(x: str) -> str:
 
 def is_finite(x: str) -> str:
     return f"(({x}) IS NOT NULL AND NOT isnan({x}) AND abs({x}) < 'Infinity'::DOUBLE)"
+
+
+def t_cdf_int(x: str, nu: str) -> str:
+    """Integer-nu Student-t CDF by the same finite series, with the series
+    coefficients in closed form through lgamma (DuckDB lists)."""
+    th = f"atan(abs({x}) / sqrt(CAST({nu} AS DOUBLE)))"
+    c2 = f"(cos({th}) * cos({th}))"
+    ln4 = _f(math.log(4.0))
+    odd_sum = (
+        f"coalesce(list_sum(list_transform(range(0, CAST(({nu} - 1) // 2 AS BIGINT)), lambda k: "
+        f"exp(k * {ln4} + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow({c2}, k))), 0.0)"
+    )
+    even_sum = (
+        f"coalesce(list_sum(list_transform(range(0, CAST({nu} // 2 AS BIGINT)), lambda k: "
+        f"exp(lgamma(2 * k + 1) - k * {ln4} - 2 * lgamma(k + 1)) * pow({c2}, k))), 0.0)"
+    )
+    a = (
+        f"(CASE WHEN {nu} % 2 = 1 THEN 2.0 / {_f(math.pi)} * ({th} + sin({th}) * cos({th}) * {odd_sum}) "
+        f"ELSE sin({th}) * {even_sum} END)"
+    )
+    return f"(CASE WHEN ({x}) >= 0 THEN 0.5 + {a} / 2.0 ELSE 0.5 - {a} / 2.0 END)"
