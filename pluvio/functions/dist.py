@@ -210,29 +210,50 @@ def t_logpdf(x, nu: float) -> Column:
 T3_NEWTON_STEPS = 6
 
 
+def _let(x: Column, fn) -> Column:
+    """Evaluate ``x`` once per row and hand it to ``fn`` as a lambda variable.
+
+    Iterative formulas reference their input several times per step; binding
+    it keeps the expression tree linear instead of exponential in the steps.
+    """
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
 def t_ppf(p, nu: int) -> Column:
     """Student-t quantile for nu in {1, 2, 3}.
 
     nu = 3 has no closed form.  With theta = atan(t / sqrt 3) the CDF is
     1/2 + (theta + sin(2 theta)/2) / pi, a monotone Kepler-type equation in
-    theta that Newton solves from a start on the safe side of the root.
+    theta that Newton solves from a start on the safe side of the root; the
+    fixed number of steps runs as an ``aggregate`` over a short sequence.
     """
     p = _c(p)
-    bad = (p <= 0) | (p >= 1) | p.isNull()
     if nu == 1:
         out = F.tan(math.pi * (p - 0.5))
     elif nu == 2:
         out = (2.0 * p - 1.0) / F.sqrt(2.0 * p * (1.0 - p))
     elif nu == 3:
-        g = F.abs(math.pi * (p - 0.5))
-        tail_start = math.pi / 2 - F.pow(1.5 * (math.pi / 2 - g), 1.0 / 3.0)
-        th = F.when(g < 1.0, g / 2.0).otherwise(tail_start)
-        for _ in range(T3_NEWTON_STEPS):
-            th = th - (th + 0.5 * F.sin(2.0 * th) - g) / (1.0 + F.cos(2.0 * th))
-        mag = math.sqrt(3.0) * F.tan(th)
-        out = F.when(p < 0.5, -mag).otherwise(mag)
+
+        def solve(pv):
+            g = F.abs(math.pi * (pv - 0.5))
+
+            def from_g(gv):
+                tail_start = math.pi / 2 - F.pow(1.5 * (math.pi / 2 - gv), 1.0 / 3.0)
+                th0 = F.when(gv < 1.0, gv / 2.0).otherwise(tail_start)
+                th = F.aggregate(
+                    F.sequence(F.lit(1), F.lit(T3_NEWTON_STEPS)),
+                    th0,
+                    lambda th, _k: th - (th + 0.5 * F.sin(2.0 * th) - gv) / (1.0 + F.cos(2.0 * th)),
+                )
+                return math.sqrt(3.0) * F.tan(th)
+
+            mag = _let(g, from_g)
+            return F.when(pv < 0.5, -mag).otherwise(mag)
+
+        out = _let(p, solve)
     else:
-        raise ValueError("closed form only for nu in (1, 2, 3); use functions.numeric.t_ppf_udf")
+        raise ValueError("closed form only for nu in (1, 2, 3)")
+    bad = (p <= 0) | (p >= 1) | p.isNull()
     return F.when(bad, F.lit(None).cast("double")).otherwise(out)
 
 

@@ -112,16 +112,17 @@ def t_ppf_closed(p: str, nu: int) -> str:
 
 
 def nest_steps(base_sql: str, keep: str, steps: list[tuple[str, str]]) -> str:
-    """Wrap ``base_sql`` so each step becomes a column of a new sub-select.
+    """A query over ``base_sql`` adding each step as a column of its own
+    materialised CTE, so iterates are computed once rather than inlined.
 
-    ``keep`` is the column list carried through (e.g. ``*``); the result
-    exposes all step aliases.
+    ``keep`` is the column list carried from the base (e.g. ``*``).
     """
-    sql = base_sql
+    ctes = [f"s_base AS MATERIALIZED (SELECT {keep} FROM ({base_sql}) AS b)"]
+    prev = "s_base"
     for alias, expr in steps:
-        sql = f"SELECT {keep}, {expr} AS {alias} FROM ({sql}) AS s_{alias}"
-        keep = "*"
-    return sql
+        ctes.append(f"s_{alias} AS MATERIALIZED (SELECT *, {expr} AS {alias} FROM {prev})")
+        prev = f"s_{alias}"
+    return "WITH " + ", ".join(ctes) + f" SELECT * FROM {prev}"
 
 
 def exp_cdf(x: str, lam: str) -> str:

@@ -98,15 +98,40 @@ def ar1_copula_logc(df: DataFrame, key: list[str], order: str, u: str, rho: floa
     return agg.select(*key, (log_det - 0.5 * F.col("qq") + 0.5 * F.col("zz")).alias("log_c"))
 
 
-def precision_cholesky_logc(df: DataFrame, key: list[str], index: str, u: str, chol: DataFrame, log_det: float) -> DataFrame:
+def precision_cholesky_logc(df: DataFrame, key: list[str], index: str, u: str, chol: DataFrame,
+                            log_det) -> DataFrame:
     """Gaussian copula with a sparse precision Cholesky factor as COO (C4).
 
     log c = log_det - 1/2 ||R z||^2 + 1/2 ||z||^2 where Q = R^T R.
+    ``log_det`` is a number or a one-row DataFrame with a ``log_det`` column.
     """
     z = normal_scores(df, u, "z")
     qf = quadratic_form(z, key, index, "z", chol)
     zz = z.groupBy(*key).agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
-    return qf.join(zz, key).select(*key, (F.lit(log_det) - 0.5 * F.col("qf") + 0.5 * F.col("zz")).alias("log_c"))
+    j = qf.join(zz, key)
+    if isinstance(log_det, DataFrame):
+        j = j.crossJoin(F.broadcast(log_det.select("log_det")))
+        ld = F.col("log_det")
+    else:
+        ld = F.lit(float(log_det))
+    return j.select(*key, (ld - 0.5 * F.col("qf") + 0.5 * F.col("zz")).alias("log_c"))
+
+
+def ar1_precision_cholesky_table(ids: DataFrame, rho: float, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Upper-bidiagonal R with R^T R = AR(1) precision over the ids present,
+    as COO, and log|R| as a one-row table (C4, C13).
+
+    Row i < n: R_ii = 1/sqrt(1-rho^2), R_i,i+1 = -rho/sqrt(1-rho^2); R_nn = 1.
+    The ids are consecutive integers; the neighbour is an equi-join on i + 1.
+    """
+    s = 1.0 / math.sqrt(1.0 - rho * rho)
+    v = ids.select(F.col(id_col).alias("i")).distinct()
+    stats = v.agg(F.max("i").alias("_hi"), ((F.count(F.lit(1)) - 1) * math.log(s)).alias("log_det"))
+    diag = v.crossJoin(F.broadcast(stats.select("_hi"))).select(
+        "i", F.col("i").alias("j"), F.when(F.col("i") == F.col("_hi"), F.lit(1.0)).otherwise(F.lit(s)).alias("v")
+    )
+    up = v.join(v.select((F.col("i") - 1).alias("i"), F.col("i").alias("j")), "i").withColumn("v", F.lit(-rho * s))
+    return diag.unionByName(up), stats.select("log_det")
 
 
 def ar1_precision_coo(spark: SparkSession, ids: DataFrame, rho: float, id_col: str = "id") -> DataFrame:
@@ -252,10 +277,14 @@ def empirical_tail_dependence(df: DataFrame, key: str, index: str, u: str, thres
 
 
 def log_mean_exp(df: DataFrame, key: list[str], value: str, out_col: str = "lpd") -> DataFrame:
-    """log(mean(exp(x))) per key, stabilised by the key's max."""
+    """log(mean(exp(x))) per key, stabilised by the key's max.
+
+    The per-key max is a grouped aggregate joined back (one row per key).
+    """
     m = df.groupBy(*key).agg(F.max(value).alias("_m"))
     return (
         df.join(m, key)
-        .groupBy(*key)
-        .agg((F.first("_m") + F.log(F.avg(F.exp(F.col(value) - F.col("_m"))))).alias(out_col))
+        .groupBy(*key, "_m")
+        .agg(F.avg(F.exp(F.col(value) - F.col("_m"))).alias("_a"))
+        .select(*key, (F.col("_m") + F.log("_a")).alias(out_col))
     )

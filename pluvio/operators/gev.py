@@ -14,10 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
-from pluvio.operators.joins import broadcast_if_small
-
-# Parameter tables up to this many stations are broadcast to the maxima.
-PARAM_BROADCAST_ROWS = 2_000_000
 
 
 def natural_params(params: DataFrame, shape_link: str = "power", trend_link: str = "tanh") -> DataFrame:
@@ -48,8 +44,10 @@ def predictive_p(
     """
     by = by or []
     nat = natural_params(params, shape_link, trend_link).select("station", *by, "mu0", "sigma", "xi", "delta")
-    side = broadcast_if_small(nat, PARAM_BROADCAST_ROWS) if not by else nat
-    j = maxima.join(side, "station", "inner")
+    # One row per station (per draw with ``by``): a derived table whose size is
+    # only known at run time, so the broadcast decision is left to AQE, which
+    # switches to a broadcast join when the parameter shuffle turns out small.
+    j = maxima.join(nat, "station", "inner")
     mu = dist.trend_location("mu0", "delta", "year", t0)
     return j.withColumn("mu", mu).withColumn("p", dist.gev_cdf("precip", "mu", "sigma", "xi"))
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
-from pluvio.operators.joins import broadcast_if_small
 from pluvio.operators.windows import dense_row_number
 
 # ---------------------------------------------------------------------------
@@ -38,11 +37,6 @@ NEIGHBOR_OFFSETS = [
 ROOK_TYPES = ["n", "s", "e", "w"]
 QUEEN_TYPES = ["n", "s", "e", "w", "ne", "nw", "se", "sw"]
 
-# Stations table above this many rows is joined by shuffle rather than
-# broadcast (the reference lattice has 43,920 cells).
-STATION_BROADCAST_ROWS = 2_000_000
-
-
 def offsets_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         NEIGHBOR_OFFSETS, "type string, diff_x bigint, diff_y bigint"
@@ -65,10 +59,9 @@ def lattice_edges(
         (F.col("proj_x") + F.col("diff_x")).alias("nx"),
         (F.col("proj_y") + F.col("diff_y")).alias("ny"),
     )
-    nb = broadcast_if_small(
-        s.select(F.col("station").alias("neighbor"), F.col("proj_x").alias("nx"), F.col("proj_y").alias("ny")),
-        STATION_BROADCAST_ROWS,
-    )
+    nb = s.select(F.col("station").alias("neighbor"), F.col("proj_x").alias("nx"), F.col("proj_y").alias("ny"))
+    # The station table is a file-backed dimension: its file size drives the
+    # static broadcast choice, and AQE revisits it with the real shuffle size.
     return shifted.join(nb, on=["nx", "ny"], how="inner").select("station", "neighbor", "type")
 
 
