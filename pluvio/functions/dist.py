@@ -140,7 +140,8 @@ def _horner(coefs: list[float], x: Column) -> Column:
 
 
 def norm_cdf(x) -> Column:
-    """Standard normal CDF, Hart's rational form (|error| ~ 1e-14)."""
+    """Standard normal CDF, Hart's rational form (absolute error ~1e-15;
+    relative error grows to ~1e-8 in the far tails, |x| > 5)."""
     x = _c(x)
     ax = F.abs(x)
     e = F.exp(-ax * ax / 2.0)

@@ -62,12 +62,12 @@ def forest_table(est: DataFrame, name: str = "term", mean: str = "estimate",
     """
     t = est.select(F.col(name).alias("name"), F.col(mean).alias("mean"), F.col(lower).alias("lower"),
                    F.col(upper).alias("upper"))
-    t = t.withColumn("order", F.dense_rank().over(Window.orderBy("mean", "name")))
+    t = t.withColumn("rank_order", F.dense_rank().over(Window.orderBy("mean", "name")))
     return t.select(
-        "name", "order",
+        "name", "rank_order",
         F.round("mean", 6).alias("mean"), F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"),
         text.pad_number_text("mean").alias("mean_text"),
         text.pad_number_text("lower").alias("lower_text"),
         text.pad_number_text("upper").alias("upper_text"),
-        text.interval_text("mean", "lower", "upper").alias("interval_text"),
+        text.interval_text(F.round("mean", 2), F.round("lower", 2), F.round("upper", 2)).alias("interval_text"),
     )

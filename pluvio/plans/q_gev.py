@@ -338,7 +338,7 @@ def precision_cholesky_copula(spark, sf):
     "ar1_precision",
     "C13",
     with_ctes(
-        f"SELECT i, j, {rnd('v', 9)} AS v FROM (SELECT id AS i, id AS j, CASE WHEN id = lo OR id = hi THEN {1 / (1 - AR1_RHO ** 2)!r} "
+        f"SELECT i, j, {rnd('CAST(v AS DOUBLE)', 9)} AS v FROM (SELECT id AS i, id AS j, CASE WHEN id = lo OR id = hi THEN {1 / (1 - AR1_RHO ** 2)!r} "
         f"ELSE {(1 + AR1_RHO ** 2) / (1 - AR1_RHO ** 2)!r} END AS v FROM ids CROSS JOIN (SELECT min(id) AS lo, max(id) AS hi FROM ids) "
         f"UNION ALL SELECT a.id, b.id, {-AR1_RHO / (1 - AR1_RHO ** 2)!r} FROM ids a JOIN ids b ON abs(a.id - b.id) = 1)",
         "precip", extra=[("ids", "SELECT DISTINCT CAST(year - 1994 AS INTEGER) AS id FROM precip")],
