@@ -1,9 +1,10 @@
 """Posterior draws: summaries and chain diagnostics.
 
 Draws are long: (chain, iteration, name, value), partitioned by chain on
-disk.  Group sizes here are set by the sampler (chains x iterations per
-parameter), not by the data volume, so per-parameter windows and exact
-percentiles are bounded.
+disk.  A chain holds a quarter of all draws, so nothing here windows or
+collects a whole chain or parameter: ranks and quantiles come from the
+distributed sorted positions, lags are equi-joins on iteration - 1, and
+moving averages are block prefix sums.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist, text
+from pluvio.operators import profile, windows
 
 MAD_SCALE = 1.4826
 
@@ -38,21 +40,17 @@ def parameter_means(draws: DataFrame, keep: DataFrame | None = None) -> DataFram
 def summarise_draws(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
     """mean, median, sd, mad, q5, q95 per parameter (D3, A5).
 
-    Exact quantiles (linear interpolation); mad = 1.4826 median|x - median|
-    needs the median first, so it is a second aggregation over a join.
+    Exact quantiles (linear interpolation) from the distributed sorted
+    positions; mad = 1.4826 median|x - median| needs the median first, so it
+    is a second quantile pass over the absolute deviations.
     """
     by = by or ["name"]
-    base = draws.groupBy(*by).agg(
-        F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
-        F.stddev_samp("value").alias("sd"),
-        F.percentile("value", 0.05).alias("q5"),
-        F.percentile("value", 0.95).alias("q95"),
-    )
-    dev = draws.join(base.select(*by, "median"), by).groupBy(*by).agg(
-        (F.median(F.abs(F.col("value") - F.col("median"))) * MAD_SCALE).alias("mad")
-    )
-    return base.join(dev, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
+    mom = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    q = profile.group_quantiles(draws, by, "value", [0.05, 0.5, 0.95], "_q")
+    q = q.select(*by, F.col("_q0050").alias("q5"), F.col("_q0500").alias("median"), F.col("_q0950").alias("q95"))
+    dev = draws.join(F.broadcast(q.select(*by, "median")), by).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
+    mad = profile.group_quantiles(dev, by, "_dev", [0.5], "_m").select(*by, (F.col("_m0500") * MAD_SCALE).alias("mad"))
+    return mom.join(q, by).join(mad, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
 
 
 def _split_chains(draws: DataFrame) -> DataFrame:
@@ -69,12 +67,16 @@ def _split_chains(draws: DataFrame) -> DataFrame:
 
 
 def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
-    """z = Phi^-1((r - 3/8) / (S + 1/4)) with average ranks r over the parameter."""
-    w = Window.partitionBy("name").orderBy(value)
-    tie = Window.partitionBy("name", value)
-    s = F.count(F.lit(1)).over(Window.partitionBy("name"))
-    r = F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0
-    return df.withColumn(out_col, dist.norm_ppf((r - 0.375) / (s + 0.25)))
+    """z = Phi^-1((r - 3/8) / (S + 1/4)) with average ranks r over the parameter.
+
+    Ranks come from the distributed sorted positions, so a parameter with
+    very many draws is not held by one task.
+    """
+    rows, sizes = windows.sorted_positions(df, ["name"], value)
+    ties = rows.groupBy("name", value).agg(F.avg("_pos").alias("_apos"))
+    r = rows.drop("_pos").join(ties, ["name", value]).join(F.broadcast(sizes), "name")
+    z = dist.norm_ppf((F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
+    return r.withColumn(out_col, z).drop("_apos", "_n")
 
 
 def _rhat_of(df: DataFrame, value: str) -> DataFrame:
@@ -91,7 +93,7 @@ def _rhat_of(df: DataFrame, value: str) -> DataFrame:
 def rhat(draws: DataFrame) -> DataFrame:
     """Rank-normalised split R-hat: max of bulk and tail (folded) versions."""
     d = _split_chains(draws)
-    med = d.groupBy("name").agg(F.median("value").alias("_med"))
+    med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0500").alias("_med"))
     d = d.join(F.broadcast(med), "name").withColumn("_fold", F.abs(F.col("value") - F.col("_med")))
     d = _rank_normal(_rank_normal(d, "value", "_zb"), "_fold", "_zt")
     bulk = _rhat_of(d, "_zb").withColumnRenamed("rhat", "rhat_bulk")
@@ -138,8 +140,8 @@ def ess(draws: DataFrame) -> DataFrame:
     """
     d = _split_chains(draws)
     d = _rank_normal(d, "value", "_zb")
-    q = d.groupBy("name").agg(
-        F.percentile("value", 0.05).alias("_q05"), F.percentile("value", 0.95).alias("_q95")
+    q = profile.group_quantiles(d, ["name"], "value", [0.05, 0.95], "_q").select(
+        "name", F.col("_q0050").alias("_q05"), F.col("_q0950").alias("_q95")
     )
     d = d.join(F.broadcast(q), "name").select(
         "name", "_split", "iteration", "_zb",
@@ -173,8 +175,8 @@ def autocorrelation(draws: DataFrame, max_lag: int) -> DataFrame:
     iterations later by an equi-join on (chain, name, iteration + lag), the
     lags being an exploded literal range.
     """
-    w = Window.partitionBy("chain", "name")
-    c = draws.withColumn("_xc", F.col("value") - F.avg("value").over(w))
+    means = draws.groupBy("chain", "name").agg(F.avg("value").alias("_m"))
+    c = draws.join(F.broadcast(means), ["chain", "name"]).withColumn("_xc", F.col("value") - F.col("_m"))
     den = c.groupBy("chain", "name").agg(F.sum(F.col("_xc") * F.col("_xc")).alias("_den"))
     lags = c.select("chain", "name", "iteration", "_xc", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     later = c.select("chain", "name", (F.col("iteration") - F.lit(0)).alias("_it2"), F.col("_xc").alias("_xc2"))
@@ -187,13 +189,52 @@ def autocorrelation(draws: DataFrame, max_lag: int) -> DataFrame:
     )
 
 
+def prefix_sums(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int = 1 << 16) -> DataFrame:
+    """Running sums of ``cols`` in ``order`` within ``keys``, without a window
+    over a whole key: sums inside blocks of ``block`` consecutive order values
+    plus the totals of earlier blocks (a small per-block table)."""
+    b = df.withColumn("_blk", F.floor(F.col(order) / block))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    for c in cols:
+        b = b.withColumn(f"_l_{c}", F.sum(c).over(inside))
+    tot = b.groupBy(*keys, "_blk").agg(*[F.sum(c).alias(f"_b_{c}") for c in cols])
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    for c in cols:
+        tot = tot.withColumn(f"_o_{c}", F.coalesce(F.sum(f"_b_{c}").over(earlier), F.lit(0)))
+    out = b.join(tot.select(*keys, "_blk", *[f"_o_{c}" for c in cols]), [*keys, "_blk"])
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
+    return out.drop("_blk", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])
+
+
 def acceptance(draws: DataFrame, half_width: int) -> DataFrame:
-    """Accepted-move flag and its centred moving average per chain."""
-    w = Window.partitionBy("chain", "name").orderBy("iteration")
-    prev = F.lag("value").over(w)
-    a = draws.withColumn("accept", F.when(prev.isNull(), F.lit(None)).otherwise((F.col("value") != prev).cast("double")))
-    ma = w.rowsBetween(-half_width, half_width)
-    return a.withColumn("accept_smooth", F.avg("accept").over(ma))
+    """Accepted-move flag and its centred moving average per chain.
+
+    accept = value != previous value (previous iteration found by an
+    equi-join on iteration - 1; NULL for the first draw).  The average over
+    iterations [i - k, i + k] ignores NULLs, so it is
+    (S(min(i + k, N)) - S(i - k - 1)) / (C(min(i + k, N)) - C(i - k - 1)) with
+    S, C running sums of the flags and of non-NULL counts.  Iterations are
+    dense 1..N per (chain, name).
+    """
+    keys = ["chain", "name"]
+    prev = draws.select(*keys, (F.col("iteration") + 1).alias("iteration"), F.col("value").alias("_prev"))
+    a = draws.join(prev, [*keys, "iteration"], "left").withColumn(
+        "accept", F.when(F.col("_prev").isNull(), F.lit(None)).otherwise((F.col("value") != F.col("_prev")).cast("double"))
+    ).drop("_prev")
+    flags = a.select(*keys, "iteration", F.coalesce("accept", F.lit(0.0)).alias("s"),
+                     F.col("accept").isNotNull().cast("long").alias("c"))
+    pre = prefix_sums(flags, keys, "iteration", ["s", "c"]).select(*keys, "iteration", "cum_s", "cum_c")
+    n = draws.groupBy(*keys).agg(F.max("iteration").alias("_N"))
+    k = half_width
+    base = a.join(F.broadcast(n), keys).withColumn("_u", F.least(F.col("iteration") + k, F.col("_N"))).withColumn(
+        "_l", F.col("iteration") - k - 1
+    )
+    up = pre.select(*keys, F.col("iteration").alias("_u"), F.col("cum_s").alias("_su"), F.col("cum_c").alias("_cu"))
+    lo = pre.select(*keys, F.col("iteration").alias("_l"), F.col("cum_s").alias("_sl"), F.col("cum_c").alias("_cl"))
+    out = base.join(up, [*keys, "_u"]).join(lo, [*keys, "_l"], "left")
+    smooth = (F.col("_su") - F.coalesce("_sl", F.lit(0.0))) / (F.col("_cu") - F.coalesce("_cl", F.lit(0)))
+    return out.withColumn("accept_smooth", smooth).drop("_N", "_u", "_l", "_su", "_cu", "_sl", "_cl")
 
 
 def bym2_combine(hyper: DataFrame, station_draws: DataFrame, scaling_factor: float) -> DataFrame:

@@ -10,18 +10,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.dist import is_finite
+from pluvio.operators import windows
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one column per prob.
-
-    Spark's ``percentile`` keeps a value -> count map per group; values are
-    first pre-aggregated to (keys, value, count) so the map holds distinct
-    values, and the count is passed as the frequency.
+def group_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "q", few_groups: bool = True
+) -> DataFrame:
+    """Exact linear-interpolation (type 7) quantiles per group, one column per prob.
+
+    No group is collected: positions in sorted order come from a range
+    shuffle (``windows.sorted_positions``); for each group and prob the two
+    order statistics around h = (n - 1) p are picked by an equi-join on
+    (group, position) against a small target table, and interpolated as
+    v_lo + (h - lo)(v_hi - v_lo).  NULL and NaN values are ignored.
+    ``few_groups`` broadcasts the target table (groups x probs x 2 rows).
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_f"))
-    return counted.groupBy(*keys).agg(
-        *[F.percentile(value, p, F.col("_f")).alias(f"{prefix}{round(p * 1000):04d}") for p in probs]
+    v = F.col(value)
+    clean = df.select(*keys, value).filter(v.isNotNull() & ~F.isnan(v))
+    rows, sizes = windows.sorted_positions(clean, keys, value)
+    spark = df.sparkSession
+    pr = spark.createDataFrame([(float(p), i) for i, p in enumerate(probs)], "_p double, _pi int")
+    h = (F.col("_n") - 1) * F.col("_p")
+    t = sizes.crossJoin(F.broadcast(pr)).withColumn("_h", h).withColumn("_lo", F.floor("_h"))
+    t = t.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)).withColumn("_f", F.col("_h") - F.col("_lo"))
+    picks = t.select(*keys, "_pi", "_f", "_lo", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_pos")).distinct()
+    picks = F.broadcast(picks) if few_groups else picks
+    got = rows.join(picks, [*keys, "_pos"]).select(
+        *keys, "_pi", "_f", (F.col("_pos") == F.col("_lo")).alias("_is_lo"), F.col(value).alias("_v")
+    )
+    q = got.groupBy(*keys, "_pi").agg(
+        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_vhi"),
+        F.first("_f").alias("_f"),
+    )
+    q = q.withColumn("_q", F.col("_vlo") + F.col("_f") * (F.coalesce("_vhi", "_vlo") - F.col("_vlo")))
+    return q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{round(p * 1000):04d}") for i, p in enumerate(probs)]
     )
 
 

@@ -65,6 +65,8 @@ def average_rank_uniform(df: DataFrame, by: list[str], value: str, out_col: str
 
     The average rank of a tie group is rank + (count_in_tie - 1) / 2, which
     needs only ``rank`` and a count over the tie, both windowed by ``by``.
+    For groups bounded by construction (a station's months); for groups of
+    any size use :func:`global_average_rank_uniform`.
     """
     w = Window.partitionBy(*by).orderBy(value)
     tie = Window.partitionBy(*by, value)
@@ -110,3 +112,53 @@ def next_in_order(df: DataFrame, by: list[str], order: str, value: str, out_col:
     """Pairs x[i], x[i+1] in id order."""
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn(out_col, F.lead(value).over(w))
+
+
+def sorted_positions(
+    df: DataFrame, group_cols: list[str], value: str, pos_col: str = "_pos"
+) -> tuple[DataFrame, DataFrame]:
+    """0-based position of every row in ``value`` order within its group.
+
+    Exact and distributed: rows are range-partitioned and sorted by
+    (group, value), so a group's rows are contiguous inside each partition and
+    spread over as many partitions as its size needs.  A row's position is its
+    offset within its partition block plus the sizes of the same group's
+    blocks in earlier partitions (a running sum over the small
+    (partition, group) count table).  Returns (rows with ``pos_col``, group
+    sizes (group_cols, _n)).  One range shuffle; no group is ever held by a
+    single task unless one exact (group, value) key is itself that large.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = (
+        df.repartitionByRange(parts, *[F.col(c) for c in group_cols], F.col(value))
+        .sortWithinPartitions(*group_cols, value)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+    )
+    blocks = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
+    sizes = blocks.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
+    rows = (
+        r.join(blocks.select("_pid", *group_cols, "_first", "_off"), ["_pid", *group_cols])
+        .withColumn(pos_col, F.col("_off") + F.col("_mid") - F.col("_first"))
+        .drop("_pid", "_mid", "_first", "_off")
+    )
+    return rows, sizes
+
+
+def global_average_rank_uniform(df: DataFrame, by: list[str], value: str, out_col: str = "u") -> DataFrame:
+    """Empirical CDF u = average rank / (n + 1) for groups of any size.
+
+    Positions come from :func:`sorted_positions`; tied values share the mean
+    of their positions (a grouped aggregate per (group, value) joined back).
+    """
+    rows, sizes = sorted_positions(df, by, value)
+    ties = rows.groupBy(*by, value).agg(F.avg("_pos").alias("_apos"))
+    return (
+        rows.drop("_pos")
+        .join(ties, [*by, value])
+        .join(sizes, by)
+        .withColumn(out_col, (F.col("_apos") + 1.0) / (F.col("_n") + 1))
+        .drop("_apos", "_n")
+    )

@@ -154,7 +154,7 @@ ACCEPT_HALF_WIDTH = 25
     with_ctes(
         f"SELECT chain, name, iteration, accept, {rnd(f'avg(accept) OVER (PARTITION BY chain, name ORDER BY iteration ROWS BETWEEN {ACCEPT_HALF_WIDTH} PRECEDING AND {ACCEPT_HALF_WIDTH} FOLLOWING)', 9)} AS accept_smooth "
         "FROM (SELECT chain, name, iteration, CASE WHEN lag(value) OVER w IS NULL THEN NULL "
-        "WHEN value <> lag(value) OVER w THEN 1.0 ELSE 0.0 END AS accept FROM draws WHERE name = 'view' "
+        "WHEN value <> lag(value) OVER w THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accept FROM draws WHERE name = 'view' "
         "WINDOW w AS (PARTITION BY chain, name ORDER BY iteration))",
         "draws",
     ),
@@ -326,17 +326,17 @@ def zscore_winsorise(spark, sf):
     "prior_curves",
     "D11 J8",
     with_ctes(
-        f"SELECT g.x, c.lambda, {rnd(S.exp_pdf('g.x', 'c.lambda'), 9)} AS density FROM "
+        f"SELECT g.x, c.rate, {rnd(S.exp_pdf('g.x', 'c.rate'), 9)} AS density FROM "
         "(SELECT DISTINCT abs(phi) * 50.0 AS x FROM params) g CROSS JOIN "
-        "(SELECT * FROM (VALUES (0.5), (1.0), (2.0)) t(lambda)) c",
+        "(SELECT * FROM (VALUES (0.5), (1.0), (2.0)) t(rate)) c",
         "params",
     ),
 )
 def prior_curves(spark, sf):
     grid = Fixtures(spark, sf).params().select((F.abs("phi") * 50.0).alias("x"))
-    curves = spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "lambda double")
-    c = D.curves_on_grid(grid, curves, lambda g: dist.exp_pdf(F.col("x"), F.col("lambda")))
-    return c.select("x", "lambda", F.round("density", 9).alias("density"))
+    curves = spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "rate double")
+    c = D.curves_on_grid(grid, curves, lambda g: dist.exp_pdf(F.col("x"), F.col("rate")))
+    return c.select("x", "rate", F.round("density", 9).alias("density"))
 
 
 # ---------------------------------------------------------------------------
@@ -448,7 +448,7 @@ def histogram_by_year(spark, sf):
 def binned_2d(spark, sf):
     from pluvio.operators import windows
 
-    u = windows.average_rank_uniform(Fixtures(spark, sf).vectors(), ["dim"], "x", "u")
+    u = windows.global_average_rank_uniform(Fixtures(spark, sf).vectors(), ["dim"], "x", "u")
     a = u.filter(F.col("dim") == 1).select("vec_id", F.col("u").alias("u1"))
     b = u.filter(F.col("dim") == 2).select("vec_id", F.col("u").alias("u2"))
     return profile.binned_2d(a.join(b, "vec_id"), "u1", "u2", 0.1, 0.1)

@@ -40,7 +40,7 @@ def _scored(fx: Fixtures):
 
 @query(
     "gev_scores",
-    "E1 E2 E3 E4 E11",
+    "E1 E2 E3 E4 E11 J1 J3",
     with_ctes(
         f"SELECT station, year, {rnd('mu', 3)} AS mu, {rnd('p', 9)} AS p, "
         f"{rnd(S.gev_logpdf('precip', 'mu', 'sigma', 'xi'), 9)} AS logpdf, "
@@ -182,8 +182,9 @@ _UNIF = (
 
 
 def _unif(fx: Fixtures):
-    # windows by dimension: a margin is one column of the vectors table
-    return windows.average_rank_uniform(fx.vectors(), ["dim"], "x", "u")
+    # a margin is a whole column of the vectors table: ranks come from the
+    # distributed sorted positions, not a window over the margin
+    return windows.global_average_rank_uniform(fx.vectors(), ["dim"], "x", "u")
 
 
 @query(

@@ -181,7 +181,7 @@ def sql_view(spark, sf):
 
 @query(
     "literal_offsets",
-    "S15 J6 G1",
+    "S15 J6 G1 J10",
     with_ctes(
         "SELECT o.type, o.diff_x, o.diff_y, count(e.station) AS n_edges FROM offsets o "
         "LEFT JOIN edges e ON e.type = o.type GROUP BY o.type, o.diff_x, o.diff_y",

@@ -92,7 +92,7 @@ def icar_energy(spark, sf):
 
 @query(
     "neighbour_moments",
-    "G7",
+    "G7 X5",
     with_ctes(
         f"SELECT e.station, {rnd('avg(b.psi)', 9)} AS cond_mean, {rnd('1.0 / count(*)', 9)} AS cond_var FROM rook_edges e "
         "JOIN params b ON b.station = e.neighbor GROUP BY e.station",
@@ -101,7 +101,10 @@ def icar_energy(spark, sf):
 )
 def neighbour_moments(spark, sf):
     fx = Fixtures(spark, sf)
-    m = lattice.neighbour_moments(fx.params().select("station", "psi"), fx.edges(lattice.ROOK_TYPES), "psi")
+    # a column passed by name, applied with DataFrame.transform
+    m = fx.params().select("station", "psi").transform(
+        lattice.neighbour_moments, fx.edges(lattice.ROOK_TYPES), "psi"
+    )
     return m.select("station", F.round("cond_mean", 9).alias("cond_mean"), F.round("cond_var", 9).alias("cond_var"))
 
 
@@ -208,7 +211,7 @@ def _moran_sql() -> str:
     zsc = "(local_i - expected_i) / sqrt(variance_i)"
     return with_ctes(
         f"SELECT station, x, {rnd('local_i', 9)} AS local_i, {rnd('expected_i', 9)} AS expected_i, "
-        f"{rnd('variance_i', 9)} AS variance_i, {rnd(zsc, 9)} AS z_i, {rnd('1.0 - ' + S.norm_cdf(zsc), 9)} AS p_value, "
+        f"{rnd('variance_i', 9)} AS variance_i, {rnd(zsc, 6)} AS z_i, {rnd('1.0 - ' + S.norm_cdf(zsc), 6)} AS p_value, "
         f"({zsc} > 1.65 AND 1.0 - {S.norm_cdf(zsc)} < 0.05) AS significant FROM ({body})",
         "edges", "params",
         extra=[("qe", "SELECT * FROM edges WHERE type IN ('n', 's', 'e', 'w', 'ne', 'nw', 'se', 'sw')"),
@@ -226,7 +229,8 @@ def local_moran(spark, sf):
     fx = Fixtures(spark, sf)
     m = lattice.local_moran(fx.params().select("station", "psi"), fx.edges(lattice.QUEEN_TYPES), "psi")
     return m.select(
-        "station", "x", *[F.round(c, 9).alias(c) for c in ["local_i", "expected_i", "variance_i", "z_i", "p_value"]],
+        "station", "x", *[F.round(c, 9).alias(c) for c in ["local_i", "expected_i", "variance_i"]],
+        *[F.round(c, 6).alias(c) for c in ["z_i", "p_value"]],
         "significant",
     )
 
