@@ -328,7 +328,7 @@ def zscore_winsorise(spark, sf):
     with_ctes(
         f"SELECT g.x, c.rate, {rnd(S.exp_pdf('g.x', 'c.rate'), 9)} AS density FROM "
         "(SELECT DISTINCT abs(phi) * 50.0 AS x FROM params) g CROSS JOIN "
-        "(SELECT * FROM (VALUES (0.5), (1.0), (2.0)) t(rate)) c",
+        "(SELECT CAST(rate AS DOUBLE) AS rate FROM (VALUES (0.5), (1.0), (2.0)) t(rate)) c",
         "params",
     ),
 )

@@ -210,7 +210,7 @@ def _moran_sql() -> str:
     )
     zsc = "(local_i - expected_i) / sqrt(variance_i)"
     return with_ctes(
-        f"SELECT station, x, {rnd('local_i', 9)} AS local_i, {rnd('expected_i', 9)} AS expected_i, "
+        f"SELECT station, {rnd('x', 9)} AS x, {rnd('local_i', 9)} AS local_i, {rnd('expected_i', 9)} AS expected_i, "
         f"{rnd('variance_i', 9)} AS variance_i, {rnd(zsc, 6)} AS z_i, {rnd('1.0 - ' + S.norm_cdf(zsc), 6)} AS p_value, "
         f"({zsc} > 1.65 AND 1.0 - {S.norm_cdf(zsc)} < 0.05) AS significant FROM ({body})",
         "edges", "params",
@@ -229,7 +229,7 @@ def local_moran(spark, sf):
     fx = Fixtures(spark, sf)
     m = lattice.local_moran(fx.params().select("station", "psi"), fx.edges(lattice.QUEEN_TYPES), "psi")
     return m.select(
-        "station", "x", *[F.round(c, 9).alias(c) for c in ["local_i", "expected_i", "variance_i"]],
+        "station", *[F.round(c, 9).alias(c) for c in ["x", "local_i", "expected_i", "variance_i"]],
         *[F.round(c, 6).alias(c) for c in ["z_i", "p_value"]],
         "significant",
     )
