@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions import dist, text
 from pluvio.operators import profile, windows
+from pluvio.session import materialize
 
 MAD_SCALE = 1.4826
 
@@ -92,10 +93,14 @@ def _rhat_of(df: DataFrame, value: str) -> DataFrame:
 
 def rhat(draws: DataFrame) -> DataFrame:
     """Rank-normalised split R-hat: max of bulk and tail (folded) versions."""
-    d = _split_chains(draws)
+    # each rank normalisation reads its input several times (positions, ties,
+    # sizes): written tables between the stages keep the plans small and
+    # each stage computed once
+    d = materialize(_split_chains(draws), "rhat-split")
     med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0500").alias("_med"))
     d = d.join(F.broadcast(med), "name").withColumn("_fold", F.abs(F.col("value") - F.col("_med")))
-    d = _rank_normal(_rank_normal(d, "value", "_zb"), "_fold", "_zt")
+    d = materialize(_rank_normal(d, "value", "_zb"), "rhat-bulk")
+    d = materialize(_rank_normal(d, "_fold", "_zt"), "rhat-tail")
     bulk = _rhat_of(d, "_zb").withColumnRenamed("rhat", "rhat_bulk")
     tail = _rhat_of(d, "_zt").withColumnRenamed("rhat", "rhat_tail")
     return bulk.join(tail, "name").withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
@@ -138,8 +143,8 @@ def ess(draws: DataFrame) -> DataFrame:
     ess_tail is the smaller of the ESS of the 5% and 95% exceedance
     indicators.
     """
-    d = _split_chains(draws)
-    d = _rank_normal(d, "value", "_zb")
+    d = materialize(_split_chains(draws), "ess-split")
+    d = materialize(_rank_normal(d, "value", "_zb"), "ess-ranked")
     q = profile.group_quantiles(d, ["name"], "value", [0.05, 0.95], "_q").select(
         "name", F.col("_q0050").alias("_q05"), F.col("_q0950").alias("_q95")
     )

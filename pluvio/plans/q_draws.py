@@ -458,9 +458,9 @@ def binned_2d(spark, sf):
     "parameter_errors",
     "A16",
     with_ctes(
-        f"SELECT variable, {rnd('avg(e.value - t.value)', 9)} AS mean_error, {rnd('avg(abs(e.value - t.value))', 9)} AS mean_abs_error "
+        f"SELECT e.variable AS variable, {rnd('avg(e.value - t.value)', 9)} AS mean_error, {rnd('avg(abs(e.value - t.value))', 9)} AS mean_abs_error "
         f"FROM ({_long_sql('mc', _TR)}) e JOIN ({_long_sql('params', _TR)}) t ON t.station = e.station AND t.variable = e.variable "
-        "GROUP BY variable",
+        "GROUP BY e.variable",
         "params", "precip_month", extra=[("mc", _MCMC_SQL)],
     ),
 )
