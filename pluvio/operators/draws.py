@@ -62,9 +62,12 @@ def _split_chains(draws: DataFrame) -> DataFrame:
     d = draws.join(F.broadcast(nmin), "name").filter(F.col("iteration") <= F.col("_nmin"))
     h = F.floor(F.col("_nmin") / 2)
     half = F.when(F.col("iteration") <= h, 1).when(F.col("iteration") > F.col("_nmin") - h, 2)
-    return d.withColumn("_half", half).filter(F.col("_half").isNotNull()).withColumn(
-        "_split", F.col("chain") * 2 + F.col("_half") - 1
-    ).withColumn("_len", h)
+    return (
+        d.withColumn("_half", half).filter(F.col("_half").isNotNull())
+        .withColumn("_split", F.col("chain") * 2 + F.col("_half") - 1)
+        .withColumn("_len", h)
+        .withColumn("_t", F.when(F.col("_half") == 1, F.col("iteration")).otherwise(F.col("iteration") - (F.col("_nmin") - h)))
+    )
 
 
 def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
@@ -106,71 +109,91 @@ def rhat(draws: DataFrame) -> DataFrame:
     return bulk.join(tail, "name").withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
 
-def _ess_from_chains(x: np.ndarray) -> float:
-    """Effective sample size of an (M, N) array of chains (Geyer's initial
-    monotone sequence on the combined autocorrelation)."""
-    m, n = x.shape
-    if n < 4:
-        return float("nan")
-    xc = x - x.mean(axis=1, keepdims=True)
-    f = np.fft.rfft(xc, n=2 * n, axis=1)
-    acov = np.fft.irfft(f * np.conj(f), axis=1)[:, :n] / n
-    chain_var = acov[:, 0] * n / (n - 1)
-    w = chain_var.mean()
-    var_plus = w * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-    rho = 1.0 - (w - acov.mean(axis=0)) / var_plus
-    rho[0] = 1.0
-    t = 0
-    pair_sums = []
-    while 2 * t + 1 < n:
-        s = rho[2 * t] + rho[2 * t + 1]
-        if s < 0:
-            break
-        pair_sums.append(s)
-        t += 1
-    for i in range(1, len(pair_sums)):
-        pair_sums[i] = min(pair_sums[i], pair_sums[i - 1])
-    tau = -1.0 + 2.0 * sum(pair_sums)
-    tau = max(tau, 1.0 / np.log10(m * n)) if m * n > 1 else tau
-    return float(m * n / tau)
+def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFrame]:
+    """ESS per parameter from split chains x (name, _split, _t, col), _t = 1..N.
+
+    Autocovariances acov_j(k) = sum_t xc_t xc_{t+k} / N for k < max_lag are an
+    equi-join of each draw with the draw k steps later (lags exploded), summed
+    by (name, chain, k).  The combined autocorrelation
+    rho(k) = 1 - (W - mean_j acov_j(k)) / var+, Geyer's initial positive
+    pair sums, their running minimum and tau = -1 + 2 sum P run on the small
+    (name, lag) table.  Returns (name, ess) and (name, truncated) telling
+    whether a negative pair sum was reached within the lags computed.
+    """
+    keys = ["name", "_split"]
+    m = x.groupBy(*keys).agg(F.avg(col).alias("_m"), F.count(F.lit(1)).alias("_N"))
+    c = x.join(m, keys).withColumn("_xc", F.col(col) - F.col("_m")).select(*keys, "_t", "_xc", "_N")
+    lag = F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag - 1), F.col("_N") - 1))).alias("_k")
+    lags = c.select(*keys, "_t", "_xc", "_N", lag).withColumn("_t2", F.col("_t") + F.col("_k"))
+    later = c.select(*keys, F.col("_t").alias("_t2"), F.col("_xc").alias("_xc2"))
+    acov = lags.join(later, [*keys, "_t2"]).groupBy(*keys, "_k").agg(
+        (F.sum(F.col("_xc") * F.col("_xc2")) / F.first("_N")).alias("_acov")
+    )
+    chain = m.join(acov.filter(F.col("_k") == 0).select(*keys, F.col("_acov").alias("_a0")), keys).withColumn(
+        "_s2", F.col("_a0") * F.col("_N") / (F.col("_N") - 1)
+    )
+    per = chain.groupBy("name").agg(
+        F.avg("_s2").alias("_W"), F.var_samp("_m").alias("_Bn"), F.first("_N").alias("_n"), F.count(F.lit(1)).alias("_M")
+    ).withColumn("_vp", (F.col("_n") - 1) / F.col("_n") * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0)))
+    rho = acov.groupBy("name", "_k").agg(F.avg("_acov").alias("_ma")).join(per, "name").withColumn(
+        "_rho", F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(1.0 - (F.col("_W") - F.col("_ma")) / F.col("_vp"))
+    )
+    pairs = rho.groupBy("name", F.floor(F.col("_k") / 2).alias("_tp")).agg(
+        F.sum("_rho").alias("_P"), F.count(F.lit(1)).alias("_c")
+    ).filter(F.col("_c") == 2)
+    first_neg = pairs.filter(F.col("_P") < 0).groupBy("name").agg(F.min("_tp").alias("_stop"))
+    kept = pairs.join(first_neg, "name", "left").filter(F.col("_stop").isNull() | (F.col("_tp") < F.col("_stop")))
+    # running minimum over the pair index: a window over one parameter's few lags
+    mono = kept.withColumn(
+        "_Pm", F.min("_P").over(Window.partitionBy("name").orderBy("_tp").rowsBetween(Window.unboundedPreceding, 0))
+    )
+    tau = mono.groupBy("name").agg((-1.0 + 2.0 * F.sum("_Pm")).alias("_tau")).join(per, "name")
+    mn = F.col("_M") * F.col("_n")
+    tau_c = F.greatest(F.col("_tau"), 1.0 / F.log10(mn))
+    ess = tau.select("name", (mn / tau_c).alias("ess"))
+    trunc = per.select("name", "_n").join(first_neg, "name", "left").select(
+        "name", (F.col("_stop").isNotNull() | (F.lit(max_lag) >= F.col("_n"))).alias("truncated")
+    )
+    return ess, trunc
+
+
+def _ess_col(x: DataFrame, col: str, start_lag: int = 64) -> DataFrame:
+    """ESS of ``col``, widening the lag range until every parameter's pair
+    sums have turned negative (or all lags are used)."""
+    lag = start_lag
+    while True:
+        ess, trunc = _geyer_ess(x, col, lag)
+        if trunc.filter(~F.col("truncated")).limit(1).count() == 0:
+            return ess
+        lag *= 4
 
 
 def ess(draws: DataFrame) -> DataFrame:
     """Bulk and tail effective sample sizes per parameter.
 
-    Rank normalisation runs in Spark; the autocorrelation sums run per
-    parameter in a grouped map over its split chains (sampler-sized).
-    ess_tail is the smaller of the ESS of the 5% and 95% exceedance
-    indicators.
+    Rank normalisation and the autocovariance sums run as distributed joins
+    and aggregates (no chain is held by one task); ess_tail is the smaller
+    of the ESS of the 5% and 95% exceedance indicators.
     """
     d = materialize(_split_chains(draws), "ess-split")
-    d = materialize(_rank_normal(d, "value", "_zb"), "ess-ranked")
+    d = _rank_normal(d, "value", "_zb")
     q = profile.group_quantiles(d, ["name"], "value", [0.05, 0.95], "_q").select(
         "name", F.col("_q0050").alias("_q05"), F.col("_q0950").alias("_q95")
     )
-    d = d.join(F.broadcast(q), "name").select(
-        "name", "_split", "iteration", "_zb",
-        (F.col("value") <= F.col("_q05")).cast("double").alias("_lo"),
-        (F.col("value") <= F.col("_q95")).cast("double").alias("_hi"),
+    x = materialize(
+        d.join(F.broadcast(q), "name").select(
+            "name", "_split", "_t", "_zb",
+            (F.col("value") <= F.col("_q05")).cast("double").alias("_lo"),
+            (F.col("value") <= F.col("_q95")).cast("double").alias("_hi"),
+        ),
+        "ess-input",
+    )
+    bulk = _ess_col(x, "_zb").withColumnRenamed("ess", "ess_bulk")
+    lo = _ess_col(x, "_lo").withColumnRenamed("ess", "_e_lo")
+    hi = _ess_col(x, "_hi").withColumnRenamed("ess", "_e_hi")
+    return bulk.join(lo, "name", "left").join(hi, "name", "left").select(
+        "name", "ess_bulk", F.least("_e_lo", "_e_hi").alias("ess_tail")
     )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_split", "iteration"])
-        groups = [g for _, g in pdf.groupby("_split")]
-        n = min(len(g) for g in groups)
-
-        def arr(col):
-            return np.vstack([g[col].to_numpy()[:n] for g in groups])
-
-        return pd.DataFrame(
-            {
-                "name": [pdf["name"].iloc[0]],
-                "ess_bulk": [_ess_from_chains(arr("_zb"))],
-                "ess_tail": [min(_ess_from_chains(arr("_lo")), _ess_from_chains(arr("_hi")))],
-            }
-        )
-
-    return d.groupBy("name").applyInPandas(run, "name string, ess_bulk double, ess_tail double")
 
 
 def autocorrelation(draws: DataFrame, max_lag: int) -> DataFrame:

@@ -45,3 +45,53 @@ def test_stream_equals_batch(spark):
         F.max("value").alias("value")
     )
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.select("user_id", "window_start", "value").collect()))
+
+
+def _fft_ess(x):
+    import numpy as np
+
+    m, n = x.shape
+    xc = x - x.mean(axis=1, keepdims=True)
+    f = np.fft.rfft(xc, n=2 * n, axis=1)
+    acov = np.fft.irfft(f * np.conj(f), axis=1)[:, :n] / n
+    w = (acov[:, 0] * n / (n - 1)).mean()
+    vp = w * (n - 1) / n + x.mean(axis=1).var(ddof=1)
+    rho = 1 - (w - acov.mean(axis=0)) / vp
+    rho[0] = 1
+    ps, t = [], 0
+    while 2 * t + 1 < n:
+        s = rho[2 * t] + rho[2 * t + 1]
+        if s < 0:
+            break
+        ps.append(s)
+        t += 1
+    for i in range(1, len(ps)):
+        ps[i] = min(ps[i], ps[i - 1])
+    tau = max(-1 + 2 * sum(ps), 1 / math.log10(m * n))
+    return m * n / tau
+
+
+def test_distributed_ess_matches_fft(spark):
+    import statistics
+
+    import numpy as np
+
+    from pluvio.operators import draws as D
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for ch in range(1, 5):
+        x = 0.0
+        for it in range(1, 201):
+            x = 0.8 * x + rng.normal()
+            rows.append((ch, "a", it, float(x)))
+    df = spark.createDataFrame(rows, "chain int, name string, iteration int, value double")
+    got = D.ess(df).first().ess_bulk
+    v = np.array([[r[3] for r in rows if r[0] == ch] for ch in range(1, 5)])
+    halves = np.vstack([v[:, :100], v[:, 100:]])
+    flat = halves.ravel()
+    ranks = np.empty(len(flat))
+    ranks[flat.argsort()] = np.arange(1, len(flat) + 1)
+    nd = statistics.NormalDist()
+    z = np.array([nd.inv_cdf((r - 0.375) / (len(flat) + 0.25)) for r in ranks]).reshape(halves.shape)
+    assert abs(got - _fft_ess(z)) < 1e-6 * got
