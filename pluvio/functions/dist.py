@@ -244,7 +244,7 @@ def t_ppf(p, nu: int) -> Column:
                 th = F.aggregate(
                     F.sequence(F.lit(1), F.lit(T3_NEWTON_STEPS)),
                     th0,
-                    lambda th, _k: th - (th + 0.5 * F.sin(2.0 * th) - gv) / (1.0 + F.cos(2.0 * th)),
+                    lambda th, _k: th - F.try_divide(th + 0.5 * F.sin(2.0 * th) - gv, 1.0 + F.cos(2.0 * th)),
                 )
                 return math.sqrt(3.0) * F.tan(th)
 

@@ -91,7 +91,7 @@ def _rhat_of(df: DataFrame, value: str) -> DataFrame:
         F.avg("_v").alias("_w"), F.var_samp("_m").alias("_vm"), F.first("_len").alias("_n")
     )
     var_plus = (F.col("_n") - 1) / F.col("_n") * F.col("_w") + F.col("_vm")
-    return g.select("name", F.sqrt(var_plus / F.col("_w")).alias("rhat"))
+    return g.select("name", F.sqrt(F.try_divide(var_plus, F.col("_w"))).alias("rhat"))
 
 
 def rhat(draws: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFra
         F.avg("_s2").alias("_W"), F.var_samp("_m").alias("_Bn"), F.first("_N").alias("_n"), F.count(F.lit(1)).alias("_M")
     ).withColumn("_vp", (F.col("_n") - 1) / F.col("_n") * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0)))
     rho = acov.groupBy("name", "_k").agg(F.avg("_acov").alias("_ma")).join(per, "name").withColumn(
-        "_rho", F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(1.0 - (F.col("_W") - F.col("_ma")) / F.col("_vp"))
+        "_rho", F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(1.0 - F.try_divide(F.col("_W") - F.col("_ma"), F.col("_vp")))
     )
     pairs = rho.groupBy("name", F.floor(F.col("_k") / 2).alias("_tp")).agg(
         F.sum("_rho").alias("_P"), F.count(F.lit(1)).alias("_c")
@@ -149,8 +149,8 @@ def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFra
     )
     tau = mono.groupBy("name").agg((-1.0 + 2.0 * F.sum("_Pm")).alias("_tau")).join(per, "name")
     mn = F.col("_M") * F.col("_n")
-    tau_c = F.greatest(F.col("_tau"), 1.0 / F.log10(mn))
-    ess = tau.select("name", (mn / tau_c).alias("ess"))
+    tau_c = F.greatest(F.col("_tau"), F.try_divide(F.lit(1.0), F.log10(mn)))
+    ess = tau.select("name", F.try_divide(mn, tau_c).alias("ess"))
     trunc = per.select("name", "_n").join(first_neg, "name", "left").select(
         "name", (F.col("_stop").isNotNull() | (F.lit(max_lag) >= F.col("_n"))).alias("truncated")
     )
@@ -261,7 +261,7 @@ def acceptance(draws: DataFrame, half_width: int) -> DataFrame:
     up = pre.select(*keys, F.col("iteration").alias("_u"), F.col("cum_s").alias("_su"), F.col("cum_c").alias("_cu"))
     lo = pre.select(*keys, F.col("iteration").alias("_l"), F.col("cum_s").alias("_sl"), F.col("cum_c").alias("_cl"))
     out = base.join(up, [*keys, "_u"]).join(lo, [*keys, "_l"], "left")
-    smooth = (F.col("_su") - F.coalesce("_sl", F.lit(0.0))) / (F.col("_cu") - F.coalesce("_cl", F.lit(0)))
+    smooth = F.try_divide(F.col("_su") - F.coalesce("_sl", F.lit(0.0)), F.col("_cu") - F.coalesce("_cl", F.lit(0)))
     return out.withColumn("accept_smooth", smooth).drop("_N", "_u", "_l", "_su", "_cu", "_sl", "_cl")
 
 

@@ -211,24 +211,25 @@ def local_moran(values: DataFrame, edges: DataFrame, value: str) -> DataFrame:
         F.sum("w").alias("W_i"),
         F.sum(F.col("w") * F.col("w")).alias("W2_i"),
     )
-    n = F.col("_n")
+    n = F.col("_n").cast("double")
+    m2c = F.col("m2")
     out = (
         z.join(lag, "station", "inner")
         .crossJoin(F.broadcast(m2))
         .select(
             "station",
             "x",
-            (F.col("z") * F.col("lag_z") / F.col("m2")).alias("local_i"),
-            (-(F.col("z") ** 2) * F.col("W_i") / ((n - 1) * F.col("m2"))).alias("expected_i"),
+            F.try_divide(F.col("z") * F.col("lag_z"), m2c).alias("local_i"),
+            F.try_divide(-(F.col("z") ** 2) * F.col("W_i"), (n - 1) * m2c).alias("expected_i"),
             (
-                (F.col("z") / F.col("m2")) ** 2
-                * (n / (n - 2))
-                * (F.col("m2") - F.col("z") ** 2 / (n - 1))
+                F.try_divide(F.col("z"), m2c) ** 2
+                * F.try_divide(n, n - 2)
+                * (m2c - F.col("z") ** 2 / (n - 1))
                 * (F.col("W2_i") - F.col("W_i") ** 2 / (n - 1))
             ).alias("variance_i"),
         )
     )
-    zscore = (F.col("local_i") - F.col("expected_i")) / F.sqrt(F.col("variance_i"))
+    zscore = F.try_divide(F.col("local_i") - F.col("expected_i"), F.sqrt(F.col("variance_i")))
     out = out.withColumn("z_i", zscore).withColumn("p_value", 1.0 - dist.norm_cdf(F.col("z_i")))
     return out.withColumn(
         "significant", (F.col("z_i") > 1.65) & (F.col("p_value") < 0.05)

@@ -122,7 +122,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None)
         *by, "bin",
         (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"),
         "n",
-        (F.col("n") / (F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins)).alias("density"),
+        F.try_divide(F.col("n"), F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins).alias("density"),
     )
 
 
@@ -165,7 +165,7 @@ def zscore_then_pooled_winsorise(
     are one row cross-joined to every row.
     """
     m = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    z = df.join(F.broadcast(m), group).withColumn(value, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    z = df.join(F.broadcast(m), group).withColumn(value, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
     q = group_quantiles(z.withColumn("_all", F.lit(1)), ["_all"], value, [lo, hi], "_q").drop("_all")
     lo_c, hi_c = f"_q{round(lo * 10000):04d}", f"_q{round(hi * 10000):04d}"
     q = q.toDF(*[lo_c, hi_c])

@@ -29,10 +29,10 @@ def univariate_ols(df: DataFrame, keys: list[str], y: str = "y", x: str = "x") -
         F.sum(F.col(y) * F.col(y)).alias("syy"),
         F.count(F.lit(1)).alias("n"),
     )
-    beta = F.col("sxy") / F.col("sxx")
-    s2 = (F.col("syy") - F.col("estimate") * F.col("sxy")) / (F.col("n") - 1)
-    out = s.withColumn("estimate", beta).withColumn("std_error", F.sqrt(s2 / F.col("sxx")))
-    out = out.withColumn("statistic", F.col("estimate") / F.col("std_error"))
+    beta = F.try_divide(F.col("sxy"), F.col("sxx"))
+    s2 = F.try_divide(F.col("syy") - F.col("estimate") * F.col("sxy"), F.col("n") - 1)
+    out = s.withColumn("estimate", beta).withColumn("std_error", F.sqrt(F.try_divide(s2, F.col("sxx"))))
+    out = out.withColumn("statistic", F.try_divide(F.col("estimate"), F.col("std_error")))
     df_resid = (F.col("n") - 1).cast("int")
     p = 2.0 * (1.0 - dist.t_cdf_int(F.abs(F.col("statistic")), df_resid))
     return out.withColumn("p_value", F.when(F.col("n") > 1, p)).select(
@@ -140,13 +140,13 @@ def assemble_precision(beta: DataFrame, tau2: DataFrame) -> DataFrame:
     lambda_bound = q_ii / off_abs, the largest lambda keeping row i
     strictly dominant.
     """
-    b = beta.join(tau2, "i").select("i", "j", (-F.col("beta") / F.col("tau2")).alias("q"))
+    b = beta.join(tau2, "i").select("i", "j", F.try_divide(-F.col("beta"), F.col("tau2")).alias("q"))
     rev = b.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("q").alias("q_rev"))
     sym = b.join(rev, ["i", "j"], "full_outer").select(
         "i", "j", (0.5 * (F.coalesce("q", F.lit(0.0)) + F.coalesce("q_rev", F.lit(0.0)))).alias("q_sym")
     )
     off = sym.groupBy("i").agg(F.sum(F.abs("q_sym")).alias("off_abs"))
-    diag = tau2.select("i", (1.0 / F.col("tau2")).alias("q_ii"))
+    diag = tau2.select("i", F.try_divide(F.lit(1.0), F.col("tau2")).alias("q_ii"))
     return diag.join(off, "i", "left").fillna({"off_abs": 0.0}).select(
         "i", "q_ii", "off_abs",
         (F.col("q_ii") > F.col("off_abs")).alias("dominant"),

@@ -100,7 +100,7 @@ def ratio_to_base(df: DataFrame, by: list[str], period: str, value: str, out_col
     ``min_by`` over an unordered window needs no self-join.
     """
     base = F.min_by(F.col(value), F.col(period)).over(Window.partitionBy(*by))
-    return df.withColumn(out_col, F.col(value) / base - 1.0)
+    return df.withColumn(out_col, F.try_divide(F.col(value), base) - 1.0)
 
 
 def row_weights(df: DataFrame, i: str = "station", out_col: str = "w") -> DataFrame:

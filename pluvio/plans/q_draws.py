@@ -213,8 +213,8 @@ def bym2_combine(spark, sf):
     by_station = profile.mean_sd(p, ["station"], "precip").withColumnsRenamed({"mean": "_ms", "sd": "_ss"})
     sd = p.join(F.broadcast(by_year), "year").join(by_station, "station").select(
         F.lit(1).alias("chain"), (F.col("year") - 1994).cast("int").alias("iteration"), "station",
-        ((F.col("precip") - F.col("_my")) / F.col("_sy")).alias("spatial"),
-        ((F.col("precip") - F.col("_ms")) / F.col("_ss")).alias("random"),
+        F.try_divide(F.col("precip") - F.col("_my"), F.col("_sy")).alias("spatial"),
+        F.try_divide(F.col("precip") - F.col("_ms"), F.col("_ss")).alias("random"),
     )
     b = D.bym2_combine(hyper, sd, BYM2_SCALING)
     return b.select("chain", "iteration", "station", F.round("value", 9).alias("value"))

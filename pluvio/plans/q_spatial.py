@@ -125,7 +125,7 @@ def _vals(fx: Fixtures):
     pm = fx.precip_month()
     m = profile.mean_sd(pm, ["station"], "precip")
     return pm.join(m, "station").select(
-        "station", "month", ((F.col("precip") - F.col("mean")) / F.col("sd")).alias("v")
+        "station", "month", F.try_divide(F.col("precip") - F.col("mean"), F.col("sd")).alias("v")
     )
 
 
