@@ -176,6 +176,33 @@ def norm_ppf(p) -> Column:
     )
 
 
+def with_norm_ppf(df, p, out_col: str):
+    """Add ``out_col`` = Phi^-1(p) to ``df``, the hot-path form of :func:`norm_ppf`.
+
+    The tail variable r = sqrt(-ln min(p, 1 - p)) is referenced by both
+    rational forms inside CASE branches, where Spark does not share common
+    subexpressions; computing q, r and the shifted r as columns first keeps
+    each evaluated once per row and the generated code small.
+    """
+    p = _c(p)
+    d = df.withColumn("_nq", p - 0.5).withColumn("_nr", F.sqrt(-F.log(F.least(p, 1.0 - p))))
+    d = d.withColumn("_nr0", 0.180625 - F.col("_nq") * F.col("_nq")).withColumn("_nrm", F.col("_nr") - 1.6).withColumn(
+        "_nrf", F.col("_nr") - 5.0
+    )
+    q, r = F.col("_nq"), F.col("_nr")
+    central = q * _horner(AS241_A, F.col("_nr0")) / _horner(AS241_B, F.col("_nr0"))
+    mid = _horner(AS241_C, F.col("_nrm")) / _horner(AS241_D, F.col("_nrm"))
+    far = _horner(AS241_E, F.col("_nrf")) / _horner(AS241_F, F.col("_nrf"))
+    tail = F.when(r <= 5.0, mid).otherwise(far)
+    val = (
+        F.when((p <= 0) | (p >= 1) | p.isNull(), F.lit(None).cast("double"))
+        .when(F.abs(q) <= 0.425, central)
+        .when(q < 0, -tail)
+        .otherwise(tail)
+    )
+    return d.withColumn(out_col, val).drop("_nq", "_nr", "_nr0", "_nrm", "_nrf")
+
+
 def norm_logpdf(x) -> Column:
     x = _c(x)
     return -0.5 * x * x - 0.5 * math.log(2 * math.pi)

@@ -54,7 +54,7 @@ def cholesky_inverse_coo(spark: SparkSession, sigma: np.ndarray) -> tuple[DataFr
 
 
 def normal_scores(df: DataFrame, u: str = "u", out_col: str = "z") -> DataFrame:
-    return df.withColumn(out_col, dist.norm_ppf(F.col(u)))
+    return dist.with_norm_ppf(df, F.col(u), out_col)
 
 
 def quadratic_form(df: DataFrame, key: list[str], index: str, value: str, coo: DataFrame) -> DataFrame:
@@ -98,6 +98,29 @@ def ar1_copula_logc(df: DataFrame, key: list[str], order: str, u: str, rho: floa
     return agg.select(*key, (log_det - 0.5 * F.col("qq") + 0.5 * F.col("zz")).alias("log_c"))
 
 
+def ar1_copula_logc_paired(df: DataFrame, key: list[str], u: str, u_next: str, rho: float,
+                           extra: list[Column] | None = None) -> DataFrame:
+    """AR(1) Gaussian copula log-density from rows that carry their successor's
+    uniform ``u_next`` (NULL for the last element) (C3).
+
+    Same value as :func:`ar1_copula_logc`; when the order is fixed by a small
+    table (e.g. test stations) the successor can be attached before a large
+    fan-out, and every term is row-local: no window, no sort of the fan-out,
+    only partial aggregation by ``key``.  ``extra`` aggregates (e.g. the
+    margins' log-likelihood) are computed in the same pass.
+    """
+    z = normal_scores(normal_scores(df, u, "_z"), u_next, "_zn")
+    scl = math.sqrt(1.0 / (1.0 - rho * rho))
+    q = F.when(F.col("_zn").isNull(), F.col("_z")).otherwise(scl * (F.col("_z") - rho * F.col("_zn")))
+    agg = z.withColumn("_q", q).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_q") * F.col("_q")).alias("qq"),
+        F.sum(F.col("_z") * F.col("_z")).alias("zz"), *(extra or []),
+    )
+    log_det = -(F.col("n") - 1) * (math.log(1 + rho) + math.log(1 - rho)) / 2.0
+    keep = [c for c in agg.columns if c not in (*key, "n", "qq", "zz")]
+    return agg.select(*key, (log_det - 0.5 * F.col("qq") + 0.5 * F.col("zz")).alias("log_c"), *keep)
+
+
 def precision_cholesky_logc(df: DataFrame, key: list[str], index: str, u: str, chol: DataFrame,
                             log_det) -> DataFrame:
     """Gaussian copula with a sparse precision Cholesky factor as COO (C4).

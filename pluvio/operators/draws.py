@@ -79,8 +79,8 @@ def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
     rows, sizes = windows.sorted_positions(df, ["name"], value)
     ties = rows.groupBy("name", value).agg(F.avg("_pos").alias("_apos"))
     r = rows.drop("_pos").join(ties, ["name", value]).join(F.broadcast(sizes), "name")
-    z = dist.norm_ppf((F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
-    return r.withColumn(out_col, z).drop("_apos", "_n")
+    r = r.withColumn("_pr", (F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
+    return dist.with_norm_ppf(r, F.col("_pr"), out_col).drop("_apos", "_n", "_pr")
 
 
 def _rhat_of(df: DataFrame, value: str) -> DataFrame:

@@ -565,22 +565,36 @@ def _heldout_sql() -> str:
 @query("heldout_lpd", "C15 J13 X6 C3", _heldout_sql())
 def heldout_lpd(spark, sf):
     fx = Fixtures(spark, sf)
-    s = (
+    test = (
         _scored(fx).filter(F.col("year") == HELDOUT_YEAR).select("station", "precip", "mu", "sigma")
         .join(fx.params().select("station", "phi"), "station")
     )
+    # successor of each test station in station order (AR(1) pairs), attached
+    # on the small test table before the fan-out over draws
+    pos, _ = windows.sorted_positions(test.select("station"), [], "station")
+    succ = pos.alias("a").join(pos.alias("b"), F.col("b._pos") == F.col("a._pos") + 1).select(
+        F.col("a.station").alias("station"), F.col("b.station").alias("_next")
+    )
+    nxt = test.select(*[F.col(c).alias(f"{c}_n") for c in test.columns]).withColumnRenamed("station_n", "_next")
+    test = test.join(succ, "station", "left").join(nxt, "_next", "left")
     d = fx.draws().filter(F.col("name") == "view").select("chain", "iteration", "value")
     # test rows x draws: the draw table is broadcast only behind a size check
-    j = s.crossJoin(joins.broadcast_if_small(d, 200_000))
-    xi = dist.shape_link_inverse(F.col("phi") + (F.col("value") - 25.0) / 1000.0)
-    j = j.withColumn("lp", dist.gev_logpdf("precip", "mu", "sigma", xi)).withColumn(
-        "u", dist.gev_cdf("precip", "mu", "sigma", xi)
+    j = test.crossJoin(joins.broadcast_if_small(d, 200_000))
+    shift = (F.col("value") - 25.0) / 1000.0
+    # xi as a column: it is referenced in every branch of the GEV formulas
+    j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + shift)).withColumn(
+        "xi_n", dist.shape_link_inverse(F.col("phi_n") + shift)
     )
+    j = j.withColumn("lp", dist.gev_logpdf("precip", "mu", "sigma", "xi")).withColumn(
+        "u", dist.gev_cdf("precip", "mu", "sigma", "xi")
+    ).withColumn("u_n", F.when(F.col("_next").isNotNull(), dist.gev_cdf("precip_n", "mu_n", "sigma_n", "xi_n")))
     key = ["chain", "iteration"]
-    ll = j.groupBy(*key).agg(F.sum("lp").alias("ll"))
-    lc = copula.ar1_copula_logc(j.select(*key, "station", "u"), key, "station", "u", AR1_RHO)
-    per_draw = ll.withColumn("model", F.lit("iid")).unionByName(
-        ll.join(lc, key).select(*key, (F.col("ll") + F.col("log_c")).alias("ll"), F.lit("ar1").alias("model"))
+    # one pass over test rows x draws gives both models' per-draw sums
+    both = copula.ar1_copula_logc_paired(
+        j.select(*key, "lp", "u", "u_n"), key, "u", "u_n", AR1_RHO, extra=[F.sum("lp").alias("ll")]
+    )
+    per_draw = both.select(*key, "ll", F.lit("iid").alias("model")).unionByName(
+        both.select(*key, (F.col("ll") + F.col("log_c")).alias("ll"), F.lit("ar1").alias("model"))
     )
     out = copula.log_mean_exp(per_draw, ["model"], "ll", "lpd")
     return out.select("model", F.round("lpd", 6).alias("lpd"))

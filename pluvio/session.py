@@ -35,6 +35,10 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # The distribution functions fuse into long generated methods; let the
+        # JIT compile methods above 8000 bytecodes instead of interpreting them.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         # Small dimension tables (stations, offsets, parameters) are broadcast
         # explicitly behind a size check; keep the automatic threshold modest.
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
