@@ -578,8 +578,11 @@ def heldout_lpd(spark, sf):
     nxt = test.select(*[F.col(c).alias(f"{c}_n") for c in test.columns]).withColumnRenamed("station_n", "_next")
     test = test.join(succ, "station", "left").join(nxt, "_next", "left")
     d = fx.draws().filter(F.col("name") == "view").select("chain", "iteration", "value")
-    # test rows x draws: the draw table is broadcast only behind a size check
-    j = test.crossJoin(joins.broadcast_if_small(d, 200_000))
+    # test rows x draws: the draw table is broadcast only behind a size check;
+    # the streamed test rows are spread over the shuffle partitions first (AQE
+    # would coalesce such a small table into one task, serialising the fan-out)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    j = test.repartition(parts).crossJoin(joins.broadcast_if_small(d, 200_000))
     shift = (F.col("value") - 25.0) / 1000.0
     # xi as a column: it is referenced in every branch of the GEV formulas
     j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + shift)).withColumn(
