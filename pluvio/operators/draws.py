@@ -83,30 +83,42 @@ def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
     return dist.with_norm_ppf(r, F.col("_pr"), out_col).drop("_apos", "_n", "_pr")
 
 
-def _rhat_of(df: DataFrame, value: str) -> DataFrame:
-    chain = df.groupBy("name", "_split").agg(
+def _rhat_of(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    chain = df.groupBy("name", *by, "_split").agg(
         F.avg(value).alias("_m"), F.var_samp(value).alias("_v"), F.first("_len").alias("_len")
     )
-    g = chain.groupBy("name").agg(
+    g = chain.groupBy("name", *by).agg(
         F.avg("_v").alias("_w"), F.var_samp("_m").alias("_vm"), F.first("_len").alias("_n")
     )
     var_plus = (F.col("_n") - 1) / F.col("_n") * F.col("_w") + F.col("_vm")
-    return g.select("name", F.sqrt(F.try_divide(var_plus, F.col("_w"))).alias("rhat"))
+    return g.select("name", *by, F.sqrt(F.try_divide(var_plus, F.col("_w"))).alias("rhat"))
 
 
 def rhat(draws: DataFrame) -> DataFrame:
-    """Rank-normalised split R-hat: max of bulk and tail (folded) versions."""
-    # each rank normalisation reads its input several times (positions, ties,
-    # sizes): written tables between the stages keep the plans small and
-    # each stage computed once
+    """Rank-normalised split R-hat: max of bulk and tail (folded) versions.
+
+    The bulk values and the folded values are stacked into one long table
+    keyed by (name, which), so a single distributed ranking serves both.
+    """
     d = materialize(_split_chains(draws), "rhat-split")
     med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0500").alias("_med"))
-    d = d.join(F.broadcast(med), "name").withColumn("_fold", F.abs(F.col("value") - F.col("_med")))
-    d = materialize(_rank_normal(d, "value", "_zb"), "rhat-bulk")
-    d = materialize(_rank_normal(d, "_fold", "_zt"), "rhat-tail")
-    bulk = _rhat_of(d, "_zb").withColumnRenamed("rhat", "rhat_bulk")
-    tail = _rhat_of(d, "_zt").withColumnRenamed("rhat", "rhat_tail")
-    return bulk.join(tail, "name").withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
+    d = d.join(F.broadcast(med), "name")
+    base = ["name", "_split", "_len"]
+    both = d.select(*base, F.lit("bulk").alias("which"), F.col("value").alias("v")).unionByName(
+        d.select(*base, F.lit("tail").alias("which"), F.abs(F.col("value") - F.col("_med")).alias("v"))
+    )
+    rows, sizes = windows.sorted_positions(both, ["name", "which"], "v")
+    ties = rows.groupBy("name", "which", "v").agg(F.avg("_pos").alias("_apos"))
+    r = rows.drop("_pos").join(ties, ["name", "which", "v"]).join(F.broadcast(sizes), ["name", "which"])
+    r = r.withColumn("_pr", (F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
+    z = materialize(dist.with_norm_ppf(r, F.col("_pr"), "_z").select(*base, "which", "_z"), "rhat-ranked")
+    per = _rhat_of(z, "_z", ["which"])
+    out = per.groupBy("name").agg(
+        F.max(F.when(F.col("which") == "bulk", F.col("rhat"))).alias("rhat_bulk"),
+        F.max(F.when(F.col("which") == "tail", F.col("rhat"))).alias("rhat_tail"),
+    )
+    return out.withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
 
 def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFrame]:

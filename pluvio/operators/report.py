@@ -11,10 +11,12 @@ from pluvio.operators import joins, profile, shape, windows
 INCOME_UNITS = [10, 20, 30, 40, 50, 60, 70, 80, 90]
 
 
-def income_units(rows: DataFrame, keys: list[str], value: str, type_label: str) -> DataFrame:
+def income_units(rows: DataFrame, keys: list[str], value: str, type_label: str | None = None) -> DataFrame:
     """Per-group income quantiles (units 10..90) and the mean as one more unit.
 
-    Output long: (*keys, unit string, type, income).
+    Output long: (*keys, unit string, type, income).  With ``type_label`` the
+    rows are one source and are tagged; without it ``keys`` already holds a
+    ``type`` column, so several sources share one quantile pass.
     """
     probs = [u / 100 for u in INCOME_UNITS]
     q = profile.group_quantiles(rows, keys, value, probs, "q")
@@ -23,7 +25,8 @@ def income_units(rows: DataFrame, keys: list[str], value: str, type_label: str)
         "unit", (F.regexp_extract("unit", r"q0*([0-9]+)", 1).cast("int") / 10).cast("int").cast("string")
     )
     mean = rows.groupBy(*keys).agg(F.avg(value).alias("income")).withColumn("unit", F.lit("mean"))
-    return shape.tag(shape.bind_rows(long, mean), "type", type_label)
+    out = shape.bind_rows(long, mean)
+    return shape.tag(out, "type", type_label) if type_label else out
 
 
 def income_pipeline(sources: list[DataFrame], cpi: DataFrame, ref_year: int, age_labels: dict[str, str]) -> DataFrame:

@@ -127,7 +127,14 @@ def sorted_positions(
     (partition, group) count table).  Returns (rows with ``pos_col``, group
     sizes (group_cols, _n)).  One range shuffle; no group is ever held by a
     single task unless one exact (group, value) key is itself that large.
+
+    The partitioned, id-stamped rows are written once under the checkpoint
+    folder and both the block offsets and the rows read that table: a second
+    evaluation of the range shuffle could sample different bounds and put a
+    row in another partition.
     """
+    from pluvio.session import materialize
+
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = (
         df.repartitionByRange(parts, *[F.col(c) for c in group_cols], F.col(value))
@@ -135,6 +142,7 @@ def sorted_positions(
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
+    r = materialize(r, "positions")
     blocks = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))

@@ -547,10 +547,13 @@ def income_report(spark, sf):
         F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("age"),
         F.col("o_totalprice").alias("income"), F.col("o_orderstatus").alias("status"),
     )
-    total = report.income_units(rows, ["year", "age"], "income", "total")
-    salary = report.income_units(rows.filter(F.col("status") == "F"), ["year", "age"], "income", "salary")
+    # both sources in one quantile pass, the source being part of the key
+    sources = shape.bind_rows(
+        shape.tag(rows, "type", "total"), shape.tag(rows.filter(F.col("status") == "F"), "type", "salary")
+    )
+    units = report.income_units(sources, ["year", "age", "type"], "income")
     cpi = spark.createDataFrame(CPI, "year int, cpi double")
-    out = report.income_pipeline([total, salary], cpi, CPI_REF_YEAR, AGE_LABELS)
+    out = report.income_pipeline([units], cpi, CPI_REF_YEAR, AGE_LABELS)
     return out.select(
         "year", "age", "quantile", "type",
         *[F.round(c, 6).alias(c) for c in ["mean_income", "group_income"]],
