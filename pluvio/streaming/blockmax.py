@@ -45,15 +45,23 @@ def stream_block_maxima(
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     if glob:
         src = src.option("pathGlobFilter", glob)
-    stream = src.parquet(source_dir).select(key, F.col(ts).cast("timestamp").alias(ts), value)
+    # Watermarks need TIMESTAMP.  A zone-less (NTZ) event time is read as a
+    # UTC wall clock, so day windows line up with the data's own days whatever
+    # the session time zone, and window starts are returned zone-less again.
+    ntz = schema[ts].dataType.typeName() == "timestamp_ntz"
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    event = F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz) if ntz else F.col(ts)
+    stream = src.parquet(source_dir).select(key, event.alias(ts), value)
     agg = (
         stream.withWatermark(ts, late)
         .groupBy(F.window(ts, period).alias("w"), key)
         .agg(F.max(value).alias(value))
     )
 
+    start = F.to_utc_timestamp(F.col("w.start"), tz).cast("timestamp_ntz") if ntz else F.col("w.start")
+
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(key, F.col("w.start").alias("window_start"), value).write.mode("append").parquet(out_dir)
+        batch.select(key, start.alias("window_start"), value).write.mode("append").parquet(out_dir)
 
     q = (
         agg.writeStream.outputMode("update")
