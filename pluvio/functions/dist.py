@@ -7,7 +7,8 @@ Columns, column names or Python numbers.
 Neither Spark SQL nor the DuckDB oracle has ``erf``, so the normal CDF and
 quantile are published rational approximations (Hart 1968 as given by West
 2005; Wichura 1988, AS241).  Student-t functions have closed forms for
-nu = 1, 2, 3; other nu go through ``functions.numeric`` (pandas UDF).
+nu = 1, 2, 3; any integer nu goes through the finite series CDF
+(``t_cdf_int``) and its bisection inverse (``t_ppf_int``).
 
 The ``*_sql`` twins in ``functions.sqltext`` produce the same formulas as SQL
 text for the DuckDB oracle, from the same constants.
@@ -476,3 +477,62 @@ def t_cdf_int(x, nu) -> Column:
     a_even = F.sin(th) * series
     a = F.when(odd, a_odd).otherwise(a_even)
     return F.when(x >= 0, 0.5 + a / 2.0).otherwise(0.5 - a / 2.0)
+
+
+def _t_abs_mass(th: Column, nu: Column) -> Column:
+    """P(|T| <= sqrt(nu) tan th) for th in [0, pi/2) and integer nu (the series of
+    :func:`t_cdf_int` written in theta)."""
+    c2 = F.cos(th) * F.cos(th)
+    odd = (nu % 2) == 1
+    n_terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("int")
+
+    def step(acc, k):
+        kd = k.cast("double")
+        ratio = F.when(odd, 2.0 * kd / (2.0 * kd + 1.0)).otherwise((2.0 * kd - 1.0) / (2.0 * kd))
+        term = acc["term"] * ratio * c2
+        live = k < n_terms
+        return F.struct(
+            F.when(live, term).otherwise(acc["term"]).alias("term"),
+            F.when(live, acc["total"] + term).otherwise(acc["total"]).alias("total"),
+        )
+
+    init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.greatest(n_terms, F.lit(1))), init, step)["total"]
+    a_odd = 2.0 / math.pi * (th + F.when(nu > 1, F.sin(th) * F.cos(th) * series).otherwise(F.lit(0.0)))
+    return F.when(odd, a_odd).otherwise(F.sin(th) * series)
+
+
+# Bisection steps on theta in [0, pi/2]: 2^-64 pi is below double resolution.
+T_BISECT_STEPS = 64
+
+
+def t_ppf_int(p, nu) -> Column:
+    """Student-t quantile for any integer degrees of freedom (a Column or int).
+
+    Solves P(|T| <= t) = |2p - 1| by bisection on theta = atan(t / sqrt nu) in
+    [0, pi/2): a bounded, monotone problem, so a fixed number of halvings
+    reaches double precision without derivatives.  Runs as an ``aggregate``
+    over a sequence (the CDF series nested inside), JVM-side.
+    """
+    p = _c(p)
+    nu = _c(nu).cast("int")
+
+    def solve(pv):
+        target = F.abs(2.0 * pv - 1.0)
+
+        def halve(acc, _k):
+            mid = (acc["lo"] + acc["hi"]) / 2.0
+            below = _t_abs_mass(mid, nu) < target
+            return F.struct(
+                F.when(below, mid).otherwise(acc["lo"]).alias("lo"),
+                F.when(below, acc["hi"]).otherwise(mid).alias("hi"),
+            )
+
+        init = F.struct(F.lit(0.0).alias("lo"), F.lit(math.pi / 2).alias("hi"))
+        b = F.aggregate(F.sequence(F.lit(1), F.lit(T_BISECT_STEPS)), init, halve)
+        mag = F.sqrt(nu.cast("double")) * F.tan((b["lo"] + b["hi"]) / 2.0)
+        return F.when(pv < 0.5, -mag).otherwise(mag)
+
+    out = _let(p, solve)
+    bad = (p <= 0) | (p >= 1) | p.isNull() | nu.isNull() | (nu < 1)
+    return F.when(bad, F.lit(None).cast("double")).otherwise(out)

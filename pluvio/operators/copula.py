@@ -211,7 +211,7 @@ def t_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv: DataF
     log t_D = lgamma((nu+D)/2) - lgamma(nu/2) - D/2 ln(nu pi) - ln|L|
     - (nu+D)/2 ln(1 + ||L^-1 x||^2 / nu).  Gamma constants are folded here.
     """
-    x = df.withColumn("x", dist.t_ppf(F.col(u), nu))
+    x = df.withColumn("x", dist.t_ppf(F.col(u), nu) if nu <= 3 else dist.t_ppf_int(F.col(u), nu))
     qf = quadratic_form(x, key, index, "x", linv)
     marg = x.groupBy(*key).agg(F.sum(dist.t_logpdf(F.col("x"), nu)).alias("lm"))
     const = math.lgamma((nu + d) / 2) - math.lgamma(nu / 2) - d / 2 * math.log(nu * math.pi) - log_det_l

@@ -235,6 +235,21 @@ def student_t_functions(spark, sf):
     )
 
 
+@query("student_t_general", "N3 N4 C5")
+def student_t_general(spark, sf):
+    """Integer-nu t quantiles (bisection) and their series CDF round trip on the
+    embedding margins; the t copula with nu = 5 on the same uniforms."""
+    u = _unif(Fixtures(spark, sf))
+    t = u.select("vec_id", "dim", "u", dist.t_ppf_int("u", 5).alias("t5"))
+    t = t.withColumn("u_back", dist.t_cdf_int("t5", 5))
+    linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
+    lc = copula.t_copula_logc(u, ["vec_id"], "dim", "u", linv, ld, 5, DIMS)
+    return t.join(lc, "vec_id").select(
+        "vec_id", "dim", F.round("t5", 9).alias("t5"), F.round(F.col("u_back") - F.col("u"), 12).alias("round_trip_error"),
+        F.round("log_c", 9).alias("log_c_nu5"),
+    )
+
+
 @query(
     "independence_copula",
     "C1",

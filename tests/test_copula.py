@@ -46,3 +46,13 @@ def test_t_tail_dependence_known_value(spark):
     # rho = 0, nu = 1: lambda = 2 t_2(-sqrt 2) = 1 - sqrt(2)/2
     v = spark.range(1).select(copula.t_tail_dependence(F.lit(0.0), 1).alias("l")).first().l
     assert abs(v - (1 - math.sqrt(2) / 2)) < 1e-12
+
+
+def test_t_copula_tends_to_gaussian(spark):
+    u = _u(spark)
+    sigma = copula.ar1_correlation(4, 0.45)
+    linv, ld = copula.cholesky_inverse_coo(spark, sigma)
+    g = {r.rep: r.log_c for r in copula.gaussian_copula_logc(u, ["rep"], "id", "u", linv, ld).collect()}
+    t = {r.rep: r.log_c for r in copula.t_copula_logc(u, ["rep"], "id", "u", linv, ld, 400, 4).collect()}
+    for k in g:
+        assert abs(g[k] - t[k]) < 0.02
