@@ -26,7 +26,9 @@ def dense_row_number(
     inside a block (a window bounded by ``block_size`` rows), and shifted by
     the number of rows in the earlier blocks of the same key (a running sum
     over the small per-block count table).  A hot key that holds a third of
-    all rows is therefore spread over many tasks.
+    all rows is therefore spread over many tasks.  Ids should be roughly dense
+    (event ids, iterations): with very sparse ids the block table approaches
+    one row per id, and :func:`sorted_positions` is the general path.
     """
     block = F.floor(F.col(order_col) / F.lit(block_size)).alias("_blk")
     with_blk = df.withColumn("_blk", block)
