@@ -637,12 +637,27 @@ def first_k_per_group(spark, sf):
     return p.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2).drop("_rn")
 
 
-@query("sample_keys", "T5")
+# Knuth's multiplicative hash constant and the sample seed.
+KNUTH = 2654435761
+SAMPLE_SEED = 20240601
+
+
+@query(
+    "sample_keys",
+    "T5",
+    with_ctes(
+        "SELECT station, year, precip FROM precip WHERE station IN (SELECT station FROM "
+        f"(SELECT DISTINCT station FROM precip) ORDER BY (station * {KNUTH} + {SAMPLE_SEED}) % 4294967296, station LIMIT 3)",
+        "precip",
+    ),
+)
 def sample_keys(spark, sf):
-    """Three stations picked by a seeded hash order, with all their rows."""
+    """Three stations picked by a seeded multiplicative-hash order, with all
+    their rows (the hash is plain integer arithmetic, so any engine agrees)."""
     p = Fixtures(spark, sf).precip()
-    keys = p.select("station").distinct().orderBy(F.xxhash64("station", F.lit(20240601))).limit(3)
-    return p.join(F.broadcast(keys), "station", "left_semi")
+    h = (F.col("station") * KNUTH + SAMPLE_SEED) % 4294967296
+    keys = p.select("station").distinct().orderBy(h, "station").limit(3)
+    return p.join(F.broadcast(keys), "station", "left_semi").select("station", "year", "precip")
 
 
 @query(
