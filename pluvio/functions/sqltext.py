@@ -218,3 +218,38 @@ def t_cdf_int(x: str, nu: str) -> str:
         f"ELSE sin({th}) * {even_sum} END)"
     )
     return f"(CASE WHEN ({x}) >= 0 THEN 0.5 + {a} / 2.0 ELSE 0.5 - {a} / 2.0 END)"
+
+
+def t_ppf_int_steps(p: str, nu: int) -> list[tuple[str, str]]:
+    """Integer-nu t quantile as (alias, expression) steps: the same fixed
+    bisection on theta as ``dist.t_ppf_int``, with the series written out for
+    the given nu.  Use with :func:`nest_steps`; the result is ``tb_val``."""
+    c2 = "(cos({th}) * cos({th}))"
+    if nu % 2 == 1:
+        terms, term = ["1.0"], "1.0"
+        for k in range(1, (nu - 1) // 2):
+            term = f"({term} * {_f(2.0 * k / (2.0 * k + 1.0))} * {c2})"
+            terms.append(term)
+        series = " + ".join(terms)
+        mass = (f"({_f(2.0 / math.pi)} * ({{th}} + " + (f"sin({{th}}) * cos({{th}}) * ({series})" if nu > 1 else "0.0") + "))")
+    else:
+        terms, term = ["1.0"], "1.0"
+        for k in range(1, nu // 2):
+            term = f"({term} * {_f((2.0 * k - 1.0) / (2.0 * k))} * {c2})"
+            terms.append(term)
+        mass = f"(sin({{th}}) * ({' + '.join(terms)}))"
+    steps = [("tb_target", f"abs(2.0 * ({p}) - 1.0)"), ("tb_lo0", "0.0"), ("tb_hi0", _f(math.pi / 2))]
+    for k in range(D.T_BISECT_STEPS):
+        mid = f"((tb_lo{k} + tb_hi{k}) / 2.0)"
+        below = mass.format(th=f"tb_m{k}") + " < tb_target"
+        steps += [
+            (f"tb_m{k}", mid),
+            (f"tb_lo{k + 1}", f"CASE WHEN {below} THEN tb_m{k} ELSE tb_lo{k} END"),
+            (f"tb_hi{k + 1}", f"CASE WHEN {below} THEN tb_hi{k} ELSE tb_m{k} END"),
+        ]
+    last = D.T_BISECT_STEPS
+    mag = f"sqrt({float(nu)!r}) * tan((tb_lo{last} + tb_hi{last}) / 2.0)"
+    steps.append(
+        ("tb_val", f"CASE WHEN ({p}) IS NULL OR ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < 0.5 THEN -{mag} ELSE {mag} END")
+    )
+    return steps

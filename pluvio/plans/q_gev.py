@@ -235,21 +235,6 @@ def student_t_functions(spark, sf):
     )
 
 
-@query("student_t_general", "N3 N4 C5")
-def student_t_general(spark, sf):
-    """Integer-nu t quantiles (bisection) and their series CDF round trip on the
-    embedding margins; the t copula with nu = 5 on the same uniforms."""
-    u = _unif(Fixtures(spark, sf))
-    t = u.select("vec_id", "dim", "u", dist.t_ppf_int("u", 5).alias("t5"))
-    t = t.withColumn("u_back", dist.t_cdf_int("t5", 5))
-    linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
-    lc = copula.t_copula_logc(u, ["vec_id"], "dim", "u", linv, ld, 5, DIMS)
-    return t.join(lc, "vec_id").select(
-        "vec_id", "dim", F.round("t5", 9).alias("t5"), F.round(F.col("u_back") - F.col("u"), 12).alias("round_trip_error"),
-        F.round("log_c", 9).alias("log_c_nu5"),
-    )
-
-
 @query(
     "independence_copula",
     "C1",
@@ -283,6 +268,36 @@ def _quadform_sql(src: str, key: str, index: str, value: str) -> str:
     )
 
 
+def _t_general_sql() -> str:
+    nu = 5
+    linv, ld = _linv_sql(copula.equicorrelation(DIMS, GAUSS_RHO))
+    const = math.lgamma((nu + DIMS) / 2) - math.lgamma(nu / 2) - DIMS / 2 * math.log(nu * math.pi) - ld
+    tq = S.nest_steps("SELECT vec_id, dim, u FROM unif", "*", S.t_ppf_int_steps("u", nu))
+    return with_ctes(
+        f"SELECT t.vec_id, t.dim, {rnd('t.x', 9)} AS t5, {rnd(S.t_cdf_int('t.x', str(nu)) + ' - t.u', 12)} AS round_trip_error, "
+        f"{rnd(f'{const!r} - {(nu + DIMS) / 2.0!r} * ln(1.0 + q.qf / {float(nu)!r}) - m.lm', 9)} AS log_c_nu5 "
+        f"FROM xt t JOIN ({_quadform_sql('xt', 'vec_id', 'dim', 'x')}) q ON q.vec_id = t.vec_id JOIN "
+        f"(SELECT vec_id, sum({S.t_logpdf('x', nu)}) AS lm FROM xt GROUP BY vec_id) m ON m.vec_id = t.vec_id",
+        "vectors",
+        extra=[_UNIF, ("xt", f"SELECT vec_id, dim, u, tb_val AS x FROM ({tq})"), ("linv", linv)],
+    )
+
+
+@query("student_t_general", "N3 N4 C5", _t_general_sql())
+def student_t_general(spark, sf):
+    """Integer-nu t quantiles (bisection) and their series CDF round trip on the
+    embedding margins; the t copula with nu = 5 on the same uniforms."""
+    u = _unif(Fixtures(spark, sf))
+    t = u.select("vec_id", "dim", "u", dist.t_ppf_int("u", 5).alias("t5"))
+    t = t.withColumn("u_back", dist.t_cdf_int("t5", 5))
+    linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
+    lc = copula.t_copula_logc(u, ["vec_id"], "dim", "u", linv, ld, 5, DIMS)
+    return t.join(lc, "vec_id").select(
+        "vec_id", "dim", F.round("t5", 9).alias("t5"), F.round(F.col("u_back") - F.col("u"), 12).alias("round_trip_error"),
+        F.round("log_c", 9).alias("log_c_nu5"),
+    )
+
+
 @query(
     "gaussian_copula",
     "C2",
