@@ -95,3 +95,14 @@ def test_distributed_ess_matches_fft(spark):
     nd = statistics.NormalDist()
     z = np.array([nd.inv_cdf((r - 0.375) / (len(flat) + 0.25)) for r in ranks]).reshape(halves.shape)
     assert abs(got - _fft_ess(z)) < 1e-6 * got
+
+
+def test_penalised_sweep_reproduces_linear_signal(spark):
+    xs = [1995.0 + 0.25 * i for i in range(25)]
+    df = spark.createDataFrame([(x, 3.0 + 2.0 * (x - 1995.0)) for x in xs], "year double, precip double")
+    gammas = spark.createDataFrame([(0.001,), (1.0,), (1000.0,)], "gamma double")
+    out = regress.penalised_sweep(df, "year", "precip", [1995.0, 1997.0, 1999.0, 2001.0], gammas, df.select("year"))
+    rows = out.collect()
+    assert len(rows) == 3 * 25
+    for r in rows:
+        assert abs(r.fitted - (3.0 + 2.0 * (r.year - 1995.0))) < 1e-7
