@@ -224,7 +224,7 @@ def t_cdf(x, nu: int) -> Column:
     if nu == 3:
         s = x / math.sqrt(3.0)
         return 0.5 + (F.atan(s) + s / (1.0 + s * s)) / math.pi
-    raise ValueError("closed form only for nu in (1, 2, 3); use functions.numeric.t_cdf_udf")
+    raise ValueError("closed form only for nu in (1, 2, 3); use t_cdf_int for other integer nu")
 
 
 def t_logpdf(x, nu: float) -> Column:
