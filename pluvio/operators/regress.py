@@ -154,14 +154,14 @@ def assemble_precision(beta: DataFrame, tau2: DataFrame) -> DataFrame:
     )
 
 
-def dummy_ols(df: DataFrame, y: str, factor: str, levels: list[str], z: float = 1.959963984540054) -> DataFrame:
-    """Global OLS y ~ 1 + dummies(factor) with a 95% interval, tidy (L3).
+def dummy_ols(df: DataFrame, y: str, factor: str, levels: list[str], level: float = 0.95) -> DataFrame:
+    """Global OLS y ~ 1 + dummies(factor) with a confidence interval, tidy (L3).
 
     With a single factor the normal equations decouple: the intercept is the
     base level's mean and each dummy is a difference of level means.  One
     grouped aggregate gives n, sum and sum of squares per level; the
     residual variance pools the within-level sums of squares.  The interval
-    is the large-sample one, estimate +- z se.
+    is estimate +- t_{(1+level)/2, n-k} se, as ``confint`` gives for ``lm``.
     """
     base, *rest = levels
     stats = df.groupBy(factor).agg(
@@ -179,12 +179,16 @@ def dummy_ols(df: DataFrame, y: str, factor: str, levels: list[str], z: float =
         F.sqrt(F.col("s2") * (1.0 / F.col("n") + 1.0 / F.col("n0")))
     )
     term = F.when(is_base, F.lit("(Intercept)")).otherwise(F.concat(F.lit(factor), F.col(factor)))
-    out = g.filter(F.col(factor).isin(levels)).select(term.alias("term"), est.alias("estimate"), se.alias("std_error"))
+    dfree = (F.col("n_all") - len(levels)).cast("int")
+    out = g.filter(F.col(factor).isin(levels)).select(
+        term.alias("term"), est.alias("estimate"), se.alias("std_error"),
+        dist.t_ppf_int(F.lit((1.0 + level) / 2.0), dfree).alias("_tq"),
+    )
     return out.select(
         "term", "estimate", "std_error",
         (F.col("estimate") / F.col("std_error")).alias("statistic"),
-        (F.col("estimate") - z * F.col("std_error")).alias("conf_low"),
-        (F.col("estimate") + z * F.col("std_error")).alias("conf_high"),
+        (F.col("estimate") - F.col("_tq") * F.col("std_error")).alias("conf_low"),
+        (F.col("estimate") + F.col("_tq") * F.col("std_error")).alias("conf_high"),
     )
 
 

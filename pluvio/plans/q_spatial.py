@@ -258,22 +258,24 @@ _OLS = (
     "ols",
     "SELECT CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN '(Intercept)' ELSE 'c_mktsegment' || c_mktsegment END AS term, "
     "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN m ELSE m - m0 END AS estimate, "
-    "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN sqrt(s2 / n0) ELSE sqrt(s2 * (1.0 / n + 1.0 / n0)) END AS std_error "
+    "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN sqrt(s2 / n0) ELSE sqrt(s2 * (1.0 / n + 1.0 / n0)) END AS std_error, dfree "
     "FROM (SELECT c_mktsegment, count(*) AS n, avg(o_totalprice) AS m, sum(o_totalprice * o_totalprice) AS ss "
     "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment) g "
     "CROSS JOIN (SELECT n AS n0, m AS m0 FROM (SELECT c_mktsegment, count(*) AS n, avg(o_totalprice) AS m "
     "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment) WHERE c_mktsegment = 'AUTOMOBILE') b "
-    "CROSS JOIN (SELECT sum(ss - n * m * m) / (sum(n) - 5) AS s2 FROM (SELECT count(*) AS n, avg(o_totalprice) AS m, "
+    "CROSS JOIN (SELECT sum(ss - n * m * m) / (sum(n) - 5) AS s2, CAST(sum(n) - 5 AS INTEGER) AS dfree FROM (SELECT count(*) AS n, avg(o_totalprice) AS m, "
     "sum(o_totalprice * o_totalprice) AS ss FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment)) t",
 )
-_Z975 = 1.959963984540054
+# the t quantile of the interval, by the same bisection as the Spark side
+_OLS_T = ("olst", "SELECT o.*, q.tq_val AS tq FROM ols o JOIN (" + S.nest_steps(
+    "SELECT DISTINCT dfree FROM ols", "*", S.t_ppf_int_col_steps(0.975, "dfree")) + ") q ON q.dfree = o.dfree")
 
 
 def _ols(fx: Fixtures):
     o = fx.table("orders").select("o_custkey", "o_totalprice")
     c = fx.table("customer").select("c_custkey", "c_mktsegment")
     rows = o.join(c, o.o_custkey == c.c_custkey)
-    return regress.dummy_ols(rows, "o_totalprice", "c_mktsegment", SEGMENTS, _Z975)
+    return regress.dummy_ols(rows, "o_totalprice", "c_mktsegment", SEGMENTS)
 
 
 @query(
@@ -281,9 +283,9 @@ def _ols(fx: Fixtures):
     "L3",
     with_ctes(
         f"SELECT term, {rnd('estimate', 6)} AS estimate, {rnd('std_error', 6)} AS std_error, "
-        f"{rnd('estimate / std_error', 9)} AS statistic, {rnd(f'estimate - {_Z975!r} * std_error', 6)} AS conf_low, "
-        f"{rnd(f'estimate + {_Z975!r} * std_error', 6)} AS conf_high FROM ols",
-        extra=[_OLS],
+        f"{rnd('estimate / std_error', 9)} AS statistic, {rnd('estimate - tq * std_error', 6)} AS conf_low, "
+        f"{rnd('estimate + tq * std_error', 6)} AS conf_high FROM olst",
+        extra=[_OLS, _OLS_T],
     ),
 )
 def dummy_ols(spark, sf):
@@ -309,9 +311,9 @@ def _pad_sql(x: str) -> str:
         f"{rnd('mean', 6)} AS mean, {rnd('lower', 6)} AS lower, {rnd('upper', 6)} AS upper, "
         f"{_pad_sql('mean')} AS mean_text, {_pad_sql('lower')} AS lower_text, {_pad_sql('upper')} AS upper_text, "
         "printf('%.2f [%.2f, %.2f]', round(mean, 2), round(lower, 2), round(upper, 2)) AS interval_text "
-        f"FROM (SELECT term AS name, estimate AS mean, estimate - {_Z975!r} * std_error AS lower, "
-        f"estimate + {_Z975!r} * std_error AS upper FROM ols)",
-        extra=[_OLS],
+        "FROM (SELECT term AS name, estimate AS mean, estimate - tq * std_error AS lower, "
+        "estimate + tq * std_error AS upper FROM olst)",
+        extra=[_OLS, _OLS_T],
     ),
 )
 def forest_table(spark, sf):
