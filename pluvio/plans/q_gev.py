@@ -558,6 +558,8 @@ def normal_scores(spark, sf):
 
 # Held-out scoring: year 2001 is the test set; 'view' draws perturb the shape.
 HELDOUT_YEAR = 2001
+DRAW_BROADCAST_ROWS = 200_000
+TEST_BROADCAST_ROWS = 2_000_000
 
 
 def _heldout_sql() -> str:
@@ -608,11 +610,16 @@ def heldout_lpd(spark, sf):
     nxt = test.select(*[F.col(c).alias(f"{c}_n") for c in test.columns]).withColumnRenamed("station_n", "_next")
     test = test.join(succ, "station", "left").join(nxt, "_next", "left")
     d = fx.draws().filter(F.col("name") == "view").select("chain", "iteration", "value")
-    # test rows x draws: the draw table is broadcast only behind a size check;
-    # the streamed test rows are spread over the shuffle partitions first (AQE
-    # would coalesce such a small table into one task, serialising the fan-out)
+    # test rows x draws is the semantics.  Small draw tables are broadcast and
+    # the (lattice-bounded) test rows streamed, spread over the shuffle
+    # partitions first (AQE would coalesce such a small table into one task).
+    # Beyond the limit the draws are streamed in their own partitions and the
+    # test rows are broadcast behind their own size check.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    j = test.repartition(parts).crossJoin(joins.broadcast_if_small(d, 200_000))
+    if d.limit(DRAW_BROADCAST_ROWS + 1).count() <= DRAW_BROADCAST_ROWS:
+        j = test.repartition(parts).crossJoin(F.broadcast(d))
+    else:
+        j = d.crossJoin(joins.broadcast_if_small(test, TEST_BROADCAST_ROWS))
     shift = (F.col("value") - 25.0) / 1000.0
     # xi as a column: it is referenced in every branch of the GEV formulas
     j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + shift)).withColumn(
