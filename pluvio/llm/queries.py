@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, exact_dedup, packing, quality, token_counts, token_matrix, url_filter
+from pluvio.llm import bpe, exact_dedup, ngram_join, packing, quality, token_counts, token_matrix, url_filter
 from pluvio.llm.common import load
 from pluvio.plans.registry import query
 
@@ -120,3 +120,9 @@ def op9_url_rules(spark, sf):
     """Host, path, rule and verdict of every page."""
     rules = spark.createDataFrame([*URL_RULES], "rule string, verdict string")
     return url_filter.judge_urls(load(spark, sf, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_ngram_jaccard", "")
+def op10_ngram_jaccard(spark, sf):
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.similar_components(load(spark, sf, "documents"), shingle_words=3, num=90, den=100)
