@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, exact_dedup, ngram_join, packing, quality, token_counts, token_matrix, url_filter
+from pluvio.llm import (
+    bpe, exact_dedup, licenses, ngram_join, packing, quality, substring, token_counts, token_matrix, url_filter,
+)
 from pluvio.llm.common import load
 from pluvio.plans.registry import query
 
@@ -126,3 +128,23 @@ def op9_url_rules(spark, sf):
 def op10_ngram_jaccard(spark, sf):
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_join.similar_components(load(spark, sf, "documents"), shingle_words=3, num=90, den=100)
+
+
+@query("op6_substring_dedup", "")
+def op6_substring_dedup(spark, sf):
+    """Passages that repeat within or across documents, every occurrence, the first one marked kept."""
+    return substring.repeated_spans(load(spark, sf, "documents"))
+
+
+@query("op2_license_scan", "")
+def op2_license_scan(spark, sf):
+    """License notices in the documents, with what compression saves and how the wording differs."""
+    return licenses.license_blocks(load(spark, sf, "documents")).drop("block")
+
+
+@query("pipeline", "")
+def pipeline(spark, sf):
+    """The corpus pipeline of ``corpus_pipeline.py`` over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
