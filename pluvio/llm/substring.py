@@ -3,10 +3,12 @@
 A gear hash rolls over the bytes of a text; a chunk ends behind a white space
 where the hash of the bytes before it has certain bits zero.  Borders depend
 on the last 16 bytes only, so chunks of a passage are the same wherever it
-stands and whatever is inserted before it.  Chunks are matched by digest: those
-that occur twice or more come out of one range sort, the first occurrence
-(least identifier, then place) is the original, and runs of neighbouring repeated
-chunks make spans.  A span of at least ``min_words`` words is a repeated passage.
+stands and whatever is inserted before it.  From every border, as many pieces as
+make ``CHUNK_WORDS`` words are one variable chunk (short pieces alone recur by
+chance).  Chunks are matched by digest: those that occur twice or more come out of
+one range sort, the first occurrence (least identifier, then place) is the original, and
+repeated chunks that overlap or touch make spans.  A span of at least
+``min_words`` words is a repeated passage.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pluvio.llm.common import drop_table, repeated_keys, whole_text, write_table
 
 #: A word end is a border when this many high bits of the 16-bit gear hash are zero: a chunk has about 2 ** bits words.
 BORDER_BITS = 2
+#: Words of a chunk, at least.
+CHUNK_WORDS = 8
 #: Words of the shortest span; a passage loses up to a chunk at each end, so this is well under the 50 of the passages sought.
 MIN_WORDS = 16
 #: The gear table: 16-bit values of the 256 bytes, by a fixed rule.
@@ -47,41 +51,45 @@ def borders(data: np.ndarray, bits: int = BORDER_BITS) -> np.ndarray:
     return cut
 
 
-def chunk_words(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words that begin in each chunk."""
+def chunks_of(data: np.ndarray, bits: int = BORDER_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words before the start, words before the end) of the chunks of ``data``."""
+    ends = borders(data, bits)
     space = _SPACE[data]
-    begins = ~space & np.concatenate([[True], space[:-1]])
-    total = np.cumsum(begins)
-    return np.diff(total[ends - 1], prepend=0)
+    total = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
+    starts = np.concatenate([[0], ends[:-1]])
+    last = np.searchsorted(total[ends], total[starts] + CHUNK_WORDS)
+    whole = last < len(ends)
+    starts, last = starts[whole], ends[last[whole]]
+    return starts, last, total[starts], total[last]
 
 
-_CHUNKS = "id long, k int, start long, size int, words int, d1 long, d2 int"
+_CHUNKS = "id long, start long, size int, word int, words int, d1 long, d2 int"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    names = ["id", "k", "start", "size", "words", "d1", "d2"]
+    names = ["id", "start", "size", "word", "words", "d1", "d2"]
     for batch in batches:
         rows: list[list[np.ndarray]] = []
         held = 0
 
         def out():
             cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for key, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
             raw = bytes(text.as_buffer()) if text.is_valid else b""
             if key is None or not raw:
                 continue
-            data = np.frombuffer(raw, np.uint8)
-            ends = borders(data, bits)
-            starts = np.concatenate([[0], ends[:-1]])
+            starts, ends, word, upto = chunks_of(np.frombuffer(raw, np.uint8), bits)
+            n = len(starts)
+            if not n:
+                continue
             # the digest is that of the chunk's words: white space around it does not tell chunks apart
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b].strip()) for a, b in zip(starts.tolist(), ends.tolist())), np.int64)
-            n = len(ends)
             rows.append([
-                np.full(n, key, np.int64), np.arange(n, dtype=np.int32), starts, (ends - starts).astype(np.int32),
-                chunk_words(data, ends).astype(np.int32), digest[::2], (digest[1::2] & 0x7FFFFFFF).astype(np.int32),
+                np.full(n, key, np.int64), starts, (ends - starts).astype(np.int32), word.astype(np.int32),
+                (upto - word).astype(np.int32), digest[::2], (digest[1::2] & 0x7FFFFFFF).astype(np.int32),
             ])
             held += n
             if held > 500_000:
@@ -96,9 +104,9 @@ def repeated_spans(
 ) -> DataFrame:
     """Repeated passages, one row per occurrence: id, start, length (UTF-8 bytes), n_words, first_id, kept.
 
-    ``kept`` marks spans none of whose chunks occurs earlier (by identifier, then place);
+    ``kept`` marks spans whose chunks occur nowhere earlier (by identifier, then place);
     the others repeat earlier text, ``first_id`` being the least document that holds their first chunk.
-    Spans of one document do not overlap.  Null, empty and short texts have no spans; a null
+    Spans of one document and kind do not overlap.  Null, empty and short texts have no spans; a null
     identifier is left out; an empty table gives an empty result.  Identifiers must be
     unique (rows that repeat one are read as one document's chunks).
     """
@@ -107,18 +115,19 @@ def repeated_spans(
     chunks, path = write_table(rows.mapInArrow(lambda it: _chunks(it, bits), _CHUNKS), "substring-chunks")
     shared, shared_path = write_table(repeated_keys(chunks, ["d1", "d2"], "id"), "substring-shared")
     drop_table(spark, path)
-    place = F.struct("id", "k")
+    place = F.struct("id", "start")
     firsts = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     matched = shared.join(firsts, ["d1", "d2"]).select(
-        "id", "k", "start", "size", "words", (place != F.col("first")).alias("again"), F.col("first.id").alias("first_id")
+        "id", "start", (F.col("start") + F.col("size")).alias("end"), "word", (F.col("word") + F.col("words")).alias("upto"),
+        (place != F.col("first")).alias("again"), F.col("first.id").alias("first_id"),
     )
-    # runs: neighbouring chunks of a document, alike in being a repetition; dealt by document, whose chunks are bounded by its text
-    order = Window.partitionBy("id").orderBy("k")
-    begins = (F.col("k") != F.lag("k").over(order) + 1) | (F.col("again") != F.lag("again").over(order))
+    # spans: chunks of a document that touch, alike in being a repetition; a document's chunks are bounded by its text
+    order = Window.partitionBy("id", "again").orderBy("start")
+    begins = F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = matched.withColumn("_run", F.sum(F.coalesce(begins, F.lit(True)).cast("long")).over(order))
-    spans = runs.groupBy("id", "_run").agg(
-        F.min("start").alias("start"), F.sum("size").cast("long").alias("length"), F.sum("words").alias("n_words"),
-        F.min_by("first_id", "k").alias("first_id"), F.first("again").alias("again"),
+    spans = runs.groupBy("id", "again", "_run").agg(
+        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"),
+        (F.max("upto") - F.min("word")).cast("long").alias("n_words"), F.min_by("first_id", "start").alias("first_id"),
     ).where(F.col("n_words") >= min_words)
     return spans.select(
         F.col("id").alias(id_col), "start", "length", "n_words", "first_id", (~F.col("again")).alias("kept")
