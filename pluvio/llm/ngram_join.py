@@ -12,11 +12,13 @@ sets meet in more than slack_b allocated segments.
 The allocation is by cost.  m_b and d_b weigh the index entries against the light
 segments (empty or of one shingle), in which strangers meet; and an entry that more
 than HOT sets share is dropped for every set that has at most slack_b such entries, as linked
-sets then still meet elsewhere.  Sets with more (copies of a popular text) keep them.
+sets then still meet elsewhere (an entry of a doubled segment counts twice).  Sets
+with more (copies of a popular text) keep them.
 
 A set's bands are its own and the one below.  Entries that only one set has go in one
 streaming pass over their sorted order.  Of those shared, each set is first verified with one
-partner it shares most entries with; then only pairs in different components are left.
+partner it shares most entries with; then only sets in different components are left,
+compared pair by pair where an entry has few sets and block by block where it has many.
 Verification is exact on the shingle sets.  Equal sets are one class with one
 representative throughout, and components grow over classes.
 """
@@ -222,7 +224,10 @@ def similar_components(
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     index, index_path = write_table(rows.mapInArrow(lambda it: _index(it, shingle_words, num, den), _INDEX), "jaccard-index")
     sets = index.where("size IS NOT NULL").select("id", "size", "digest")
-    classes = sets.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
+    # written, so that the join below can split a digest that many texts have
+    classes, _ = write_table(
+        sets.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-digests"
+    )
     # Every text with the representative of its class: equal sets are one node from here on.
     member, _ = write_table(
         sets.join(classes, "digest", "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")),
@@ -265,26 +270,89 @@ def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, de
     star = used.join(first, "entry").where("id > a").where(_near("na", "size", num, den)).groupBy("id", "a").count()
     best = star.groupBy("id").agg(F.max(F.struct("count", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), F.col("id").alias("b"))
     links, _ = write_table(_verify(best, sets, num, den), "jaccard-links")
-    # then: the entries' other smallest pairs, then all pairs, between different components only
-    for wide in (False, True):
-        grown = components(links, "a", "b", "jaccard-part")
-        lit = used.join(grown, used["id"] == grown["node"], "left").select("entry", "id", "size", F.coalesce("component", "id").alias("c"))
-        if not wide:
-            least = lit.groupBy("entry").agg(F.min_by(F.struct("id", "size", "c"), "id").alias("x"), F.count_distinct("c").alias("k")).where("k > 1")
-            pairs = lit.join(least, "entry").where("c <> x.c").select(
-                F.col("x.id").alias("a"), F.col("id").alias("b"), F.col("x.size").alias("na"), F.col("size").alias("nb")
-            )
-        else:
-            apart = lit.groupBy("entry").agg(F.count_distinct("c").alias("k")).where("k > 1")
-            here, _ = write_table(lit.join(apart, "entry").drop("k"), "jaccard-apart")
-            l, r = here.alias("l"), here.alias("r")
-            pairs = l.join(r, (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c"))).select(
-                F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.size").alias("na"), F.col("r.size").alias("nb")
-            )
-        pairs = pairs.where(_near("na", "nb", num, den)).select("a", "b").distinct()
-        more, _ = write_table(_verify(pairs, sets, num, den), "jaccard-links")
-        links = links.unionByName(more)
-    return links
+    # then: what shares an entry in different components, pair by pair where few share it, else by blocks
+    grown = components(links, "a", "b", "jaccard-part")
+    lit = used.join(grown, used["id"] == grown["node"], "left").select("entry", "id", "size", F.coalesce("component", "id").alias("c"))
+    apart = lit.groupBy("entry").agg(F.count_distinct("c").alias("k"), F.count("*").alias("n"), F.min("id").alias("first")).where("k > 1")
+    here, _ = write_table(lit.join(apart, "entry").drop("k"), "jaccard-apart")
+    l, r = here.where(F.col("n") <= HOT).alias("l"), here.where(F.col("n") <= HOT).alias("r")
+    pairs = (
+        l.join(r, (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")))
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.size").alias("na"), F.col("r.size").alias("nb"))
+        .where(_near("na", "nb", num, den)).select("a", "b").distinct()
+    )
+    more, _ = write_table(_verify(pairs, sets, num, den), "jaccard-links")
+    wide, _ = write_table(_family_links(here.where(F.col("n") > HOT), sets, num, den), "jaccard-links")
+    return links.unionByName(more).unionByName(wide)
+
+
+#: Texts of a family compared at once with as many others.
+BLOCK = 256
+
+
+def _family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among the texts that share hot entries.
+
+    A family is what hot entries connect (copies of one popular text).  The texts outside its
+    largest component are compared with all of the family, in blocks against blocks, so no pair
+    is a row: a text is sent once to every block it has to meet.
+    """
+    family = components(here.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")), "a", "b", "jaccard-family")
+    named = here.select("id", "c").distinct().join(family, F.col("id") == F.col("node"), "left").select(
+        "id", "c", F.coalesce("component", "id").alias("family")
+    )
+    texts, _ = write_table(named, "jaccard-families")
+    sizes = texts.groupBy("family", "c").count()
+    largest = sizes.groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    plan = largest.where("most < `all`").select(
+        "family", "main",
+        F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others"),
+    )
+    spot = F.pmod(F.xxhash64("id"), F.when(F.col("c") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    # blocks of others are -1, -2, ...; those of the largest component 0, 1, ...
+    own = texts.join(plan, "family").withColumn("block", F.when(F.col("c") == F.col("main"), spot).otherwise(-1 - spot))
+    other = F.transform(F.sequence(F.lit(1), "others"), lambda x: -x)
+    main = F.sequence(F.lit(0), F.col("mains") - 1)
+    meets = own.withColumn("with", F.explode(F.when(F.col("block") < 0, F.concat(other, main)).otherwise(other)))
+    sent = meets.select(
+        "family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "c"
+    )
+    return sent.join(sets, "id").groupBy("family", "i", "j").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
+
+
+def _block_links(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Links between the two blocks (or within the one) that join different components; a spanning part of them."""
+    table = table.combine_chunks()
+    ids, c, block = (table.column(x).to_numpy() for x in ("id", "c", "block"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+    sizes = np.array([len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[code] > 1
+    code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, (int(code.max()) + 1) if len(code) else 0, 4096):
+        part = (code >= at) & (code < at + 4096)
+        here = np.zeros((len(sets), 4096), np.float32)
+        here[owner[part], code[part] - at] = 1
+        both += here @ here.T
+    x, y = np.nonzero(np.triu(den * both >= num * (sizes[:, None] + sizes[None, :] - both), 1))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    use = (c[x] != c[y]) & ((block[x] != block[y]) | (i == j))
+    group = {int(k): int(k) for k in np.unique(c)}
+
+    def root(k: int) -> int:
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    out = []
+    for p, q in zip(x[use].tolist(), y[use].tolist(), strict=True):
+        a, b = root(int(c[p])), root(int(c[q]))
+        if a != b:
+            group[a] = b
+            out.append((int(ids[p]), int(ids[q])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def _near(a: str, b: str, num: int, den: int):
