@@ -112,13 +112,12 @@ def encode_native(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), whole_text(text_col).alias("_text")).withColumn(
         "_row", F.monotonically_increasing_id()
     )
-    placed = rows.select("_row", F.posexplode(F.transform(split_words(F.col("_text")), lambda w: F.hex(w))).alias("_at", "_word"))
-    folded = placed.select("_word").distinct().withColumn("_ids", word_ids(F.col("_word"), ranks, ids))
-    joined = placed.join(folded, "_word").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "_ids"))).alias("_all"))
-    digits = F.array_join(F.col("_all._ids"), "")
-    return rows.select(id_col, "_row").join(joined, "_row", "left").select(
-        id_col, F.unhex(F.coalesce(digits, F.lit(""))).alias("ids")
+    placed = rows.select(id_col, "_row", F.posexplode_outer(F.transform(split_words(F.col("_text")), lambda w: F.hex(w))).alias("_at", "_word"))
+    folded = placed.where("_word IS NOT NULL").select("_word").distinct().withColumn("_ids", word_ids(F.col("_word"), ranks, ids))
+    joined = placed.join(folded, "_word", "left").groupBy("_row").agg(
+        F.first(id_col).alias(id_col), F.sort_array(F.collect_list(F.struct("_at", "_ids"))).alias("_all")
     )
+    return joined.select(id_col, F.unhex(F.array_join(F.col("_all._ids"), "")).alias("ids"))
 
 
 class RankEncoder(WordEncoder):

@@ -121,7 +121,7 @@ def judge_urls(
     )
     fits = sweep(tries.select("key").distinct(), by_path, "url-paths").where(F.size("stack") > 0)
     best = (
-        tries.join(fits.select("key", F.element_at("stack", -1)["payload"].alias("best")), "key")
+        tries.join(fits.select("key", F.try_element_at("stack", F.lit(-1))["payload"].alias("best")), "key")
         .groupBy("_host", "_path")
         .agg(F.max("best").alias("_best"))
     )
