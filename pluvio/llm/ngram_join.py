@@ -10,15 +10,17 @@ when the subsets differ by one).  With m_b + d_b = H_b + 1 + slack_b, linked
 sets meet in more than slack_b allocated segments.
 
 The allocation is by cost.  m_b and d_b weigh the index entries against the light
-segments (empty or of one shingle), in which strangers meet; and an entry that more
-than HOT sets share is dropped for every set that has at most slack_b such entries, as linked
-sets then still meet elsewhere (an entry of a doubled segment counts twice).  Sets
-with more (copies of a popular text) keep them.
+segments (empty or of one shingle), in which strangers meet; and of the entries that more
+than HOT sets share, each set drops its hottest, up to slack_b segments' worth (an entry of
+a doubled segment counts twice): linked sets still meet elsewhere.  Copies of a
+popular text have more and keep the rest.
 
 A set's bands are its own and the one below.  Entries that only one set has go in one
 streaming pass over their sorted order.  Of those shared, each set is first verified with one
 partner it shares most entries with; then only sets in different components are left,
 compared pair by pair where an entry has few sets and block by block where it has many.
+A pair counts only when it shares as many entries as linked sets must; a pair that also
+shares an entry of many sets is in those blocks.
 Verification is exact on the shingle sets.  Equal sets are one class with one
 representative throughout, and components grow over classes.
 """
@@ -32,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.llm.common import components, drop_table, repeated_keys, whole_text, write_table
@@ -97,7 +99,7 @@ def allocation(band: int, num: int, den: int) -> tuple[int, int, int]:
     low = band_top(band - 1, num, den) + 1 if band else 1
     # sizes s <= t <= s den / num and 100 |x & y| >= ... : |x ^ y| <= (s + t)(den - num) / (den + num)
     worst = max(((s + s * den // num) * (den - num)) // (den + num) for s in {low, top})
-    slack = -(-worst // 16)
+    slack = 1 + worst // 12
     if worst == 0:
         return 1, 0, 0
     best = None
@@ -254,32 +256,44 @@ def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, de
     )
     counted = own.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
     marked = own.join(counted, "entry").withColumn("hot", F.col("n") > HOT)
-    # allocation 0 for hot entries wherever the slack makes up for them: a segment counts its allocation
+    # allocation 0 for the hottest entries of a set, as far as the slack makes up for them (a segment
+    # counts its allocation).  All sets drop in one global order, so of the entries two sets share,
+    # both together drop no more than the one that goes further down.
     slack = F.udf(lambda band: allocation(band, num, den)[2], "int")
     bands = own.select("band").distinct().withColumn("slack", slack("band"))
-    spare = (
-        marked.where("hot").groupBy("id", "band").agg(F.sum("weight").alias("lost")).join(bands, "band")
-        .where("lost <= slack").select("id", "band", F.lit(True).alias("spared"))
-    )
-    kept = marked.join(spare, ["id", "band"], "left").where("NOT hot OR spared IS NULL").select("entry", "id", "size")
+    group = Window.partitionBy("id", "band")
+    hottest = group.orderBy(F.desc("n"), "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = marked.join(bands, "band").withColumn("lost", F.sum(F.when(F.col("hot"), F.col("weight")).otherwise(0)).over(hottest))
+    drop = F.col("hot") & (F.col("lost") <= F.col("slack"))
+    # what a linked set still shares with this one at least, after both dropped
+    need = F.col("slack") + 1 - F.coalesce(F.max(F.when(drop, F.col("lost"))).over(group), F.lit(0))
+    kept = ranked.withColumn("need", need).where(~drop).select("entry", "id", "size", "band", "weight", "need")
     used, _ = write_table(kept, "jaccard-used")
 
     sets = _set_table(texts, used.select("id").distinct(), shingle_words)
     # first: every set with the one it shares most entries with among the entries' smallest
     first = used.groupBy("entry").agg(F.min("id").alias("a"), F.min_by("size", "id").alias("na"))
-    star = used.join(first, "entry").where("id > a").where(_near("na", "size", num, den)).groupBy("id", "a").count()
+    star = (
+        used.join(first, "entry").where("id > a").where(_near("na", "size", num, den))
+        .groupBy("id", "a", "band").agg(F.sum("weight").alias("count"))
+    )
     best = star.groupBy("id").agg(F.max(F.struct("count", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), F.col("id").alias("b"))
     links, _ = write_table(_verify(best, sets, num, den), "jaccard-links")
     # then: what shares an entry in different components, pair by pair where few share it, else by blocks
     grown = components(links, "a", "b", "jaccard-part")
-    lit = used.join(grown, used["id"] == grown["node"], "left").select("entry", "id", "size", F.coalesce("component", "id").alias("c"))
+    lit = used.join(grown, used["id"] == grown["node"], "left").select(
+        *used.columns, F.coalesce("component", "id").alias("c")
+    )
     apart = lit.groupBy("entry").agg(F.count_distinct("c").alias("k"), F.count("*").alias("n"), F.min("id").alias("first")).where("k > 1")
     here, _ = write_table(lit.join(apart, "entry").drop("k"), "jaccard-apart")
     l, r = here.where(F.col("n") <= HOT).alias("l"), here.where(F.col("n") <= HOT).alias("r")
     pairs = (
         l.join(r, (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.size").alias("na"), F.col("r.size").alias("nb"))
-        .where(_near("na", "nb", num, den)).select("a", "b").distinct()
+        .where(_near("l.size", "r.size", num, den))
+        .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.band").alias("band"))
+        .agg(F.sum("l.weight").alias("shared"), F.min(F.least("l.need", "r.need")).alias("need"))
+        .where("shared >= need")
+        .select("a", "b").distinct()
     )
     more, _ = write_table(_verify(pairs, sets, num, den), "jaccard-links")
     wide, _ = write_table(_family_links(here.where(F.col("n") > HOT), sets, num, den), "jaccard-links")

@@ -120,7 +120,7 @@ def _fits(rule: str) -> str:
 )
 def op9_url_rules(spark, sf):
     """Host, path, rule and verdict of every page."""
-    rules = spark.createDataFrame([*URL_RULES], "rule string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in URL_RULES])))
     return url_filter.judge_urls(load(spark, sf, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
