@@ -64,7 +64,7 @@ def quadratic_form(df: DataFrame, key: list[str], index: str, value: str, coo: D
     result is one row per key with ``qf`` = sum_i (M x)_i^2.
     """
     x = df.select(*key, F.col(index).alias("j"), F.col(value).alias("_x"))
-    mx = x.join(F.broadcast(coo), "j").groupBy(*key, "i").agg(F.sum(F.col("v") * F.col("_x")).alias("_mx"))
+    mx = x.join(coo, "j").groupBy(*key, "i").agg(F.sum(F.col("v") * F.col("_x")).alias("_mx"))
     return mx.groupBy(*key).agg(F.sum(F.col("_mx") * F.col("_mx")).alias("qf"))
 
 
@@ -79,23 +79,32 @@ def gaussian_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv
     return qf.join(zz, key).select(*key, (F.lit(-log_det_l) - 0.5 * (F.col("qf") - F.col("zz"))).alias("log_c"))
 
 
-def ar1_copula_logc(df: DataFrame, key: list[str], order: str, u: str, rho: float) -> DataFrame:
-    """AR(1) Gaussian copula log-density per key.
+def _ar1_pairs(z: Column, z_next: Column, rho: float) -> tuple[list[Column], Column]:
+    """(aggregates, log-density) of a stationary AR(1) Gaussian copula from its neighbouring pairs.
 
-    With z = Phi^-1(u) in ``order``: q_i = (z_i - rho z_{i+1}) / sqrt(1 - rho^2)
-    for i < N, q_N = z_N, log c = -(N - 1)(ln(1+rho) + ln(1-rho))/2
-    - 1/2 sum q^2 + 1/2 sum z^2.  Only the next row is needed (``lead``).
+    Such a chain is Markov, so its copula density is the product of the bivariate Gaussian
+    copula densities of neighbours:
+    sum over pairs of -ln(1 - rho^2)/2 - (rho^2 (x^2 + y^2) - 2 rho x y) / (2 (1 - rho^2)).
     """
-    z = normal_scores(df, u, "z")
-    nxt = F.lead("z").over(Window.partitionBy(*key).orderBy(order))
-    scl = math.sqrt(1.0 / (1.0 - rho * rho))
-    q = F.when(nxt.isNull(), F.col("z")).otherwise(scl * (F.col("z") - rho * nxt))
-    z = z.withColumn("q", q)
-    agg = z.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("z") * F.col("z")).alias("zz")
+    sums = [
+        F.count(z_next).alias("_pairs"),
+        F.coalesce(F.sum(z * z + z_next * z_next), F.lit(0.0)).alias("_squares"),
+        F.coalesce(F.sum(z * z_next), F.lit(0.0)).alias("_products"),
+    ]
+    gap = 1.0 - rho * rho
+    log_c = (
+        -0.5 * math.log(gap) * F.col("_pairs")
+        - (rho * rho * F.col("_squares") - 2.0 * rho * F.col("_products")) / (2.0 * gap)
     )
-    log_det = -(F.col("n") - 1) * (math.log(1 + rho) + math.log(1 - rho)) / 2.0
-    return agg.select(*key, (log_det - 0.5 * F.col("qq") + 0.5 * F.col("zz")).alias("log_c"))
+    return sums, log_c
+
+
+def ar1_copula_logc(df: DataFrame, key: list[str], order: str, u: str, rho: float) -> DataFrame:
+    """AR(1) Gaussian copula log-density per key, the elements in ``order``."""
+    z = normal_scores(df, u, "z")
+    z = z.withColumn("_zn", F.lead("z").over(Window.partitionBy(*key).orderBy(order)))
+    sums, log_c = _ar1_pairs(F.col("z"), F.col("_zn"), rho)
+    return z.groupBy(*key).agg(*sums).select(*key, log_c.alias("log_c"))
 
 
 def ar1_copula_logc_paired(df: DataFrame, key: list[str], u: str, u_next: str, rho: float,
@@ -110,15 +119,10 @@ def ar1_copula_logc_paired(df: DataFrame, key: list[str], u: str, u_next: str, r
     margins' log-likelihood) are computed in the same pass.
     """
     z = normal_scores(normal_scores(df, u, "_z"), u_next, "_zn")
-    scl = math.sqrt(1.0 / (1.0 - rho * rho))
-    q = F.when(F.col("_zn").isNull(), F.col("_z")).otherwise(scl * (F.col("_z") - rho * F.col("_zn")))
-    agg = z.withColumn("_q", q).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("_q") * F.col("_q")).alias("qq"),
-        F.sum(F.col("_z") * F.col("_z")).alias("zz"), *(extra or []),
-    )
-    log_det = -(F.col("n") - 1) * (math.log(1 + rho) + math.log(1 - rho)) / 2.0
-    keep = [c for c in agg.columns if c not in (*key, "n", "qq", "zz")]
-    return agg.select(*key, (log_det - 0.5 * F.col("qq") + 0.5 * F.col("zz")).alias("log_c"), *keep)
+    sums, log_c = _ar1_pairs(F.col("_z"), F.col("_zn"), rho)
+    agg = z.groupBy(*key).agg(*sums, *(extra or []))
+    keep = [c for c in agg.columns if c not in (*key, "_pairs", "_squares", "_products")]
+    return agg.select(*key, log_c.alias("log_c"), *keep)
 
 
 def precision_cholesky_logc(df: DataFrame, key: list[str], index: str, u: str, chol: DataFrame,

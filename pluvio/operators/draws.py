@@ -49,7 +49,7 @@ def summarise_draws(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
     mom = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     q = profile.group_quantiles(draws, by, "value", [0.05, 0.5, 0.95], "_q")
     q = q.select(*by, F.col("_q0050").alias("q5"), F.col("_q0500").alias("median"), F.col("_q0950").alias("q95"))
-    dev = draws.join(F.broadcast(q.select(*by, "median")), by).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
+    dev = draws.join(q.select(*by, "median"), by).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
     mad = profile.group_quantiles(dev, by, "_dev", [0.5], "_m").select(*by, (F.col("_m0500") * MAD_SCALE).alias("mad"))
     return mom.join(q, by).join(mad, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
 
@@ -59,7 +59,7 @@ def _split_chains(draws: DataFrame) -> DataFrame:
     chain, then halved (a middle draw dropped when the length is odd)."""
     n = draws.groupBy("name", "chain").agg(F.count(F.lit(1)).alias("_n"))
     nmin = n.groupBy("name").agg(F.min("_n").alias("_nmin"))
-    d = draws.join(F.broadcast(nmin), "name").filter(F.col("iteration") <= F.col("_nmin"))
+    d = draws.join(nmin, "name").filter(F.col("iteration") <= F.col("_nmin"))
     h = F.floor(F.col("_nmin") / 2)
     half = F.when(F.col("iteration") <= h, 1).when(F.col("iteration") > F.col("_nmin") - h, 2)
     return (
@@ -78,7 +78,7 @@ def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
     """
     rows, sizes = windows.sorted_positions(df, ["name"], value)
     ties = rows.groupBy("name", value).agg(F.avg("_pos").alias("_apos"))
-    r = rows.drop("_pos").join(ties, ["name", value]).join(F.broadcast(sizes), "name")
+    r = rows.drop("_pos").join(ties, ["name", value]).join(sizes, "name")
     r = r.withColumn("_pr", (F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
     return dist.with_norm_ppf(r, F.col("_pr"), out_col).drop("_apos", "_n", "_pr")
 
@@ -103,14 +103,14 @@ def rhat(draws: DataFrame) -> DataFrame:
     """
     d = materialize(_split_chains(draws), "rhat-split")
     med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0500").alias("_med"))
-    d = d.join(F.broadcast(med), "name")
+    d = d.join(med, "name")
     base = ["name", "_split", "_len"]
     both = d.select(*base, F.lit("bulk").alias("which"), F.col("value").alias("v")).unionByName(
         d.select(*base, F.lit("tail").alias("which"), F.abs(F.col("value") - F.col("_med")).alias("v"))
     )
     rows, sizes = windows.sorted_positions(both, ["name", "which"], "v")
     ties = rows.groupBy("name", "which", "v").agg(F.avg("_pos").alias("_apos"))
-    r = rows.drop("_pos").join(ties, ["name", "which", "v"]).join(F.broadcast(sizes), ["name", "which"])
+    r = rows.drop("_pos").join(ties, ["name", "which", "v"]).join(sizes, ["name", "which"])
     r = r.withColumn("_pr", (F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
     z = materialize(dist.with_norm_ppf(r, F.col("_pr"), "_z").select(*base, "which", "_z"), "rhat-ranked")
     per = _rhat_of(z, "_z", ["which"])
@@ -193,7 +193,7 @@ def ess(draws: DataFrame) -> DataFrame:
         "name", F.col("_q0050").alias("_q05"), F.col("_q0950").alias("_q95")
     )
     x = materialize(
-        d.join(F.broadcast(q), "name").select(
+        d.join(q, "name").select(
             "name", "_split", "_t", "_zb",
             (F.col("value") <= F.col("_q05")).cast("double").alias("_lo"),
             (F.col("value") <= F.col("_q95")).cast("double").alias("_hi"),
@@ -216,7 +216,7 @@ def autocorrelation(draws: DataFrame, max_lag: int) -> DataFrame:
     lags being an exploded literal range.
     """
     means = draws.groupBy("chain", "name").agg(F.avg("value").alias("_m"))
-    c = draws.join(F.broadcast(means), ["chain", "name"]).withColumn("_xc", F.col("value") - F.col("_m"))
+    c = draws.join(means, ["chain", "name"]).withColumn("_xc", F.col("value") - F.col("_m"))
     den = c.groupBy("chain", "name").agg(F.sum(F.col("_xc") * F.col("_xc")).alias("_den"))
     lags = c.select("chain", "name", "iteration", "_xc", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     later = c.select("chain", "name", (F.col("iteration") - F.lit(0)).alias("_it2"), F.col("_xc").alias("_xc2"))
@@ -267,7 +267,7 @@ def acceptance(draws: DataFrame, half_width: int) -> DataFrame:
     pre = prefix_sums(flags, keys, "iteration", ["s", "c"]).select(*keys, "iteration", "cum_s", "cum_c")
     n = draws.groupBy(*keys).agg(F.max("iteration").alias("_N"))
     k = half_width
-    base = a.join(F.broadcast(n), keys).withColumn("_u", F.least(F.col("iteration") + k, F.col("_N"))).withColumn(
+    base = a.join(n, keys).withColumn("_u", F.least(F.col("iteration") + k, F.col("_N"))).withColumn(
         "_l", F.col("iteration") - k - 1
     )
     up = pre.select(*keys, F.col("iteration").alias("_u"), F.col("cum_s").alias("_su"), F.col("cum_c").alias("_cu"))

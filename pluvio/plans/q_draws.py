@@ -211,7 +211,7 @@ def bym2_combine(spark, sf):
     p = fx.precip()
     by_year = profile.mean_sd(p, ["year"], "precip").withColumnsRenamed({"mean": "_my", "sd": "_sy"})
     by_station = profile.mean_sd(p, ["station"], "precip").withColumnsRenamed({"mean": "_ms", "sd": "_ss"})
-    sd = p.join(F.broadcast(by_year), "year").join(by_station, "station").select(
+    sd = p.join(by_year, "year").join(by_station, "station").select(
         F.lit(1).alias("chain"), (F.col("year") - 1994).cast("int").alias("iteration"), "station",
         F.try_divide(F.col("precip") - F.col("_my"), F.col("_sy")).alias("spatial"),
         F.try_divide(F.col("precip") - F.col("_ms"), F.col("_ss")).alias("random"),

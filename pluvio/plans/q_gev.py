@@ -320,16 +320,23 @@ _PIT = (
 )
 
 
+#: Sum over neighbours (z, nz) of the logarithm of the conditional density ratio f(nz | z) / f(nz).
+_AR1_SQL = (
+    f"coalesce(sum(nz * nz / 2.0 - power(nz - {AR1_RHO!r} * z, 2) / (2.0 * (1.0 - {AR1_RHO!r} * {AR1_RHO!r}))), 0.0)"
+    f" - count(nz) * ln(1.0 - {AR1_RHO!r} * {AR1_RHO!r}) / 2.0"
+)
+
+
 @query(
     "ar1_copula",
     "C3 W10",
     with_ctes(
         "SELECT station, "
-        f"{rnd(f'-(count(*) - 1) * ({math.log(1 + AR1_RHO)!r} + {math.log(1 - AR1_RHO)!r}) / 2.0 - 0.5 * sum(q * q) + 0.5 * sum(z * z)', 9)} AS log_c "
-        f"FROM (SELECT station, z, CASE WHEN nz IS NULL THEN z ELSE {math.sqrt(1 / (1 - AR1_RHO ** 2))!r} * (z - {AR1_RHO!r} * nz) END AS q "
-        "FROM (SELECT station, z, lead(z) OVER (PARTITION BY station ORDER BY id) AS nz FROM "
-        f"(SELECT station, id, {S.norm_ppf('u')} AS z FROM pit))) GROUP BY station",
-        "params", "precip", extra=[_NAT, _SCORED, _SCORED_P, _PIT],
+        f"{rnd(_AR1_SQL, 9)} AS log_c FROM (SELECT a.station, a.z, b.z AS nz FROM zs a LEFT JOIN zs b ON b.station = a.station AND b.rk = a.rk + 1) "
+        "GROUP BY station",
+        "params", "precip",
+        extra=[_NAT, _SCORED, _SCORED_P, _PIT,
+               ("zs", f"SELECT station, row_number() OVER (PARTITION BY station ORDER BY id) AS rk, {S.norm_ppf('u')} AS z FROM pit")],
     ),
 )
 def ar1_copula(spark, sf):
@@ -468,7 +475,7 @@ def joint_density(spark, sf):
     fx = Fixtures(spark, sf)
     v = fx.vectors()
     m = profile.mean_sd(v, ["dim"], "x")
-    mv = v.join(F.broadcast(m), "dim").withColumn("zs", (F.col("x") - F.col("mean")) / F.col("sd"))
+    mv = v.join(m, "dim").withColumn("zs", (F.col("x") - F.col("mean")) / F.col("sd"))
     mv = mv.withColumn("u", dist.norm_cdf("zs"))
     linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
     lc = copula.gaussian_copula_logc(mv, ["vec_id"], "dim", "u", linv, ld)
@@ -492,7 +499,7 @@ def joint_density(spark, sf):
 def marginal_chain(spark, sf):
     v = Fixtures(spark, sf).vectors()
     m = profile.mean_sd(v, ["dim"], "x")
-    u = v.join(F.broadcast(m), "dim").withColumn("u", dist.norm_cdf((F.col("x") - F.col("mean")) / F.col("sd")))
+    u = v.join(m, "dim").withColumn("u", dist.norm_cdf((F.col("x") - F.col("mean")) / F.col("sd")))
     return u.select(
         "vec_id", "dim", F.round("u", 9).alias("u"), F.round(dist.exp_ppf("u", 2.0), 9).alias("y_exp"),
         F.round(dist.gev_quantile(F.col("u"), 0.0, 1.0, 0.1), 9).alias("y_gev"),
@@ -570,11 +577,9 @@ def _heldout_sql() -> str:
         "FROM test t JOIN params n ON n.station = t.station CROSS JOIN (SELECT * FROM draws WHERE name = 'view') d"
     )
     cop = (
-        "SELECT chain, iteration, "
-        f"-(count(*) - 1) * ({math.log(1 + AR1_RHO)!r} + {math.log(1 - AR1_RHO)!r}) / 2.0 - 0.5 * sum(q * q) + 0.5 * sum(z * z) AS lc "
-        f"FROM (SELECT chain, iteration, z, CASE WHEN nz IS NULL THEN z ELSE {math.sqrt(1 / (1 - AR1_RHO ** 2))!r} * (z - {AR1_RHO!r} * nz) END AS q "
+        f"SELECT chain, iteration, {_AR1_SQL} AS lc "
         "FROM (SELECT chain, iteration, z, lead(z) OVER (PARTITION BY chain, iteration ORDER BY station) AS nz FROM "
-        f"(SELECT chain, iteration, station, {S.norm_ppf('u')} AS z FROM sc))) GROUP BY chain, iteration"
+        f"(SELECT chain, iteration, station, {S.norm_ppf('u')} AS z FROM sc)) GROUP BY chain, iteration"
     )
     per_draw = (
         "SELECT 'iid' AS model, chain, iteration, sum(lp) AS ll FROM sc GROUP BY chain, iteration "

@@ -28,9 +28,13 @@ def stream_block_maxima(
     late: str = "1 day",
     glob: str | None = None,
     out_dir: str | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Run the stream over everything available now and return the maxima.
 
+    Give ``out_dir`` and a lasting ``checkpoint`` together: a later call then reads
+    only the files that are new and adds their maxima.  Without them the call stands alone.
+
     Output: (key, window_start, value) with one row per key and window.
     """
     reader = spark.read
@@ -40,9 +44,9 @@ def stream_block_maxima(
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex[:12]
     out_dir = out_dir or f"{base}/blockmax-{run}"
-    ckpt = f"{base}/blockmax-ckpt-{run}"
+    ckpt = checkpoint or f"{base}/blockmax-ckpt-{run}"
 
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    src = spark.readStream.schema(schema)
     if glob:
         src = src.option("pathGlobFilter", glob)
     # Watermarks need TIMESTAMP.  A zone-less (NTZ) event time is read as a
