@@ -45,11 +45,6 @@ def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
-def lookup(df: DataFrame, dim: DataFrame, on, max_rows: int = 1_000_000) -> DataFrame:
-    """Join against a small dimension table, broadcast when its size allows."""
-    return df.join(broadcast_if_small(dim, max_rows), on, "inner")
-
-
 def deflate(df: DataFrame, cpi: DataFrame, value: str, year: str, ref_year: int, out_col: str) -> DataFrame:
     """Convert ``value`` to prices of ``ref_year`` with an index table.
 

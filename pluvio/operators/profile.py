@@ -14,7 +14,7 @@ from pluvio.operators import windows
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "q", few_groups: bool = True
+    df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "q"
 ) -> DataFrame:
     """Exact linear-interpolation (type 7) quantiles per group, one column per prob.
 
@@ -23,7 +23,6 @@ def group_quantiles(
     order statistics around h = (n - 1) p are picked by an equi-join on
     (group, position) against a small target table, and interpolated as
     v_lo + (h - lo)(v_hi - v_lo).  NULL and NaN values are ignored.
-    ``few_groups`` broadcasts the target table (groups x probs x 2 rows).
     """
     v = F.col(value)
     clean = df.select(*keys, value).filter(v.isNotNull() & ~F.isnan(v))
@@ -34,7 +33,6 @@ def group_quantiles(
     t = sizes.crossJoin(F.broadcast(pr)).withColumn("_h", h).withColumn("_lo", F.floor("_h"))
     t = t.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)).withColumn("_f", F.col("_h") - F.col("_lo"))
     picks = t.select(*keys, "_pi", "_f", "_lo", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_pos")).distinct()
-    picks = F.broadcast(picks) if few_groups else picks
     got = rows.join(picks, [*keys, "_pos"]).select(
         *keys, "_pi", "_f", (F.col("_pos") == F.col("_lo")).alias("_is_lo"), F.col(value).alias("_v")
     )
@@ -112,7 +110,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None)
     by = by or []
     rng = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     w = (F.col("_hi") - F.col("_lo")) / bins
-    j = df.join(F.broadcast(rng), by) if by else df.crossJoin(F.broadcast(rng))
+    j = df.join(rng, by) if by else df.crossJoin(F.broadcast(rng))
     b = F.least(F.floor((F.col(value) - F.col("_lo")) / w), F.lit(bins - 1)).cast("int")
     j = j.withColumn("bin", F.when(w > 0, b).otherwise(F.lit(0)))
     return j.groupBy(*by, "bin").agg(
@@ -144,7 +142,7 @@ def binned_2d(df: DataFrame, x: str, y: str, wx: float, wy: float, by: list[str]
 def winsorise(df: DataFrame, value: str, by: list[str], lo: float, hi: float, out_col: str | None = None) -> DataFrame:
     """Clip ``value`` to its group's [q_lo, q_hi] quantiles.
 
-    The quantiles are one row per group, joined back (broadcast when the
+    The quantiles are one row per group, joined back (AQE broadcasts when the
     groups are few, as with the 12 neighbour types).
     """
     out_col = out_col or value
@@ -152,7 +150,7 @@ def winsorise(df: DataFrame, value: str, by: list[str], lo: float, hi: float, ou
     lo_c, hi_c = f"_q{round(lo * 1000):04d}", f"_q{round(hi * 1000):04d}"
     v = F.col(value)
     clipped = F.when(v > F.col(hi_c), F.col(hi_c)).when(v < F.col(lo_c), F.col(lo_c)).otherwise(v)
-    return df.join(F.broadcast(q), by).withColumn(out_col, clipped).drop(lo_c, hi_c)
+    return df.join(q, by).withColumn(out_col, clipped).drop(lo_c, hi_c)
 
 
 def zscore_then_pooled_winsorise(
@@ -165,7 +163,7 @@ def zscore_then_pooled_winsorise(
     are one row cross-joined to every row.
     """
     m = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    z = df.join(F.broadcast(m), group).withColumn(value, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    z = df.join(m, group).withColumn(value, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
     q = group_quantiles(z.withColumn("_all", F.lit(1)), ["_all"], value, [lo, hi], "_q").drop("_all")
     lo_c, hi_c = f"_q{round(lo * 10000):04d}", f"_q{round(hi * 10000):04d}"
     q = q.toDF(*[lo_c, hi_c])
