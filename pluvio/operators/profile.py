@@ -78,8 +78,11 @@ def correlation_long(df: DataFrame, key: str, var: str, value: str) -> DataFrame
     """
     a = df.select(key, F.col(var).alias("var1"), F.col(value).alias("v1")).filter(is_finite("v1"))
     b = df.select(key, F.col(var).alias("var2"), F.col(value).alias("v2")).filter(is_finite("v2"))
-    c = a.join(b, key).groupBy("var1", "var2").agg(F.corr("v1", "v2").alias("corr"))
-    return c.withColumn("corr", F.when(F.col("var1") == F.col("var2"), F.lit(None)).otherwise(F.col("corr")))
+    c = a.join(b, key).where("var1 < var2").groupBy("var1", "var2").agg(F.corr("v1", "v2").alias("corr"))
+    both = F.array(F.struct("var1", "var2"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2")))
+    mirrored = c.select(F.explode(both).alias("_p"), "corr").select("_p.var1", "_p.var2", "corr")
+    diagonal = a.select("var1").distinct().select("var1", F.col("var1").alias("var2"), F.lit(None).cast("double").alias("corr"))
+    return mirrored.unionByName(diagonal)
 
 
 def skim(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pluvio.operators import lattice, windows
 
 
+#: Entries of each vector of the embeddings table.
+EMBEDDING_SIZE = 64
+
+
 def _shared(fn):
     """One DataFrame per fixture and instance: every use of e.g. ``precip``
     in a query is the same logical subtree, so Spark reuses its exchange
@@ -29,6 +33,14 @@ def _shared(fn):
     return wrapper
 
 
+def margin_pairs(unif: DataFrame) -> DataFrame:
+    """(vec_id, pair, u1, u2): the margins (2k - 1, 2k) of every vector side by side."""
+    first = F.col("dim") % 2 == 1
+    return unif.groupBy("vec_id", F.floor((F.col("dim") + 1) / 2).cast("int").alias("pair")).agg(
+        F.max(F.when(first, F.col("u"))).alias("u1"), F.max(F.when(~first, F.col("u"))).alias("u2")
+    )
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -113,12 +125,12 @@ class Fixtures:
 
     # -- vectors ---------------------------------------------------------------
     @_shared
-    def vectors(self, dims: int = 4) -> DataFrame:
-        """(vec_id, dim, x) long margins from the first ``dims`` embedding entries."""
+    def vectors(self) -> DataFrame:
+        """(vec_id, dim, x) long margins, one row per embedding entry."""
         e = self.table("embeddings")
-        return e.select(
-            "vec_id", F.posexplode(F.slice("embedding", 1, dims)).alias("dim", "x")
-        ).select("vec_id", (F.col("dim") + 1).cast("int").alias("dim"), F.col("x").cast("double").alias("x"))
+        return e.select("vec_id", F.posexplode("embedding").alias("dim", "x")).select(
+            "vec_id", (F.col("dim") + 1).cast("int").alias("dim"), F.col("x").cast("double").alias("x")
+        )
 
     @_shared
     def catalogue(self) -> DataFrame:

@@ -61,8 +61,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "vectors": (
-        "SELECT vec_id, CAST(d AS INTEGER) AS dim, CAST(embedding[d] AS DOUBLE) AS x "
-        "FROM embeddings, range(1, 5) AS r(d)",
+        "SELECT vec_id, CAST(unnest(range(1, len(embedding) + 1)) AS INTEGER) AS dim, "
+        "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
         (),
     ),
     "income": (

@@ -8,7 +8,7 @@ from pluvio.functions import dist
 from pluvio.functions import sqltext as S
 from pluvio.operators import draws as D
 from pluvio.operators import profile, regress, report, shape
-from pluvio.plans.fixtures import Fixtures
+from pluvio.plans.fixtures import Fixtures, margin_pairs
 from pluvio.plans.oracle_fixtures import rnd, with_ctes
 from pluvio.plans.registry import query
 from pluvio.plans.q_spatial import _PAIRS, _VALS, _pairs
@@ -439,7 +439,7 @@ def histogram_by_year(spark, sf):
     "A14",
     with_ctes(
         "SELECT CAST(floor(a.u / 0.1) AS INTEGER) AS bin_x, CAST(floor(b.u / 0.1) AS INTEGER) AS bin_y, count(*) AS n "
-        "FROM unif a JOIN unif b ON a.vec_id = b.vec_id AND a.dim = 1 AND b.dim = 2 GROUP BY 1, 2",
+        "FROM unif a JOIN unif b ON a.vec_id = b.vec_id AND a.dim % 2 = 1 AND b.dim = a.dim + 1 GROUP BY 1, 2",
         "vectors",
         extra=[("unif", "SELECT vec_id, dim, (rank() OVER (PARTITION BY dim ORDER BY x) + "
                         "(count(*) OVER (PARTITION BY dim, x) - 1) / 2.0) / (count(*) OVER (PARTITION BY dim) + 1) AS u FROM vectors")],
@@ -449,9 +449,7 @@ def binned_2d(spark, sf):
     from pluvio.operators import windows
 
     u = windows.global_average_rank_uniform(Fixtures(spark, sf).vectors(), ["dim"], "x", "u")
-    a = u.filter(F.col("dim") == 1).select("vec_id", F.col("u").alias("u1"))
-    b = u.filter(F.col("dim") == 2).select("vec_id", F.col("u").alias("u2"))
-    return profile.binned_2d(a.join(b, "vec_id"), "u1", "u2", 0.1, 0.1)
+    return profile.binned_2d(margin_pairs(u), "u1", "u2", 0.1, 0.1)
 
 
 @query(

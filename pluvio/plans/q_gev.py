@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pluvio.functions import dist
 from pluvio.functions import sqltext as S
 from pluvio.operators import copula, gev, joins, profile, windows
-from pluvio.plans.fixtures import Fixtures
+from pluvio.plans.fixtures import EMBEDDING_SIZE, Fixtures, margin_pairs
 from pluvio.plans.oracle_fixtures import rnd, with_ctes
 from pluvio.plans.registry import query
 
@@ -238,18 +238,18 @@ def student_t_functions(spark, sf):
 @query(
     "independence_copula",
     "C1",
-    with_ctes(f"SELECT vec_id, {rnd('exp(sum(ln(u)))', 12)} AS C FROM unif GROUP BY vec_id", "vectors", extra=[_UNIF]),
+    with_ctes(f"SELECT vec_id, {rnd('sum(ln(u))', 6)} AS log_C FROM unif GROUP BY vec_id", "vectors", extra=[_UNIF]),
 )
 def independence_copula(spark, sf):
-    c = copula.independence_cdf(_unif(Fixtures(spark, sf)), ["vec_id"], "u")
-    return c.select("vec_id", F.round("C", 12).alias("C"))
+    c = copula.independence_log_cdf(_unif(Fixtures(spark, sf)), ["vec_id"], "u")
+    return c.select("vec_id", F.round("log_C", 6).alias("log_C"))
 
 
 # Fixed copula parameters used by the copula queries.
 GAUSS_RHO = 0.5
 AR1_RHO = 0.3
 T_NU = 3
-DIMS = 4
+DIMS = EMBEDDING_SIZE
 
 
 def _linv_sql(sigma: np.ndarray) -> tuple[str, float]:
@@ -275,7 +275,7 @@ def _t_general_sql() -> str:
     tq = S.nest_steps("SELECT vec_id, dim, u FROM unif", "*", S.t_ppf_int_steps("u", nu))
     return with_ctes(
         f"SELECT t.vec_id, t.dim, {rnd('t.x', 9)} AS t5, {rnd(S.t_cdf_int('t.x', str(nu)) + ' - t.u', 12)} AS round_trip_error, "
-        f"{rnd(f'{const!r} - {(nu + DIMS) / 2.0!r} * ln(1.0 + q.qf / {float(nu)!r}) - m.lm', 9)} AS log_c_nu5 "
+        f"{rnd(f'{const!r} - {(nu + DIMS) / 2.0!r} * ln(1.0 + q.qf / {float(nu)!r}) - m.lm', 6)} AS log_c_nu5 "
         f"FROM xt t JOIN ({_quadform_sql('xt', 'vec_id', 'dim', 'x')}) q ON q.vec_id = t.vec_id JOIN "
         f"(SELECT vec_id, sum({S.t_logpdf('x', nu)}) AS lm FROM xt GROUP BY vec_id) m ON m.vec_id = t.vec_id",
         "vectors",
@@ -294,7 +294,7 @@ def student_t_general(spark, sf):
     lc = copula.t_copula_logc(u, ["vec_id"], "dim", "u", linv, ld, 5, DIMS)
     return t.join(lc, "vec_id").select(
         "vec_id", "dim", F.round("t5", 9).alias("t5"), F.round(F.col("u_back") - F.col("u"), 12).alias("round_trip_error"),
-        F.round("log_c", 9).alias("log_c_nu5"),
+        F.round("log_c", 6).alias("log_c_nu5"),
     )
 
 
@@ -302,7 +302,7 @@ def student_t_general(spark, sf):
     "gaussian_copula",
     "C2",
     (lambda linv, ld: with_ctes(
-        f"SELECT q.vec_id, {rnd(f'{-ld!r} - 0.5 * (q.qf - z.zz)', 9)} AS log_c FROM "
+        f"SELECT q.vec_id, {rnd(f'{-ld!r} - 0.5 * (q.qf - z.zz)', 6)} AS log_c FROM "
         f"({_quadform_sql('zt', 'vec_id', 'dim', 'z')}) q JOIN "
         "(SELECT vec_id, sum(z * z) AS zz FROM zt GROUP BY vec_id) z ON z.vec_id = q.vec_id",
         "vectors", extra=[_UNIF, ("zt", f"SELECT vec_id, dim, {S.norm_ppf('u')} AS z FROM unif"), ("linv", linv)],
@@ -311,7 +311,7 @@ def student_t_general(spark, sf):
 def gaussian_copula(spark, sf):
     linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
     c = copula.gaussian_copula_logc(_unif(Fixtures(spark, sf)), ["vec_id"], "dim", "u", linv, ld)
-    return c.select("vec_id", F.round("log_c", 9).alias("log_c"))
+    return c.select("vec_id", F.round("log_c", 6).alias("log_c"))
 
 
 _PIT = (
@@ -392,7 +392,7 @@ def ar1_precision(spark, sf):
     "t_copula",
     "C5 N3 N4",
     (lambda linv, ld: with_ctes(
-        f"SELECT q.vec_id, {rnd(f'{math.lgamma((T_NU + DIMS) / 2) - math.lgamma(T_NU / 2) - DIMS / 2 * math.log(T_NU * math.pi) - ld!r} - {(T_NU + DIMS) / 2.0!r} * ln(1.0 + q.qf / {float(T_NU)!r}) - m.lm', 9)} AS log_c "
+        f"SELECT q.vec_id, {rnd(f'{math.lgamma((T_NU + DIMS) / 2) - math.lgamma(T_NU / 2) - DIMS / 2 * math.log(T_NU * math.pi) - ld!r} - {(T_NU + DIMS) / 2.0!r} * ln(1.0 + q.qf / {float(T_NU)!r}) - m.lm', 6)} AS log_c "
         f"FROM ({_quadform_sql('xt', 'vec_id', 'dim', 'x')}) q JOIN "
         f"(SELECT vec_id, sum({S.t_logpdf('x', T_NU)}) AS lm FROM xt GROUP BY vec_id) m ON m.vec_id = q.vec_id",
         "vectors",
@@ -403,7 +403,7 @@ def ar1_precision(spark, sf):
 def t_copula(spark, sf):
     linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
     c = copula.t_copula_logc(_unif(Fixtures(spark, sf)), ["vec_id"], "dim", "u", linv, ld, T_NU, DIMS)
-    return c.select("vec_id", F.round("log_c", 9).alias("log_c"))
+    return c.select("vec_id", F.round("log_c", 6).alias("log_c"))
 
 
 # Fixed Archimedean parameters.
@@ -414,14 +414,16 @@ def _arch_sql() -> str:
     t = ARCH_THETA
     em = math.expm1(-t["frank"])
     parts = [
-        f"SELECT vec_id, 'clayton' AS family, pow(1.0 + {t['clayton']!r} * sum((pow(u, -{t['clayton']!r}) - 1.0) / {t['clayton']!r}), "
-        f"-1.0 / {t['clayton']!r}) AS C FROM unif GROUP BY vec_id",
-        f"SELECT vec_id, 'gumbel' AS family, exp(-pow(sum(pow(-ln(u), {t['gumbel']!r})), 1.0 / {t['gumbel']!r})) AS C "
+        f"SELECT vec_id, 'clayton' AS family, -ln(1.0 + sum(pow(u, -{t['clayton']!r}) - 1.0)) / {t['clayton']!r} AS lc "
         "FROM unif GROUP BY vec_id",
-        f"SELECT vec_id, 'frank' AS family, -ln(1.0 + exp(-sum(-ln((exp(-{t['frank']!r} * u) - 1.0) / {em!r}))) * {em!r}) "
-        f"/ {t['frank']!r} AS C FROM unif GROUP BY vec_id",
+        f"SELECT vec_id, 'gumbel' AS family, -pow(sum(pow(-ln(u), {t['gumbel']!r})), 1.0 / {t['gumbel']!r}) AS lc "
+        "FROM unif GROUP BY vec_id",
+        # -ln(1 + y) by its series where y is small
+        "SELECT vec_id, 'frank' AS family, ln((CASE WHEN abs(y) < 1e-3 THEN -y + y * y / 2 - y * y * y / 3 + y * y * y * y / 4 "
+        f"ELSE -ln(1.0 + y) END) / {t['frank']!r}) AS lc FROM "
+        f"(SELECT vec_id, exp(sum(ln((exp(-{t['frank']!r} * u) - 1.0) / {em!r}))) * {em!r} AS y FROM unif GROUP BY vec_id)",
     ]
-    return f"SELECT vec_id, family, {rnd('C', 9)} AS C FROM (" + " UNION ALL ".join(parts) + ")"
+    return f"SELECT vec_id, family, {rnd('lc', 6)} AS log_C FROM (" + " UNION ALL ".join(parts) + ")"
 
 
 @query("archimedean_copulas", "C6", with_ctes(_arch_sql(), "vectors", extra=[_UNIF]))
@@ -429,25 +431,23 @@ def archimedean_copulas(spark, sf):
     u = _unif(Fixtures(spark, sf))
     out = None
     for fam, theta in ARCH_THETA.items():
-        c = copula.archimedean_cdf(u, ["vec_id"], "u", fam, theta).withColumn("family", F.lit(fam))
+        c = copula.archimedean_log_cdf(u, ["vec_id"], "u", fam, theta).withColumn("family", F.lit(fam))
         out = c if out is None else out.unionByName(c)
-    return out.select("vec_id", "family", F.round("C", 9).alias("C"))
+    return out.select("vec_id", "family", F.round("log_C", 6).alias("log_C"))
 
 
 @query(
     "frank_bivariate",
     "C7",
     with_ctes(
-        f"SELECT a.vec_id, {rnd(f'-ln(1.0 + (exp(-3.0 * a.u) - 1.0) * (exp(-3.0 * b.u) - 1.0) / {math.expm1(-3.0)!r}) / 3.0', 9)} AS C "
-        "FROM unif a JOIN unif b ON a.vec_id = b.vec_id AND a.dim = 1 AND b.dim = 2",
+        f"SELECT a.vec_id, CAST((a.dim + 1) // 2 AS INTEGER) AS pair, {rnd(f'-ln(1.0 + (exp(-3.0 * a.u) - 1.0) * (exp(-3.0 * b.u) - 1.0) / {math.expm1(-3.0)!r}) / 3.0', 9)} AS C "
+        "FROM unif a JOIN unif b ON a.vec_id = b.vec_id AND a.dim % 2 = 1 AND b.dim = a.dim + 1",
         "vectors", extra=[_UNIF],
     ),
 )
 def frank_bivariate(spark, sf):
-    u = _unif(Fixtures(spark, sf))
-    a = u.filter(F.col("dim") == 1).select("vec_id", F.col("u").alias("u1"))
-    b = u.filter(F.col("dim") == 2).select("vec_id", F.col("u").alias("u2"))
-    return a.join(b, "vec_id").select("vec_id", F.round(copula.frank_cdf_2d("u1", "u2", 3.0), 9).alias("C"))
+    pairs = margin_pairs(_unif(Fixtures(spark, sf)))
+    return pairs.select("vec_id", "pair", F.round(copula.frank_cdf_2d("u1", "u2", 3.0), 9).alias("C"))
 
 
 _MARG = (
@@ -461,7 +461,7 @@ _MARG = (
     "joint_density",
     "C8 A4",
     (lambda linv, ld: with_ctes(
-        f"SELECT q.vec_id, {rnd('lc', 9)} AS log_c, {rnd('lm', 9)} AS log_margins, {rnd('lc + lm', 9)} AS log_joint FROM "
+        f"SELECT q.vec_id, {rnd('lc', 6)} AS log_c, {rnd('lm', 6)} AS log_margins, {rnd('lc + lm', 6)} AS log_joint FROM "
         f"(SELECT q.vec_id, {-ld!r} - 0.5 * (q.qf - z.zz) AS lc FROM ({_quadform_sql('zt', 'vec_id', 'dim', 'z')}) q "
         "JOIN (SELECT vec_id, sum(z * z) AS zz FROM zt GROUP BY vec_id) z ON z.vec_id = q.vec_id) q "
         f"JOIN (SELECT vec_id, sum(-0.5 * zs * zs - {0.5 * math.log(2 * math.pi)!r} - ln(sd)) AS lm FROM marg GROUP BY vec_id) m "
@@ -481,8 +481,8 @@ def joint_density(spark, sf):
     lc = copula.gaussian_copula_logc(mv, ["vec_id"], "dim", "u", linv, ld)
     lm = mv.groupBy("vec_id").agg(F.sum(dist.norm_logpdf("zs") - F.log("sd")).alias("log_margins"))
     return lc.join(lm, "vec_id").select(
-        "vec_id", F.round("log_c", 9).alias("log_c"), F.round("log_margins", 9).alias("log_margins"),
-        F.round(F.col("log_c") + F.col("log_margins"), 9).alias("log_joint"),
+        "vec_id", F.round("log_c", 6).alias("log_c"), F.round("log_margins", 6).alias("log_margins"),
+        F.round(F.col("log_c") + F.col("log_margins"), 6).alias("log_joint"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions import dist, text
 from pluvio.operators import blocks, joins, lattice, shape
-from pluvio.plans.fixtures import Fixtures
+from pluvio.plans.fixtures import EMBEDDING_SIZE, Fixtures
 from pluvio.plans.oracle_fixtures import with_ctes
 from pluvio.plans.registry import query
 from pluvio.session import ensure_checkpoint_dir, materialize
@@ -606,14 +606,14 @@ def pivot_longer_years(spark, sf):
     "row_vectors",
     "R8",
     with_ctes(
-        "SELECT vec_id, " + ", ".join(f"max(CASE WHEN dim = {d} THEN x END) AS x_{d}" for d in range(1, 5))
+        "SELECT vec_id, " + ", ".join(f"max(CASE WHEN dim = {d} THEN x END) AS x_{d}" for d in range(1, EMBEDDING_SIZE + 1))
         + " FROM vectors GROUP BY vec_id",
         "vectors",
     ),
 )
 def row_vectors(spark, sf):
     rows = shape.row_vectors(Fixtures(spark, sf).vectors(), "vec_id", "dim", "x")
-    return rows.select("vec_id", *[F.element_at("x", d).alias(f"x_{d}") for d in range(1, 5)])
+    return rows.select("vec_id", *[F.element_at("x", d).alias(f"x_{d}") for d in range(1, EMBEDDING_SIZE + 1)])
 
 
 # ---------------------------------------------------------------------------
