@@ -55,18 +55,17 @@ def summarise_draws(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _split_chains(draws: DataFrame) -> DataFrame:
-    """Rectangular split chains: each chain cut to the parameter's shortest
-    chain, then halved (a middle draw dropped when the length is odd)."""
+    """Split chains: every chain halved by its own length (the middle draw of
+    an odd length belongs to neither half), iterations numbered from 1 in ``_t``."""
     n = draws.groupBy("name", "chain").agg(F.count(F.lit(1)).alias("_n"))
-    nmin = n.groupBy("name").agg(F.min("_n").alias("_nmin"))
-    d = draws.join(nmin, "name").filter(F.col("iteration") <= F.col("_nmin"))
-    h = F.floor(F.col("_nmin") / 2)
-    half = F.when(F.col("iteration") <= h, 1).when(F.col("iteration") > F.col("_nmin") - h, 2)
+    d = draws.join(n, ["name", "chain"])
+    h = F.floor(F.col("_n") / 2)
+    half = F.when(F.col("iteration") <= h, 1).when(F.col("iteration") > F.col("_n") - h, 2)
     return (
         d.withColumn("_half", half).filter(F.col("_half").isNotNull())
         .withColumn("_split", F.col("chain") * 2 + F.col("_half") - 1)
-        .withColumn("_len", h)
-        .withColumn("_t", F.when(F.col("_half") == 1, F.col("iteration")).otherwise(F.col("iteration") - (F.col("_nmin") - h)))
+        .withColumn("_t", F.when(F.col("_half") == 1, F.col("iteration")).otherwise(F.col("iteration") - (F.col("_n") - h)))
+        .drop("_n")
     )
 
 
@@ -83,13 +82,24 @@ def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
     return dist.with_norm_ppf(r, F.col("_pr"), out_col).drop("_apos", "_n", "_pr")
 
 
+def _between(n: str, m: str) -> Column:
+    """Aggregate: variance of the split chains' means ``m``, weighted by their lengths ``n``
+    (the plain sample variance when all lengths are equal)."""
+    total, c = F.sum(n), F.count(F.lit(1))
+    squares = F.sum(F.col(n) * F.col(m) * F.col(m)) - F.sum(F.col(n) * F.col(m)) * F.sum(F.col(n) * F.col(m)) / total
+    return F.try_divide(squares * c, total * (c - 1))
+
+
 def _rhat_of(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """sqrt(var+ / W) with W the pooled within-chain variance, var+ = (n - 1) / n W + B and n
+    the mean length of the split chains, which may differ in length."""
     by = by or []
     chain = df.groupBy("name", *by, "_split").agg(
-        F.avg(value).alias("_m"), F.var_samp(value).alias("_v"), F.first("_len").alias("_len")
+        F.avg(value).alias("_m"), F.var_samp(value).alias("_v"), F.count(F.lit(1)).alias("_len")
     )
     g = chain.groupBy("name", *by).agg(
-        F.avg("_v").alias("_w"), F.var_samp("_m").alias("_vm"), F.first("_len").alias("_n")
+        F.try_divide(F.sum(F.col("_v") * (F.col("_len") - 1)), F.sum(F.col("_len") - 1)).alias("_w"),
+        _between("_len", "_m").alias("_vm"), F.avg("_len").alias("_n"),
     )
     var_plus = (F.col("_n") - 1) / F.col("_n") * F.col("_w") + F.col("_vm")
     return g.select("name", *by, F.sqrt(F.try_divide(var_plus, F.col("_w"))).alias("rhat"))
@@ -104,7 +114,7 @@ def rhat(draws: DataFrame) -> DataFrame:
     d = materialize(_split_chains(draws), "rhat-split")
     med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0500").alias("_med"))
     d = d.join(med, "name")
-    base = ["name", "_split", "_len"]
+    base = ["name", "_split"]
     both = d.select(*base, F.lit("bulk").alias("which"), F.col("value").alias("v")).unionByName(
         d.select(*base, F.lit("tail").alias("which"), F.abs(F.col("value") - F.col("_med")).alias("v"))
     )
@@ -122,15 +132,16 @@ def rhat(draws: DataFrame) -> DataFrame:
 
 
 def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFrame]:
-    """ESS per parameter from split chains x (name, _split, _t, col), _t = 1..N.
-
-    Autocovariances acov_j(k) = sum_t xc_t xc_{t+k} / N for k < max_lag are an
-    equi-join of each draw with the draw k steps later (lags exploded), summed
-    by (name, chain, k).  The combined autocorrelation
-    rho(k) = 1 - (W - mean_j acov_j(k)) / var+, Geyer's initial positive
-    pair sums, their running minimum and tau = -1 + 2 sum P run on the small
-    (name, lag) table.  Returns (name, ess) and (name, truncated) telling
-    whether a negative pair sum was reached within the lags computed.
+    """ESS per parameter from split chains x (name, _split, _t, col), _t = 1..N_j.
+
+    Lagged products sum_t xc_t xc_{t+k} for k < max_lag are an equi-join of each
+    draw with the draw k steps later (lags exploded), summed by (name, k); over
+    the number of draws they are the chains' autocovariances weighted by length.
+    The combined autocorrelation rho(k) = 1 - (W - acov(k)) / var+, Geyer's
+    initial positive pair sums, their running minimum and tau = -1 + 2 sum P
+    run on the small (name, lag) table.  Returns (name, ess) and (name,
+    truncated) telling whether a negative pair sum was reached within the lags
+    computed, all lags are used, or the column is constant (its ESS is NULL).
     """
     keys = ["name", "_split"]
     m = x.groupBy(*keys).agg(F.avg(col).alias("_m"), F.count(F.lit(1)).alias("_N"))
@@ -138,17 +149,17 @@ def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFra
     lag = F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag - 1), F.col("_N") - 1))).alias("_k")
     lags = c.select(*keys, "_t", "_xc", "_N", lag).withColumn("_t2", F.col("_t") + F.col("_k"))
     later = c.select(*keys, F.col("_t").alias("_t2"), F.col("_xc").alias("_xc2"))
-    acov = lags.join(later, [*keys, "_t2"]).groupBy(*keys, "_k").agg(
-        (F.sum(F.col("_xc") * F.col("_xc2")) / F.first("_N")).alias("_acov")
-    )
-    chain = m.join(acov.filter(F.col("_k") == 0).select(*keys, F.col("_acov").alias("_a0")), keys).withColumn(
-        "_s2", F.col("_a0") * F.col("_N") / (F.col("_N") - 1)
+    products = lags.join(later, [*keys, "_t2"]).groupBy("name", "_k").agg(F.sum(F.col("_xc") * F.col("_xc2")).alias("_p"))
+    squares = c.groupBy("name").agg(F.sum(F.col("_xc") * F.col("_xc")).alias("_p0"))
+    per = m.groupBy("name").agg(
+        _between("_N", "_m").alias("_Bn"), F.sum("_N").alias("_S"), F.avg("_N").alias("_n"), F.max("_N").alias("_longest"),
+        F.sum(F.col("_N") - 1).alias("_free"),
+    ).join(squares, "name").withColumn("_W", F.try_divide(F.col("_p0"), F.col("_free"))).withColumn(
+        "_vp", (F.col("_n") - 1) / F.col("_n") * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0))
     )
-    per = chain.groupBy("name").agg(
-        F.avg("_s2").alias("_W"), F.var_samp("_m").alias("_Bn"), F.first("_N").alias("_n"), F.count(F.lit(1)).alias("_M")
-    ).withColumn("_vp", (F.col("_n") - 1) / F.col("_n") * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0)))
-    rho = acov.groupBy("name", "_k").agg(F.avg("_acov").alias("_ma")).join(per, "name").withColumn(
-        "_rho", F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(1.0 - F.try_divide(F.col("_W") - F.col("_ma"), F.col("_vp")))
+    # a parameter whose draws are all equal has no autocorrelation
+    rho = products.join(per.filter(F.col("_vp") > 0), "name").withColumn(
+        "_rho", F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(1.0 - (F.col("_W") - F.col("_p") / F.col("_S")) / F.col("_vp"))
     )
     pairs = rho.groupBy("name", F.floor(F.col("_k") / 2).alias("_tp")).agg(
         F.sum("_rho").alias("_P"), F.count(F.lit(1)).alias("_c")
@@ -160,23 +171,28 @@ def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFra
         "_Pm", F.min("_P").over(Window.partitionBy("name").orderBy("_tp").rowsBetween(Window.unboundedPreceding, 0))
     )
     tau = mono.groupBy("name").agg((-1.0 + 2.0 * F.sum("_Pm")).alias("_tau")).join(per, "name")
-    mn = F.col("_M") * F.col("_n")
-    tau_c = F.greatest(F.col("_tau"), F.try_divide(F.lit(1.0), F.log10(mn)))
-    ess = tau.select("name", F.try_divide(mn, tau_c).alias("ess"))
-    trunc = per.select("name", "_n").join(first_neg, "name", "left").select(
-        "name", (F.col("_stop").isNotNull() | (F.lit(max_lag) >= F.col("_n"))).alias("truncated")
+    tau_c = F.greatest(F.col("_tau"), F.try_divide(F.lit(1.0), F.log10(F.col("_S"))))
+    ess = per.select("name").join(tau, "name", "left").select("name", F.try_divide(F.col("_S"), tau_c).alias("ess"))
+    constant = ~F.coalesce(F.col("_vp") > 0, F.lit(False))
+    trunc = per.select("name", "_longest", "_vp").join(first_neg, "name", "left").select(
+        "name", (F.col("_stop").isNotNull() | (F.lit(max_lag) >= F.col("_longest")) | constant).alias("truncated")
     )
     return ess, trunc
 
 
 def _ess_col(x: DataFrame, col: str, start_lag: int = 64) -> DataFrame:
-    """ESS of ``col``, widening the lag range until every parameter's pair
-    sums have turned negative (or all lags are used)."""
-    lag = start_lag
+    """ESS of ``col``; the lag range is widened for those parameters alone whose
+    pair sums have not turned negative yet (and that have further lags)."""
+    lag, rest, done = start_lag, x, None
     while True:
-        ess, trunc = _geyer_ess(x, col, lag)
-        if trunc.filter(~F.col("truncated")).limit(1).count() == 0:
-            return ess
+        ess, trunc = _geyer_ess(rest, col, lag)
+        step = materialize(ess.join(trunc, "name"), "ess-step")
+        settled = step.filter("truncated").select("name", "ess")
+        done = settled if done is None else done.unionByName(settled)
+        still = step.filter("NOT truncated").select("name")
+        if still.isEmpty():
+            return done
+        rest = rest.join(still, "name", "left_semi")
         lag *= 4
 
 

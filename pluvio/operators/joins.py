@@ -1,9 +1,7 @@
 """Join helpers (J rows).
 
-Broadcasting is only done for a side with a proven bound: either a literal
-table, or a table whose row count is checked against a limit first.  Beyond
-the limit the join is left to the shuffle join that AQE may still convert at
-runtime.
+Only literal and one-row tables are broadcast by hand; other joins are left to
+the shuffle join that AQE may convert at runtime.
 """
 
 from __future__ import annotations
@@ -14,16 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job, which stops reading as
-    soon as the bound is exceeded.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def crossing(*dfs: DataFrame) -> DataFrame:
     """tidyr ``crossing``: de-duplicated Cartesian product of small sides.
 

@@ -90,25 +90,26 @@ def _rhat_sql() -> str:
     def rh(w: str, b: str) -> str:
         return f"sqrt(((n - 1.0) / n * {w} + {b}) / {w})"
 
+    def between(m: str) -> str:
+        return f"sum(c.h * pow({m} - t.g{m}, 2)) / ((count(*) - 1) * avg(c.h))"
+
     return with_ctes(
         f"SELECT name, {rnd(rh('wb', 'bb'), 9)} AS rhat_bulk, {rnd(rh('wt', 'bt'), 9)} AS rhat_tail, "
         f"{rnd('greatest(' + rh('wb', 'bb') + ', ' + rh('wt', 'bt') + ')', 9)} AS rhat FROM g",
         "draws",
         extra=[
-            ("nm", "SELECT name, min(n) AS nmin FROM (SELECT name, chain, count(*) AS n FROM draws GROUP BY name, chain) "
-                   "GROUP BY name"),
-            ("sp", "SELECT d.name, d.chain, d.value, nm.nmin // 2 AS h, CASE WHEN d.iteration <= nm.nmin // 2 THEN 1 "
-                   "WHEN d.iteration > nm.nmin - nm.nmin // 2 THEN 2 END AS half FROM draws d JOIN nm ON nm.name = d.name "
-                   "WHERE d.iteration <= nm.nmin"),
-            ("sp2", "SELECT name, chain * 2 + half - 1 AS split, value, h FROM sp WHERE half IS NOT NULL"),
+            ("sp", "SELECT name, chain, value, CASE WHEN iteration <= n // 2 THEN 1 WHEN iteration > n - n // 2 THEN 2 END AS half "
+                   "FROM (SELECT *, count(*) OVER (PARTITION BY name, chain) AS n FROM draws)"),
+            ("sp2", "SELECT name, chain * 2 + half - 1 AS split, value FROM sp WHERE half IS NOT NULL"),
             ("med", "SELECT name, median(value) AS med FROM sp2 GROUP BY name"),
             ("f", "SELECT s.*, abs(s.value - m.med) AS fold FROM sp2 s JOIN med m ON m.name = s.name"),
-            ("pr", f"SELECT name, split, h, {ranknorm('value', 'pb')}, {ranknorm('fold', 'pt')} FROM f"),
-            ("r", f"SELECT name, split, h, {S.norm_ppf('pb')} AS zb, {S.norm_ppf('pt')} AS zt FROM pr"),
-            ("ch", "SELECT name, split, avg(zb) AS mb, var_samp(zb) AS vb, avg(zt) AS mt, var_samp(zt) AS vt, max(h) AS h "
+            ("pr", f"SELECT name, split, {ranknorm('value', 'pb')}, {ranknorm('fold', 'pt')} FROM f"),
+            ("r", f"SELECT name, split, {S.norm_ppf('pb')} AS zb, {S.norm_ppf('pt')} AS zt FROM pr"),
+            ("ch", "SELECT name, split, avg(zb) AS mb, var_samp(zb) AS vb, avg(zt) AS mt, var_samp(zt) AS vt, count(*) AS h "
                    "FROM r GROUP BY name, split"),
-            ("g", "SELECT name, avg(vb) AS wb, var_samp(mb) AS bb, avg(vt) AS wt, var_samp(mt) AS bt, max(h) AS n "
-                  "FROM ch GROUP BY name"),
+            ("gm", "SELECT name, sum(h * mb) / sum(h) AS gmb, sum(h * mt) / sum(h) AS gmt FROM ch GROUP BY name"),
+            ("g", f"SELECT c.name, sum((h - 1) * vb) / sum(h - 1) AS wb, {between('mb')} AS bb, sum((h - 1) * vt) / sum(h - 1) AS wt, "
+                  f"{between('mt')} AS bt, avg(h) AS n FROM ch c JOIN gm t ON t.name = c.name GROUP BY c.name"),
         ],
     )
 
@@ -185,36 +186,38 @@ def transformed_histogram(spark, sf):
 BYM2_SCALING = 0.5
 
 
+_BYM2_HYPER = (
+    "SELECT o_orderkey % 4 + 1 AS chain, o_orderkey // 4 AS iteration, o_totalprice / 100000.0 AS mu, "
+    f"ln(1.0 + o_totalprice) / 10.0 AS sigma, {S.inv_logit('(o_custkey % 41 - 20) / 10.0')} AS rho FROM orders"
+)
+_BYM2_STATION = (
+    "SELECT l_orderkey % 4 + 1 AS chain, l_orderkey // 4 AS iteration, l_suppkey AS station, "
+    "avg((l_quantity - 25.5) / 14.4) AS spatial, avg((l_discount - 0.05) / 0.03) AS random FROM lineitem GROUP BY 1, 2, 3"
+)
+
+
 @query(
     "bym2_combine",
     "D9 J1",
     with_ctes(
         f"SELECT s.chain, s.iteration, s.station, {rnd(f'h.mu + h.sigma * (sqrt(h.rho / {BYM2_SCALING!r}) * s.spatial + sqrt(1.0 - h.rho) * s.random)', 9)} AS value "
-        "FROM sd s JOIN (SELECT chain, iteration, view / 10.0 AS mu, click / 50.0 AS sigma, "
-        f"{S.inv_logit('(purchase - 25.0) / 10.0')} AS rho FROM hyper WHERE view IS NOT NULL AND click IS NOT NULL "
-        "AND purchase IS NOT NULL) h ON h.chain = s.chain AND h.iteration = s.iteration",
-        "draws", "precip",
-        extra=[("hyper", _hyper_sql()),
-               ("sd", "SELECT 1 AS chain, CAST(year - 1994 AS INTEGER) AS iteration, station, "
-                      "(precip - avg(precip) OVER (PARTITION BY year)) / stddev_samp(precip) OVER (PARTITION BY year) AS spatial, "
-                      "(precip - avg(precip) OVER (PARTITION BY station)) / stddev_samp(precip) OVER (PARTITION BY station) AS random "
-                      "FROM precip")],
+        "FROM sd s JOIN h ON h.chain = s.chain AND h.iteration = s.iteration",
+        extra=[("h", _BYM2_HYPER), ("sd", _BYM2_STATION)],
     ),
 )
 def bym2_combine(spark, sf):
+    """Every order is a draw of the hyper-parameters, its lines are the station effects of that draw."""
     fx = Fixtures(spark, sf)
-    wide = shape.pivot_wider(fx.draws(), ["chain", "iteration"], "name", "value", ["view", "click", "purchase"]).dropna()
-    hyper = wide.select(
-        "chain", "iteration", (F.col("view") / 10.0).alias("mu"), (F.col("click") / 50.0).alias("sigma"),
-        dist.inv_logit((F.col("purchase") - 25.0) / 10.0).alias("rho"),
+
+    def draw(key: str):
+        return [(F.col(key) % 4 + 1).alias("chain"), F.floor(F.col(key) / 4).alias("iteration")]
+
+    hyper = fx.table("orders").select(
+        *draw("o_orderkey"), (F.col("o_totalprice") / 100000.0).alias("mu"), (F.log(1.0 + F.col("o_totalprice")) / 10.0).alias("sigma"),
+        dist.inv_logit((F.col("o_custkey") % 41 - 20) / 10.0).alias("rho"),
     )
-    p = fx.precip()
-    by_year = profile.mean_sd(p, ["year"], "precip").withColumnsRenamed({"mean": "_my", "sd": "_sy"})
-    by_station = profile.mean_sd(p, ["station"], "precip").withColumnsRenamed({"mean": "_ms", "sd": "_ss"})
-    sd = p.join(by_year, "year").join(by_station, "station").select(
-        F.lit(1).alias("chain"), (F.col("year") - 1994).cast("int").alias("iteration"), "station",
-        F.try_divide(F.col("precip") - F.col("_my"), F.col("_sy")).alias("spatial"),
-        F.try_divide(F.col("precip") - F.col("_ms"), F.col("_ss")).alias("random"),
+    sd = fx.table("lineitem").groupBy(*draw("l_orderkey"), F.col("l_suppkey").alias("station")).agg(
+        F.avg((F.col("l_quantity") - 25.5) / 14.4).alias("spatial"), F.avg((F.col("l_discount") - 0.05) / 0.03).alias("random")
     )
     b = D.bym2_combine(hyper, sd, BYM2_SCALING)
     return b.select("chain", "iteration", "station", F.round("value", 9).alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions import dist
 from pluvio.functions import sqltext as S
-from pluvio.operators import copula, gev, joins, profile, windows
+from pluvio.operators import copula, gev, profile, windows
 from pluvio.plans.fixtures import EMBEDDING_SIZE, Fixtures, margin_pairs
 from pluvio.plans.oracle_fixtures import rnd, with_ctes
 from pluvio.plans.registry import query
@@ -563,36 +563,35 @@ def normal_scores(spark, sf):
     return u.select("station", "month", F.round("u", 9).alias("u"), F.round(dist.norm_ppf("u"), 9).alias("z"))
 
 
-# Held-out scoring: year 2001 is the test set; 'view' draws perturb the shape.
+# Held-out scoring: year 2001 is the test set.  A vector is one posterior draw, its entries are
+# the draw's shape parameters at the stations of that number.
 HELDOUT_YEAR = 2001
-DRAW_BROADCAST_ROWS = 200_000
-TEST_BROADCAST_ROWS = 2_000_000
 
 
 def _heldout_sql() -> str:
-    xi = f"({S.shape_link_inverse('n.phi + (d.value - 25.0) / 1000.0')})"
+    xi = f"({S.shape_link_inverse('n.phi + d.x / 50.0')})"
     base = (
-        f"SELECT d.chain, d.iteration, t.station, {S.gev_logpdf('t.precip', 't.mu', 't.sigma', xi)} AS lp, "
+        f"SELECT d.vec_id, t.station, {S.gev_logpdf('t.precip', 't.mu', 't.sigma', xi)} AS lp, "
         f"{S.gev_cdf('t.precip', 't.mu', 't.sigma', xi)} AS u "
-        "FROM test t JOIN params n ON n.station = t.station CROSS JOIN (SELECT * FROM draws WHERE name = 'view') d"
+        "FROM test t JOIN params n ON n.station = t.station JOIN vectors d ON d.dim = t.station"
     )
     cop = (
-        f"SELECT chain, iteration, {_AR1_SQL} AS lc "
-        "FROM (SELECT chain, iteration, z, lead(z) OVER (PARTITION BY chain, iteration ORDER BY station) AS nz FROM "
-        f"(SELECT chain, iteration, station, {S.norm_ppf('u')} AS z FROM sc)) GROUP BY chain, iteration"
+        f"SELECT vec_id, {_AR1_SQL} AS lc "
+        "FROM (SELECT vec_id, z, lead(z) OVER (PARTITION BY vec_id ORDER BY station) AS nz FROM "
+        f"(SELECT vec_id, station, {S.norm_ppf('u')} AS z FROM sc)) GROUP BY vec_id"
     )
     per_draw = (
-        "SELECT 'iid' AS model, chain, iteration, sum(lp) AS ll FROM sc GROUP BY chain, iteration "
-        "UNION ALL SELECT 'ar1' AS model, s.chain, s.iteration, s.ll + c.lc FROM "
-        "(SELECT chain, iteration, sum(lp) AS ll FROM sc GROUP BY chain, iteration) s "
-        "JOIN cop c ON c.chain = s.chain AND c.iteration = s.iteration"
+        "SELECT 'iid' AS model, vec_id, sum(lp) AS ll FROM sc GROUP BY vec_id "
+        "UNION ALL SELECT 'ar1' AS model, s.vec_id, s.ll + c.lc FROM "
+        "(SELECT vec_id, sum(lp) AS ll FROM sc GROUP BY vec_id) s JOIN cop c ON c.vec_id = s.vec_id"
     )
     body = (
-        f"SELECT model, {rnd('max(m) + ln(avg(exp(ll - m)))', 6)} AS lpd FROM "
-        "(SELECT model, ll, max(ll) OVER (PARTITION BY model) AS m FROM pd) GROUP BY model"
+        f"SELECT model, {rnd('lpd', 6)} AS lpd, {rnd('lpd - max(CASE WHEN model = ' + repr('iid') + ' THEN lpd END) OVER ()', 6)} AS lpd_diff "
+        "FROM (SELECT model, max(m) + ln(avg(exp(ll - m))) AS lpd FROM "
+        "(SELECT model, ll, max(ll) OVER (PARTITION BY model) AS m FROM pd) GROUP BY model)"
     )
     return with_ctes(
-        body, "params", "precip", "draws",
+        body, "params", "precip", "vectors",
         extra=[_NAT, _SCORED,
                ("test", f"SELECT station, precip, mu, sigma FROM scored WHERE year = {HELDOUT_YEAR}"),
                ("sc", base), ("cop", cop), ("pd", per_draw)],
@@ -601,48 +600,31 @@ def _heldout_sql() -> str:
 
 @query("heldout_lpd", "C15 J13 X6 C3", _heldout_sql())
 def heldout_lpd(spark, sf):
+    """Log predictive density of the held-out year with independent and AR(1)-dependent
+    stations, and the difference from the independent one."""
     fx = Fixtures(spark, sf)
     test = (
         _scored(fx).filter(F.col("year") == HELDOUT_YEAR).select("station", "precip", "mu", "sigma")
         .join(fx.params().select("station", "phi"), "station")
     )
-    # successor of each test station in station order (AR(1) pairs), attached
-    # on the small test table before the fan-out over draws
-    pos, _ = windows.sorted_positions(test.select("station"), [], "station")
-    succ = pos.alias("a").join(pos.alias("b"), F.col("b._pos") == F.col("a._pos") + 1).select(
-        F.col("a.station").alias("station"), F.col("b.station").alias("_next")
-    )
-    nxt = test.select(*[F.col(c).alias(f"{c}_n") for c in test.columns]).withColumnRenamed("station_n", "_next")
-    test = test.join(succ, "station", "left").join(nxt, "_next", "left")
-    d = fx.draws().filter(F.col("name") == "view").select("chain", "iteration", "value")
-    # test rows x draws is the semantics.  Small draw tables are broadcast and
-    # the (lattice-bounded) test rows streamed, spread over the shuffle
-    # partitions first (AQE would coalesce such a small table into one task).
-    # Beyond the limit the draws are streamed in their own partitions and the
-    # test rows are broadcast behind their own size check.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if d.limit(DRAW_BROADCAST_ROWS + 1).count() <= DRAW_BROADCAST_ROWS:
-        j = test.repartition(parts).crossJoin(F.broadcast(d))
-    else:
-        j = d.crossJoin(joins.broadcast_if_small(test, TEST_BROADCAST_ROWS))
-    shift = (F.col("value") - 25.0) / 1000.0
+    j = fx.vectors().join(test, F.col("dim") == F.col("station"))
     # xi as a column: it is referenced in every branch of the GEV formulas
-    j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + shift)).withColumn(
-        "xi_n", dist.shape_link_inverse(F.col("phi_n") + shift)
-    )
-    j = j.withColumn("lp", dist.gev_logpdf("precip", "mu", "sigma", "xi")).withColumn(
-        "u", dist.gev_cdf("precip", "mu", "sigma", "xi")
-    ).withColumn("u_n", F.when(F.col("_next").isNotNull(), dist.gev_cdf("precip_n", "mu_n", "sigma_n", "xi_n")))
-    key = ["chain", "iteration"]
-    # one pass over test rows x draws gives both models' per-draw sums
-    both = copula.ar1_copula_logc_paired(
-        j.select(*key, "lp", "u", "u_n"), key, "u", "u_n", AR1_RHO, extra=[F.sum("lp").alias("ll")]
-    )
-    per_draw = both.select(*key, "ll", F.lit("iid").alias("model")).unionByName(
-        both.select(*key, (F.col("ll") + F.col("log_c")).alias("ll"), F.lit("ar1").alias("model"))
+    j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + F.col("x") / 50.0)).select(
+        "vec_id", "station", dist.gev_logpdf("precip", "mu", "sigma", "xi").alias("lp"),
+        dist.gev_cdf("precip", "mu", "sigma", "xi").alias("u"),
     )
+    # successor in station order within a draw, whose size is the vector's
+    j = j.withColumn("u_n", F.lead("u").over(Window.partitionBy("vec_id").orderBy("station")))
+    both = copula.ar1_copula_logc_paired(j, ["vec_id"], "u", "u_n", AR1_RHO, extra=[F.sum("lp").alias("ll")])
+    per_draw = both.select("vec_id", F.explode(F.array(
+        F.struct(F.lit("iid").alias("model"), F.col("ll")),
+        F.struct(F.lit("ar1").alias("model"), (F.col("ll") + F.col("log_c")).alias("ll")),
+    )).alias("_s")).select("_s.model", "_s.ll")
     out = copula.log_mean_exp(per_draw, ["model"], "ll", "lpd")
-    return out.select("model", F.round("lpd", 6).alias("lpd"))
+    iid = out.filter("model = 'iid'").select(F.col("lpd").alias("_iid"))
+    return out.crossJoin(F.broadcast(iid)).select(
+        "model", F.round("lpd", 6).alias("lpd"), F.round(F.col("lpd") - F.col("_iid"), 6).alias("lpd_diff")
+    )
 
 
 @query(
