@@ -456,7 +456,7 @@ def t_cdf_int(x, nu) -> Column:
     bound once so the series does not re-evaluate the input per term.
     """
     x = _c(x)
-    nu = _c(nu).cast("int")
+    nu = _c(nu).cast("long")
 
     def with_theta(th):
         a = _t_abs_mass(th, nu)
@@ -472,7 +472,7 @@ def _t_abs_mass(th: Column, nu: Column) -> Column:
     :func:`t_cdf_int` written in theta)."""
     c2 = F.cos(th) * F.cos(th)
     odd = (nu % 2) == 1
-    n_terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("int")
+    n_terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("long")
 
     def step(acc, k):
         kd = k.cast("double")
@@ -485,30 +485,13 @@ def _t_abs_mass(th: Column, nu: Column) -> Column:
         )
 
     init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    series = F.aggregate(F.sequence(F.lit(1), F.greatest(n_terms, F.lit(1))), init, step)["total"]
+    series = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n_terms, F.lit(1).cast("long"))), init, step)["total"]
     a_odd = 2.0 / math.pi * (th + F.when(nu > 1, F.sin(th) * F.cos(th) * series).otherwise(F.lit(0.0)))
     return F.when(odd, a_odd).otherwise(F.sin(th) * series)
 
 
 # Bisection steps on theta in [0, pi/2]: 2^-64 pi is below double resolution.
 T_BISECT_STEPS = 64
-# From this many degrees of freedom on, the Cornish-Fisher expansion (four
-# correction terms, error O(nu^-5)) agrees with the exact bisection to ~1e-12
-# and replaces it (the series would need nu / 2 terms per step).
-T_EXPANSION_NU = 1000
-
-
-def t_ppf_expansion(p, nu) -> Column:
-    """Cornish-Fisher expansion of the t quantile in x = Phi^-1(p)
-    (Abramowitz & Stegun 26.7.5), for large degrees of freedom."""
-    x = norm_ppf(_c(p))
-    n = _c(nu).cast("double")
-    g1 = (x ** 3 + x) / 4.0
-    g2 = (5.0 * x ** 5 + 16.0 * x ** 3 + 3.0 * x) / 96.0
-    g3 = (3.0 * x ** 7 + 19.0 * x ** 5 + 17.0 * x ** 3 - 15.0 * x) / 384.0
-    g4 = (79.0 * x ** 9 + 776.0 * x ** 7 + 1482.0 * x ** 5 - 1920.0 * x ** 3 - 945.0 * x) / 92160.0
-    return x + g1 / n + g2 / (n * n) + g3 / (n * n * n) + g4 / (n * n * n * n)
-
 
 def t_ppf_int(p, nu) -> Column:
     """Student-t quantile for any integer degrees of freedom (a Column or int).
@@ -516,12 +499,10 @@ def t_ppf_int(p, nu) -> Column:
     Solves P(|T| <= t) = |2p - 1| by bisection on theta = atan(t / sqrt nu) in
     [0, pi/2): a bounded, monotone problem, so a fixed number of halvings
     reaches double precision without derivatives.  Runs as an ``aggregate``
-    over a sequence (the CDF series nested inside), JVM-side.  From
-    ``T_EXPANSION_NU`` degrees of freedom on, the Cornish-Fisher expansion is
-    used instead.
+    over a sequence (the CDF series nested inside), JVM-side.
     """
     p = _c(p)
-    nu = _c(nu).cast("int")
+    nu = _c(nu).cast("long")
 
     def solve(pv):
         target = F.abs(2.0 * pv - 1.0)
@@ -539,6 +520,6 @@ def t_ppf_int(p, nu) -> Column:
         mag = F.sqrt(nu.cast("double")) * F.tan((b["lo"] + b["hi"]) / 2.0)
         return F.when(pv < 0.5, -mag).otherwise(mag)
 
-    out = F.when(nu >= T_EXPANSION_NU, t_ppf_expansion(p, nu)).otherwise(_let(p, solve))
+    out = _let(p, solve)
     bad = (p <= 0) | (p >= 1) | p.isNull() | nu.isNull() | (nu < 1)
     return F.when(bad, F.lit(None).cast("double")).otherwise(out)

@@ -264,28 +264,3 @@ def t_ppf_expansion(p: str, nu: str) -> str:
     g4 = (f"((79.0 * pow({x}, 9) + 776.0 * pow({x}, 7) + 1482.0 * pow({x}, 5) - 1920.0 * pow({x}, 3) "
           f"- 945.0 * {x}) / 92160.0)")
     return f"({x} + {g1} / {n} + {g2} / ({n} * {n}) + {g3} / ({n} * {n} * {n}) + {g4} / ({n} * {n} * {n} * {n}))"
-
-
-def t_ppf_int_col_steps(p: float, nu: str) -> list[tuple[str, str]]:
-    """Integer-nu t quantile for a degrees-of-freedom *column*: the fixed
-    bisection on theta with the series CDF of :func:`t_cdf_int` below
-    ``T_EXPANSION_NU``, the Cornish-Fisher expansion from there on.  Result
-    in ``tq_val``."""
-    target = _f(abs(2.0 * p - 1.0))
-    small = f"(CASE WHEN {nu} < {D.T_EXPANSION_NU} THEN {nu} ELSE 1 END)"
-    steps = [("tq_lo0", "0.0"), ("tq_hi0", _f(math.pi / 2))]
-    for k in range(D.T_BISECT_STEPS):
-        mid = f"tq_m{k}"
-        mass = f"(2.0 * {t_cdf_int(f'sqrt(CAST({small} AS DOUBLE)) * tan({mid})', small)} - 1.0)"
-        steps += [
-            (mid, f"((tq_lo{k} + tq_hi{k}) / 2.0)"),
-            (f"tq_lo{k + 1}", f"CASE WHEN {mass} < {target} THEN {mid} ELSE tq_lo{k} END"),
-            (f"tq_hi{k + 1}", f"CASE WHEN {mass} < {target} THEN tq_hi{k} ELSE {mid} END"),
-        ]
-    last = D.T_BISECT_STEPS
-    sign = "-" if p < 0.5 else ""
-    bis = f"{sign}sqrt(CAST({nu} AS DOUBLE)) * tan((tq_lo{last} + tq_hi{last}) / 2.0)"
-    steps.append(
-        ("tq_val", f"CASE WHEN {nu} >= {D.T_EXPANSION_NU} THEN {t_ppf_expansion(f'CAST({_f(p)} AS DOUBLE)', nu)} ELSE {bis} END")
-    )
-    return steps

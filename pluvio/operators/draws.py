@@ -48,9 +48,9 @@ def summarise_draws(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or ["name"]
     mom = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     q = profile.group_quantiles(draws, by, "value", [0.05, 0.5, 0.95], "_q")
-    q = q.select(*by, F.col("_q0050").alias("q5"), F.col("_q0500").alias("median"), F.col("_q0950").alias("q95"))
+    q = q.select(*by, F.col("_q0").alias("q5"), F.col("_q1").alias("median"), F.col("_q2").alias("q95"))
     dev = draws.join(q.select(*by, "median"), by).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
-    mad = profile.group_quantiles(dev, by, "_dev", [0.5], "_m").select(*by, (F.col("_m0500") * MAD_SCALE).alias("mad"))
+    mad = profile.group_quantiles(dev, by, "_dev", [0.5], "_m").select(*by, (F.col("_m0") * MAD_SCALE).alias("mad"))
     return mom.join(q, by).join(mad, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
 
 
@@ -112,7 +112,7 @@ def rhat(draws: DataFrame) -> DataFrame:
     keyed by (name, which), so a single distributed ranking serves both.
     """
     d = materialize(_split_chains(draws), "rhat-split")
-    med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0500").alias("_med"))
+    med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0").alias("_med"))
     d = d.join(med, "name")
     base = ["name", "_split"]
     both = d.select(*base, F.lit("bulk").alias("which"), F.col("value").alias("v")).unionByName(
@@ -206,7 +206,7 @@ def ess(draws: DataFrame) -> DataFrame:
     d = materialize(_split_chains(draws), "ess-split")
     d = _rank_normal(d, "value", "_zb")
     q = profile.group_quantiles(d, ["name"], "value", [0.05, 0.95], "_q").select(
-        "name", F.col("_q0050").alias("_q05"), F.col("_q0950").alias("_q95")
+        "name", F.col("_q0").alias("_q05"), F.col("_q1").alias("_q95")
     )
     x = materialize(
         d.join(q, "name").select(

@@ -196,7 +196,8 @@ def local_moran(values: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     E_i = -z_i^2 W_i / ((n - 1) m2);
     Var_i = (z_i / m2)^2 n/(n-2) (m2 - z_i^2/(n-1)) (W2_i - W_i^2/(n-1));
     Z_i = (I_i - E_i)/sqrt(Var_i); p = 1 - Phi(Z) (alternative "greater").
-    Global moments are one-row aggregates cross-joined (broadcast).
+    Global moments are one-row aggregates cross-joined (broadcast).  A station without
+    neighbours has NULL statistics.
     """
     x = values.select("station", F.col(value).alias("x"))
     glob = x.agg(F.avg("x").alias("_mean"), F.count(F.lit(1)).alias("_n"))
@@ -214,7 +215,7 @@ def local_moran(values: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     n = F.col("_n").cast("double")
     m2c = F.col("m2")
     out = (
-        z.join(lag, "station", "inner")
+        z.join(lag, "station", "left")
         .crossJoin(F.broadcast(m2))
         .select(
             "station",

@@ -16,7 +16,7 @@ from pluvio.operators import windows
 def group_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "q"
 ) -> DataFrame:
-    """Exact linear-interpolation (type 7) quantiles per group, one column per prob.
+    """Exact linear-interpolation (type 7) quantiles per group, columns ``prefix`` + index of the prob.
 
     No group is collected: positions in sorted order come from a range
     shuffle (``windows.sorted_positions``); for each group and prob the two
@@ -43,7 +43,7 @@ def group_quantiles(
     )
     q = q.withColumn("_q", F.col("_vlo") + F.col("_f") * (F.coalesce("_vhi", "_vlo") - F.col("_vlo")))
     return q.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{round(p * 1000):04d}") for i, p in enumerate(probs)]
+        *[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
     )
 
 
@@ -100,7 +100,7 @@ def skim(df: DataFrame, cols: list[str]) -> DataFrame:
         F.countDistinct("value").alias("n_distinct"),
     )
     q = group_quantiles(long.filter(F.col("value").isNotNull()), ["variable"], "value", [0.0, 0.25, 0.5, 0.75, 1.0], "p")
-    return base.join(q, "variable", "left")
+    return base.join(q.toDF("variable", "p0000", "p0250", "p0500", "p0750", "p1000"), "variable", "left")
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None) -> DataFrame:
@@ -150,7 +150,7 @@ def winsorise(df: DataFrame, value: str, by: list[str], lo: float, hi: float, ou
     """
     out_col = out_col or value
     q = group_quantiles(df, by, value, [lo, hi], "_q")
-    lo_c, hi_c = f"_q{round(lo * 1000):04d}", f"_q{round(hi * 1000):04d}"
+    lo_c, hi_c = "_q0", "_q1"
     v = F.col(value)
     clipped = F.when(v > F.col(hi_c), F.col(hi_c)).when(v < F.col(lo_c), F.col(lo_c)).otherwise(v)
     return df.join(q, by).withColumn(out_col, clipped).drop(lo_c, hi_c)
@@ -168,8 +168,7 @@ def zscore_then_pooled_winsorise(
     m = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     z = df.join(m, group).withColumn(value, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
     q = group_quantiles(z.withColumn("_all", F.lit(1)), ["_all"], value, [lo, hi], "_q").drop("_all")
-    lo_c, hi_c = f"_q{round(lo * 10000):04d}", f"_q{round(hi * 10000):04d}"
-    q = q.toDF(*[lo_c, hi_c])
+    lo_c, hi_c = "_q0", "_q1"
     v = F.col(value)
     clipped = (
         F.when(F.col(group) == exempt, v)

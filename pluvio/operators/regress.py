@@ -7,6 +7,8 @@ table (k <= 12 neighbours), never the raw rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,7 @@ def univariate_ols(df: DataFrame, keys: list[str], y: str = "y", x: str = "x") -
     s2 = F.try_divide(F.col("syy") - F.col("estimate") * F.col("sxy"), F.col("n") - 1)
     out = s.withColumn("estimate", beta).withColumn("std_error", F.sqrt(F.try_divide(s2, F.col("sxx"))))
     out = out.withColumn("statistic", F.try_divide(F.col("estimate"), F.col("std_error")))
-    df_resid = (F.col("n") - 1).cast("int")
+    df_resid = F.col("n") - 1
     p = 2.0 * (1.0 - dist.t_cdf_int(F.abs(F.col("statistic")), df_resid))
     return out.withColumn("p_value", F.when(F.col("n") > 1, p)).select(
         *keys, "n", "estimate", "std_error", "statistic", "p_value"
@@ -61,23 +63,48 @@ def gram_by_site(pairs: DataFrame, site: str, t: str, type_col: str, y: str, x:
     return xx.unionByName(xy.select(site, "a", "b", "v")).unionByName(yy).join(n, site)
 
 
-def _t_sf2(t: np.ndarray, nu: int) -> np.ndarray:
-    """2 (1 - F_t(|t|; nu)) for integer nu, numpy version of the series."""
-    th = np.arctan(np.abs(t) / np.sqrt(nu))
-    c2 = np.cos(th) ** 2
-    if nu % 2 == 1:
-        total, term = 1.0, 1.0
-        for k in range(1, (nu - 1) // 2):
-            term = term * (2 * k) / (2 * k + 1) * c2
-            total = total + term
-        a = 2 / np.pi * (th + (np.sin(th) * np.cos(th) * total if nu > 1 else 0.0))
-    else:
-        total, term = 1.0, 1.0
-        for k in range(1, nu // 2):
-            term = term * (2 * k - 1) / (2 * k) * c2
-            total = total + term
-        a = np.sin(th) * total
-    return 1.0 - a
+def _half_step(a: float) -> float:
+    """ln(Gamma(a + 1/2) / Gamma(a)): the asymptotic series at a + 20, brought back to a."""
+    s, b = 0.0, a
+    while b < a + 20:
+        s += math.log(b / (b + 0.5))
+        b += 1
+    return s + 0.5 * math.log(b) - 1 / (8 * b) + 1 / (192 * b**3) - 1 / (640 * b**5)
+
+
+#: Exp-sinh quadrature of (0, inf): nodes and weights.
+_V = np.arange(-390, 391) / 64
+_NODES = np.exp(np.pi / 2 * np.sinh(_V))
+_WEIGHTS = _NODES * np.pi / 2 * np.cosh(_V) / 64
+
+
+def _t_log_constant(nu: float) -> float:
+    return _half_step(nu / 2) - 0.5 * math.log(nu * math.pi)
+
+
+def t_two_sided(t: float, nu: float) -> float:
+    """P(|T| > |t|) of Student's t for any real nu > 0: the density integrated over the tail,
+    so that small probabilities keep their digits."""
+    if not math.isfinite(t):
+        return 0.0 if math.isinf(t) else math.nan
+    s = abs(t) + _NODES
+    tail = np.exp(_t_log_constant(nu) - (nu + 1) / 2 * np.log1p(s * s / nu)) @ _WEIGHTS
+    return min(1.0, 2 * float(tail))
+
+
+def t_critical(level: float, nu: float) -> float:
+    """t with P(|T| <= t) = level: Newton's method on ln P(|T| > t) over ln t, which is concave."""
+    alpha, u = 1 - level, 0.0
+    const = _t_log_constant(nu)
+    for _ in range(100):
+        t = math.exp(u)
+        p = t_two_sided(t, nu)
+        slope = -2 * math.exp(const - (nu + 1) / 2 * math.log1p(t * t / nu)) * t / p
+        step = math.log(p / alpha) / slope
+        u -= step
+        if abs(step) < 1e-15:
+            break
+    return math.exp(u)
 
 
 def site_regressions(gram: DataFrame, site: str = "station", divide_by_t: bool = True) -> DataFrame:
@@ -114,7 +141,7 @@ def site_regressions(gram: DataFrame, site: str = "station", divide_by_t: bool =
             cov = s2 * np.linalg.inv(xtx)
             se = np.sqrt(np.diag(cov))
             stat = beta / se
-            pv = _t_sf2(stat, dfree) if dfree > 0 else np.full(k, np.nan)
+            pv = np.array([t_two_sided(float(s), dfree) if dfree > 0 else np.nan for s in stat])
             tau2 = rss / n if divide_by_t else s2
             for t_, i in idx.items():
                 rows.append((sid, t_, float(beta[i]), float(se[i]), float(stat[i]), float(pv[i]), tau2, n))
@@ -154,42 +181,77 @@ def assemble_precision(beta: DataFrame, tau2: DataFrame) -> DataFrame:
     )
 
 
-def dummy_ols(df: DataFrame, y: str, factor: str, levels: list[str], level: float = 0.95) -> DataFrame:
-    """Global OLS y ~ 1 + dummies(factor) with a confidence interval, tidy (L3).
+def model_terms(numeric: list[str], factors: dict[str, list[str]]) -> dict[str, Column]:
+    """Design columns of ``lm(y ~ numeric + factors)``: the first level of a factor is its base."""
+    terms = {"(Intercept)": F.lit(1.0)} | {c: F.col(c).cast("double") for c in numeric}
+    for f, levels in factors.items():
+        terms |= {f"{f}{v}": F.when(F.col(f) == v, 1.0).otherwise(0.0) for v in levels[1:]}
+    return terms
+
+
+def model_rows(df: DataFrame, y: str, numeric: list[str], factors: dict[str, list[str]]) -> DataFrame:
+    """The rows a fit uses: finite numbers and listed levels."""
+    keep = dist.is_finite(y)
+    for c in numeric:
+        keep = keep & dist.is_finite(c)
+    for f, levels in factors.items():
+        keep = keep & F.col(f).isin(levels)
+    return df.filter(keep)
+
 
-    With a single factor the normal equations decouple: the intercept is the
-    base level's mean and each dummy is a difference of level means.  One
-    grouped aggregate gives n, sum and sum of squares per level; the
-    residual variance pools the within-level sums of squares.  The interval
-    is estimate +- t_{(1+level)/2, n-k} se, as ``confint`` gives for ``lm``.
+def linear_model(df: DataFrame, y: str, numeric: list[str], factors: dict[str, list[str]], level: float = 0.95) -> DataFrame:
+    """OLS of y on numeric columns and factors, tidy with p-value and interval (L3).
+
+    One pass gives the sums of products of the design columns (numeric ones and y
+    centred by their means, which a one-row aggregate before it gives); the k x k
+    solve runs in one task on that single row.  Rows with non-finite numbers or
+    levels that are not listed are left out of the whole fit.  The interval is
+    estimate +- t_{(1+level)/2, n-k} se, as ``confint`` gives for ``lm``.  A singular
+    design gives NULL estimates.
     """
-    base, *rest = levels
-    stats = df.groupBy(factor).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), F.sum(F.col(y) * F.col(y)).alias("ss")
-    )
-    tot = stats.agg(
-        F.sum(F.col("ss") - F.col("n") * F.col("m") * F.col("m")).alias("sse"),
-        F.sum("n").alias("n_all"),
-    ).withColumn("s2", F.col("sse") / (F.col("n_all") - len(levels)))
-    b = stats.filter(F.col(factor) == base).select(F.col("n").alias("n0"), F.col("m").alias("m0"))
-    g = stats.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(tot))
-    is_base = F.col(factor) == base
-    est = F.when(is_base, F.col("m0")).otherwise(F.col("m") - F.col("m0"))
-    se = F.when(is_base, F.sqrt(F.col("s2") / F.col("n0"))).otherwise(
-        F.sqrt(F.col("s2") * (1.0 / F.col("n") + 1.0 / F.col("n0")))
-    )
-    term = F.when(is_base, F.lit("(Intercept)")).otherwise(F.concat(F.lit(factor), F.col(factor)))
-    dfree = (F.col("n_all") - len(levels)).cast("int")
-    out = g.filter(F.col(factor).isin(levels)).select(
-        term.alias("term"), est.alias("estimate"), se.alias("std_error"),
-        dist.t_ppf_int(F.lit((1.0 + level) / 2.0), dfree).alias("_tq"),
-    )
-    return out.select(
-        "term", "estimate", "std_error",
-        (F.col("estimate") / F.col("std_error")).alias("statistic"),
-        (F.col("estimate") - F.col("_tq") * F.col("std_error")).alias("conf_low"),
-        (F.col("estimate") + F.col("_tq") * F.col("std_error")).alias("conf_high"),
+    terms = list(model_terms(numeric, factors))
+    k = len(terms)
+    rows = model_rows(df, y, numeric, factors)
+    means = rows.agg(F.avg(y).alias("_my"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(numeric, 1)])
+    centred = {c: F.col(c) - F.col(f"_m{i}") for i, c in enumerate(numeric, 1)}
+    design = [centred.get(t, x) for t, x in model_terms(numeric, factors).items()]
+    x = rows.crossJoin(F.broadcast(means)).select(
+        *[c.alias(f"x{i}") for i, c in enumerate(design)], (F.col(y) - F.col("_my")).alias("_y")
     )
+    cols = [*[f"x{i}" for i in range(k)], "_y"]
+    sums = x.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(a) * F.col(b)).alias(f"{a}:{b}") for i, a in enumerate(cols) for b in cols[i:]],
+    ).crossJoin(F.broadcast(means))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        n = int(row["n"])
+        g = np.array([[row[f"{cols[min(i, j)]}:{cols[max(i, j)]}"] for j in range(k + 1)] for i in range(k + 1)], float)
+        back = np.eye(k)  # from centred columns to the given ones: only the intercept changes
+        back[0, 1 : 1 + len(numeric)] = [-float(row[f"_m{i}"] or 0.0) for i in range(1, len(numeric) + 1)]
+        out = pd.DataFrame({"term": terms, "n": n})
+        names = ["estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
+        try:
+            beta = np.linalg.solve(g[:k, :k], g[:k, k])
+            cov = np.linalg.inv(g[:k, :k])
+        except np.linalg.LinAlgError:
+            return out.assign(**dict.fromkeys(names, np.nan)).astype({c: "float64" for c in names})
+        s2 = (g[k, k] - beta @ g[:k, k]) / (n - k) if n > k else np.nan
+        est = back @ beta
+        est[0] += float(row["_my"])
+        se = np.sqrt(s2 * np.diag(back @ cov @ back.T))
+        tq = t_critical(level, n - k) if n > k else np.nan
+        p = [t_two_sided(float(s), n - k) if n > k else np.nan for s in est / se]
+        return out.assign(estimate=est, std_error=se, statistic=est / se, p_value=p, conf_low=est - tq * se, conf_high=est + tq * se)
+
+    schema = "term string, n bigint, estimate double, std_error double, statistic double, p_value double, conf_low double, conf_high double"
+    return sums.groupBy("n").applyInPandas(solve, schema)
+
+
+def dummy_ols(df: DataFrame, y: str, factor: str, levels: list[str], level: float = 0.95) -> DataFrame:
+    """``lm(y ~ factor)`` with the first of ``levels`` as base (L3)."""
+    return linear_model(df, y, [], {factor: levels}, level)
 
 
 def _hat(xc: Column, left: Column, mid: Column, right: Column) -> Column:

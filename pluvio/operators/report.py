@@ -19,11 +19,9 @@ def income_units(rows: DataFrame, keys: list[str], value: str, type_label: str |
     ``type`` column, so several sources share one quantile pass.
     """
     probs = [u / 100 for u in INCOME_UNITS]
-    q = profile.group_quantiles(rows, keys, value, probs, "q")
-    qcols = [c for c in q.columns if c not in keys]
-    long = q.unpivot(keys, qcols, "unit", "income").withColumn(
-        "unit", (F.regexp_extract("unit", r"q0*([0-9]+)", 1).cast("int") / 10).cast("int").cast("string")
-    )
+    units = [str(u) for u in INCOME_UNITS]
+    q = profile.group_quantiles(rows, keys, value, probs, "q").toDF(*keys, *units)
+    long = q.unpivot(keys, units, "unit", "income")
     mean = rows.groupBy(*keys).agg(F.avg(value).alias("income")).withColumn("unit", F.lit("mean"))
     out = shape.bind_rows(long, mean)
     return shape.tag(out, "type", type_label) if type_label else out
@@ -35,8 +33,8 @@ def income_pipeline(sources: list[DataFrame], cpi: DataFrame, ref_year: int, age
     ``sources`` are long (year, age, unit, type, income) tables; the mean unit
     is spread beside the quantile rows (R9), both deflated to ``ref_year``
     prices (J12), compared with the group's first year (W6; groups are
-    (age, unit, type), so windows hold one row per year), the first year and
-    unit 95 dropped, labels translated.
+    (age, unit, type), so windows hold one row per year), the first year
+    dropped, labels translated.
     """
     d = shape.bind_rows(*sources)
     d = shape.spread_unit(d, ["year", "age", "type"], "unit", "mean", "income", "mean_income")
@@ -47,7 +45,7 @@ def income_pipeline(sources: list[DataFrame], cpi: DataFrame, ref_year: int, age
     d = windows.ratio_to_base(d, grp, "year", "group_income", "group_change")
     d = windows.ratio_to_base(d, grp, "year", "mean_income", "mean_change")
     d = shape.filter_vs_global(d, "year", "min", ">")
-    d = d.withColumn("quantile", F.col("unit").cast("int")).filter(F.col("quantile") != 95)
+    d = d.withColumn("quantile", F.col("unit").cast("int"))
     d = d.withColumn("age", text.recode(F.initcap(F.lower("age")), age_labels))
     d = d.withColumn(
         "type", F.when(F.col("type") == "total", F.lit("Total Income")).otherwise(F.lit("Salary Income"))

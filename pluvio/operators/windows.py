@@ -43,7 +43,7 @@ def dense_row_number(
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
     return (
         local.join(offsets, on=keys, how="inner")
-        .withColumn(out_col, (F.col("_off") + F.col("_local")).cast("int"))
+        .withColumn(out_col, F.col("_off") + F.col("_local"))
         .drop("_blk", "_local", "_off")
     )
 

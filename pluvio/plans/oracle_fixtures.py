@@ -56,7 +56,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "draws": (
         "SELECT CAST(event_id % 4 + 1 AS INTEGER) AS chain, event_type AS name, "
-        "CAST(row_number() OVER (PARTITION BY event_id % 4 + 1, event_type ORDER BY event_id) AS INTEGER) "
+        "row_number() OVER (PARTITION BY event_id % 4 + 1, event_type ORDER BY event_id) "
         "AS iteration, value FROM events",
         (),
     ),

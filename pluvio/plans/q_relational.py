@@ -513,7 +513,7 @@ def neighbour_pairs(spark, sf):
         "SELECT a.new_name AS station, b.new_name AS neighbor, e.type FROM edges e "
         "JOIN nn a ON a.station = e.station JOIN nn b ON b.station = e.neighbor",
         "edges", "stations",
-        extra=[("nn", "SELECT station, CAST(row_number() OVER (ORDER BY station) AS INTEGER) AS new_name "
+        extra=[("nn", "SELECT station, row_number() OVER (ORDER BY station) AS new_name "
                       "FROM stations WHERE proj_x BETWEEN 2 AND 7")],
     ),
 )

@@ -97,6 +97,33 @@ def test_distributed_ess_matches_fft(spark):
     assert abs(got - _fft_ess(z)) < 1e-6 * got
 
 
+def test_t_tail_and_quantile_against_published_values():
+    # fixed values: two-sided 5 % points of Student's t by degrees of freedom
+    for nu, t in ((1, 12.7062047), (2, 4.3026527), (5, 2.5705818), (10, 2.2281389), (30, 2.0422725), (120, 1.9799304)):
+        assert abs(regress.t_critical(0.95, nu) - t) < 1e-7
+        assert abs(regress.t_two_sided(t, nu) - 0.05) < 1e-8
+    assert abs(regress.t_critical(0.95, 3e9) - 1.959963985) < 1e-8  # degrees of freedom beyond 32 bits
+    assert 0 < regress.t_two_sided(40.0, 200) < 1e-90  # no cancellation in the tail
+
+
+def test_linear_model_matches_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    f, g, x = rng.choice(["a", "b", "c"], 300), rng.choice(["u", "v"], 300), rng.normal(1e4, 1, 300)
+    y = 3 + 2 * x + (f == "b") - 4 * (g == "v") + rng.normal(size=300)
+    rows = [(float(a), float(b), str(c), str(d)) for a, b, c, d in zip(y, x, f, g)]
+    df = spark.createDataFrame([*rows, (None, 1.0, "a", "u"), (1.0, 1.0, "z", "u")], "y double, x double, f string, g string")
+    out = {r.term: r for r in regress.linear_model(df, "y", ["x"], {"f": ["a", "b", "c"], "g": ["u", "v"]}).collect()}
+    design = np.column_stack([np.ones(300), x - x.mean(), f == "b", f == "c", g == "v"]).astype(float)
+    beta, rss = np.linalg.lstsq(design, y, rcond=None)[:2]
+    se = np.sqrt(rss[0] / 295 * np.diag(np.linalg.inv(design.T @ design)))
+    for i, t in enumerate(["x", "fb", "fc", "gv"], 1):
+        assert out[t].n == 300
+        assert abs(out[t].estimate - beta[i]) < 1e-7 and abs(out[t].std_error - se[i]) < 1e-7
+        assert abs(out[t].conf_high - out[t].estimate - regress.t_critical(0.95, 295) * se[i]) < 1e-7
+
+
 def test_penalised_sweep_reproduces_linear_signal(spark):
     xs = [1995.0 + 0.25 * i for i in range(25)]
     df = spark.createDataFrame([(x, 3.0 + 2.0 * (x - 1995.0)) for x in xs], "year double, precip double")
