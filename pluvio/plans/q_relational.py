@@ -148,7 +148,7 @@ def sampler_csv_long(spark, sf):
     wide = shape.pivot_wider(Fixtures(spark, sf).draws(), ["chain", "iteration"], "name", "value", DRAW_NAMES)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sampler-{uuid.uuid4().hex[:12]}"
     io.write_csv(wide, path)
-    schema = "chain int, iteration int, " + ", ".join(f"{n} double" for n in DRAW_NAMES)
+    schema = "chain int, iteration bigint, " + ", ".join(f"{n} double" for n in DRAW_NAMES)
     return files.read_sampler_csv(spark, path, ["chain", "iteration"], schema)
 
 
