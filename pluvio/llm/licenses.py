@@ -4,16 +4,19 @@ Lines that name a license are candidate blocks.  Each is compressed on its own a
 with every template as a zstandard raw dictionary; the template that saves
 most is the candidate, and the exact differences in wording between block and
 template confirm it: all but a bounded share of the template's words must stand
-in the block, in order.
+in the block, in order, within a span that has a bounded number of other words.
+Words outside the span do not count.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,7 +40,7 @@ TEMPLATES = {
 }
 #: What makes a line a candidate.
 TRIGGER = "(?i)licen[sc]|copyright|all rights reserved|spdx|permission is hereby"
-#: Share of the template's words that must stand in the block, and words a block may have besides for each of the template's.
+#: Share of the template's words that must stand in the block, and words their span may have besides for each of the template's.
 MATCHED, EXTRA = 0.75, 3.0
 #: Bytes of a block beyond which it is cut into overlapping windows.
 WINDOW = 4096
@@ -59,8 +62,39 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z]+|\d+", text.lower())
 
 
+def spans(template: list[str], own: list[str]) -> list[tuple[int, int, int]]:
+    """(first, last, words in common) of the confirmed spans of ``own``: for each last word the one
+    that differs least from the template.  Exact: for each number of words in common
+    the latest first word is kept, by prefix of the template.
+    """
+    m, need = len(template), math.ceil(MATCHED * len(template))
+    if sum((Counter(template) & Counter(own)).values()) < need:
+        return []
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(template, 1):
+        at.setdefault(w, []).append(i)
+    first = np.full((m + 1, m + 1), -1)  # by template prefix and words in common
+    out = []
+    for j, w in enumerate(own):
+        if w not in at:
+            continue
+        first[:, 0] = j
+        old = first.copy()
+        for i in at[w]:
+            np.maximum(first[i, 1:], old[i - 1, :-1], out=first[i, 1:])
+        np.maximum.accumulate(first, axis=0, out=first)
+        best = None
+        for k in range(m, need - 1, -1):
+            f = int(first[m, k])
+            if f >= 0 and j - f + 1 - k <= EXTRA * m and (best is None or j - f - 2 * k < best[0]):
+                best = (j - f - 2 * k, f, j, k)
+        if best:
+            out.append(best[1:])
+    return out
+
+
 def scan_block(block: str) -> tuple[str, int, int, int, int] | None:
-    """(license, plain bytes, bytes with its dictionary, template words missing, words extra), or None."""
+    """(license, plain bytes, bytes with its dictionary, template words missing, words extra in the span), or None."""
     plain, known = _compressors()
     data = block.encode()
     alone = len(plain.compress(data))
@@ -70,10 +104,9 @@ def scan_block(block: str) -> tuple[str, int, int, int, int] | None:
         if size >= alone:
             break
         words = _words(TEMPLATES[name])
-        same = sum(m.size for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks())
-        missing, extra = len(words) - same, len(own) - same
-        if same >= MATCHED * len(words) and extra <= EXTRA * len(words):
-            return name, alone, size, missing, extra
+        found = [(len(words) - k, last - first + 1 - k) for first, last, k in spans(words, own)]
+        if found:
+            return name, alone, size, *min(found, key=sum)
     return None
 
 

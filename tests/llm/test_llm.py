@@ -87,6 +87,19 @@ def test_license_lines(spark, odd, empty):
     assert license_blocks(odd).count() == 0 and license_blocks(empty).count() == 0
 
 
+def test_license_inside_long_lines(spark):
+    from pluvio.llm.licenses import TEMPLATES, _words, license_blocks, spans
+
+    notice = TEMPLATES["Apache-2.0"]
+    rows = [(91, "x " * 5000 + notice + " y" * 5000), (92, "these words say nothing at all " * 12 + notice + " and more of the same follows" * 12)]
+    got = {r.doc_id: r for r in license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows:
+        assert (got[i].license, got[i].line, got[i].missing_words, got[i].extra_words) == ("Apache-2.0", 0, 0, 0)
+    words = _words(notice)
+    assert spans(words, ["the", *["z"] * 50, *words[:3], "new", *words[3:], *["z"] * 50, "license"])[-1] == (51, 59, 8)
+    assert spans(words, [w for x in words for w in [x, *["z"] * 5]]) == []
+
+
 # -- 3 byte-level BPE ---------------------------------------------------------
 @pytest.mark.parametrize("native", [False, True])
 def test_bpe_round_trip(odd, empty, docs, native):
