@@ -1,17 +1,20 @@
 """License scans by conditional compression.
 
-Lines that name a license are candidate blocks.  Each is compressed on its own and
-with every template as a zstandard raw dictionary; the template that saves
-most is the candidate, and the exact differences in wording between block and
-template confirm it: all but a bounded share of the template's words must stand
-in the block, in order, within a span that has a bounded number of other words.
-Words outside the span do not count.
+The words around each place that names a license, over as many lines as the longest confirmed
+notice can have, are a candidate block: lines joined, comment marks dropped, neighbouring places in one block.
+Each block is compressed on its own and with every template as a zstandard raw
+dictionary; the templates that save bytes are candidates, and the exact differences
+in wording between block and template confirm them: all but a bounded share of the
+template's words must stand in the block, in order, within a span that has a bounded
+number of other words.  Words outside the span do not count.  All confirmed notices are
+reported; of those that share words, the one that differs least by its length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,11 +41,13 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "AllRightsReserved": "Copyright. All rights reserved.",
 }
-#: What makes a line a candidate.
-TRIGGER = "(?i)licen[sc]|copyright|all rights reserved|spdx|permission is hereby"
+#: What makes a place a candidate; its words may stand on several lines.
+TRIGGER = r"(?i)licen[sc]|copyright|all\W+rights\W+reserved|spdx|permission\W+is\W+hereby"
+#: Dropped from both ends of a line before lines are joined.
+MARKS = " \t\r\f\v/*#;%!<>-|"
 #: Share of the template's words that must stand in the block, and words their span may have besides for each of the template's.
 MATCHED, EXTRA = 0.75, 3.0
-#: Bytes of a block beyond which it is cut into overlapping windows.
+#: Characters of a block beyond which it is compressed in overlapping windows.
 WINDOW = 4096
 
 
@@ -58,8 +63,15 @@ def _compressors():
     }
 
 
+_WORD = re.compile(r"[A-Za-z]+|\d+")
+
+
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z]+|\d+", text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+#: Words that the span of a confirmed notice has at most.
+REACH = max(math.floor((1 + EXTRA) * len(_words(t))) for t in TEMPLATES.values())
 
 
 def spans(template: list[str], own: list[str]) -> list[tuple[int, int, int]]:
@@ -93,21 +105,71 @@ def spans(template: list[str], own: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def scan_block(block: str) -> tuple[str, int, int, int, int] | None:
-    """(license, plain bytes, bytes with its dictionary, template words missing, words extra in the span), or None."""
+def _sizes(block: str) -> list[tuple[int, int, int, dict[str, int]]]:
+    """(start, end, bytes alone, bytes with each dictionary that saves any) of the windows of the block."""
     plain, known = _compressors()
-    data = block.encode()
-    alone = len(plain.compress(data))
-    ranked = sorted((len(c.compress(data)), name) for name, c in known.items())
-    own = _words(block)
-    for size, name in ranked[:3]:  # size ties and near ties are settled by the wording
-        if size >= alone:
+    out = []
+    for at in range(0, max(len(block), 1), WINDOW // 2):
+        data = block[at : at + WINDOW].encode()
+        alone = len(plain.compress(data))
+        sizes = {name: len(c.compress(data)) for name, c in known.items()}
+        out.append((at, at + WINDOW, alone, {name: x for name, x in sizes.items() if x < alone}))
+        if at + WINDOW >= len(block):
             break
+    return out
+
+
+def scan_block(block: str) -> list[tuple[int, str, int, int, int, int]]:
+    """All notices: (first character, license, plain bytes, bytes with its dictionary, template words missing, words extra in the span)."""
+    windows = _sizes(block)
+    at = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(block)]
+    own = [w for _, _, w in at]
+    found = []
+    for name in sorted({n for *_, saved in windows for n in saved}):
         words = _words(TEMPLATES[name])
-        found = [(len(words) - k, last - first + 1 - k) for first, last, k in spans(words, own)]
-        if found:
-            return name, alone, size, *min(found, key=sum)
-    return None
+        for first, last, k in spans(words, own):
+            begin, end = at[first][0], at[last][1]
+            # the window that holds most of the notice; windows that save nothing say nothing about it
+            held = [(min(end, e) - max(begin, b), alone - saved[name], alone, saved[name]) for b, e, alone, saved in windows if name in saved and b < end and begin < e]
+            if held:
+                _, _, alone, size = max(held)
+                missing, extra = len(words) - k, last - first + 1 - k
+                found.append(((missing + extra) / len(words), size - alone, first, last, extra, (begin, name, alone, size, missing, extra)))
+    taken = np.zeros(len(own), bool)
+    out = []
+    for _, _, first, last, extra, row in sorted(found):
+        # words of a notice that stands inside another one are extra words of the outer one
+        if not (taken[first] or taken[last] or taken[first : last + 1].sum() > extra):
+            taken[first : last + 1] = True
+            out.append(row)
+    return sorted(out)
+
+
+def blocks(text: str) -> list[tuple[list[int], list[int], str]]:
+    """Candidate blocks: first character and number (from 0) of each of its lines, and the joined lines."""
+    lines = [x.strip(MARKS) for x in text.split("\n")]
+    starts = np.cumsum([0, *[len(x) + 1 for x in lines]])[:-1]
+    joined = " ".join(lines)
+    hits = [(m.start(), m.end()) for m in re.finditer(TRIGGER, joined)]
+    if not hits:
+        return []
+    at = np.array([(m.start(), m.end()) for m in _WORD.finditer(joined)])
+    near: list[list[int]] = []
+    for begin, end in hits:  # no confirmed notice reaches farther
+        a, b = np.searchsorted(at[:, 1], begin, "right"), np.searchsorted(at[:, 0], end) - 1
+        a, b = max(int(a) - REACH, 0), min(int(b) + REACH, len(at) - 1)
+        if near and a <= near[-1][1] + 1:
+            near[-1][1] = b
+        else:
+            near.append([a, b])
+    out = []
+    for a, b in near:
+        # to the line's or the next word's border, so that punctuation stays
+        begin = 0 if a == 0 else int(at[a, 0])
+        end = len(joined) if b == len(at) - 1 else int(at[b + 1, 0])
+        i, j = int(np.searchsorted(starts, begin, "right")) - 1, int(np.searchsorted(starts, end))
+        out.append(((starts[i:j] - begin).tolist(), list(range(i, j)), joined[begin:end].rstrip()))
+    return out
 
 
 _FOUND = "_id long, line int, license string, plain_bytes int, template_bytes int, missing_words int, extra_words int, block string"
@@ -116,21 +178,12 @@ _FOUND = "_id long, line int, license string, plain_bytes int, template_bytes in
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_id", "line", "license", "plain_bytes", "template_bytes", "missing_words", "extra_words", "block"]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-    memo: dict[str, tuple | None] = {}
     for batch in batches:
         rows = []
-        for key, line, block in zip(*(batch.column(c).to_pylist() for c in ("_id", "line", "block")), strict=True):
-            for at in range(0, max(len(block), 1), WINDOW // 2):
-                part = block[at : at + WINDOW]
-                if len(memo) > 50_000:
-                    memo.clear()
-                if part not in memo:
-                    memo[part] = scan_block(part)
-                if memo[part]:
-                    rows.append((key, line, *memo[part], part))
-                    break
-                if at + WINDOW >= len(block):
-                    break
+        for key, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text")), strict=True):
+            for starts, numbers, block in blocks(text):
+                for begin, *row in scan_block(block):
+                    rows.append((key, numbers[bisect_right(starts, begin) - 1], *row, block))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -138,10 +191,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License notices: id, line (from 0), license, plain_bytes, template_bytes, missing_words, extra_words, block.
 
-    One row per line with a confirmed notice.  Null and empty texts have none; repeated rows are
+    One row per confirmed notice, with the line it begins on and the block it stands in.
+    Null and empty texts have none; repeated rows are
     scanned each; a null identifier stays null; an empty table gives an empty result; long lines are read
-    in overlapping windows, whole.  Other columns of ``docs`` are not read.
+    whole.  Other columns of ``docs`` are not read.
     """
     text = F.col(text_col).cast("string")
-    lines = docs.where(text.rlike(TRIGGER)).select(F.col(id_col).cast("long").alias("_id"), F.posexplode(F.split(text, "\n")).alias("line", "block"))
-    return lines.where(F.col("block").rlike(TRIGGER)).mapInArrow(_scan, _FOUND).withColumnRenamed("_id", id_col)
+    found = docs.where(text.rlike(TRIGGER)).select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    return found.mapInArrow(_scan, _FOUND).withColumnRenamed("_id", id_col)

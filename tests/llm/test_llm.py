@@ -100,6 +100,34 @@ def test_license_inside_long_lines(spark):
     assert spans(words, [w for x in words for w in [x, *["z"] * 5]]) == []
 
 
+def test_license_wrapped_and_several(spark):
+    import textwrap
+
+    from pluvio.llm.licenses import TEMPLATES, license_blocks
+
+    other = "The quick brown fox went over the hill and under the bridge of the town, as it is told. "
+    rows, want = [], {}
+    names = list(TEMPLATES)
+    for i, name in enumerate(names):
+        for j, (width, mark) in enumerate([(24, "# "), (30, " * "), (40, "// "), (60, "")]):
+            lines = [mark + x for x in textwrap.wrap(TEMPLATES[name], width)]
+            rows.append((100 * i + j, "\n".join(["/*", other, *lines, other])))
+            want[100 * i + j] = [(name, 2)]
+    pairs = [(a, b) for a in names for b in names if a != b]
+    for i, (a, b) in enumerate(pairs):
+        rows.append((2000 + i, f"{other}{TEMPLATES[a]} {other}{TEMPLATES[b]} {other}"))
+        want[2000 + i] = sorted([(a, 0), (b, 0)])
+    rows.append((5000, "\n".join([TEMPLATES["MIT"], other * 200, TEMPLATES["MIT"] + " " + other * 100 + TEMPLATES["MIT"]])))
+    want[5000] = [("MIT", 0), ("MIT", 2), ("MIT", 2)]
+    rows.append((5001, TEMPLATES["MIT-full"].replace("of charge", "of charge (" + TEMPLATES["Apache-2.0"] + ")")))
+    want[5001] = [("Apache-2.0", 0), ("MIT-full", 0)]
+    got = defaultdict(list)
+    for r in license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.license, r.line))
+        assert (r.missing_words == 0 or r.doc_id == 5001) and r.template_bytes < r.plain_bytes
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 # -- 3 byte-level BPE ---------------------------------------------------------
 @pytest.mark.parametrize("native", [False, True])
 def test_bpe_round_trip(odd, empty, docs, native):
