@@ -568,12 +568,12 @@ def normal_scores(spark, sf):
 HELDOUT_YEAR = 2001
 
 
-def _heldout_sql() -> str:
+def _heldout_sql(draws: str = "vectors", made: tuple = ()) -> str:
     xi = f"({S.shape_link_inverse('n.phi + d.x / 50.0')})"
     base = (
         f"SELECT d.vec_id, t.station, {S.gev_logpdf('t.precip', 't.mu', 't.sigma', xi)} AS lp, "
         f"{S.gev_cdf('t.precip', 't.mu', 't.sigma', xi)} AS u "
-        "FROM test t JOIN params n ON n.station = t.station JOIN vectors d ON d.dim = t.station"
+        f"FROM test t JOIN params n ON n.station = t.station JOIN {draws} d ON d.dim = t.station"
     )
     cop = (
         f"SELECT vec_id, {_AR1_SQL} AS lc "
@@ -594,7 +594,7 @@ def _heldout_sql() -> str:
         body, "params", "precip", "vectors",
         extra=[_NAT, _SCORED,
                ("test", f"SELECT station, precip, mu, sigma FROM scored WHERE year = {HELDOUT_YEAR}"),
-               ("sc", base), ("cop", cop), ("pd", per_draw)],
+               *made, ("sc", base), ("cop", cop), ("pd", per_draw)],
     )
 
 
@@ -602,12 +602,22 @@ def _heldout_sql() -> str:
 def heldout_lpd(spark, sf):
     """Log predictive density of the held-out year with independent and AR(1)-dependent
     stations, and the difference from the independent one."""
+    test, vectors = _heldout_test(spark, sf)
+    return _heldout_scores(test, vectors)
+
+
+def _heldout_test(spark, sf):
     fx = Fixtures(spark, sf)
     test = (
         _scored(fx).filter(F.col("year") == HELDOUT_YEAR).select("station", "precip", "mu", "sigma")
         .join(fx.params().select("station", "phi"), "station")
     )
-    j = fx.vectors().join(test, F.col("dim") == F.col("station"))
+    return test, fx.vectors()
+
+
+def _heldout_scores(test, draws):
+    """``draws`` are (vec_id, dim, x): the draw, the station and its shape parameter."""
+    j = draws.join(test, F.col("dim") == F.col("station"))
     # xi as a column: it is referenced in every branch of the GEV formulas
     j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + F.col("x") / 50.0)).select(
         "vec_id", "station", dist.gev_logpdf("precip", "mu", "sigma", "xi").alias("lp"),
@@ -627,6 +637,39 @@ def heldout_lpd(spark, sf):
     )
 
 
+def station_draws(vectors, stations):
+    """Draws that have a shape parameter for every one of ``stations``: (vec_id, dim, x) by draw and station.
+
+    A draw is as many consecutive vectors as cover the stations, in blocks of 64 from station 0; every
+    vector is used, and the last draw is filled up from the first vectors again.  The work is that of
+    reading the vectors: each stands in one draw, but for the fill.
+    """
+    ids = windows.dense_row_number(vectors.select("vec_id").distinct(), [], "vec_id", "_r")
+    size = ids.agg(F.count(F.lit(1)).alias("_n")).crossJoin(
+        stations.agg((F.floor(F.max("station") / EMBEDDING_SIZE) + 1).alias("_b"))
+    )
+    slots = ids.crossJoin(F.broadcast(size)).select(
+        "vec_id", "_b", F.explode(F.sequence(F.col("_r").cast("long") - 1, F.ceil(F.col("_n") / F.col("_b")) * F.col("_b") - 1, F.col("_n"))).alias("_slot")
+    )
+    at = (F.pmod("_slot", "_b") * EMBEDDING_SIZE + F.col("dim") - 1).alias("dim")
+    return vectors.join(slots, "vec_id").select(F.floor(F.col("_slot") / F.col("_b")).alias("vec_id"), at, "x")
+
+
+_STATION_DRAWS = (
+    ("blocks", f"SELECT max(station) // {EMBEDDING_SIZE} + 1 AS b FROM test"),
+    ("slots", "SELECT vec_id, b, unnest(range(r, CAST(ceil(n / CAST(b AS DOUBLE)) AS BIGINT) * b, n)) AS slot FROM blocks, "
+              "(SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT vec_id FROM vectors))"),
+    ("draws", f"SELECT slot // b AS vec_id, (slot % b) * {EMBEDDING_SIZE} + dim - 1 AS dim, x FROM slots JOIN vectors USING (vec_id)"),
+)
+
+
+@query("heldout_lpd_all_stations", "C15 J13 X6 C3", _heldout_sql("draws", _STATION_DRAWS))
+def heldout_lpd_all_stations(spark, sf):
+    """``heldout_lpd`` over every held-out station: draws are made of as many vectors as stations need."""
+    test, vectors = _heldout_test(spark, sf)
+    return _heldout_scores(test, station_draws(vectors, test))
+
+
 @query(
     "posterior_predictive_bins",
     "C16 A13",

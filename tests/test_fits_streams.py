@@ -1,7 +1,6 @@
 """Grouped fits recover known parameters; the stream equals the batch."""
 
 import math
-
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
@@ -133,3 +132,25 @@ def test_penalised_sweep_reproduces_linear_signal(spark):
     assert len(rows) == 3 * 25
     for r in rows:
         assert abs(r.fitted - (3.0 + 2.0 * (r.year - 1995.0))) < 1e-7
+
+
+def test_station_draws_cover_all_stations(spark):
+    from pluvio.plans.q_gev import station_draws
+
+    vectors = spark.createDataFrame([(10 + 3 * v, d, 1000.0 * v + d) for v in range(7) for d in range(1, 65)], "vec_id long, dim int, x double")
+    for n in (64, 150, 1000):
+        blocks = -(-n // 64)
+        stations = spark.createDataFrame([(s,) for s in range(n)], "station long")
+        got = {(r.vec_id, r.dim): r.x for r in station_draws(vectors, stations).collect()}
+        draws = -(-7 // blocks)
+        want = {(d, b * 64 + i - 1): 1000.0 * ((d * blocks + b) % 7) + i for d in range(draws) for b in range(blocks) for i in range(1, 65)}
+        assert got == want
+
+
+def test_heldout_scores_stations_beyond_64(spark):
+    from pluvio.plans.q_gev import _heldout_test, station_draws
+
+    test, vectors = _heldout_test(spark, "/root/testdata/sf0.01")
+    draws = station_draws(vectors, test).select("vec_id", "dim")
+    n = test.count()
+    assert n > 64 and draws.join(test, draws.dim == test.station).groupBy("vec_id").count().where(f"count != {n}").count() == 0
