@@ -158,6 +158,23 @@ def univariate_ols(spark, sf):
     return u.select("station", "type", "n", *[F.round(c, 9).alias(c) for c in ["estimate", "std_error", "statistic", "p_value"]])
 
 
+def _complete_neighbours(spark, sf):
+    """The rows of the neighbours present in all months of a station, and their Gram tables."""
+    fx = Fixtures(spark, sf)
+    pairs = fx.edges().join(_vals(fx).select("station", "month", F.col("v").alias("y")), "station").join(
+        _vals(fx).select(F.col("station").alias("neighbor"), "month", F.col("v").alias("x")), ["neighbor", "month"], "left"
+    )
+    complete = shape.filter_finite(shape.drop_incomplete_groups(pairs, ["station", "type"], "x"), ["x", "y"])
+    gram = regress.gram_by_site(complete, "station", "month", "type", "y", "x")
+    return complete, gram
+
+
+@query("site_regression_fits", "G8 L2 X1 P13 P14")
+def site_regression_fits(spark, sf):
+    """The fits that ``site_regressions`` certifies: one row per station and neighbour."""
+    return regress.site_regressions(_complete_neighbours(spark, sf)[1], "station")
+
+
 @query(
     "site_regressions",
     "G8 L2 X1 P13 P14",
@@ -172,12 +189,7 @@ def univariate_ols(spark, sf):
 def site_regressions(spark, sf):
     """Multivariate neighbour regressions per station on the neighbours present in all its
     months; the certificate of a fit is that each neighbour's product with the residuals is zero."""
-    fx = Fixtures(spark, sf)
-    pairs = fx.edges().join(_vals(fx).select("station", "month", F.col("v").alias("y")), "station").join(
-        _vals(fx).select(F.col("station").alias("neighbor"), "month", F.col("v").alias("x")), ["neighbor", "month"], "left"
-    )
-    complete = shape.filter_finite(shape.drop_incomplete_groups(pairs, ["station", "type"], "x"), ["x", "y"])
-    gram = regress.gram_by_site(complete, "station", "month", "type", "y", "x")
+    complete, gram = _complete_neighbours(spark, sf)
     fit = regress.site_regressions(gram, "station").select("station", F.col("term").alias("type"), "n", "estimate")
     terms = complete.join(fit, ["station", "type"])
     resid = terms.groupBy("station", "month").agg((F.first("y") - F.sum(F.col("estimate") * F.col("x"))).alias("_r"))
@@ -314,6 +326,22 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _LM_TERMS = ["(Intercept)", "c_acctbal", *[f"c_mktsegment{v}" for v in SEGMENTS[1:]], *[f"o_orderpriority{v}" for v in PRIORITIES[1:]]]
 
 
+def _orders_model(spark, sf):
+    fx = Fixtures(spark, sf)
+    o = fx.table("orders").select("o_custkey", "o_totalprice", "o_orderpriority")
+    c = fx.table("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    rows = o.join(c, o.o_custkey == c.c_custkey)
+    model = ("o_totalprice", ["c_acctbal"], {"c_mktsegment": SEGMENTS, "o_orderpriority": PRIORITIES})
+    return rows, model
+
+
+@query("linear_model_fit", "L3")
+def linear_model_fit(spark, sf):
+    """The fit that ``linear_model`` certifies: one row per term."""
+    rows, model = _orders_model(spark, sf)
+    return regress.linear_model(rows, *model)
+
+
 @query(
     "linear_model",
     "L3",
@@ -327,11 +355,7 @@ _LM_TERMS = ["(Intercept)", "c_acctbal", *[f"c_mktsegment{v}" for v in SEGMENTS[
 def linear_model(spark, sf):
     """o_totalprice on a number and two factors; the certificate of the fit is that each design
     column's product with the residuals, over that with |y|, is zero."""
-    fx = Fixtures(spark, sf)
-    o = fx.table("orders").select("o_custkey", "o_totalprice", "o_orderpriority")
-    c = fx.table("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    rows = o.join(c, o.o_custkey == c.c_custkey)
-    model = ("o_totalprice", ["c_acctbal"], {"c_mktsegment": SEGMENTS, "o_orderpriority": PRIORITIES})
+    rows, model = _orders_model(spark, sf)
     fit = regress.linear_model(rows, *model)
     terms = regress.model_terms(*model[1:])
     beta = fit.agg(F.map_from_entries(F.collect_list(F.struct("term", "estimate"))).alias("_b"))

@@ -1,6 +1,9 @@
 """Grouped fits recover known parameters; the stream equals the batch."""
 
 import math
+from collections import defaultdict
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
@@ -154,3 +157,54 @@ def test_heldout_scores_stations_beyond_64(spark):
     draws = station_draws(vectors, test).select("vec_id", "dim")
     n = test.count()
     assert n > 64 and draws.join(test, draws.dim == test.station).groupBy("vec_id").count().where(f"count != {n}").count() == 0
+
+
+def _least_squares(x, y):
+    """(estimates, standard errors, statistics, residual sum of squares) by numpy."""
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    rss = float(((y - x @ beta) ** 2).sum())
+    se = np.sqrt(rss / (len(y) - x.shape[1]) * np.diag(np.linalg.inv(x.T @ x)))
+    return beta, se, beta / se, rss
+
+
+def _two_sided(t, nu):
+    """P(|T| > |t|) by the trapezoid rule over theta = atan(s / sqrt(nu)), where the density is cos(theta) ** (nu - 1)."""
+    c = math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(math.pi)
+    theta = np.linspace(math.atan(abs(t) / math.sqrt(nu)), math.pi / 2, 200_001)
+    return 2 * c * float(np.trapezoid(np.cos(theta) ** (nu - 1), theta))
+
+
+def test_fit_queries_match_numpy(spark):
+    from pluvio.plans import q_spatial
+    from pluvio.plans.catalog import REGISTRY
+
+    rows = defaultdict(dict)
+    for r in q_spatial._complete_neighbours(spark, SMALL)[0].collect():
+        rows[r.station].setdefault(r.month, {})[r.type] = (r.y, r.x)
+    fits = defaultdict(dict)
+    for r in REGISTRY["site_regression_fits"].build(spark, SMALL).collect():
+        fits[r.station][r.term] = r
+    assert set(fits) == set(rows) and len(fits) > 0
+    for station, got in fits.items():
+        terms = sorted(got)
+        months = list(rows[station].values())
+        assert all(sorted(m) == terms for m in months)
+        x = np.array([[m[t][1] for t in terms] for m in months])
+        y = np.array([m[terms[0]][0] for m in months])
+        beta, se, stat, rss = _least_squares(x, y)
+        for i, t in enumerate(terms):
+            r = got[t]
+            assert r.n == len(y) and np.allclose([r.estimate, r.std_error, r.statistic, r.tau2], [beta[i], se[i], stat[i], rss / len(y)], rtol=1e-6)
+            assert math.isclose(r.p_value, _two_sided(stat[i], len(y) - len(terms)), rel_tol=1e-5, abs_tol=1e-12)
+
+    data = q_spatial._orders_model(spark, SMALL)[0].toPandas()
+    fit = {r.term: r for r in REGISTRY["linear_model_fit"].build(spark, SMALL).collect()}
+    design = {"(Intercept)": np.ones(len(data)), "c_acctbal": data.c_acctbal.astype(float)}
+    design |= {f"c_mktsegment{v}": (data.c_mktsegment == v).astype(float) for v in q_spatial.SEGMENTS[1:]}
+    design |= {f"o_orderpriority{v}": (data.o_orderpriority == v).astype(float) for v in q_spatial.PRIORITIES[1:]}
+    assert list(design) == list(fit)
+    beta, se, stat, _ = _least_squares(np.column_stack(list(design.values())), data.o_totalprice.astype(float).to_numpy())
+    for i, t in enumerate(design):
+        r = fit[t]
+        assert r.n == len(data) and np.allclose([r.estimate, r.std_error, r.statistic], [beta[i], se[i], stat[i]], rtol=1e-6)
+        assert math.isclose(r.p_value, _two_sided(stat[i], len(data) - len(beta)), rel_tol=1e-5, abs_tol=1e-12)
