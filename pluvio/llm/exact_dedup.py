@@ -72,13 +72,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: one row of each group.
 
-    Rows that repeat an identifier and its text stay together here (the filter is by
-    identifier and text); run ``dropDuplicates`` first if identifiers may repeat.
+    Of rows that repeat an identifier and its text, any one stays.
     """
-    sha = F.sha2(normalised(text_col).cast("binary"), 256)
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    )
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")), "left_semi")
+    key = ["_key", "_null", "_sha"]  # plain equality: the join's partitions and order serve the last step too
+
+    def keyed(df: DataFrame, sha: Column) -> DataFrame:
+        i = F.col(id_col)
+        return df.withColumns({"_key": F.coalesce(i.cast("string"), F.lit("")), "_null": i.isNull(), "_sha": sha})
+
+    rows = keyed(docs, F.sha2(normalised(text_col).cast("binary"), 256))
+    kept = keyed(exact_groups(docs, id_col, text_col).where("kept"), F.col("text_sha256")).select(*key)
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)

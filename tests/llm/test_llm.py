@@ -244,6 +244,16 @@ def test_exact_groups(odd, empty):
     assert exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark, odd):
+    from pluvio.llm.exact_dedup import exact_dedup
+
+    rows = [(7, "the same text", 1)] * 40 + [(9, "the same text", 2), (None, "no number", 3), (None, "no number", 3), (8, "a  b", 4), (8, "a b", 4), (8, "other", 5)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5)).collect()
+    assert sorted((r.n, r.doc_id) for r in got if r.doc_id) == [(1, 7), (4, 8), (5, 8)] and len(got) == 4
+    norm = lambda t: " ".join(f"<{t or ''}>".split())
+    assert exact_dedup(odd).count() == len({norm(t) for _, t in ODD})
+
+
 # -- 6 substring dedup --------------------------------------------------------
 def test_borders_resist_insertions():
     from pluvio.llm.substring import borders
