@@ -1,8 +1,10 @@
 """Helpers that several training-data operators share.
 
 * ``write_table`` cuts lineage with a Parquet table under the shared folder
-  that ``spark.checkpoint.dir`` names; ``drop_table`` removes one that no plan
-  needs any more.
+  that ``spark.checkpoint.dir`` names, and has Spark remove the shuffle files of the
+  job that wrote it; ``drop_table`` removes a table that no plan needs any more, and
+  ``scratch_tables`` all that were written inside it.
+* ``salted_join`` joins on a key that may hold a large part of all rows.
 * ``repeated_keys`` keeps the rows whose key occurs twice or more: one range
   shuffle on (key, tie) that cuts hot keys across tasks, then a streaming pass
   that holds one key at a time.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,47 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Frees a query's shuffle files as soon as it has run, not at some later collection of garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables written inside the open ``scratch_tables`` blocks, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` under the shared checkpoint folder; (reread table, its path)."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written inside when the block ends: its results are to be written outside it, or by ``keep``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_table(spark, path)
+
+
+def keep(path: str) -> str:
+    """Let a table of the open ``scratch_tables`` block outlive it (it then belongs to the block around)."""
+    if _SCRATCH and path in _SCRATCH[-1]:
+        _SCRATCH[-1].remove(path)
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(path)
+    return path
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table of ``write_table`` whose successor is written."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,6 +85,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key) on ``key``; the rows of a key are dealt over ``salts`` tasks by
+    ``spread``, for which each row of ``table`` is repeated: for tables much smaller than ``rows``."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def whole_text(text_col: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

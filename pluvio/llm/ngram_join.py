@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import components, drop_table, repeated_keys, whole_text, write_table
+from pluvio.llm.common import components, drop_table, keep, repeated_keys, salted_join, scratch_tables, write_table
 
 #: Sets that share an entry before it counts as hot.
 HOT = 16
@@ -224,31 +224,37 @@ def similar_components(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    index, index_path = write_table(rows.mapInArrow(lambda it: _index(it, shingle_words, num, den), _INDEX), "jaccard-index")
-    sets = index.where("size IS NOT NULL").select("id", "size", "digest")
-    # written, so that the join below can split a digest that many texts have
-    classes, _ = write_table(
-        sets.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-digests"
-    )
-    # Every text with the representative of its class: equal sets are one node from here on.
-    member, _ = write_table(
-        sets.join(classes, "digest", "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")),
-        "jaccard-classes",
-    )
-    shared, shared_path = write_table(
-        repeated_keys(index.where("entry IS NOT NULL").select("id", "meta", "entry"), ["entry"], "id"), "jaccard-shared"
-    )
-    drop_table(spark, index_path)
-    reps = member.where("id = rep").select("id").distinct()
-    links = _links(rows, shared.join(reps, "id", "left_semi"), shingle_words, num, den)
-    drop_table(spark, shared_path)
-    grown = components(links, "a", "b", "jaccard")
+    with scratch_tables(spark):
+        index, index_path = write_table(rows.mapInArrow(lambda it: _index(it, shingle_words, num, den), _INDEX), "jaccard-index")
+        sets = index.where("size IS NOT NULL").select("id", "size", "digest")
+        classes, _ = write_table(
+            sets.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")),
+            "jaccard-digests",
+        )
+        # Every text with the representative of its class: equal sets are one node from here on.  A digest that many
+        # texts have is dealt over tasks.
+        member, member_path = write_table(
+            salted_join(sets, classes.where("n > 1").select("digest", "rep"), "digest", "id", "left").select(
+                "id", F.col("size").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")
+            ),
+            "jaccard-classes",
+        )
+        shared, shared_path = write_table(
+            repeated_keys(index.where("entry IS NOT NULL").select("id", "meta", "entry"), ["entry"], "id"), "jaccard-shared"
+        )
+        drop_table(spark, index_path)
+        reps = member.where("id = rep").select("id").distinct()
+        links = _links(rows, shared.join(reps, "id", "left_semi"), shared_path, shingle_words, num, den)
+        grown, grown_path = write_table(components(links, "a", "b", "jaccard"), "jaccard-components")
+        keep(member_path)
+        keep(grown_path)
     joined = member.join(grown, member["rep"] == grown["node"], "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) between representatives that span every component."""
+def _links(texts: DataFrame, shared: DataFrame, shared_path: str, shingle_words: int, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) between representatives that span every component; tables go when their successor is written."""
+    spark = texts.sparkSession
     meta = F.col("meta")
     own = shared.select(
         "id", "entry", F.floor(meta / _META_SIZE).alias("size"),
@@ -268,17 +274,18 @@ def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, de
     # what a linked set still shares with this one at least, after both dropped
     need = F.col("slack") + 1 - F.coalesce(F.max(F.when(drop, F.col("lost"))).over(group), F.lit(0))
     kept = ranked.withColumn("need", need).where(~drop).select("entry", "id", "size", "band", "weight", "need")
-    used, _ = write_table(kept, "jaccard-used")
+    used, used_path = write_table(kept, "jaccard-used")
+    drop_table(spark, shared_path)
 
-    sets = _set_table(texts, used.select("id").distinct(), shingle_words)
+    sets = set_table(texts, used.select("id").distinct(), shingle_words)
     # first: every set with the one it shares most entries with among the entries' smallest
     first = used.groupBy("entry").agg(F.min("id").alias("a"), F.min_by("size", "id").alias("na"))
     star = (
-        used.join(first, "entry").where("id > a").where(_near("na", "size", num, den))
+        used.join(first, "entry").where("id > a").where(near_sizes("na", "size", num, den))
         .groupBy("id", "a", "band").agg(F.sum("weight").alias("count"))
     )
     best = star.groupBy("id").agg(F.max(F.struct("count", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), F.col("id").alias("b"))
-    links, _ = write_table(_verify(best, sets, num, den), "jaccard-links")
+    links, _ = write_table(verified_pairs(best, sets, num, den), "jaccard-links")
     # then: what shares an entry in different components, pair by pair where few share it, else by blocks
     grown = components(links, "a", "b", "jaccard-part")
     lit = used.join(grown, used["id"] == grown["node"], "left").select(
@@ -286,17 +293,18 @@ def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, de
     )
     apart = lit.groupBy("entry").agg(F.count_distinct("c").alias("k"), F.count("*").alias("n"), F.min("id").alias("first")).where("k > 1")
     here, _ = write_table(lit.join(apart, "entry").drop("k"), "jaccard-apart")
+    drop_table(spark, used_path)
     l, r = here.where(F.col("n") <= HOT).alias("l"), here.where(F.col("n") <= HOT).alias("r")
     pairs = (
         l.join(r, (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")))
-        .where(_near("l.size", "r.size", num, den))
+        .where(near_sizes("l.size", "r.size", num, den))
         .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.band").alias("band"))
         .agg(F.sum("l.weight").alias("shared"), F.min(F.least("l.need", "r.need")).alias("need"))
         .where("shared >= need")
         .select("a", "b").distinct()
     )
-    more, _ = write_table(_verify(pairs, sets, num, den), "jaccard-links")
-    wide, _ = write_table(_family_links(here.where(F.col("n") > HOT), sets, num, den), "jaccard-links")
+    more, _ = write_table(verified_pairs(pairs, sets, num, den), "jaccard-links")
+    wide, _ = write_table(family_links(here.where(F.col("n") > HOT), sets, num, den), "jaccard-links")
     return links.unionByName(more).unionByName(wide)
 
 
@@ -304,7 +312,7 @@ def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, de
 BLOCK = 256
 
 
-def _family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between components among the texts that share hot entries.
 
     A family is what hot entries connect (copies of one popular text).  The texts outside its
@@ -369,17 +377,17 @@ def _block_links(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
-def _near(a: str, b: str, num: int, den: int):
+def near_sizes(a: str, b: str, num: int, den: int):
     return (F.least(a, b) * den) >= (F.greatest(a, b) * num)
 
 
-def _set_table(texts: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+def set_table(texts: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
     """The shingle sets of the texts that share an entry with another."""
     wanted = texts.join(ids, texts["_id"] == ids["id"], "left_semi")
     return write_table(wanted.mapInArrow(lambda it: _sets(it, shingle_words), "id long, set binary"), "jaccard-shingles")[0]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")

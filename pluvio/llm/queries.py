@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from pluvio.llm import (
-    bpe, exact_dedup, licenses, ngram_join, packing, quality, substring, token_counts, token_matrix, url_filter,
+    bpe, exact_dedup, hard_negatives, licenses, minhash, ngram_join, packing, periodic_runs, quality, substring, token_counts,
+    token_matrix, url_filter,
 )
 from pluvio.llm.common import load
 from pluvio.plans.registry import query
@@ -142,6 +143,90 @@ def op2_license_scan(spark, sf):
     return licenses.license_blocks(load(spark, sf, "documents")).drop("block")
 
 
+def with_planted_periods(docs):
+    """``docs``, a tenth of the texts (by the checksum of doc_id) made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+
+    def periodic(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda j: F.get(w, a + j % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), tail), " "))
+
+    # the words are bound once: a lambda over a one-element array
+    planted = F.coalesce(F.get(F.transform(F.array(words), periodic), F.lit(0)), F.lit(""))
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")))
+
+
+@query("op11_periodic_runs", "")
+def op11_periodic_runs(spark, sf):
+    """Periodic runs of words in every document, the strongest one, and digests of all runs and of the collapsed text."""
+    found = periodic_runs.periodic_runs(with_planted_periods(load(spark, sf, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # runs come by start, then period: the first of the greatest exponents stays
+    top = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_minhash_dedup",
+    "",
+    rf"""
+    WITH RECURSIVE
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws
+          FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id WHERE 100 * k >= 85 * (ca.n + cb.n - k)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    reach(node, low) AS (SELECT a, b FROM e WHERE b < a UNION SELECT e.a, r.low FROM reach r JOIN e ON e.b = r.node WHERE r.low < e.a),
+    m AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+    SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.low, w.doc_id) AS component_id, m.low IS NULL AS kept
+    FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN m ON m.node = w.doc_id
+    """,
+)
+def op12_minhash_dedup(spark, sf):
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return minhash.similar_components(load(spark, sf, "documents"), shingle_words=5, num=85, den=100)
+
+
+@query(
+    "op13_hard_negatives",
+    "",
+    """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                 CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+          WHERE 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
+)
+def op13_hard_negatives(spark, sf):
+    """Up to five hard negatives for each of the first five positives of every hundredth vector."""
+    rows = load(spark, sf, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 @query("pipeline", "")
 def pipeline(spark, sf):
     """The corpus pipeline of ``corpus_pipeline.py`` over the documents."""
