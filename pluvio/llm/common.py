@@ -147,13 +147,18 @@ def repeated_keys(df: DataFrame, keys: list[str], tie: str) -> DataFrame:
     )
 
 
+#: Tasks over which the links of one node are dealt.
+CENTRE_SALTS = 16
+
+
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), each once.
 
     Alternates large-star and small-star steps (every node hands its neighbours to its
     smallest one) until nothing changes; the edge list never grows and each
     step is written to the shared folder.  Neighbour minima are partial aggregates, so a
-    node with many links is one small row before the shuffle; AQE splits its join.
+    node with many links is one small row before the shuffle, and its links are dealt over
+    ``CENTRE_SALTS`` tasks where they meet that minimum.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -164,12 +169,12 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every neighbour above u links to the least of u and its neighbours
         large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            salted_join(both.where("v > u"), low, "u", "v", salts=CENTRE_SALTS).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         # small star: the lower neighbours of u, and u, link to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            salted_join(large, least, "u", "v", salts=CENTRE_SALTS)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
