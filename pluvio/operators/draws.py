@@ -2,9 +2,9 @@
 
 Draws are long: (chain, iteration, name, value), partitioned by chain on
 disk.  A chain holds a quarter of all draws, so nothing here windows or
-collects a whole chain or parameter: ranks and quantiles come from the
-distributed sorted positions, lags are equi-joins on iteration - 1, and
-moving averages are block prefix sums.
+collects a whole chain or parameter: ranks and quantiles come from radix
+refinement, lagged products from blocks of iterations, and moving averages
+are block prefix sums.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist, text
-from pluvio.operators import profile, windows
+from pluvio.operators import profile
+from pluvio.operators.orderstats import average_ranks
 from pluvio.session import materialize
 
 MAD_SCALE = 1.4826
@@ -41,9 +42,9 @@ def parameter_means(draws: DataFrame, keep: DataFrame | None = None) -> DataFram
 def summarise_draws(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
     """mean, median, sd, mad, q5, q95 per parameter (D3, A5).
 
-    Exact quantiles (linear interpolation) from the distributed sorted
-    positions; mad = 1.4826 median|x - median| needs the median first, so it
-    is a second quantile pass over the absolute deviations.
+    Exact quantiles (linear interpolation) by radix refinement; mad = 1.4826
+    median|x - median| needs the median first, so it is a second quantile
+    pass over the absolute deviations.
     """
     by = by or ["name"]
     mom = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
@@ -72,14 +73,11 @@ def _split_chains(draws: DataFrame) -> DataFrame:
 def _rank_normal(df: DataFrame, value: str, out_col: str) -> DataFrame:
     """z = Phi^-1((r - 3/8) / (S + 1/4)) with average ranks r over the parameter.
 
-    Ranks come from the distributed sorted positions, so a parameter with
+    Ranks come from bins of bounded size, so a parameter with
     very many draws is not held by one task.
     """
-    rows, sizes = windows.sorted_positions(df, ["name"], value)
-    ties = rows.groupBy("name", value).agg(F.avg("_pos").alias("_apos"))
-    r = rows.drop("_pos").join(ties, ["name", value]).join(sizes, "name")
-    r = r.withColumn("_pr", (F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
-    return dist.with_norm_ppf(r, F.col("_pr"), out_col).drop("_apos", "_n", "_pr")
+    r = average_ranks(df, ["name"], value, "_arank", "_n")
+    return dist.with_norm_ppf(r, (F.col("_arank") - 0.375) / (F.col("_n") + 0.25), out_col).drop("_arank", "_n")
 
 
 def _between(n: str, m: str) -> Column:
@@ -118,11 +116,8 @@ def rhat(draws: DataFrame) -> DataFrame:
     both = d.select(*base, F.lit("bulk").alias("which"), F.col("value").alias("v")).unionByName(
         d.select(*base, F.lit("tail").alias("which"), F.abs(F.col("value") - F.col("_med")).alias("v"))
     )
-    rows, sizes = windows.sorted_positions(both, ["name", "which"], "v")
-    ties = rows.groupBy("name", "which", "v").agg(F.avg("_pos").alias("_apos"))
-    r = rows.drop("_pos").join(ties, ["name", "which", "v"]).join(sizes, ["name", "which"])
-    r = r.withColumn("_pr", (F.col("_apos") + 1.0 - 0.375) / (F.col("_n") + 0.25))
-    z = materialize(dist.with_norm_ppf(r, F.col("_pr"), "_z").select(*base, "which", "_z"), "rhat-ranked")
+    r = average_ranks(both, ["name", "which"], "v", "_arank", "_n")
+    z = dist.with_norm_ppf(r, (F.col("_arank") - 0.375) / (F.col("_n") + 0.25), "_z").select(*base, "which", "_z")
     per = _rhat_of(z, "_z", ["which"])
     out = per.groupBy("name").agg(
         F.max(F.when(F.col("which") == "bulk", F.col("rhat"))).alias("rhat_bulk"),

@@ -6,11 +6,11 @@ the same linear (type 7) definition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.dist import is_finite
-from pluvio.operators import windows
+from pluvio.operators.orderstats import order_statistics
 
 
 def group_quantiles(
@@ -18,33 +18,25 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation (type 7) quantiles per group, columns ``prefix`` + index of the prob.
 
-    No group is collected: positions in sorted order come from a range
-    shuffle (``windows.sorted_positions``); for each group and prob the two
-    order statistics around h = (n - 1) p are picked by an equi-join on
-    (group, position) against a small target table, and interpolated as
-    v_lo + (h - lo)(v_hi - v_lo).  NULL and NaN values are ignored.
+    The two order statistics around h = (n - 1) p come from ``orderstats.order_statistics`` and
+    are interpolated as v_lo + (h - lo)(v_hi - v_lo).  NULL and NaN values are ignored.
     """
-    v = F.col(value)
-    clean = df.select(*keys, value).filter(v.isNotNull() & ~F.isnan(v))
-    rows, sizes = windows.sorted_positions(clean, keys, value)
-    spark = df.sparkSession
-    pr = spark.createDataFrame([(float(p), i) for i, p in enumerate(probs)], "_p double, _pi int")
-    h = (F.col("_n") - 1) * F.col("_p")
-    t = sizes.crossJoin(F.broadcast(pr)).withColumn("_h", h).withColumn("_lo", F.floor("_h"))
-    t = t.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)).withColumn("_f", F.col("_h") - F.col("_lo"))
-    picks = t.select(*keys, "_pi", "_f", "_lo", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_pos")).distinct()
-    got = rows.join(picks, [*keys, "_pos"]).select(
-        *keys, "_pi", "_f", (F.col("_pos") == F.col("_lo")).alias("_is_lo"), F.col(value).alias("_v")
-    )
-    q = got.groupBy(*keys, "_pi").agg(
-        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_vhi"),
-        F.first("_f").alias("_f"),
-    )
-    q = q.withColumn("_q", F.col("_vlo") + F.col("_f") * (F.coalesce("_vhi", "_vlo") - F.col("_vlo")))
-    return q.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
+    at = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    low = [F.floor(h) for h in at]
+    high = [F.least(lo + 1, F.col("_n") - 1) for lo in low]
+    stats = order_statistics(df, keys, value, F.array(*low, *high))
+    # a handful of rows per group
+    picked = stats.groupBy(*keys, "_n").agg(
+        *[F.max(F.when(F.col("_rank") == r, F.col("_value"))).alias(f"_{side}{i}")
+          for side, ranks in (("lo", low), ("hi", high)) for i, r in enumerate(ranks)]
     )
+    value_at = [
+        F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(
+            F.col(f"_lo{i}") + (h - lo) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+        )
+        for i, (h, lo) in enumerate(zip(at, low, strict=True))
+    ]
+    return picked.select(*keys, *[v.alias(f"{prefix}{i}") for i, v in enumerate(value_at)])
 
 
 def mean_sd(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -184,8 +176,3 @@ def parameter_errors(est: DataFrame, truth: DataFrame, keys: list[str], by: list
     j = est.join(truth, keys)
     j = j.withColumn("error", F.col("estimate") - F.col("truth")).withColumn("abs_error", F.abs(F.col("error")))
     return j.groupBy(*by).agg(F.avg("error").alias("mean_error"), F.avg("abs_error").alias("mean_abs_error"))
-
-
-def dense_rank_by(df: DataFrame, stat: Column, out_col: str) -> DataFrame:
-    """Rank of a small per-category table by a statistic (``fct_reorder``)."""
-    return df.withColumn(out_col, F.dense_rank().over(Window.orderBy(stat)))

@@ -8,9 +8,11 @@ block of ids) or runs on an aggregate that is already small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvio.operators.orderstats import average_ranks
+
 
 def dense_row_number(
     df: DataFrame,
@@ -28,7 +30,7 @@ def dense_row_number(
     over the small per-block count table).  A hot key that holds a third of
     all rows is therefore spread over many tasks.  Ids should be roughly dense
     (event ids, iterations): with very sparse ids the block table approaches
-    one row per id, and :func:`sorted_positions` is the general path.
+    one row per id.
     """
     block = F.floor(F.col(order_col) / F.lit(block_size)).alias("_blk")
     with_blk = df.withColumn("_blk", block)
@@ -48,20 +50,6 @@ def dense_row_number(
     )
 
 
-def empirical_rank(
-    df: DataFrame, by: list[str], order: list[Column | str], out_col: str = "p_emp"
-) -> DataFrame:
-    """row_number / (n + 1) within ``by`` after ordering.
-
-    Ties are broken by the remaining order columns so the result is
-    deterministic.  Groups are (station) over yearly maxima, so bounded by
-    the number of years.
-    """
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return df.withColumn(out_col, F.row_number().over(w) / (n + 1))
-
-
 def average_rank_uniform(df: DataFrame, by: list[str], value: str, out_col: str = "u") -> DataFrame:
     """Empirical CDF with average ranks for ties: u = avg_rank / (n + 1).
 
@@ -77,25 +65,6 @@ def average_rank_uniform(df: DataFrame, by: list[str], value: str, out_col: str
     return df.withColumn(out_col, avg_rank / (n + 1))
 
 
-def group_rmse(df: DataFrame, by: list[str], a: str, b: str, out_col: str) -> DataFrame:
-    """sqrt(mean((a - b)^2)) over ``by`` spread back to every row."""
-    d = F.col(a) - F.col(b)
-    return df.withColumn(out_col, F.sqrt(F.avg(d * d).over(Window.partitionBy(*by))))
-
-
-def lag_change(df: DataFrame, by: list[str], order: str, value: str, out_col: str = "changed") -> DataFrame:
-    """1 when the value differs from the previous row in ``order``."""
-    w = Window.partitionBy(*by).orderBy(order)
-    prev = F.lag(value).over(w)
-    return df.withColumn(out_col, F.when(prev.isNull(), F.lit(None)).otherwise((F.col(value) != prev).cast("int")))
-
-
-def moving_average(df: DataFrame, by: list[str], order: str, value: str, half_width: int, out_col: str) -> DataFrame:
-    """Centred moving average over rows [-k, k] (W5, the loess re-aim)."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-half_width, half_width)
-    return df.withColumn(out_col, F.avg(value).over(w))
-
-
 def ratio_to_base(df: DataFrame, by: list[str], period: str, value: str, out_col: str) -> DataFrame:
     """value / value at the first period of the group - 1.
 
@@ -105,70 +74,7 @@ def ratio_to_base(df: DataFrame, by: list[str], period: str, value: str, out_col
     return df.withColumn(out_col, F.try_divide(F.col(value), base) - 1.0)
 
 
-def row_weights(df: DataFrame, i: str = "station", out_col: str = "w") -> DataFrame:
-    """Row-standardised neighbour weights 1 / degree (W9, style W)."""
-    return df.withColumn(out_col, 1.0 / F.count(F.lit(1)).over(Window.partitionBy(i)))
-
-
-def next_in_order(df: DataFrame, by: list[str], order: str, value: str, out_col: str) -> DataFrame:
-    """Pairs x[i], x[i+1] in id order."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn(out_col, F.lead(value).over(w))
-
-
-def sorted_positions(
-    df: DataFrame, group_cols: list[str], value: str, pos_col: str = "_pos"
-) -> tuple[DataFrame, DataFrame]:
-    """0-based position of every row in ``value`` order within its group.
-
-    Exact and distributed: rows are range-partitioned and sorted by
-    (group, value), so a group's rows are contiguous inside each partition and
-    spread over as many partitions as its size needs.  A row's position is its
-    offset within its partition block plus the sizes of the same group's
-    blocks in earlier partitions (a running sum over the small
-    (partition, group) count table).  Returns (rows with ``pos_col``, group
-    sizes (group_cols, _n)).  One range shuffle; no group is ever held by a
-    single task unless one exact (group, value) key is itself that large.
-
-    The partitioned, id-stamped rows are written once under the checkpoint
-    folder and both the block offsets and the rows read that table: a second
-    evaluation of the range shuffle could sample different bounds and put a
-    row in another partition.
-    """
-    from pluvio.session import materialize
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = (
-        df.repartitionByRange(parts, *[F.col(c) for c in group_cols], F.col(value))
-        .sortWithinPartitions(*group_cols, value)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    r = materialize(r, "positions")
-    blocks = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
-    sizes = blocks.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
-    rows = (
-        r.join(blocks.select("_pid", *group_cols, "_first", "_off"), ["_pid", *group_cols])
-        .withColumn(pos_col, F.col("_off") + F.col("_mid") - F.col("_first"))
-        .drop("_pid", "_mid", "_first", "_off")
-    )
-    return rows, sizes
-
-
 def global_average_rank_uniform(df: DataFrame, by: list[str], value: str, out_col: str = "u") -> DataFrame:
-    """Empirical CDF u = average rank / (n + 1) for groups of any size.
-
-    Positions come from :func:`sorted_positions`; tied values share the mean
-    of their positions (a grouped aggregate per (group, value) joined back).
-    """
-    rows, sizes = sorted_positions(df, by, value)
-    ties = rows.groupBy(*by, value).agg(F.avg("_pos").alias("_apos"))
-    return (
-        rows.drop("_pos")
-        .join(ties, [*by, value])
-        .join(sizes, by)
-        .withColumn(out_col, (F.col("_apos") + 1.0) / (F.col("_n") + 1))
-        .drop("_apos", "_n")
-    )
+    """Empirical CDF u = average rank / (n + 1) for groups of any size (W11); NULL and NaN values are left out."""
+    ranked = average_ranks(df, by, value, "_arank", "_n")
+    return ranked.withColumn(out_col, F.col("_arank") / (F.col("_n") + 1)).drop("_arank", "_n")

@@ -110,6 +110,13 @@ class Fixtures:
         )
 
     # -- posterior draws ------------------------------------------------------
+    @_shared
+    def draw_values(self) -> DataFrame:
+        """The draws without iteration numbers: chain, name, value."""
+        return self.table("events").select(
+            (F.col("event_id") % 4 + 1).cast("int").alias("chain"), F.col("event_type").alias("name"), "value"
+        )
+
     @_shared
     def draws(self) -> DataFrame:
         """Long draws: chain, name, iteration, value (iteration dense per chain/name)."""

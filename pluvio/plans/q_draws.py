@@ -75,7 +75,7 @@ def hyper_draws_wide(spark, sf):
     ),
 )
 def summarise_draws(spark, sf):
-    s = D.summarise_draws(Fixtures(spark, sf).draws())
+    s = D.summarise_draws(Fixtures(spark, sf).draw_values())
     return s.select("name", *[F.round(c, 9).alias(c) for c in ["mean", "median", "sd", "mad", "q5", "q95"]])
 
 
@@ -178,7 +178,7 @@ def acceptance(spark, sf):
     ),
 )
 def transformed_histogram(spark, sf):
-    d = Fixtures(spark, sf).draws().select("chain", F.exp(-F.col("value") / 20.0).alias("x"))
+    d = Fixtures(spark, sf).draw_values().select("chain", F.exp(-F.col("value") / 20.0).alias("x"))
     h = profile.histogram(d, "x", 10, ["chain"])
     return h.select("chain", "bin", F.round("bin_start", 9).alias("bin_start"), "n", F.round("density", 9).alias("density"))
 

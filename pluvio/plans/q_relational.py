@@ -458,7 +458,7 @@ NAME_LABELS = {"view": "Viewed", "click": "Clicked", "purchase": "Bought"}
     ),
 )
 def ordered_categories(spark, sf):
-    m = Fixtures(spark, sf).draws().groupBy("name").agg(F.round(F.avg("value"), 9).alias("mean"))
+    m = Fixtures(spark, sf).draw_values().groupBy("name").agg(F.round(F.avg("value"), 9).alias("mean"))
     return m.select(
         "name",
         text.recode("name", NAME_LABELS).alias("label"),
@@ -711,7 +711,7 @@ def listing_categories(spark, sf):
     ),
 )
 def text_functions(spark, sf):
-    d = Fixtures(spark, sf).draws().groupBy("chain", "name").agg(F.count(F.lit(1)).alias("n"))
+    d = Fixtures(spark, sf).draw_values().groupBy("chain", "name").agg(F.count(F.lit(1)).alias("n"))
     d = d.withColumn("label", F.concat(F.col("name"), F.lit("["), F.col("chain").cast("string"), F.lit("]")))
     var, idx = text.bracket_index("label")
     return d.select(
