@@ -10,9 +10,11 @@ are block prefix sums.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pluvio.functions import dist, text
 from pluvio.operators import profile
@@ -49,7 +51,8 @@ def summarise_draws(draws: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or ["name"]
     mom = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     q = profile.group_quantiles(draws, by, "value", [0.05, 0.5, 0.95], "_q")
-    q = q.select(*by, F.col("_q0").alias("q5"), F.col("_q1").alias("median"), F.col("_q2").alias("q95"))
+    # one row per parameter, read by every pass of the second one
+    q = materialize(q.select(*by, F.col("_q0").alias("q5"), F.col("_q1").alias("median"), F.col("_q2").alias("q95")), "draw-quantiles")
     dev = draws.join(q.select(*by, "median"), by).withColumn("_dev", F.abs(F.col("value") - F.col("median")))
     mad = profile.group_quantiles(dev, by, "_dev", [0.5], "_m").select(*by, (F.col("_m0") * MAD_SCALE).alias("mad"))
     return mom.join(q, by).join(mad, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
@@ -110,7 +113,7 @@ def rhat(draws: DataFrame) -> DataFrame:
     keyed by (name, which), so a single distributed ranking serves both.
     """
     d = materialize(_split_chains(draws), "rhat-split")
-    med = profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0").alias("_med"))
+    med = materialize(profile.group_quantiles(d, ["name"], "value", [0.5], "_q").select("name", F.col("_q0").alias("_med")), "draw-medians")
     d = d.join(med, "name")
     base = ["name", "_split"]
     both = d.select(*base, F.lit("bulk").alias("which"), F.col("value").alias("v")).unionByName(
@@ -126,118 +129,153 @@ def rhat(draws: DataFrame) -> DataFrame:
     return out.withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
 
-def _geyer_ess(x: DataFrame, col: str, max_lag: int) -> tuple[DataFrame, DataFrame]:
-    """ESS per parameter from split chains x (name, _split, _t, col), _t = 1..N_j.
+#: Iterations of a block; a block and its halo are one Arrow table.
+LAG_BLOCK = 4096
 
-    Lagged products sum_t xc_t xc_{t+k} for k < max_lag are an equi-join of each
-    draw with the draw k steps later (lags exploded), summed by (name, k); over
-    the number of draws they are the chains' autocovariances weighted by length.
-    The combined autocorrelation rho(k) = 1 - (W - acov(k)) / var+, Geyer's
-    initial positive pair sums, their running minimum and tau = -1 + 2 sum P
-    run on the small (name, lag) table.  Returns (name, ess) and (name,
-    truncated) telling whether a negative pair sum was reached within the lags
-    computed, all lags are used, or the column is constant (its ESS is NULL).
+
+def lagged_products(rows: DataFrame, keys: list[str], time: str, cols: list[str], first: int, last: int) -> DataFrame:
+    """(keys, col, lag, product): the sums of x_t x_{t + lag} over t for the lags first <= lag < last, per column.
+
+    The times of a key (whole numbers, each at most once) are cut into blocks; a block gets the rows its own
+    times need ``first`` to ``last - 1`` steps later as a halo, and all its lags are one correlation of two arrays.
+    A row is sent to its block and the one or two blocks whose halo holds it; blocks are at
+    least as long as the band of lags.  Missing times and NULL values contribute nothing.
     """
+    block = max(LAG_BLOCK, last - first)
+    t = F.col(time).cast("long")
+    here = F.floor(t / block)
+    # as a later partner the row serves the times t - last + 1 .. t - first
+    serves = F.sequence(F.floor((t - (last - 1)) / block), F.floor((t - first) / block))
+    sent = rows.select(*keys, t.alias("_at"), *[F.col(c).cast("double").alias(c) for c in cols],
+                       F.explode(F.array_union(F.array(here), serves)).alias("_block"))
+
+    def products(table: pa.Table) -> pa.Table:
+        start = table.column("_block")[0].as_py() * block
+        at = table.column("_at").to_numpy() - start
+        own, later = (at >= 0) & (at < block), (at >= first) & (at < block + last - 1)
+        lags = np.arange(first, last)
+        out = {k: [table.column(k)[0].as_py()] * (len(lags) * len(cols)) for k in keys}
+        sums = []
+        for c in cols:
+            x = np.nan_to_num(table.column(c).to_numpy())
+            a, b = np.zeros(block), np.zeros(block + last - 1 - first)
+            a[at[own]], b[at[later] - first] = x[own], x[later]
+            end = int(at[own].max(initial=-1)) + 1  # a chain's last block may be short
+            sums.append(np.correlate(b[: end + last - 1 - first], a[:end], "valid") if end else np.zeros(len(lags)))
+        out |= {"col": np.repeat(cols, len(lags)), "lag": np.tile(lags, len(cols)), "product": np.concatenate(sums)}
+        return pa.table({n: pa.array(v, schema.field(n).type) for n, v in out.items()})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    ddl = f"{kinds}, col string, lag int, product double"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    per = sent.groupBy(*keys, "_block").applyInArrow(products, ddl)
+    return per.groupBy(*keys, "col", "lag").agg(F.sum("product").alias("product"))
+
+
+def _chain_moments(x: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Centred split chains, and per (name, col) what the autocorrelation needs: W, var+, S draws, the longest chain."""
     keys = ["name", "_split"]
-    m = x.groupBy(*keys).agg(F.avg(col).alias("_m"), F.count(F.lit(1)).alias("_N"))
-    c = x.join(m, keys).withColumn("_xc", F.col(col) - F.col("_m")).select(*keys, "_t", "_xc", "_N")
-    lag = F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag - 1), F.col("_N") - 1))).alias("_k")
-    lags = c.select(*keys, "_t", "_xc", "_N", lag).withColumn("_t2", F.col("_t") + F.col("_k"))
-    later = c.select(*keys, F.col("_t").alias("_t2"), F.col("_xc").alias("_xc2"))
-    products = lags.join(later, [*keys, "_t2"]).groupBy("name", "_k").agg(F.sum(F.col("_xc") * F.col("_xc2")).alias("_p"))
-    squares = c.groupBy("name").agg(F.sum(F.col("_xc") * F.col("_xc")).alias("_p0"))
+    m = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)])
+    centred = x.join(m, keys).select(*keys, "_t", *[(F.col(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(cols)])
+    squares = centred.groupBy("name").agg(*[F.sum(F.col(c) * F.col(c)).alias(f"_p{i}") for i, c in enumerate(cols)])
     per = m.groupBy("name").agg(
-        _between("_N", "_m").alias("_Bn"), F.sum("_N").alias("_S"), F.avg("_N").alias("_n"), F.max("_N").alias("_longest"),
-        F.sum(F.col("_N") - 1).alias("_free"),
-    ).join(squares, "name").withColumn("_W", F.try_divide(F.col("_p0"), F.col("_free"))).withColumn(
-        "_vp", (F.col("_n") - 1) / F.col("_n") * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0))
-    )
-    # a parameter whose draws are all equal has no autocorrelation
-    rho = products.join(per.filter(F.col("_vp") > 0), "name").withColumn(
-        "_rho", F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(1.0 - (F.col("_W") - F.col("_p") / F.col("_S")) / F.col("_vp"))
-    )
-    pairs = rho.groupBy("name", F.floor(F.col("_k") / 2).alias("_tp")).agg(
+        F.sum("_N").alias("_S"), F.avg("_N").alias("_n"), F.max("_N").alias("_longest"), F.sum(F.col("_N") - 1).alias("_free"),
+        *[_between("_N", f"_m{i}").alias(f"_B{i}") for i in range(len(cols))],
+    ).join(squares, "name")
+    stacked = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_p{i}").alias("_p0"), F.col(f"_B{i}").alias("_Bn")) for i, c in enumerate(cols)])
+    per = per.select("name", "_S", "_n", "_longest", "_free", F.inline(stacked)).withColumn("_W", F.try_divide(F.col("_p0"), F.col("_free")))
+    return centred, per.withColumn("_vp", (F.col("_n") - 1) / F.col("_n") * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0)))
+
+
+def _geyer_tau(products: DataFrame, per: DataFrame) -> DataFrame:
+    """(name, col, ess, settled) from the lagged products known so far.
+
+    rho(k) = 1 - (W - acov(k)) / var+; sums of the pairs (2 t, 2 t + 1) up to the first negative one, their running
+    minimum, and tau = -1 + 2 sum P, all on the small (name, col, lag) table.  Settled: a negative pair sum was
+    reached, all lags are there, or the column is constant (its ESS is NULL).
+    """
+    keys = ["name", "col"]
+    # a column whose draws are all equal has no autocorrelation
+    rho = products.join(per.filter(F.col("_vp") > 0), keys).withColumn(
+        "_rho", F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1.0 - (F.col("_W") - F.col("product") / F.col("_S")) / F.col("_vp"))
+    ).filter(F.col("lag") < F.col("_longest"))
+    pairs = rho.groupBy(*keys, F.floor(F.col("lag") / 2).alias("_tp")).agg(
         F.sum("_rho").alias("_P"), F.count(F.lit(1)).alias("_c")
     ).filter(F.col("_c") == 2)
-    first_neg = pairs.filter(F.col("_P") < 0).groupBy("name").agg(F.min("_tp").alias("_stop"))
-    kept = pairs.join(first_neg, "name", "left").filter(F.col("_stop").isNull() | (F.col("_tp") < F.col("_stop")))
+    first_neg = pairs.filter(F.col("_P") < 0).groupBy(*keys).agg(F.min("_tp").alias("_stop"))
+    kept = pairs.join(first_neg, keys, "left").filter(F.col("_stop").isNull() | (F.col("_tp") < F.col("_stop")))
     # running minimum over the pair index: a window over one parameter's few lags
     mono = kept.withColumn(
-        "_Pm", F.min("_P").over(Window.partitionBy("name").orderBy("_tp").rowsBetween(Window.unboundedPreceding, 0))
+        "_Pm", F.min("_P").over(Window.partitionBy(*keys).orderBy("_tp").rowsBetween(Window.unboundedPreceding, 0))
     )
-    tau = mono.groupBy("name").agg((-1.0 + 2.0 * F.sum("_Pm")).alias("_tau")).join(per, "name")
+    tau = mono.groupBy(*keys).agg((-1.0 + 2.0 * F.sum("_Pm")).alias("_tau"))
+    known = products.groupBy(*keys).agg((F.max("lag") + 1).alias("_lags"))
     tau_c = F.greatest(F.col("_tau"), F.try_divide(F.lit(1.0), F.log10(F.col("_S"))))
-    ess = per.select("name").join(tau, "name", "left").select("name", F.try_divide(F.col("_S"), tau_c).alias("ess"))
-    constant = ~F.coalesce(F.col("_vp") > 0, F.lit(False))
-    trunc = per.select("name", "_longest", "_vp").join(first_neg, "name", "left").select(
-        "name", (F.col("_stop").isNotNull() | (F.lit(max_lag) >= F.col("_longest")) | constant).alias("truncated")
+    settled = F.col("_stop").isNotNull() | (F.col("_lags") >= F.col("_longest")) | ~F.coalesce(F.col("_vp") > 0, F.lit(False))
+    return per.join(tau, keys, "left").join(first_neg, keys, "left").join(known, keys, "left").select(
+        *keys, F.when(F.col("_tau").isNotNull(), F.try_divide(F.col("_S"), tau_c)).alias("ess"), F.coalesce(settled, F.lit(True)).alias("settled")
     )
-    return ess, trunc
 
 
-def _ess_col(x: DataFrame, col: str, start_lag: int = 64) -> DataFrame:
-    """ESS of ``col``; the lag range is widened for those parameters alone whose
-    pair sums have not turned negative yet (and that have further lags)."""
-    lag, rest, done = start_lag, x, None
+def _ess_of(x: DataFrame, cols: list[str], start_lag: int = 64) -> DataFrame:
+    """(name, col, ess) of the split chains' columns: all of them in one pass over the blocks, and a further
+    band of lags, four times as wide, only for the names that have not settled."""
+    centred, per = _chain_moments(x, cols)
+    centred, per = materialize(centred, "ess-centred"), materialize(per, "ess-moments")
+    low, high, rest, products, done = 0, start_lag, centred, None, None
     while True:
-        ess, trunc = _geyer_ess(rest, col, lag)
-        step = materialize(ess.join(trunc, "name"), "ess-step")
-        settled = step.filter("truncated").select("name", "ess")
+        band = lagged_products(rest, ["name", "_split"], "_t", cols, low, high).groupBy("name", "col", "lag").agg(F.sum("product").alias("product"))
+        known = band if products is None else products.unionByName(band)
+        products = materialize(known, "ess-products")  # one row per name, column and lag
+        step = materialize(_geyer_tau(products, per), "ess-step")
+        settled = step.filter("settled").select("name", "col", "ess")
         done = settled if done is None else done.unionByName(settled)
-        still = step.filter("NOT truncated").select("name")
+        still = step.filter("NOT settled").select("name", "col")
         if still.isEmpty():
             return done
-        rest = rest.join(still, "name", "left_semi")
-        lag *= 4
+        per = per.join(still, ["name", "col"], "left_semi")
+        products = products.join(still, ["name", "col"], "left_semi")
+        rest = rest.join(still.select("name").distinct(), "name", "left_semi")
+        low, high = high, high * 4
 
 
 def ess(draws: DataFrame) -> DataFrame:
     """Bulk and tail effective sample sizes per parameter.
 
-    Rank normalisation and the autocovariance sums run as distributed joins
-    and aggregates (no chain is held by one task); ess_tail is the smaller
-    of the ESS of the 5% and 95% exceedance indicators.
+    ``iteration`` numbers every chain from 1.  Ranks come from bins of bounded size and the autocovariances
+    from blocks of iterations, so no chain is held by one task; ess_tail is the smaller of
+    the ESS of the 5% and 95% exceedance indicators.  A constant column's ESS is NULL.
     """
     d = materialize(_split_chains(draws), "ess-split")
-    d = _rank_normal(d, "value", "_zb")
-    q = profile.group_quantiles(d, ["name"], "value", [0.05, 0.95], "_q").select(
-        "name", F.col("_q0").alias("_q05"), F.col("_q1").alias("_q95")
-    )
-    x = materialize(
-        d.join(q, "name").select(
-            "name", "_split", "_t", "_zb",
-            (F.col("value") <= F.col("_q05")).cast("double").alias("_lo"),
-            (F.col("value") <= F.col("_q95")).cast("double").alias("_hi"),
-        ),
-        "ess-input",
+    q = materialize(
+        profile.group_quantiles(d, ["name"], "value", [0.05, 0.95], "_q").select("name", F.col("_q0").alias("_q05"), F.col("_q1").alias("_q95")),
+        "ess-quantiles",
     )
-    bulk = _ess_col(x, "_zb").withColumnRenamed("ess", "ess_bulk")
-    lo = _ess_col(x, "_lo").withColumnRenamed("ess", "_e_lo")
-    hi = _ess_col(x, "_hi").withColumnRenamed("ess", "_e_hi")
-    return bulk.join(lo, "name", "left").join(hi, "name", "left").select(
-        "name", "ess_bulk", F.least("_e_lo", "_e_hi").alias("ess_tail")
+    x = _rank_normal(d, "value", "_zb").join(q, "name").select(
+        "name", "_split", "_t", "_zb",
+        (F.col("value") <= F.col("_q05")).cast("double").alias("_lo"),
+        (F.col("value") <= F.col("_q95")).cast("double").alias("_hi"),
     )
+    e = _ess_of(materialize(x, "ess-input"), ["_zb", "_lo", "_hi"])
+
+    def of(c: str) -> Column:
+        return F.max(F.when(F.col("col") == c, F.col("ess")))
+
+    return e.groupBy("name").agg(of("_zb").alias("ess_bulk"), F.least(of("_lo"), of("_hi")).alias("ess_tail"))
 
 
 def autocorrelation(draws: DataFrame, max_lag: int) -> DataFrame:
-    """Autocorrelation per (chain, name) for lags 0..max_lag.
+    """Autocorrelation per (chain, name) for lags 0..max_lag (D5), up to the chain's length.
 
-    Values are centred per chain; each row is paired with the row ``lag``
-    iterations later by an equi-join on (chain, name, iteration + lag), the
-    lags being an exploded literal range.
+    Values are centred per chain; the lagged products come from blocks of iterations with a halo.
     """
-    means = draws.groupBy("chain", "name").agg(F.avg("value").alias("_m"))
-    c = draws.join(means, ["chain", "name"]).withColumn("_xc", F.col("value") - F.col("_m"))
-    den = c.groupBy("chain", "name").agg(F.sum(F.col("_xc") * F.col("_xc")).alias("_den"))
-    lags = c.select("chain", "name", "iteration", "_xc", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
-    later = c.select("chain", "name", (F.col("iteration") - F.lit(0)).alias("_it2"), F.col("_xc").alias("_xc2"))
-    pairs = lags.join(
-        later, (lags.chain == later.chain) & (lags.name == later.name) & (later._it2 == lags.iteration + lags.lag)
-    ).select(lags.chain, lags.name, "lag", (F.col("_xc") * F.col("_xc2")).alias("_p"))
-    num = pairs.groupBy("chain", "name", "lag").agg(F.sum("_p").alias("_num"))
-    return num.join(den, ["chain", "name"]).select(
-        "chain", "name", "lag", (F.col("_num") / F.col("_den")).alias("acf")
-    )
+    keys = ["chain", "name"]
+    means = draws.groupBy(*keys).agg(F.avg("value").alias("_m"), (F.max("iteration") - F.min("iteration")).alias("_reach"))
+    c = draws.join(means, keys).select(*keys, "iteration", (F.col("value") - F.col("_m")).alias("_xc"))
+    num = lagged_products(c, keys, "iteration", ["_xc"], 0, max_lag + 1)
+    den = num.filter("lag = 0").select(*keys, F.col("product").alias("_den"))
+    reach = num.join(den, keys).join(means.select(*keys, "_reach"), keys).filter("lag <= _reach")
+    return reach.select("chain", "name", "lag", (F.col("product") / F.col("_den")).alias("acf"))
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int = 1 << 16) -> DataFrame:

@@ -2,15 +2,19 @@
 
 Parameters arrive on the transformed scale (psi, tau, phi, gamma) one row
 per station and are joined to the yearly maxima by station.  All scoring is
-Column arithmetic; only the maximum-likelihood fit (E10) runs a small numpy
-solve per station inside ``applyInPandas``.
+Column arithmetic; only the fit (E10) runs a numpy solve, over many stations
+of an Arrow batch at once.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
@@ -35,15 +39,16 @@ def predictive_p(
     by: list[str] | None = None,
     shape_link: str = "power",
     trend_link: str = "tanh",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Join parameters to maxima and score each (station, year): mu_t and p.
 
     ``by`` are extra parameter keys (e.g. chain, iteration for posterior
     draws); with draws the parameter side is not small and is shuffled by
-    station rather than broadcast.
+    station rather than broadcast.  ``keep`` names parameter columns to carry along.
     """
     by = by or []
-    nat = natural_params(params, shape_link, trend_link).select("station", *by, "mu0", "sigma", "xi", "delta")
+    nat = natural_params(params, shape_link, trend_link).select("station", *by, *(keep or []), "mu0", "sigma", "xi", "delta")
     # One row per station (per draw with ``by``): a derived table whose size is
     # only known at run time, so the broadcast decision is left to AQE, which
     # switches to a broadcast join when the parameter shuffle turns out small.
@@ -52,20 +57,24 @@ def predictive_p(
     return j.withColumn("mu", mu).withColumn("p", dist.gev_cdf("precip", "mu", "sigma", "xi"))
 
 
-def station_loglik(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+def station_loglik(scored: DataFrame, by: list[str] | None = None, priors: dict[str, Prior] | None = None) -> DataFrame:
     """Sum of GEV log densities per station; NULL when any year is infeasible.
 
     The reference returns NA for the whole station as soon as one year has
-    1 + xi z <= 0, so feasibility is a ``bool_and`` next to the sum.
+    1 + xi z <= 0, so feasibility is a ``bool_and`` next to the sum.  With ``priors`` the log
+    priors of the station's transformed parameters (columns of ``scored``) are added once.
     """
     by = by or []
     lp = dist.gev_logpdf("precip", "mu", "sigma", "xi")
+    prior = F.lit(0.0)
+    for name, given in (priors or {}).items():
+        prior = prior + F.max(given.column(F.col(name)))
     agg = scored.groupBy("station", *by).agg(
-        F.sum(lp).alias("_ll"), F.bool_and(lp.isNotNull()).alias("feasible"), F.count(F.lit(1)).alias("n_years")
+        F.sum(lp).alias("_ll"), F.bool_and(lp.isNotNull()).alias("feasible"), F.count(F.lit(1)).alias("n_years"), prior.alias("_prior")
     )
     return agg.select(
         "station", *by, "n_years", "feasible",
-        F.when(F.col("feasible"), -F.col("_ll")).alias("neg_log_lik"),
+        F.when(F.col("feasible"), -(F.col("_ll") + F.col("_prior"))).alias("neg_log_lik"),
     )
 
 
@@ -112,113 +121,228 @@ def t_scores(scored: DataFrame, nu: int = 3, keys: list[str] | None = None) -> D
 
 
 # ---------------------------------------------------------------------------
-# Maximum-likelihood fit (E10): a small per-station solve
+# Maximum-likelihood and maximum-posterior fit
 # ---------------------------------------------------------------------------
 
 PAR_NAMES = ["psi", "tau", "phi", "gamma"]
 
 
-def _np_links(par: np.ndarray, c: float, d0: float) -> tuple[float, float, float, float]:
+@dataclass(frozen=True)
+class Prior:
+    """A prior of one transformed parameter, given as functions: its log density as a Column, and
+    (log density, first, second derivative) over an array."""
+
+    column: Callable[[Column], Column]
+    array: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def normal_prior(mean: float, sd: float) -> Prior:
+    norm = -0.5 * math.log(2.0 * math.pi) - math.log(sd)
+    return Prior(
+        lambda x: norm - (x - mean) * (x - mean) / (2.0 * sd * sd),
+        lambda x: (norm - (x - mean) ** 2 / (2.0 * sd * sd), -(x - mean) / sd**2, np.full_like(x, -1.0 / sd**2)),
+    )
+
+
+def _shape_and_slopes(phi: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """xi(phi) of the power link with its first two derivatives."""
     a, b = dist.shape_link_constants(c)
-    psi, tau, phi, gamma = par
-    mu0 = np.exp(psi)
-    sigma = np.exp(psi + tau)
-    xi = (1.0 - np.exp(-np.exp((phi - a) / b))) ** (1.0 / c) - 0.5
-    delta = d0 * np.tanh(gamma / d0)
-    return mu0, sigma, xi, delta
-
-
-def _np_nll(par: np.ndarray, y: np.ndarray, t: np.ndarray, c: float, d0: float) -> float:
-    mu0, sigma, xi, delta = _np_links(par, c, d0)
-    mu = mu0 * (1.0 + delta * t)
-    z = (y - mu) / sigma
-    if abs(xi) < dist.GUMBEL_EPS:
-        return float(np.sum(np.log(sigma) + z + np.exp(-z)))
-    s = 1.0 + xi * z
-    if np.any(s <= 0) or not np.isfinite(sigma):
-        return np.inf
-    return float(np.sum(np.log(sigma) + (1.0 + 1.0 / xi) * np.log(s) + s ** (-1.0 / xi)))
-
-
-def _nelder_mead(f, x0: np.ndarray, iters: int = 2000, tol: float = 1e-10) -> np.ndarray:
-    n = len(x0)
-    simplex = [x0]
-    for i in range(n):
-        x = x0.copy()
-        x[i] += 0.1 if i < 2 else 0.05
-        simplex.append(x)
-    vals = [f(x) for x in simplex]
-    for _ in range(iters):
-        order = np.argsort(vals)
-        simplex = [simplex[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) <= tol * (abs(vals[0]) + tol):
+    v = np.clip((phi - a) / b, -600.0, 6.0)
+    e = np.exp(v)
+    f, f1 = -np.expm1(-e), np.exp(-e) * e / b
+    g1 = f ** (1.0 / c - 1.0) * f1 / c
+    return f ** (1.0 / c) - 0.5, g1, g1 * ((1.0 / c - 1.0) * f1 / f + (1.0 - e) / b)
+
+
+def _log1p_ratio(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log1p(x) / x with its first two derivatives; by series where the differences would cancel."""
+    small = np.abs(x) < 0.02
+    safe = np.where(small, 1.0, x)
+    r = np.log1p(safe) / safe
+    r1 = (1.0 / (1.0 + safe) - r) / safe
+    r2 = (-1.0 / (1.0 + safe) ** 2 - 2.0 * r1) / safe
+    powers = np.where(small, x, 0.0)[..., None] ** np.arange(12)
+    k = np.arange(12)
+    c0 = (-1.0) ** k / (k + 1)
+    c1 = (-1.0) ** (k + 1) * (k + 1) / (k + 2)
+    c2 = (-1.0) ** k * (k + 1) * (k + 2) / (k + 3)
+    return tuple(np.where(small, powers @ coef, full) for coef, full in ((c0, r), (c1, r1), (c2, r2)))
+
+
+def gev_objective(
+    theta: np.ndarray, y: np.ndarray, t: np.ndarray, use: np.ndarray, c: float, d0: float, priors: dict[str, Prior] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Negative log likelihood (minus the log priors), its score and its Hessian for many stations at once.
+
+    ``theta`` is (stations, 4); ``y``, ``t`` and ``use`` are (stations, years), padded where ``use`` is false.  With
+    z = (y - mu) / sigma = y exp(-psi - tau) - exp(-tau)(1 + delta t) and h = log1p(xi z) / xi, an
+    observation's term is psi + tau + (1 + xi) h + exp(-h), smooth through xi = 0.  Infeasible
+    stations (1 + xi z <= 0 in a year) have an infinite value.
+    """
+    psi, tau, phi, gamma = (theta[:, i : i + 1] for i in range(4))
+    xi, xi1, xi2 = _shape_and_slopes(phi, c)
+    th = np.tanh(gamma / d0)
+    slope, bend = 1.0 - th * th, -2.0 * th * (1.0 - th * th) / d0
+    with np.errstate(all="ignore"):
+        p, r = y * np.exp(-psi - tau), np.exp(-tau) * t
+        z = p - np.exp(-tau) - d0 * th * r
+        inside = 1.0 + xi * z > 0
+        feasible = (inside | ~use).all(axis=1)
+        x = np.where(inside & use, xi * z, 0.0)
+        s = 1.0 + x
+        r0, r1, r2 = _log1p_ratio(x)
+        h, q, q1 = z * r0, z * z * r1, z**3 * r2
+        u = np.exp(-h)
+        w = 1.0 + xi - u
+        lz, lx = w / s, h + w * q
+        lzz, lzx, lxx = (u - w * xi) / s**2, (1.0 + u * q) / s - w * z / s**2, 2.0 * q + u * q * q + w * q1
+        first = [-p, -z, None, -r * slope]
+        second = {(0, 0): p, (0, 1): p, (1, 1): z, (1, 3): r * slope, (3, 3): -r * bend}
+
+        def total(v: np.ndarray) -> np.ndarray:
+            return np.where(use, v, 0.0).sum(axis=1)
+
+        value = total(psi + tau + (1.0 + xi) * h + u)
+        score, hess = np.zeros((len(theta), 4)), np.zeros((len(theta), 4, 4))
+        n = use.sum(axis=1)
+        for i in (0, 1, 3):
+            score[:, i] = total(lz * first[i]) + (n if i < 2 else 0)
+            hess[:, i, 2] = hess[:, 2, i] = total(lzx * first[i] * xi1)
+            for j in (0, 1, 3):
+                if j >= i:
+                    hess[:, i, j] = hess[:, j, i] = total(lzz * first[i] * first[j] + lz * second.get((i, j), 0.0))
+        score[:, 2] = total(lx * xi1)
+        hess[:, 2, 2] = total(lxx * xi1 * xi1 + lx * xi2)
+        for i, name in enumerate(PAR_NAMES):
+            if priors and name in priors:
+                v, d1, d2 = priors[name].array(theta[:, i])
+                value, score[:, i], hess[:, i, i] = value - v, score[:, i] - d1, hess[:, i, i] - d2
+    value = np.where(feasible & np.isfinite(value), value, np.inf)
+    return value, score, hess
+
+
+def newton_gev(
+    y: np.ndarray, t: np.ndarray, use: np.ndarray, c: float, d0: float, priors: dict[str, Prior] | None = None,
+    rounds: int = 300, tol: float = 1e-8,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(theta, value, Hessian, converged) of every station by Newton steps on the eigenvalues' magnitudes, each halved
+    until the value falls; gamma is measured in units of ``d0``.  Converged means that the score, per
+    observation, is under ``tol``, or that the value cannot fall in double precision and a full Newton step would
+    lower it by 1e-9 at most."""
+    scale = np.array([1.0, 1.0, 1.0, d0])
+    n = np.maximum(use.sum(axis=1), 1)
+    mean = np.where(use, y, 0.0).sum(axis=1) / n
+    sd = np.sqrt(np.where(use, (y - mean[:, None]) ** 2, 0.0).sum(axis=1) / np.maximum(n - 1, 1))
+    with np.errstate(all="ignore"):
+        ratio = np.where(sd > 0, sd * math.sqrt(6.0) / math.pi / mean, 0.1)
+        theta = np.stack([np.log(mean), np.log(ratio), np.zeros_like(mean), np.zeros_like(mean)], axis=1)
+    possible = np.isfinite(theta).all(axis=1) & (use.sum(axis=1) > 0)
+    theta[~possible] = 0.0
+    value, score, hess = gev_objective(theta, y, t, use, c, d0, priors)
+    done = np.zeros(len(theta), bool)
+    stuck = ~possible | ~np.isfinite(value)
+    for _ in range(rounds):
+        done |= ~stuck & (np.abs(score * scale).max(axis=1) <= tol * n)
+        open_ = np.flatnonzero(~done & ~stuck)
+        if not len(open_):
             break
-        centroid = np.mean(simplex[:-1], axis=0)
-        xr = centroid + (centroid - simplex[-1])
-        fr = f(xr)
-        if fr < vals[0]:
-            xe = centroid + 2.0 * (centroid - simplex[-1])
-            fe = f(xe)
-            simplex[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            simplex[-1], vals[-1] = xr, fr
-        else:
-            xc = centroid + 0.5 * (simplex[-1] - centroid)
-            fc = f(xc)
-            if fc < vals[-1]:
-                simplex[-1], vals[-1] = xc, fc
-            else:
-                best = simplex[0]
-                simplex = [best] + [best + 0.5 * (x - best) for x in simplex[1:]]
-                vals = [vals[0]] + [f(x) for x in simplex[1:]]
-    return simplex[int(np.argmin(vals))]
-
-
-def _hessian(f, x: np.ndarray, h: float = 1e-4) -> np.ndarray:
-    n = len(x)
-    H = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            e_i = np.eye(n)[i] * h
-            e_j = np.eye(n)[j] * h
-            v = (f(x + e_i + e_j) - f(x + e_i - e_j) - f(x - e_i + e_j) + f(x - e_i - e_j)) / (4 * h * h)
-            H[i, j] = H[j, i] = v
-    return H
+        g = (score * scale)[open_]
+        size, axes = np.linalg.eigh(hess[open_] * np.outer(scale, scale))
+        size = np.maximum(np.abs(size), 1e-10 * np.abs(size).max(axis=1, keepdims=True) + 1e-300)
+        step = -np.einsum("sij,sj->si", axes, np.einsum("sij,si->sj", axes, g) / size)
+        left = -(step * g).sum(axis=1)
+        step /= np.maximum(1.0, np.abs(step).max(axis=1, keepdims=True))
+        fall = (step * g).sum(axis=1)
+        factor, moved = np.ones(len(open_)), np.zeros(len(open_), bool)
+        for _ in range(60):
+            trying = np.flatnonzero(~moved)
+            if not len(trying):
+                break
+            at = open_[trying]
+            new = theta[at] + (factor[trying, None] * step[trying]) * scale
+            v, gr, he = gev_objective(new, y[at], t[at], use[at], c, d0, priors)
+            better = v <= value[at] + 1e-4 * factor[trying] * fall[trying] + 1e-14 * np.abs(value[at])
+            ok = at[better]
+            theta[ok], value[ok], score[ok], hess[ok] = new[better], v[better], gr[better], he[better]
+            moved[trying[better]] = True
+            factor[trying[~better]] *= 0.5
+        # no smaller value within rounding: a minimum if the score promises next to nothing more
+        done[open_[~moved & (left <= 1e-9)]] = True
+        stuck[open_[~moved & (left > 1e-9)]] = True
+    return theta, value, hess, done & possible
+
+
+#: Stations solved side by side.
+FIT_BATCH = 2_000
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch], t0: int, c: float, d0: float, priors: dict[str, Prior] | None) -> Iterator[pa.RecordBatch]:
+    par = pa.list_(pa.struct([("name", pa.string()), ("value", pa.float64())]))
+    for whole in batches:
+        for at in range(0, whole.num_rows, FIT_BATCH):
+            batch = whole.slice(at, FIT_BATCH)
+            years, values = batch.column("years").to_pylist(), batch.column("values").to_pylist()
+            size = np.array([len(v) for v in values])
+            use = np.arange(size.max(initial=1))[None, :] < size[:, None]
+            y, t = np.ones(use.shape), np.zeros(use.shape)
+            y[use], t[use] = np.concatenate(values), np.concatenate(years) - float(t0)
+            theta, value, hess, done = newton_gev(y, t, use, c, d0, priors)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("station"),
+                    pa.array([[{"name": n, "value": float(v)} for n, v in zip(PAR_NAMES, row, strict=True)] for row in theta], par),
+                    pa.array(hess.tolist(), pa.list_(pa.list_(pa.float64()))),
+                    pa.array(value), pa.array(done),
+                ],
+                ["station", "par", "hess", "neg_log_lik", "converged"],
+            )
 
 
 def fit_station_gev(
-    maxima: DataFrame, t0: int = dist.TREND_T0, c: float = dist.SHAPE_LINK_C, d0: float = dist.TREND_LINK_D0
+    maxima: DataFrame, t0: int = dist.TREND_T0, c: float = dist.SHAPE_LINK_C, d0: float = dist.TREND_LINK_D0,
+    priors: dict[str, Prior] | None = None,
 ) -> DataFrame:
-    """Maximum-likelihood (psi, tau, phi, gamma) and the Hessian per station.
+    """Maximum-likelihood (with ``priors``: maximum-posterior) psi, tau, phi, gamma and the Hessian per station.
 
-    One grouped-map task per station group: a station's rows are its yearly
-    maxima (tens of rows), the solve is a 4-parameter Nelder-Mead from the
-    moment start, and the Hessian is a central-difference one.  Output keeps
-    the reference's nested shape: par array<struct<name, value>>, hess
-    array<array<double>>, plus the minimised negative log-likelihood.
+    A station's maxima are one row of two arrays (its years, tens of values); thousands of
+    stations are solved side by side by Newton with the analytic score and Hessian.  Output keeps
+    the reference's nested shape: par array<struct<name, value>>, hess array<array<double>>, the minimised
+    negative log-likelihood (log priors included), and converged: false where no minimum was reached
+    (one year, equal maxima, a mean that is not positive).  NULL and non-finite maxima are left out.
     """
+    finite = maxima.where(dist.is_finite(F.col("precip")) & F.col("year").isNotNull())
+    rows = finite.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("year", "precip"))).alias("m")).select(
+        "station", F.col("m.year").cast("array<double>").alias("years"), F.col("m.precip").cast("array<double>").alias("values")
+    )
+    kind = rows.schema["station"].dataType.simpleString()
+    schema = f"station {kind}, par array<struct<name:string, value:double>>, hess array<array<double>>, neg_log_lik double, converged boolean"
+    return rows.mapInArrow(lambda it: _fit_batches(it, t0, c, d0, priors), schema)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["precip"].to_numpy(dtype=float)
-        t = pdf["year"].to_numpy(dtype=float) - t0
-        m = y.mean()
-        s = y.std(ddof=1) if len(y) > 1 else m * 0.1
-        x0 = np.array([np.log(m), np.log(max(s, 1e-9) / m) , 0.0, 0.0])
-        f = lambda p: _np_nll(p, y, t, c, d0)
-        best = _nelder_mead(f, x0)
-        H = _hessian(f, best)
-        return pd.DataFrame(
-            {
-                "station": [pdf["station"].iloc[0]],
-                "par": [[{"name": n, "value": float(v)} for n, v in zip(PAR_NAMES, best)]],
-                "hess": [H.tolist()],
-                "neg_log_lik": [f(best)],
-            }
-        )
-
-    schema = (
-        "station bigint, par array<struct<name:string, value:double>>, "
-        "hess array<array<double>>, neg_log_lik double"
+
+def fit_certificate(
+    maxima: DataFrame, fits: DataFrame, t0: int = dist.TREND_T0, priors: dict[str, Prior] | None = None, step: float = 1e-6
+) -> DataFrame:
+    """What shows that a fit is a minimum, by the likelihood's Column expressions alone: per station the
+    five-point central differences of the negative log-likelihood (E9) at the fit, gamma in units of the
+    trend's bound, and by how much the fit's own value differs from E9's."""
+    par = fits.select("station", "neg_log_lik", F.map_from_entries("par").alias("p"))
+    unit = {n: step * (dist.TREND_LINK_D0 if n == "gamma" else 1.0) for n in PAR_NAMES}
+    shifts = [("at", {})] + [(f"{n}{sign:+d}", {n: sign * unit[n]}) for n in PAR_NAMES for sign in (-2, -1, 1, 2)]
+    variants = F.array(*[
+        F.struct(F.lit(label).alias("variant"), *[(F.col("p")[n] + F.lit(move.get(n, 0.0))).alias(n) for n in PAR_NAMES])
+        for label, move in shifts
+    ])
+    moved = par.select("station", F.inline(variants))
+    scored = predictive_p(maxima, moved, t0, by=["variant"], keep=PAR_NAMES)
+    ll = station_loglik(scored, by=["variant"], priors=priors)
+    wide = ll.groupBy("station").agg(
+        F.max("n_years").alias("n_years"),
+        *[F.max(F.when(F.col("variant") == label, F.col("neg_log_lik"))).alias(label) for label, _ in shifts],
+    )
+    return wide.join(par.select("station", "neg_log_lik"), "station").select(
+        "station", "n_years", (F.col("neg_log_lik") - F.col("at")).alias("value_gap"),
+        *[
+            ((8.0 * (F.col(f"`{n}+1`") - F.col(f"`{n}-1`")) - (F.col(f"`{n}+2`") - F.col(f"`{n}-2`"))) / (12.0 * step)).alias(f"score_{n}")
+            for n in PAR_NAMES
+        ],
     )
-    return maxima.select("station", "year", "precip").groupBy("station").applyInPandas(fit, schema)

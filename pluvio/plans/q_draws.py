@@ -120,9 +120,51 @@ def rhat(spark, sf):
     return r.select("name", *[F.round(c, 9).alias(c) for c in ["rhat_bulk", "rhat_tail", "rhat"]])
 
 
-@query("ess", "D4 D5 X1")
+def _ess_sql() -> str:
+    """Lag self-joins of the split chains over every lag, then Geyer's pair sums."""
+    pr = (
+        "(rank() OVER (PARTITION BY name ORDER BY value) + (count(*) OVER (PARTITION BY name, value) - 1) / 2.0 - 0.375) "
+        "/ (count(*) OVER (PARTITION BY name) + 0.25)"
+    )
+    between = "sum(n * pow(m - g, 2)) / nullif((count(*) - 1) * avg(n), 0)"
+    return with_ctes(
+        f"SELECT name, {rnd('max(CASE WHEN col = 1 THEN ess END)', 6)} AS ess_bulk, "
+        f"{rnd('least(max(CASE WHEN col = 2 THEN ess END), max(CASE WHEN col = 3 THEN ess END))', 6)} AS ess_tail "
+        "FROM (SELECT t.name, t.col, s / greatest(tau, 1 / log10(s)) AS ess FROM tau t) GROUP BY name",
+        "draws",
+        extra=[
+            ("cnt", "SELECT *, count(*) OVER (PARTITION BY name, chain) AS n FROM draws"),
+            ("sp", "SELECT name, chain * 2 + CASE WHEN iteration <= n // 2 THEN 0 ELSE 1 END AS split, value, "
+                   "CASE WHEN iteration <= n // 2 THEN iteration ELSE iteration - (n - n // 2) END AS t "
+                   "FROM cnt WHERE iteration <= n // 2 OR iteration > n - n // 2"),
+            ("qs", "SELECT name, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95 FROM sp GROUP BY name"),
+            ("pr", f"SELECT name, split, t, value, {pr} AS p FROM sp"),
+            ("x", f"SELECT name, split, t, 1 AS col, {S.norm_ppf('p')} AS x FROM pr UNION ALL "
+                  "SELECT name, split, t, 2, CAST(value <= q05 AS DOUBLE) FROM sp JOIN qs USING (name) UNION ALL "
+                  "SELECT name, split, t, 3, CAST(value <= q95 AS DOUBLE) FROM sp JOIN qs USING (name)"),
+            ("m", "SELECT name, col, split, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL"),
+            ("c", "SELECT x.name, x.col, x.split, x.t, x.x - m.m AS xc FROM x JOIN m USING (name, col, split)"),
+            ("lagged", "SELECT a.name, a.col, b.t - a.t AS lag, sum(a.xc * b.xc) AS p FROM c a JOIN c b "
+                       "ON a.name = b.name AND a.col = b.col AND a.split = b.split AND b.t >= a.t GROUP BY ALL"),
+            ("gm", "SELECT *, sum(n * m) OVER w / sum(n) OVER w AS g FROM m WINDOW w AS (PARTITION BY name, col)"),
+            ("mom", f"SELECT name, col, sum(n) AS s, avg(n) AS nn, sum(n - 1) AS free, {between} AS b FROM gm GROUP BY ALL"),
+            ("per", "SELECT mom.*, p / free AS w, (nn - 1) / nn * (p / free) + coalesce(b, 0) AS vp "
+                    "FROM mom JOIN lagged l USING (name, col) WHERE l.lag = 0"),
+            ("rho", "SELECT name, col, lag, CASE WHEN lag = 0 THEN 1.0::DOUBLE ELSE 1 - (w - p / s) / vp END AS r "
+                    "FROM lagged JOIN per USING (name, col) WHERE vp > 0"),
+            ("pair", "SELECT name, col, lag // 2 AS tp, sum(r) AS ps FROM rho GROUP BY ALL HAVING count(*) = 2"),
+            ("stop", "SELECT name, col, min(tp) AS stop FROM pair WHERE ps < 0 GROUP BY ALL"),
+            ("mono", "SELECT pair.name, pair.col, min(ps) OVER (PARTITION BY pair.name, pair.col ORDER BY tp) AS pm "
+                     "FROM pair LEFT JOIN stop USING (name, col) WHERE stop IS NULL OR tp < stop"),
+            ("tau", "SELECT mono.name, mono.col, max(per.s) AS s, -1 + 2 * sum(pm) AS tau FROM mono JOIN per USING (name, col) GROUP BY ALL"),
+        ],
+    )
+
+
+@query("ess", "D4 D5 X1", _ess_sql())
 def ess(spark, sf):
-    return D.ess(Fixtures(spark, sf).draws())
+    e = D.ess(Fixtures(spark, sf).draws())
+    return e.select("name", F.round("ess_bulk", 6).alias("ess_bulk"), F.round("ess_tail", 6).alias("ess_tail"))
 
 
 MAX_LAG = 10

@@ -14,6 +14,7 @@ from pluvio.operators import copula, gev, profile, windows
 from pluvio.plans.fixtures import EMBEDDING_SIZE, Fixtures, margin_pairs
 from pluvio.plans.oracle_fixtures import rnd, with_ctes
 from pluvio.plans.registry import query
+from pluvio.session import materialize
 
 # The fixture's trend origin (FIXTURES.md: years 1995-2001, t0 = 1995).
 T0 = 1995
@@ -100,11 +101,69 @@ def station_loglik(spark, sf):
     return ll.withColumn("neg_log_lik", F.round("neg_log_lik", 6))
 
 
-@query("gev_fit", "E10 X1 X4 S13")
+#: Priors of the maximum-posterior fit: weak on location and scale, tight on shape and trend.
+PRIORS = {"psi": (10.0, 4.0), "tau": (-1.0, 2.0), "phi": (0.0, 0.3), "gamma": (0.0, 0.004)}
+_PRIORS = {n: gev.normal_prior(m, sd) for n, (m, sd) in PRIORS.items()}
+
+
+def _prior_sql(name: str) -> str:
+    m, sd = PRIORS[name]
+    return f"(-0.5 * ln(2.0 * pi()) - ln({sd!r}) - ({name} - ({m!r})) * ({name} - ({m!r})) / (2.0 * {sd!r} * {sd!r}))"
+
+
+@query(
+    "station_posterior",
+    "E9",
+    with_ctes(
+        "SELECT l.station, l.n_years, l.feasible, CASE WHEN l.feasible THEN "
+        f"{rnd('-(l.ll + ' + ' + '.join(_prior_sql(n) for n in PRIORS) + ')', 6)} END AS neg_log_post FROM "
+        "(SELECT station, count(*) AS n_years, bool_and(lp IS NOT NULL) AS feasible, sum(lp) AS ll "
+        f"FROM (SELECT station, {S.gev_logpdf('precip', 'mu', 'sigma', 'xi')} AS lp FROM scored) GROUP BY station) l "
+        "JOIN params USING (station)",
+        "params", "precip", extra=[_NAT, _SCORED],
+    ),
+)
+def station_posterior(spark, sf):
+    """E9 with the priors added: likelihood and log priors per station."""
+    fx = Fixtures(spark, sf)
+    scored = gev.predictive_p(fx.precip(), fx.params(), T0, keep=list(PRIORS))
+    ll = gev.station_loglik(scored, priors=_PRIORS)
+    return ll.select("station", "n_years", "feasible", F.round("neg_log_lik", 6).alias("neg_log_post"))
+
+
+@query("gev_fit", "E10 X1 S13")
 def gev_fit(spark, sf):
-    """Per-station maximum-likelihood fit; the nested par column unnested."""
-    fit = gev.fit_station_gev(Fixtures(spark, sf).precip(), t0=T0)
-    return fit.select("station", "neg_log_lik", F.size("hess").alias("hess_dim"), F.inline("par"))
+    """Per-station maximum-likelihood and maximum-posterior fits; the nested par column unnested."""
+    precip = Fixtures(spark, sf).precip()
+    fits = [
+        gev.fit_station_gev(precip, t0=T0, priors=priors).withColumn("model_type", F.lit(label))
+        for label, priors in (("ml", None), ("map", _PRIORS))
+    ]
+    both = fits[0].unionByName(fits[1])
+    return both.select("station", "model_type", "converged", "neg_log_lik", F.size("hess").alias("hess_dim"), F.inline("par"))
+
+
+@query(
+    "gev_fit_certificate",
+    "E10 E9 X1",
+    with_ctes(
+        "SELECT station, model_type, count(*) AS n_years, true AS converged, 0.0::DOUBLE AS value_gap, "
+        + ", ".join(f"0.0::DOUBLE AS score_{n}" for n in gev.PAR_NAMES)
+        + " FROM precip, (VALUES ('ml'), ('map')) AS m(model_type) GROUP BY ALL",
+        "precip",
+    ),
+)
+def gev_fit_certificate(spark, sf):
+    """The fits are minima: differences of the likelihood's own expressions (E9) at the fit round to zero."""
+    precip = Fixtures(spark, sf).precip()
+    parts = []
+    for label, priors in (("ml", None), ("map", _PRIORS)):
+        fits = materialize(gev.fit_station_gev(precip, t0=T0, priors=priors), "gev-fit")
+        c = gev.fit_certificate(precip, fits, T0, priors).join(fits.select("station", "converged"), "station")
+        parts.append(c.withColumn("model_type", F.lit(label)))
+    both = parts[0].unionByName(parts[1])
+    zero = ["value_gap", *[f"score_{n}" for n in gev.PAR_NAMES]]
+    return both.select("station", "model_type", "n_years", "converged", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in zero])
 
 
 _QQ = (

@@ -23,7 +23,59 @@ def test_gev_fit_recovers_parameters(spark):
     assert abs(math.exp(par["psi"] + par["tau"]) - sigma) < 1.0
     xi_hat = spark.range(1).select(dist.shape_link_inverse(F.lit(par["phi"])).alias("x")).first().x
     assert abs(xi_hat - xi) < 0.05
-    assert len(fit.hess) == 4
+    assert len(fit.hess) == 4 and fit.converged
+
+
+def test_gev_score_and_hessian_by_differences():
+    rng = np.random.default_rng(0)
+    n = 200
+    y, t = rng.gumbel(50, 10, (n, 12)), np.tile(np.arange(12.0) + 5, (n, 1))
+    use = np.ones(y.shape, bool)
+    use[:, 10:] = rng.random((n, 2)) < 0.5
+    priors = {"psi": gev.normal_prior(4.0, 2.0), "phi": gev.normal_prior(0.0, 0.3)}
+    theta = np.stack([np.full(n, np.log(50.0)), np.full(n, np.log(0.3)), rng.normal(0, 0.3, n), rng.normal(0, 0.004, n)], 1)
+    theta[:50, 2] = rng.normal(0, 1e-6, 50)  # through the Gumbel limit
+    value, score, hess = gev.gev_objective(theta, y, t, use, 0.8, 0.008, priors)
+    for i in range(4):
+        d = np.zeros(4)
+        d[i] = 1e-5 * (0.008 if i == 3 else 1.0)
+        up, s_up, _ = gev.gev_objective(theta + d, y, t, use, 0.8, 0.008, priors)
+        down, s_down, _ = gev.gev_objective(theta - d, y, t, use, 0.8, 0.008, priors)
+        ok = np.isfinite(value) & np.isfinite(up) & np.isfinite(down)
+        assert ok.sum() > 150
+        assert np.abs((up - down)[ok] / (2 * d[i]) - score[ok, i]).max() < 1e-4 * np.abs(score[ok, i]).max()
+        assert np.abs((s_up - s_down)[ok] / (2 * d[i]) - hess[ok, i]).max() < 1e-4 * np.abs(hess[ok, i]).max()
+
+
+def test_gev_fit_of_odd_stations(spark):
+    rng = np.random.default_rng(1)
+    rows = [(1, 1980 + k, float(v)) for k, v in enumerate(rng.gumbel(50, 10, 30))]
+    rows += [(2, 1990, 5.0), (3, 1990, 5.0), (3, 1991, 5.0), (4, 1990, -3.0), (4, 1991, -4.0), (5, 1990, None), (6, 1990, float("nan")), (None, 1990, 3.0)]
+    rows += [(1, None, 3.0), (1, 1999, float("inf"))]
+    df = spark.createDataFrame(rows, "station long, year int, precip double")
+    fits = {r.station: r for r in gev.fit_station_gev(df).collect()}
+    assert set(fits) == {1, 2, 3, 4, None}
+    assert fits[1].converged and not (fits[2].converged or fits[3].converged or fits[4].converged)
+    tight = gev.fit_station_gev(df, priors={"phi": gev.normal_prior(0.0, 1e-4), "gamma": gev.normal_prior(0.0, 1e-6)})
+    par = {p.name: p.value for p in tight.where("station = 1").first().par}
+    assert abs(par["phi"]) < 1e-3 and abs(par["gamma"]) < 1e-4
+
+
+def test_lagged_products_across_blocks(spark, monkeypatch):
+    from pluvio.operators import draws as D
+
+    monkeypatch.setattr(D, "LAG_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    series = {("a", 1): rng.normal(size=100), ("a", 2): rng.normal(size=7), ("b", 1): rng.normal(size=33)}
+    rows = [(n, c, t + 1, float(v), float(v) ** 2) for (n, c), x in series.items() for t, v in enumerate(x) if (n, t) != ("b", 9)]
+    df = spark.createDataFrame(rows, "name string, chain int, t long, x double, y double").repartition(4)
+    for first, last in ((0, 5), (5, 21), (21, 90)):
+        got = {(r.name, r.chain, r.col, r.lag): r["product"] for r in D.lagged_products(df, ["name", "chain"], "t", ["x", "y"], first, last).collect()}
+        for (n, c), x in series.items():
+            x = np.where((np.arange(len(x)) == 9) & (n == "b"), 0.0, x)
+            for k in range(first, last):
+                for col, v in (("x", x), ("y", x * x)):
+                    assert abs(got[n, c, col, k] - (v[: len(v) - k] * v[k:]).sum() if k < len(v) else got[n, c, col, k]) < 1e-9
 
 
 def test_site_regression_recovers_coefficients(spark):
