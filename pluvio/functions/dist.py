@@ -7,8 +7,9 @@ Columns, column names or Python numbers.
 Neither Spark SQL nor the DuckDB oracle has ``erf``, so the normal CDF and
 quantile are published rational approximations (Hart 1968 as given by West
 2005; Wichura 1988, AS241).  Student-t functions have closed forms for
-nu = 1, 2, 3; any integer nu goes through the finite series CDF
-(``t_cdf_int``) and its bisection inverse (``t_ppf_int``).
+nu = 1, 2, 3; any other real nu goes through a continued fraction
+(``t_two_sided``, ``t_cdf_real``) and its Newton inverse (``t_ppf_real``), folds that
+Spark evaluates outside generated code.
 
 The ``*_sql`` twins in ``functions.sqltext`` produce the same formulas as SQL
 text for the DuckDB oracle, from the same constants.
@@ -224,7 +225,7 @@ def t_cdf(x, nu: int) -> Column:
     if nu == 3:
         s = x / math.sqrt(3.0)
         return 0.5 + (F.atan(s) + s / (1.0 + s * s)) / math.pi
-    raise ValueError("closed form only for nu in (1, 2, 3); use t_cdf_int for other integer nu")
+    raise ValueError("closed form only for nu in (1, 2, 3); use t_cdf_real for other nu")
 
 
 def t_logpdf(x, nu: float) -> Column:
@@ -443,83 +444,153 @@ def is_finite(x) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def t_cdf_int(x, nu) -> Column:
-    """Student-t CDF for any integer degrees of freedom ``nu`` (a Column or int).
+# ---------------------------------------------------------------------------
+# Student t for any real degrees of freedom
+# ---------------------------------------------------------------------------
+
+# The asymptotic series of ln Gamma(a + 1/2) - ln Gamma(a) - ln(a) / 2 in odd powers of 1 / a.
+HALF_STEP_SERIES = [-1.0 / 8.0, 1.0 / 192.0, -1.0 / 640.0, 17.0 / 14336.0, -31.0 / 18432.0]
+#: Factors by which the argument is raised before the series is used.
+HALF_STEP_SHIFT = 16
+#: Double terms of the continued fraction: enough for a relative error under 1e-11 at any degrees of freedom.
+BETA_TERMS = 32
+#: Degrees of freedom beyond which Hill's normal approximation is good for ten digits.
+T_LARGE_NU = 4000.0
+#: Newton steps of the quantile after Hill's start.
+T_NEWTON_STEPS = 4
+
+
+def log_gamma_half_step(a) -> Column:
+    """ln Gamma(a + 1/2) - ln Gamma(a) for a > 0, without the cancellation of two large logarithms."""
+    a = _c(a)
+    up = a + float(HALF_STEP_SHIFT)
+    inv = 1.0 / up
+    series = F.lit(0.0)
+    for c in reversed(HALF_STEP_SERIES):
+        series = series * inv * inv + c
+    ratio = a / (a + 0.5)
+    for k in range(1, HALF_STEP_SHIFT):
+        ratio = ratio * ((a + float(k)) / (a + (k + 0.5)))
+    return 0.5 * F.log(up) + series * inv + F.log(ratio)
+
+
+def _beta_fraction(args: Column) -> Column:
+    """I_x(a, b) a B(a, b) / (x ** a (1 - x) ** b), the continued fraction of the incomplete beta function, for a struct
+    of a, b and x; a fixed number of terms, folded from the last one up."""
+    a, b, x = args["a"], args["b"], args["x"]
+
+    def step(h, k):
+        m = k.cast("double")
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        even = (m + 1.0) * (b - m - 1.0) * x / ((a + 2.0 * m + 1.0) * (a + 2.0 * m + 2.0))
+        return 1.0 + odd / (1.0 + even / h)
+
+    return 1.0 / F.aggregate(F.sequence(F.lit(BETA_TERMS - 1), F.lit(0), F.lit(-1)), F.lit(1.0), step)
+
+
+def _t_tail_fraction(t: Column, nu: Column) -> Column:
+    """P(|T| > t) for t >= 0 as the regularised incomplete beta function I_x(nu / 2, 1 / 2), x = nu / (nu + t ** 2); the
+    upper tail is summed directly, so it keeps its relative precision."""
+    a = nu / 2.0
+    y = t * t / (nu + t * t)
+    x = nu / (nu + t * t)
+    front = F.exp(-a * F.log1p(t * t / nu) + log_gamma_half_step(a)) * F.sqrt(y) / math.sqrt(math.pi)
+    # the fraction converges fast on one side of the mean of the beta distribution, its mirror image on the other
+    direct = F.struct(a.alias("a"), F.lit(0.5).alias("b"), x.alias("x"))
+    mirrored = F.struct(F.lit(0.5).alias("a"), a.alias("b"), y.alias("x"))
+    return F.when(x < (a + 1.0) / (a + 2.5), front / a * _let(direct, _beta_fraction)).otherwise(
+        1.0 - front / 0.5 * _let(mirrored, _beta_fraction)
+    )
+
+
+def _t_tail_large(t: Column, nu: Column) -> Column:
+    """P(|T| > t) by Hill's normal transformation (1970, algorithm 395), for many degrees of freedom."""
+    a = nu - 0.5
+    b = 48.0 * a * a
+
+    def z_of(y: Column) -> Column:
+        inner = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b)
+        return ((inner + y + 3.0) / b + 1.0) * F.sqrt(y)
 
-    Finite trigonometric series (Abramowitz & Stegun 26.7.3-4) with
-    theta = atan(x / sqrt nu), c = cos^2 theta:
-      nu odd:  A = 2/pi (theta + sin theta cos theta sum_{k<(nu-1)/2} b_k c^k),
-               b_0 = 1, b_k = b_{k-1} 2k / (2k + 1)   (the sum is empty for nu = 1)
-      nu even: A = sin theta sum_{k<nu/2} a_k c^k, a_0 = 1, a_k = a_{k-1} (2k-1)/(2k)
-    and F(x) = 1/2 + sign(x) A(|x|) / 2.  The sum runs per row as an
-    ``aggregate`` over ``sequence``, so nu may differ row by row; theta is
-    bound once so the series does not re-evaluate the input per term.
+    return 2.0 * norm_cdf(-_let(a * F.log1p(t * t / nu), z_of))
+
+
+def t_two_sided(t, nu) -> Column:
+    """P(|T| > |t|) of Student's t for any real nu > 0 (a Column or number) and |t| up to 1e150; NULL for other nu.
+
+    Small tails keep their relative precision: nothing is subtracted from one.
     """
-    x = _c(x)
-    nu = _c(nu).cast("long")
-
-    def with_theta(th):
-        a = _t_abs_mass(th, nu)
-        return a
-
-    th = F.atan(F.abs(x) / F.sqrt(nu.cast("double")))
-    a = _let(th, with_theta)
-    return F.when(x >= 0, 0.5 + a / 2.0).otherwise(0.5 - a / 2.0)
-
-
-def _t_abs_mass(th: Column, nu: Column) -> Column:
-    """P(|T| <= sqrt(nu) tan th) for th in [0, pi/2) and integer nu (the series of
-    :func:`t_cdf_int` written in theta)."""
-    c2 = F.cos(th) * F.cos(th)
-    odd = (nu % 2) == 1
-    n_terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("long")
-
-    def step(acc, k):
-        kd = k.cast("double")
-        ratio = F.when(odd, 2.0 * kd / (2.0 * kd + 1.0)).otherwise((2.0 * kd - 1.0) / (2.0 * kd))
-        term = acc["term"] * ratio * c2
-        live = k < n_terms
-        return F.struct(
-            F.when(live, term).otherwise(acc["term"]).alias("term"),
-            F.when(live, acc["total"] + term).otherwise(acc["total"]).alias("total"),
+
+    def tail(args):
+        size, v = F.abs(args["t"]), args["nu"]
+        return (
+            F.when(size.isNull() | F.isnan(size) | v.isNull() | ~(v > 0), F.lit(None).cast("double"))
+            .when(size == float("inf"), 0.0).when(size == 0.0, 1.0)
+            .when(v > T_LARGE_NU, _t_tail_large(size, v)).otherwise(_t_tail_fraction(size, v))
         )
 
-    init = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    series = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n_terms, F.lit(1).cast("long"))), init, step)["total"]
-    a_odd = 2.0 / math.pi * (th + F.when(nu > 1, F.sin(th) * F.cos(th) * series).otherwise(F.lit(0.0)))
-    return F.when(odd, a_odd).otherwise(F.sin(th) * series)
+    return _let(F.struct(_c(t).alias("t"), _c(nu).cast("double").alias("nu")), tail)
+
+
+def t_cdf_real(x, nu) -> Column:
+    """Student-t CDF for any real degrees of freedom ``nu`` (a Column or number)."""
 
+    def both(v):
+        return _let(t_two_sided(v, nu) / 2.0, lambda half: F.when(v >= 0, 1.0 - half).otherwise(half))
 
-# Bisection steps on theta in [0, pi/2]: 2^-64 pi is below double resolution.
-T_BISECT_STEPS = 64
+    return _let(_c(x), both)
 
-def t_ppf_int(p, nu) -> Column:
-    """Student-t quantile for any integer degrees of freedom (a Column or int).
 
-    Solves P(|T| <= t) = |2p - 1| by bisection on theta = atan(t / sqrt nu) in
-    [0, pi/2): a bounded, monotone problem, so a fixed number of halvings
-    reaches double precision without derivatives.  Runs as an ``aggregate``
-    over a sequence (the CDF series nested inside), JVM-side.
+def _t_start(q: Column, nu: Column) -> Column:
+    """A start for the two-sided quantile: Hill (1970, algorithm 396), the power law of the tail below nu = 1."""
+    a = 1.0 / (nu - 0.5)
+    b = 48.0 / (a * a)
+    c = ((20700.0 * a / b - 98.0) * a - 16.0) * a + 96.36
+    d = ((94.5 / (b + c) - 3.0) / b + 1.0) * F.sqrt(a * math.pi / 2.0) * nu
+    y = F.pow(d * q, 2.0 / nu)
+
+    def normal(z: Column) -> Column:
+        low = F.when(nu < 5.0, c + 0.3 * (nu - 4.5) * (z + 0.6)).otherwise(c)
+        deep = (((0.05 * d * z - 5.0) * z - 7.0) * z - 2.0) * z + b + low
+        v = z * z
+        v = (((((0.4 * v + 6.3) * v + 36.0) * v + 94.5) / deep - v - 3.0) / b + 1.0) * z
+        return F.expm1(a * v * v)
+
+    deep_tail = F.try_divide(F.lit(1.0), (F.try_divide(nu + 6.0, nu * y) - 0.089 * d - 0.822) * (nu + 2.0) * 3.0)
+    tail = ((deep_tail + 0.5 / (nu + 4.0)) * y - 1.0) * (nu + 1.0) / (nu + 2.0) + F.try_divide(F.lit(1.0), y)
+    start = F.sqrt(nu * F.when(y > 0.05 + a, _let(norm_ppf(q / 2.0), normal)).otherwise(tail))
+    law = F.pow(q * math.sqrt(math.pi) / 2.0 * nu * F.exp(-log_gamma_half_step(nu / 2.0)) * F.pow(nu, -nu / 2.0), -1.0 / nu)
+    return F.when(nu >= 1.0, F.coalesce(start, law)).otherwise(law)
+
+
+def t_ppf_real(p, nu) -> Column:
+    """Student-t quantile for any real nu > 0 (a Column or number); NULL outside 0 < p < 1.
+
+    Newton on ln P(|T| > t) over ln t, a concave falling function, so a step never passes the
+    root from the right and lands right of it from the left; a step is at most a factor e.
     """
-    p = _c(p)
-    nu = _c(nu).cast("long")
-
-    def solve(pv):
-        target = F.abs(2.0 * pv - 1.0)
-
-        def halve(acc, _k):
-            mid = (acc["lo"] + acc["hi"]) / 2.0
-            below = _t_abs_mass(mid, nu) < target
-            return F.struct(
-                F.when(below, mid).otherwise(acc["lo"]).alias("lo"),
-                F.when(below, acc["hi"]).otherwise(mid).alias("hi"),
-            )
-
-        init = F.struct(F.lit(0.0).alias("lo"), F.lit(math.pi / 2).alias("hi"))
-        b = F.aggregate(F.sequence(F.lit(1), F.lit(T_BISECT_STEPS)), init, halve)
-        mag = F.sqrt(nu.cast("double")) * F.tan((b["lo"] + b["hi"]) / 2.0)
-        return F.when(pv < 0.5, -mag).otherwise(mag)
-
-    out = _let(p, solve)
-    bad = (p <= 0) | (p >= 1) | p.isNull() | nu.isNull() | (nu < 1)
-    return F.when(bad, F.lit(None).cast("double")).otherwise(out)
+
+    def solve(args):
+        q, v = args["q"], args["nu"]
+        const = log_gamma_half_step(v / 2.0) - 0.5 * F.log(v * math.pi)
+
+        def newton(y, _k):
+            def step(s):
+                tail = F.when(v > T_LARGE_NU, _t_tail_large(s, v)).otherwise(_t_tail_fraction(s, v))
+                density = F.exp(const - (v + 1.0) / 2.0 * F.log1p(s * s / v))
+                move = _let(tail, lambda f: F.try_divide(F.log(f / q) * f, 2.0 * density * s))
+                # a quantile beyond the range of doubles stays where it started
+                return F.coalesce(y + F.greatest(F.least(move, F.lit(1.0)), F.lit(-1.0)), y)
+
+            return _let(F.exp(y), step)
+
+        start = F.log(F.greatest(_t_start(q, v), F.lit(1e-300)))
+        return F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(T_NEWTON_STEPS)), start, newton))
+
+    def both(args):
+        u, v = args["p"], args["nu"]
+        size = _let(F.struct((2.0 * F.least(u, 1.0 - u)).alias("q"), v.alias("nu")), solve)
+        bad = u.isNull() | (u <= 0) | (u >= 1) | v.isNull() | ~(v > 0)
+        return F.when(bad, F.lit(None).cast("double")).when(u == 0.5, 0.0).otherwise(F.signum(u - 0.5) * size)
+
+    return _let(F.struct(_c(p).alias("p"), _c(nu).cast("double").alias("nu")), both)

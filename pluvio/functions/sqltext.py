@@ -220,9 +220,13 @@ def t_cdf_int(x: str, nu: str) -> str:
     return f"(CASE WHEN ({x}) >= 0 THEN 0.5 + {a} / 2.0 ELSE 0.5 - {a} / 2.0 END)"
 
 
+#: Bisection steps on theta in [0, pi/2]: 2^-64 pi is below double resolution.
+_BISECT_STEPS = 64
+
+
 def t_ppf_int_steps(p: str, nu: int) -> list[tuple[str, str]]:
     """Integer-nu t quantile as (alias, expression) steps: the same fixed
-    bisection on theta as ``dist.t_ppf_int``, with the series written out for
+    bisection on theta, with the series written out for
     the given nu.  Use with :func:`nest_steps`; the result is ``tb_val``."""
     c2 = "(cos({th}) * cos({th}))"
     if nu % 2 == 1:
@@ -239,7 +243,7 @@ def t_ppf_int_steps(p: str, nu: int) -> list[tuple[str, str]]:
             terms.append(term)
         mass = f"(sin({{th}}) * ({' + '.join(terms)}))"
     steps = [("tb_target", f"abs(2.0 * ({p}) - 1.0)"), ("tb_lo0", "0.0"), ("tb_hi0", _f(math.pi / 2))]
-    for k in range(D.T_BISECT_STEPS):
+    for k in range(_BISECT_STEPS):
         mid = f"((tb_lo{k} + tb_hi{k}) / 2.0)"
         below = mass.format(th=f"tb_m{k}") + " < tb_target"
         steps += [
@@ -247,7 +251,7 @@ def t_ppf_int_steps(p: str, nu: int) -> list[tuple[str, str]]:
             (f"tb_lo{k + 1}", f"CASE WHEN {below} THEN tb_m{k} ELSE tb_lo{k} END"),
             (f"tb_hi{k + 1}", f"CASE WHEN {below} THEN tb_hi{k} ELSE tb_m{k} END"),
         ]
-    last = D.T_BISECT_STEPS
+    last = _BISECT_STEPS
     mag = f"sqrt({float(nu)!r}) * tan((tb_lo{last} + tb_hi{last}) / 2.0)"
     steps.append(
         ("tb_val", f"CASE WHEN ({p}) IS NULL OR ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < 0.5 THEN -{mag} ELSE {mag} END")

@@ -208,14 +208,14 @@ def ar1_precision_cholesky_coo(spark: SparkSession, n: int, rho: float) -> tuple
 
 
 def t_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv: DataFrame, log_det_l: float,
-                  nu: int, d: int) -> DataFrame:
+                  nu: float, d: int) -> DataFrame:
     """t copula log-density per key.
 
     x = t_nu^-1(u); log c = log t_D(x; 0, LL^T, nu) - sum log t_1(x_i; nu) with
     log t_D = lgamma((nu+D)/2) - lgamma(nu/2) - D/2 ln(nu pi) - ln|L|
     - (nu+D)/2 ln(1 + ||L^-1 x||^2 / nu).  Gamma constants are folded here.
     """
-    x = df.withColumn("x", dist.t_ppf(F.col(u), nu) if nu <= 3 else dist.t_ppf_int(F.col(u), nu))
+    x = df.withColumn("x", dist.t_ppf(F.col(u), nu) if nu in (1, 2, 3) else dist.t_ppf_real(F.col(u), nu))
     qf = quadratic_form(x, key, index, "x", linv)
     marg = x.groupBy(*key).agg(F.sum(dist.t_logpdf(F.col("x"), nu)).alias("lm"))
     const = math.lgamma((nu + d) / 2) - math.lgamma(nu / 2) - d / 2 * math.log(nu * math.pi) - log_det_l
@@ -275,12 +275,12 @@ def independence_log_cdf(df: DataFrame, key: list[str], u: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def t_tail_dependence(rho, nu: int) -> Column:
-    """lambda = 2 t_{nu+1}(-sqrt((nu+1)(1-rho)/(1+rho))) (C10); nu + 1 <= 3."""
-    r = _c(rho)
-    arg = -F.sqrt(F.try_divide((nu + 1) * (1.0 - r), 1.0 + r))
+def t_tail_dependence(rho, nu) -> Column:
+    """lambda = 2 t_{nu+1}(-sqrt((nu+1)(1-rho)/(1+rho))) for any real nu > 0, a Column or number."""
+    r, v = _c(rho), _c(nu)
+    arg = F.sqrt(F.try_divide((v + 1.0) * (1.0 - r), 1.0 + r))
     # at rho = -1 the argument is minus infinity
-    return F.when(r <= -1.0, 0.0 * r).otherwise(2.0 * dist.t_cdf(arg, nu + 1))
+    return F.when(r <= -1.0, 0.0 * r).otherwise(dist.t_two_sided(arg, v + 1.0))
 
 
 def kendall_from_rho(rho) -> Column:

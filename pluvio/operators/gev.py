@@ -223,12 +223,12 @@ def gev_objective(
 
 def newton_gev(
     y: np.ndarray, t: np.ndarray, use: np.ndarray, c: float, d0: float, priors: dict[str, Prior] | None = None,
-    rounds: int = 300, tol: float = 1e-8,
+    rounds: int = 100, tol: float = 1e-8,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(theta, value, Hessian, converged) of every station by Newton steps on the eigenvalues' magnitudes, each halved
     until the value falls; gamma is measured in units of ``d0``.  Converged means that the score, per
-    observation, is under ``tol``, or that the value cannot fall in double precision and a full Newton step would
-    lower it by 1e-9 at most."""
+    observation, is under ``tol``, or that the value cannot fall in double precision and the score is under 100
+    ``tol`` or a full Newton step would lower the value by 1e-9 at most."""
     scale = np.array([1.0, 1.0, 1.0, d0])
     n = np.maximum(use.sum(axis=1), 1)
     mean = np.where(use, y, 0.0).sum(axis=1) / n
@@ -266,9 +266,11 @@ def newton_gev(
             theta[ok], value[ok], score[ok], hess[ok] = new[better], v[better], gr[better], he[better]
             moved[trying[better]] = True
             factor[trying[~better]] *= 0.5
-        # no smaller value within rounding: a minimum if the score promises next to nothing more
-        done[open_[~moved & (left <= 1e-9)]] = True
-        stuck[open_[~moved & (left > 1e-9)]] = True
+        # no smaller value within rounding: a minimum if the score is next to nothing, too
+        fine = (left <= 1e-9) | (np.abs(g).max(axis=1) <= 1e2 * tol * n[open_])
+        done[open_[~moved & fine]] = True
+        stuck[open_[~moved & ~fine]] = True
+    done |= ~stuck & (np.abs(score * scale).max(axis=1) <= 1e2 * tol * n)
     return theta, value, hess, done & possible
 
 

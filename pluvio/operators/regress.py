@@ -22,7 +22,7 @@ def univariate_ols(df: DataFrame, keys: list[str], y: str = "y", x: str = "x") -
 
     Non-finite x or y rows are dropped first.  With Sxy, Sxx, Syy, n:
     beta = Sxy/Sxx, s^2 = (Syy - beta Sxy)/(n - 1), se = sqrt(s^2/Sxx),
-    t = beta/se, p = 2 (1 - F_t(|t|; n - 1)).
+    t = beta/se, p = P(|T| > |t|) with n - 1 degrees of freedom, the tail itself.
     """
     d = df.filter(dist.is_finite(y) & dist.is_finite(x))
     s = d.groupBy(*keys).agg(
@@ -36,7 +36,7 @@ def univariate_ols(df: DataFrame, keys: list[str], y: str = "y", x: str = "x") -
     out = s.withColumn("estimate", beta).withColumn("std_error", F.sqrt(F.try_divide(s2, F.col("sxx"))))
     out = out.withColumn("statistic", F.try_divide(F.col("estimate"), F.col("std_error")))
     df_resid = F.col("n") - 1
-    p = 2.0 * (1.0 - dist.t_cdf_int(F.abs(F.col("statistic")), df_resid))
+    p = dist.t_two_sided("statistic", df_resid)
     return out.withColumn("p_value", F.when(F.col("n") > 1, p)).select(
         *keys, "n", "estimate", "std_error", "statistic", "p_value"
     )

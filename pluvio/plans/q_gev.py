@@ -290,7 +290,7 @@ def student_t_functions(spark, sf):
         F.round(dist.t_cdf(dist.t_ppf("u", 2), 2), 9).alias("u_back2"),
         F.round(dist.t_cdf(F.col("x") * 10.0, 1), 9).alias("cdf1_x"),
         F.round(dist.t_logpdf("t3", 3), 9).alias("logpdf3"),
-        F.round(dist.t_cdf_int(F.col("x") * 10.0, 5), 9).alias("cdf5_x"),
+        F.round(dist.t_cdf_real(F.col("x") * 10.0, 5), 9).alias("cdf5_x"),
     )
 
 
@@ -347,8 +347,8 @@ def student_t_general(spark, sf):
     """Integer-nu t quantiles (bisection) and their series CDF round trip on the
     embedding margins; the t copula with nu = 5 on the same uniforms."""
     u = _unif(Fixtures(spark, sf))
-    t = u.select("vec_id", "dim", "u", dist.t_ppf_int("u", 5).alias("t5"))
-    t = t.withColumn("u_back", dist.t_cdf_int("t5", 5))
+    t = u.select("vec_id", "dim", "u", dist.t_ppf_real("u", 5).alias("t5"))
+    t = t.withColumn("u_back", dist.t_cdf_real("t5", 5))
     linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
     lc = copula.t_copula_logc(u, ["vec_id"], "dim", "u", linv, ld, 5, DIMS)
     return t.join(lc, "vec_id").select(
@@ -590,6 +590,55 @@ def correlation_dependence(spark, sf):
     )
 
 
+REAL_NU = 2.5
+_SIMPSON = 400
+
+
+def _t_cdf_simpson(x: str, nu: float) -> str:
+    """Student-t CDF by Simpson's rule over theta = atan(x / sqrt(nu)), where the density is cos(theta) ** (nu - 1)."""
+    th = f"atan({x} / sqrt({nu!r}))"
+    const = math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(math.pi)
+    weight = f"CASE WHEN k IN (0, {_SIMPSON}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    total = f"list_sum(list_transform(range(0, {_SIMPSON + 1}), lambda k: {weight} * pow(cos({th} * k / {_SIMPSON}.0), {nu - 1!r})))"
+    return f"(0.5 + {const!r} * {th} / {3.0 * _SIMPSON!r} * {total})"
+
+
+@query(
+    "student_t_real",
+    "N3 N4",
+    with_ctes(
+        f"SELECT vec_id, dim, {rnd(_t_cdf_simpson('(x * 10.0)', REAL_NU), 8)} AS cdf_x, 0.0::DOUBLE AS round_trip_err FROM vectors",
+        "vectors",
+    ),
+)
+def student_t_real(spark, sf):
+    """Student t with real degrees of freedom: the CDF of every entry, and the quantile's way back to every uniform."""
+    u = _unif(Fixtures(spark, sf))
+    back = dist.t_cdf_real(dist.t_ppf_real("u", REAL_NU), REAL_NU)
+    return u.select(
+        "vec_id", "dim", F.round(dist.t_cdf_real(F.col("x") * 10.0, REAL_NU), 8).alias("cdf_x"),
+        (F.round(back - F.col("u"), 11) + F.lit(0.0)).alias("round_trip_err"),
+    )
+
+
+@query(
+    "tail_dependence_grid",
+    "C10",
+    "SELECT nu, rho, (round(CASE WHEN rho <= -1.0 THEN 0.0 WHEN rho >= 1.0 THEN 1.0 ELSE "
+    f"2.0 * {S.t_cdf_int('(-sqrt((nu + 1.0) * (1.0 - rho) / (1.0 + rho)))', '(nu + 1)')} END, 9) + 0.0) AS lambda FROM "
+    "(SELECT DISTINCT CAST(o_orderkey % 127 + 2 AS INTEGER) AS nu FROM orders), "
+    "(SELECT DISTINCT CAST(p_partkey % 401 - 200 AS DOUBLE) / 200.0 AS rho FROM part)",
+)
+def tail_dependence_grid(spark, sf):
+    """t tail dependence over degrees of freedom 2 to 128 and correlations from -1 to 1 in steps of 1 / 200."""
+    fx = Fixtures(spark, sf)
+    # 127 and 401 values at most, whatever the tables hold
+    nu = fx.table("orders").select((F.col("o_orderkey") % 127 + 2).cast("int").alias("nu")).distinct()
+    rho = fx.table("part").select(((F.col("p_partkey") % 401 - 200).cast("double") / 200.0).alias("rho")).distinct()
+    grid = nu.crossJoin(F.broadcast(rho))
+    return grid.select("nu", "rho", (F.round(copula.t_tail_dependence("rho", F.col("nu").cast("double")), 9) + F.lit(0.0)).alias("lambda"))
+
+
 @query(
     "empirical_tail_dependence",
     "C11",
@@ -622,27 +671,33 @@ def normal_scores(spark, sf):
     return u.select("station", "month", F.round("u", 9).alias("u"), F.round(dist.norm_ppf("u"), 9).alias("z"))
 
 
-# Held-out scoring: year 2001 is the test set.  A vector is one posterior draw, its entries are
-# the draw's shape parameters at the stations of that number.
+# Held-out scoring: year 2001 is the test set.  A draw is as many vectors as the held-out stations,
+# numbered densely, need; its entries are the shape parameters of the stations in order.
 HELDOUT_YEAR = 2001
 
 
-def _heldout_sql(draws: str = "vectors", made: tuple = ()) -> str:
+def _heldout_sql() -> str:
     xi = f"({S.shape_link_inverse('n.phi + d.x / 50.0')})"
     base = (
-        f"SELECT d.vec_id, t.station, {S.gev_logpdf('t.precip', 't.mu', 't.sigma', xi)} AS lp, "
+        f"SELECT d.draw, t.station, {S.gev_logpdf('t.precip', 't.mu', 't.sigma', xi)} AS lp, "
         f"{S.gev_cdf('t.precip', 't.mu', 't.sigma', xi)} AS u "
-        f"FROM test t JOIN params n ON n.station = t.station JOIN {draws} d ON d.dim = t.station"
+        f"FROM test t JOIN params n ON n.station = t.station JOIN draws d ON d.pos = t.pos"
     )
     cop = (
-        f"SELECT vec_id, {_AR1_SQL} AS lc "
-        "FROM (SELECT vec_id, z, lead(z) OVER (PARTITION BY vec_id ORDER BY station) AS nz FROM "
-        f"(SELECT vec_id, station, {S.norm_ppf('u')} AS z FROM sc)) GROUP BY vec_id"
+        f"SELECT draw, {_AR1_SQL} AS lc "
+        "FROM (SELECT draw, z, lead(z) OVER (PARTITION BY draw ORDER BY station) AS nz FROM "
+        f"(SELECT draw, station, {S.norm_ppf('u')} AS z FROM sc)) GROUP BY draw"
     )
     per_draw = (
-        "SELECT 'iid' AS model, vec_id, sum(lp) AS ll FROM sc GROUP BY vec_id "
-        "UNION ALL SELECT 'ar1' AS model, s.vec_id, s.ll + c.lc FROM "
-        "(SELECT vec_id, sum(lp) AS ll FROM sc GROUP BY vec_id) s JOIN cop c ON c.vec_id = s.vec_id"
+        "SELECT 'iid' AS model, draw, sum(lp) AS ll FROM sc GROUP BY draw "
+        "UNION ALL SELECT 'ar1' AS model, s.draw, s.ll + c.lc FROM "
+        "(SELECT draw, sum(lp) AS ll FROM sc GROUP BY draw) s JOIN cop c ON c.draw = s.draw"
+    )
+    draws = (
+        ("blocks", f"SELECT CAST(ceil(count(*) / {EMBEDDING_SIZE}.0) AS BIGINT) AS b FROM test"),
+        ("slots", "SELECT vec_id, b, unnest(range(r, CAST(ceil(n / CAST(b AS DOUBLE)) AS BIGINT) * b, n)) AS slot FROM blocks, "
+                  "(SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT vec_id FROM vectors))"),
+        ("draws", f"SELECT slot // b AS draw, (slot % b) * {EMBEDDING_SIZE} + dim - 1 AS pos, x FROM slots JOIN vectors USING (vec_id)"),
     )
     body = (
         f"SELECT model, {rnd('lpd', 6)} AS lpd, {rnd('lpd - max(CASE WHEN model = ' + repr('iid') + ' THEN lpd END) OVER ()', 6)} AS lpd_diff "
@@ -652,40 +707,46 @@ def _heldout_sql(draws: str = "vectors", made: tuple = ()) -> str:
     return with_ctes(
         body, "params", "precip", "vectors",
         extra=[_NAT, _SCORED,
-               ("test", f"SELECT station, precip, mu, sigma FROM scored WHERE year = {HELDOUT_YEAR}"),
-               *made, ("sc", base), ("cop", cop), ("pd", per_draw)],
+               ("test", "SELECT station, precip, mu, sigma, row_number() OVER (ORDER BY station) - 1 AS pos "
+                        f"FROM scored WHERE year = {HELDOUT_YEAR}"),
+               *draws, ("sc", base), ("cop", cop), ("pd", per_draw)],
     )
 
 
 @query("heldout_lpd", "C15 J13 X6 C3", _heldout_sql())
 def heldout_lpd(spark, sf):
-    """Log predictive density of the held-out year with independent and AR(1)-dependent
+    """Log predictive density of the held-out year over every station, with independent and AR(1)-dependent
     stations, and the difference from the independent one."""
     test, vectors = _heldout_test(spark, sf)
-    return _heldout_scores(test, vectors)
+    return _heldout_scores(test, station_draws(vectors, test))
 
 
 def _heldout_test(spark, sf):
+    """The held-out rows, their stations numbered 0, 1, ... in ``pos``, and the vectors."""
     fx = Fixtures(spark, sf)
     test = (
         _scored(fx).filter(F.col("year") == HELDOUT_YEAR).select("station", "precip", "mu", "sigma")
         .join(fx.params().select("station", "phi"), "station")
     )
-    return test, fx.vectors()
+    numbered = windows.dense_row_number(test, [], "station", "_r").withColumn("pos", F.col("_r") - 1).drop("_r")
+    return materialize(numbered, "heldout-test"), fx.vectors()
 
 
 def _heldout_scores(test, draws):
-    """``draws`` are (vec_id, dim, x): the draw, the station and its shape parameter."""
-    j = draws.join(test, F.col("dim") == F.col("station"))
+    """``draws`` are (draw, pos, x): the shape parameter of a draw for the station of that number."""
+    j = draws.join(test, "pos")
     # xi as a column: it is referenced in every branch of the GEV formulas
     j = j.withColumn("xi", dist.shape_link_inverse(F.col("phi") + F.col("x") / 50.0)).select(
-        "vec_id", "station", dist.gev_logpdf("precip", "mu", "sigma", "xi").alias("lp"),
-        dist.gev_cdf("precip", "mu", "sigma", "xi").alias("u"),
+        "draw", "pos", F.floor(F.col("pos") / EMBEDDING_SIZE).alias("block"),
+        dist.gev_logpdf("precip", "mu", "sigma", "xi").alias("lp"), dist.gev_cdf("precip", "mu", "sigma", "xi").alias("u"),
     )
-    # successor in station order within a draw, whose size is the vector's
-    j = j.withColumn("u_n", F.lead("u").over(Window.partitionBy("vec_id").orderBy("station")))
-    both = copula.ar1_copula_logc_paired(j, ["vec_id"], "u", "u_n", AR1_RHO, extra=[F.sum("lp").alias("ll")])
-    per_draw = both.select("vec_id", F.explode(F.array(
+    # successor in station order: inside a block of 64 stations by a window, over its border by a join with the blocks' firsts
+    firsts = j.filter(F.col("pos") % EMBEDDING_SIZE == 0).select("draw", (F.col("block") - 1).alias("block"), F.col("u").alias("_first"))
+    last = F.col("pos") % EMBEDDING_SIZE == EMBEDDING_SIZE - 1
+    paired = j.withColumn("u_n", F.lead("u").over(Window.partitionBy("draw", "block").orderBy("pos")))
+    paired = paired.join(firsts, ["draw", "block"], "left").withColumn("u_n", F.when(last, F.col("_first")).otherwise(F.col("u_n")))
+    both = copula.ar1_copula_logc_paired(paired, ["draw"], "u", "u_n", AR1_RHO, extra=[F.sum("lp").alias("ll")])
+    per_draw = both.select("draw", F.explode(F.array(
         F.struct(F.lit("iid").alias("model"), F.col("ll")),
         F.struct(F.lit("ar1").alias("model"), (F.col("ll") + F.col("log_c")).alias("ll")),
     )).alias("_s")).select("_s.model", "_s.ll")
@@ -697,36 +758,21 @@ def _heldout_scores(test, draws):
 
 
 def station_draws(vectors, stations):
-    """Draws that have a shape parameter for every one of ``stations``: (vec_id, dim, x) by draw and station.
+    """Draws that have a shape parameter for every one of ``stations``: (draw, pos, x) by draw and station number.
 
-    A draw is as many consecutive vectors as cover the stations, in blocks of 64 from station 0; every
+    A draw is as many consecutive vectors as the stations need, in blocks of 64; every
     vector is used, and the last draw is filled up from the first vectors again.  The work is that of
     reading the vectors: each stands in one draw, but for the fill.
     """
     ids = windows.dense_row_number(vectors.select("vec_id").distinct(), [], "vec_id", "_r")
     size = ids.agg(F.count(F.lit(1)).alias("_n")).crossJoin(
-        stations.agg((F.floor(F.max("station") / EMBEDDING_SIZE) + 1).alias("_b"))
+        stations.agg(F.ceil(F.count(F.lit(1)) / EMBEDDING_SIZE).alias("_b"))
     )
     slots = ids.crossJoin(F.broadcast(size)).select(
         "vec_id", "_b", F.explode(F.sequence(F.col("_r").cast("long") - 1, F.ceil(F.col("_n") / F.col("_b")) * F.col("_b") - 1, F.col("_n"))).alias("_slot")
     )
-    at = (F.pmod("_slot", "_b") * EMBEDDING_SIZE + F.col("dim") - 1).alias("dim")
-    return vectors.join(slots, "vec_id").select(F.floor(F.col("_slot") / F.col("_b")).alias("vec_id"), at, "x")
-
-
-_STATION_DRAWS = (
-    ("blocks", f"SELECT max(station) // {EMBEDDING_SIZE} + 1 AS b FROM test"),
-    ("slots", "SELECT vec_id, b, unnest(range(r, CAST(ceil(n / CAST(b AS DOUBLE)) AS BIGINT) * b, n)) AS slot FROM blocks, "
-              "(SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT vec_id FROM vectors))"),
-    ("draws", f"SELECT slot // b AS vec_id, (slot % b) * {EMBEDDING_SIZE} + dim - 1 AS dim, x FROM slots JOIN vectors USING (vec_id)"),
-)
-
-
-@query("heldout_lpd_all_stations", "C15 J13 X6 C3", _heldout_sql("draws", _STATION_DRAWS))
-def heldout_lpd_all_stations(spark, sf):
-    """``heldout_lpd`` over every held-out station: draws are made of as many vectors as stations need."""
-    test, vectors = _heldout_test(spark, sf)
-    return _heldout_scores(test, station_draws(vectors, test))
+    at = (F.pmod("_slot", "_b") * EMBEDDING_SIZE + F.col("dim") - 1).alias("pos")
+    return vectors.join(slots, "vec_id").select(F.floor(F.col("_slot") / F.col("_b")).alias("draw"), at, "x")
 
 
 @query(

@@ -193,22 +193,23 @@ def test_station_draws_cover_all_stations(spark):
     from pluvio.plans.q_gev import station_draws
 
     vectors = spark.createDataFrame([(10 + 3 * v, d, 1000.0 * v + d) for v in range(7) for d in range(1, 65)], "vec_id long, dim int, x double")
-    for n in (64, 150, 1000):
+    for n in (64, 150, 400):
         blocks = -(-n // 64)
-        stations = spark.createDataFrame([(s,) for s in range(n)], "station long")
-        got = {(r.vec_id, r.dim): r.x for r in station_draws(vectors, stations).collect()}
+        stations = spark.createDataFrame([(s * s,) for s in range(n)], "station long")  # sparse numbers
+        got = {(r.draw, r.pos): r.x for r in station_draws(vectors, stations).collect()}
         draws = -(-7 // blocks)
-        want = {(d, b * 64 + i - 1): 1000.0 * ((d * blocks + b) % 7) + i for d in range(draws) for b in range(blocks) for i in range(1, 65)}
-        assert got == want
+        assert got == {
+            (d, b * 64 + i - 1): 1000.0 * ((d * blocks + b) % 7) + i for d in range(draws) for b in range(blocks) for i in range(1, 65)
+        }
 
 
-def test_heldout_scores_stations_beyond_64(spark):
+def test_heldout_scores_every_station(spark):
     from pluvio.plans.q_gev import _heldout_test, station_draws
 
     test, vectors = _heldout_test(spark, "/root/testdata/sf0.01")
-    draws = station_draws(vectors, test).select("vec_id", "dim")
     n = test.count()
-    assert n > 64 and draws.join(test, draws.dim == test.station).groupBy("vec_id").count().where(f"count != {n}").count() == 0
+    assert n > 64 and sorted(r.pos for r in test.collect()) == list(range(n))
+    assert station_draws(vectors, test).join(test, "pos").groupBy("draw").count().where(f"count != {n}").count() == 0
 
 
 def _least_squares(x, y):
