@@ -13,16 +13,17 @@ repeated chunks that overlap or touch make spans.  A span of at least
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import drop_table, repeated_keys, whole_text, write_table
+from pluvio.llm.common import drop_table, keep, repeated_keys, scratch_tables, whole_text, write_table
 
 #: A word end is a border when this many high bits of the 16-bit gear hash are zero: a chunk has about 2 ** bits words.
 BORDER_BITS = 2
@@ -63,21 +64,21 @@ def chunks_of(data: np.ndarray, bits: int = BORDER_BITS) -> tuple[np.ndarray, np
     return starts, last, total[starts], total[last]
 
 
-_CHUNKS = "id long, start long, size int, word int, words int, d1 long, d2 int"
+_CHUNKS = "id long, text_key long, start long, size int, word int, words int, d1 long, d2 int"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    names = ["id", "start", "size", "word", "words", "d1", "d2"]
+    names = ["id", "text_key", "start", "size", "word", "words", "d1", "d2"]
     for batch in batches:
         rows: list[list[np.ndarray]] = []
         held = 0
 
         def out():
             cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-        for key, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
+        for key, own, text in zip(batch.column("_id").to_pylist(), batch.column("_own").to_pylist(), batch.column("_text"), strict=True):
             raw = bytes(text.as_buffer()) if text.is_valid else b""
             if key is None or not raw:
                 continue
@@ -88,7 +89,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             # the digest is that of the chunk's words: white space around it does not tell chunks apart
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b].strip()) for a, b in zip(starts.tolist(), ends.tolist())), np.int64)
             rows.append([
-                np.full(n, key, np.int64), starts, (ends - starts).astype(np.int32), word.astype(np.int32),
+                np.full(n, key, np.int64), np.full(n, own, np.int64), starts, (ends - starts).astype(np.int32), word.astype(np.int32),
                 (upto - word).astype(np.int32), digest[::2], (digest[1::2] & 0x7FFFFFFF).astype(np.int32),
             ])
             held += n
@@ -106,38 +107,58 @@ def repeated_spans(
 
     ``kept`` marks spans whose chunks occur nowhere earlier (by identifier, then place);
     the others repeat earlier text, ``first_id`` being the least document that holds their first chunk.
-    Spans of one document and kind do not overlap.  Null, empty and short texts have no spans; a null
-    identifier is left out; an empty table gives an empty result.  Identifiers must be
-    unique (rows that repeat one are read as one document's chunks).
+    Spans of one document and kind do not overlap.  ``text_key`` is a hash of identifier and text: rows that
+    repeat an identifier with different texts are documents of their own, in the order of that hash; rows
+    that repeat both are one place.  Null, empty and short texts have no spans; a null identifier is left
+    out; an empty table gives an empty result; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
-    chunks, path = write_table(rows.mapInArrow(lambda it: _chunks(it, bits), _CHUNKS), "substring-chunks")
-    shared, shared_path = write_table(repeated_keys(chunks, ["d1", "d2"], "id"), "substring-shared")
-    drop_table(spark, path)
-    place = F.struct("id", "start")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("_id"), _text_key(id_col, text_col).alias("_own"), F.col(text_col).cast("string").cast("binary").alias("_text")
+    )
+    with scratch_tables(spark):
+        chunks, path = write_table(rows.mapInArrow(lambda it: _chunks(it, bits), _CHUNKS), "substring-chunks")
+        shared, _ = write_table(repeated_keys(chunks, ["d1", "d2"], "id"), "substring-shared")
+        drop_table(spark, path)
+        spans, spans_path = write_table(_spans(shared, min_words), "substring-spans")
+        keep(spans_path)
+    return spans.select(F.col("id").alias(id_col), "start", "length", "n_words", "first_id", (~F.col("again")).alias("kept"), "text_key")
+
+
+def _text_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _spans(shared: DataFrame, min_words: int) -> DataFrame:
+    """The spans that the chunks found twice or more make; one row per span and kind."""
+    place = F.struct("id", "text_key", "start")
     firsts = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     matched = shared.join(firsts, ["d1", "d2"]).select(
-        "id", "start", (F.col("start") + F.col("size")).alias("end"), "word", (F.col("word") + F.col("words")).alias("upto"),
+        "id", "text_key", "start", (F.col("start") + F.col("size")).alias("end"), "word", (F.col("word") + F.col("words")).alias("upto"),
         (place != F.col("first")).alias("again"), F.col("first.id").alias("first_id"),
     )
     # spans: chunks of a document that touch, alike in being a repetition; a document's chunks are bounded by its text
-    order = Window.partitionBy("id", "again").orderBy("start")
+    order = Window.partitionBy("id", "text_key", "again").orderBy("start")
     begins = F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = matched.withColumn("_run", F.sum(F.coalesce(begins, F.lit(True)).cast("long")).over(order))
-    spans = runs.groupBy("id", "again", "_run").agg(
+    return runs.groupBy("id", "text_key", "again", "_run").agg(
         F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"),
         (F.max("upto") - F.min("word")).cast("long").alias("n_words"), F.min_by("first_id", "start").alias("first_id"),
     ).where(F.col("n_words") >= min_words)
-    return spans.select(
-        F.col("id").alias(id_col), "start", "length", "n_words", "first_id", (~F.col("again")).alias("kept")
-    )
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BORDER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every repeated span but its first occurrence cut out of the text; all rows and columns stay."""
+    """``docs`` with every repeated span but its first occurrence cut out of the text; all rows and columns stay.
+
+    Cases as in ``repeated_spans``: a row loses only what its own text repeats; rows without spans, among
+    them null, empty and short texts and null identifiers, stay as they are.
+    """
     spans = repeated_spans(docs, min_words, bits, id_col, text_col).where("NOT kept")
-    cuts = spans.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts")).withColumnRenamed(id_col, "_cut_id")
+    # names of our own that no column of docs has
+    mine = f"_{uuid.uuid4().hex[:8]}"
+    cuts = spans.groupBy(F.col("text_key").alias(f"{mine}_key")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias(f"{mine}_cuts")
+    )
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -150,7 +171,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BORD
 
         return pd.Series([cut(t, c) for t, c in zip(texts, cuts, strict=True)])
 
-    joined = docs.join(cuts, docs[id_col] == cuts["_cut_id"], "left")
-    changed = joined.where("_cuts IS NOT NULL").withColumn(text_col, without(whole_text(text_col), F.col("_cuts")))
-    same = joined.where("_cuts IS NULL")
-    return changed.select(*docs.columns).unionByName(same.select(*docs.columns))
+    keyed = docs.withColumn(f"{mine}_own", F.when(F.col(id_col).isNotNull(), _text_key(id_col, text_col)))
+    joined = keyed.join(cuts, F.col(f"{mine}_own") == F.col(f"{mine}_key"), "left")
+    found = F.col(f"{mine}_cuts")
+    changed = joined.where(found.isNotNull()).withColumn(text_col, without(whole_text(text_col), found))
+    return changed.select(*docs.columns).unionByName(joined.where(found.isNull()).select(*docs.columns))

@@ -274,3 +274,18 @@ def test_sorted_access_stops_early():
     score = x @ anchor
     assert sorted(found) == sorted(np.lexsort((np.arange(5000), -score))[:5].tolist())
     assert read[0] < 1000
+
+
+# -- 6 rows that repeat an identifier, clashing names ------------------------------
+def test_repeats_are_cut_from_their_own_rows_only(spark):
+    from pluvio.llm.substring import remove_repeats
+
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    clean, first, again = (" ".join(f"{n}{rng.integers(10**9)}" for _ in range(80)) for n in "cfa")
+    rows = [(1, f"{first} {passage}", "x", 1), (2, clean, "x", 2), (2, f"{again} {passage} {again}", "x", 3), (None, passage, "x", 4), (3, None, "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cuts string, _cut_id int").repartition(3)
+    got = {r["_cut_id"]: r for r in remove_repeats(df).collect()}
+    assert remove_repeats(df).columns == df.columns and len(got) == 5
+    assert [got[k].text for k in (1, 2, 4, 5)] == [rows[0][1], clean, passage, None]
+    assert got[3].text.startswith(again[:200]) and len(got[3].text) < len(rows[2][1]) - 120
