@@ -584,7 +584,10 @@ def t_ppf_real(p, nu) -> Column:
 
             return _let(F.exp(y), step)
 
-        start = F.log(F.greatest(_t_start(q, v), F.lit(1e-300)))
+        # near the centre the density is flat: two terms of its series
+        flat = (1.0 - q) / (2.0 * F.exp(const))
+        centre = flat + (v + 1.0) / (6.0 * v) * flat * flat * flat
+        start = F.log(F.greatest(F.when(q > 0.7, centre).otherwise(_t_start(q, v)), F.lit(1e-300)))
         return F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(T_NEWTON_STEPS)), start, newton))
 
     def both(args):

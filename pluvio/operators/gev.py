@@ -120,6 +120,21 @@ def t_scores(scored: DataFrame, nu: int = 3, keys: list[str] | None = None) -> D
     return scored.groupBy(*keys).agg(F.avg(t).alias("t_val"))
 
 
+def posterior_t_scores(maxima: DataFrame, draws: DataFrame, t0: int = dist.TREND_T0, nu: int = 3) -> DataFrame:
+    """(station, year, t_val): t scores averaged over all posterior draws.
+
+    ``draws`` are (station, chain, iteration, psi, tau, phi, gamma).  A station's maxima, tens of values, travel as
+    one array to each of its draws, so a draw is scored for all years where it lies and the years' partial
+    means are added up before the shuffle: no row per draw and year is ever sent.
+    """
+    years = maxima.groupBy("station").agg(F.collect_list(F.struct("year", "precip")).alias("m"))
+    nat = natural_params(draws).select("station", "mu0", "sigma", "xi", "delta")
+    each = nat.join(years, "station").select("station", "mu0", "sigma", "xi", "delta", F.inline("m"))
+    mu = dist.trend_location("mu0", "delta", "year", t0)
+    scored = each.withColumn("mu", mu).withColumn("p", dist.gev_cdf("precip", "mu", "sigma", "xi"))
+    return t_scores(scored, nu)
+
+
 # ---------------------------------------------------------------------------
 # Maximum-likelihood and maximum-posterior fit
 # ---------------------------------------------------------------------------
