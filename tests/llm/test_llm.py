@@ -76,12 +76,12 @@ def test_quality_odd_rows(odd, empty):
 def test_license_lines(spark, odd, empty):
     from pluvio.llm.licenses import TEMPLATES, license_blocks
 
-    rows = [(i, f"before\n{t}\nafter") for i, t in enumerate(TEMPLATES.values())]
+    rows = [(i, f"before\n{t.text}\nafter") for i, t in enumerate(TEMPLATES)]
     rows.append((90, "My driving license was renewed yesterday, said the man"))
     rows.append((91, "x " * 5000 + "Licensed under the Apache License, Version 2.0." + " y" * 5000))
     got = {r.doc_id: r for r in license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, name in enumerate(TEMPLATES):
-        assert (got[i].license, got[i].line, got[i].missing_words, got[i].extra_words) == (name, 1, 0, 0)
+    for i, t in enumerate(TEMPLATES):
+        assert (got[i].license, got[i].line, got[i].missing_words, got[i].extra_words) == (t.license, 1, 0, 0)
         assert got[i].template_bytes < got[i].plain_bytes
     assert 90 not in got
     assert license_blocks(odd).count() == 0 and license_blocks(empty).count() == 0
@@ -90,14 +90,15 @@ def test_license_lines(spark, odd, empty):
 def test_license_inside_long_lines(spark):
     from pluvio.llm.licenses import TEMPLATES, _words, license_blocks, spans
 
-    notice = TEMPLATES["Apache-2.0"]
+    notice = TEMPLATES[0].text
     rows = [(91, "x " * 5000 + notice + " y" * 5000), (92, "these words say nothing at all " * 12 + notice + " and more of the same follows" * 12)]
     got = {r.doc_id: r for r in license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, _ in rows:
         assert (got[i].license, got[i].line, got[i].missing_words, got[i].extra_words) == ("Apache-2.0", 0, 0, 0)
     words = _words(notice)
-    assert spans(words, ["the", *["z"] * 50, *words[:3], "new", *words[3:], *["z"] * 50, "license"])[-1] == (51, 59, 8)
-    assert spans(words, [w for x in words for w in [x, *["z"] * 5]]) == []
+    last = len(words) + 51
+    assert spans(TEMPLATES[0], ["the", *["z"] * 50, *words[:3], "new", *words[3:], *["z"] * 50, "license"])[-1] == (51, last, len(words))
+    assert spans(TEMPLATES[0], [w for x in words for w in [x, *["z"] * 5]]) == []
 
 
 def test_license_wrapped_and_several(spark):
@@ -107,20 +108,21 @@ def test_license_wrapped_and_several(spark):
 
     other = "The quick brown fox went over the hill and under the bridge of the town, as it is told. "
     rows, want = [], {}
-    names = list(TEMPLATES)
-    for i, name in enumerate(names):
+    full = next(t for t in TEMPLATES if t.text.startswith("Permission"))
+    for i, t in enumerate(TEMPLATES):
         for j, (width, mark) in enumerate([(24, "# "), (30, " * "), (40, "// "), (60, "")]):
-            lines = [mark + x for x in textwrap.wrap(TEMPLATES[name], width)]
+            lines = [mark + x for x in textwrap.wrap(t.text, width)]
             rows.append((100 * i + j, "\n".join(["/*", other, *lines, other])))
-            want[100 * i + j] = [(name, 2)]
-    pairs = [(a, b) for a in names for b in names if a != b]
+            want[100 * i + j] = [(t.license, 2)]
+    pairs = [(a, b) for a in TEMPLATES for b in TEMPLATES if a != b]
     for i, (a, b) in enumerate(pairs):
-        rows.append((2000 + i, f"{other}{TEMPLATES[a]} {other}{TEMPLATES[b]} {other}"))
-        want[2000 + i] = sorted([(a, 0), (b, 0)])
-    rows.append((5000, "\n".join([TEMPLATES["MIT"], other * 200, TEMPLATES["MIT"] + " " + other * 100 + TEMPLATES["MIT"]])))
+        rows.append((2000 + i, f"{other}{a.text} {other}{b.text} {other}"))
+        want[2000 + i] = sorted([(a.license, 0), (b.license, 0)])
+    mit = next(t.text for t in TEMPLATES if t.license == "MIT")
+    rows.append((5000, "\n".join([mit, other * 200, mit + " " + other * 100 + mit])))
     want[5000] = [("MIT", 0), ("MIT", 2), ("MIT", 2)]
-    rows.append((5001, TEMPLATES["MIT-full"].replace("of charge", "of charge (" + TEMPLATES["Apache-2.0"] + ")")))
-    want[5001] = [("Apache-2.0", 0), ("MIT-full", 0)]
+    rows.append((5001, full.text.replace("of charge", "of charge (" + TEMPLATES[0].text + ")")))
+    want[5001] = [("Apache-2.0", 0), ("MIT", 0)]
     got = defaultdict(list)
     for r in license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.doc_id].append((r.license, r.line))
@@ -128,6 +130,86 @@ def test_license_wrapped_and_several(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_license_names():
+    """Notices that differ in a telling word get their own name or none."""
+    from pluvio.llm.licenses import scan_block
+
+    def names(text):
+        return [r[1] for r in scan_block(text)]
+
+    for text in (
+        "Released under the BSD License.", "Released under the GPL license.", "Released under the Apache License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.",
+        "All rights not reserved. Copyright.", "This is not released under the MIT License.",
+    ):
+        assert names(text) == [], text
+    for text, name in (
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+        ("LICENSED UNDER THE APACHE LICENSE, VERSION 2.0", "Apache-2.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.0.", "LGPL-3.0"),
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("SPDX-License-Identifier: (GPL-2.0-only OR MIT) and more", "(GPL-2.0-only OR MIT)"),
+    ):
+        assert names(text) == [name], text
+
+
+def test_license_one_word_changed():
+    """Every template with every word replaced by every telling word of every other template: a reported
+    license has a template whose telling words all stand there in order, no contradicting word between the
+    first and the last word."""
+    from pluvio.llm.licenses import CONTRADICTING, TEMPLATES, _wording, _words, scan_block
+
+    def in_order(few, many):
+        it = iter(many)
+        return all(w in it for w in few)
+
+    for t in TEMPLATES:
+        words, telling, _ = _wording(t)
+        others = sorted({w for o in TEMPLATES if o != t for w in _words(o.telling)} - set(words))
+        for i in range(len(words)) if len(words) < 20 else telling:
+            place = i if len(words) < 20 else i - 1
+            for w in others:
+                own = [*words[:place], w, *words[place + 1 :]]
+                for _, name, *_ in scan_block(" ".join(own)):
+                    assert any(
+                        o.license == name and in_order(_words(o.telling), own) and not (CONTRADICTING - set(_words(o.text))) & set(own[1:-1])
+                        for o in TEMPLATES
+                    ), (own, name)
+
+
+def test_license_spans_against_all_alignments():
+    import itertools
+    import random
+
+    from pluvio.llm.licenses import EXTRA, MATCHED, Template, spans
+
+    t = Template("x", "a b c b d", "b d")  # the first b and the d must be there
+    words, must = "a b c b d".split(), {1, 4}
+    rng = random.Random(5)
+    seen = 0
+    for _ in range(300):
+        own = [rng.choice(["a", "b", "b", "c", "d", "z", "z", "not"]) if rng.random() < 0.5 else words[i % 5] for i in range(12)]
+        best = {}
+        for k in range(4, 6):
+            for kept in itertools.combinations(range(5), k):
+                if not must <= set(kept) or k < MATCHED * 5:
+                    continue
+                for at in itertools.combinations(range(12), k):
+                    f = at[0]
+                    if [own[x] for x in at] != [words[x] for x in kept]:
+                        continue
+                    for j in range(at[-1], 12):  # a span may go on to a later word of the template
+                        if own[j] in words and j - f + 1 - k <= EXTRA * 5 and "not" not in own[max(f - 2, 0) : j]:
+                            best[j] = min(best.get(j, (99,)), (j - f - 2 * k, f, k))
+        got = spans(t, own)
+        assert {j: (j - f - 2 * k) for f, j, k in got} == {j: b[0] for j, b in best.items()}
+        seen += len(got)
+    assert seen > 100
+
+
 # -- 3 byte-level BPE ---------------------------------------------------------
 @pytest.mark.parametrize("native", [False, True])
 def test_bpe_round_trip(odd, empty, docs, native):
