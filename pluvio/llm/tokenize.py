@@ -26,6 +26,8 @@ WORDS = (
 )
 #: Words kept per task; the cache starts anew beyond it.
 CACHED_WORDS = 400_000
+#: Words joined by a special token's string into one text for the library.
+JOINED_WORDS = 4_000
 #: Words handled at once, which bounds a task's memory whatever the batch holds.
 SLICE_WORDS = 1_000_000
 
@@ -42,6 +44,14 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        # the special token separates words: the library splits a text there before anything else, and no
+        # word holds it (texts with a special string go whole); no end of it is its beginning, so none
+        # arises across a border
+        added = list(self.lib.get_added_tokens_decoder().items())
+        alone = len(added) == 1 and not (added[0][1].lstrip or added[0][1].rstrip or added[0][1].single_word)
+        text = added[0][1].content if alone else ""
+        alone = alone and not any(text.startswith(text[i:]) for i in range(1, len(text)))
+        self.joint = (added[0][0], text) if alone else None
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -60,6 +70,15 @@ class WordEncoder:
         return [self.cache[w] for w in words]
 
     def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        if self.joint:
+            mark, text = self.joint
+            groups = [text.join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+            for e in self.lib.encode_batch_fast(groups, add_special_tokens=False):
+                ids = np.array(e.ids, self.width)
+                cuts, data = np.flatnonzero(ids == mark) * self.width.itemsize, ids.tobytes()
+                starts, ends = [0, *(cuts + self.width.itemsize).tolist()], [*cuts.tolist(), len(data)]
+                yield from (data[a:b] for a, b in zip(starts, ends, strict=True))
+            return
         for e in self.lib.encode_batch_fast(words, add_special_tokens=False):
             yield np.array(e.ids, self.width).tobytes()
 
