@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
+from pluvio.operators.pairs import pair_sums
 
 
 def _c(x) -> Column:
@@ -294,18 +295,18 @@ def spearman_from_rho(rho) -> Column:
 def empirical_tail_dependence(df: DataFrame, key: str, index: str, u: str, threshold: float) -> DataFrame:
     """Upper and lower tail dependence between every pair of margins (C11).
 
-    Self-join on the replicate key (D^2 rows per replicate, D small), then
-    lambda_U = P(u_j > t | u_i > t) and lambda_L = P(u_j <= 1-t | u_i <= 1-t).
+    lambda_U = P(u_j > t | u_i > t) and lambda_L = P(u_j <= 1-t | u_i <= 1-t) over the keys that have
+    both margins; the counts of all pairs come from one pass (``pairs.pair_sums``).
     """
-    a = df.select(key, F.col(index).alias("i"), F.col(u).alias("ui"))
-    b = df.select(key, F.col(index).alias("j"), F.col(u).alias("uj"))
-    p = a.join(b, key).filter(F.col("i") < F.col("j"))
-    t, lo = threshold, 1.0 - threshold
-    up_i = (F.col("ui") > t).cast("int")
-    lo_i = (F.col("ui") <= lo).cast("int")
-    return p.groupBy("i", "j").agg(
-        (F.sum(up_i * (F.col("uj") > t).cast("int")) / F.sum(up_i)).alias("lambda_upper"),
-        (F.sum(lo_i * (F.col("uj") <= lo).cast("int")) / F.sum(lo_i)).alias("lambda_lower"),
+    up = F.coalesce((F.col(u) > threshold).cast("int"), F.lit(0))
+    low = F.coalesce((F.col(u) <= 1.0 - threshold).cast("int"), F.lit(0))
+    sums = pair_sums(
+        df, key, index, {"one": F.lit(1.0), "up": up, "low": low},
+        {"n": ("one", "one"), "up_i": ("up", "one"), "low_i": ("low", "one"), "up_both": ("up", "up"), "low_both": ("low", "low")},
+    )
+    return sums.where("var1 < var2 AND n > 0").select(
+        F.col("var1").alias("i"), F.col("var2").alias("j"),
+        F.try_divide("up_both", "up_i").alias("lambda_upper"), F.try_divide("low_both", "low_i").alias("lambda_lower"),
     )
 
 

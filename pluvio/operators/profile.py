@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.dist import is_finite
 from pluvio.operators.orderstats import order_statistics
+from pluvio.operators.pairs import pair_sums
 
 
 def group_quantiles(
@@ -65,16 +66,23 @@ def correlation_long(df: DataFrame, key: str, var: str, value: str) -> DataFrame
     """Pearson correlations of every pair of variables, long.
 
     ``df`` is long (key, var, value).  Pairwise-complete: a pair uses the keys
-    where both variables are present.  Self-join on the key (variables per
-    key are few), ``corr`` by pair; the diagonal is NULL as in the reference.
+    where both variables are present and finite.  Values are taken from their variable's mean, so that
+    the sums of products do not cancel; one pass then gives all pairs (``pairs.pair_sums``).  The diagonal is NULL
+    as in the reference; so is the correlation of a constant variable.
     """
-    a = df.select(key, F.col(var).alias("var1"), F.col(value).alias("v1")).filter(is_finite("v1"))
-    b = df.select(key, F.col(var).alias("var2"), F.col(value).alias("v2")).filter(is_finite("v2"))
-    c = a.join(b, key).where("var1 < var2").groupBy("var1", "var2").agg(F.corr("v1", "v2").alias("corr"))
-    both = F.array(F.struct("var1", "var2"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2")))
-    mirrored = c.select(F.explode(both).alias("_p"), "corr").select("_p.var1", "_p.var2", "corr")
-    diagonal = a.select("var1").distinct().select("var1", F.col("var1").alias("var2"), F.lit(None).cast("double").alias("corr"))
-    return mirrored.unionByName(diagonal)
+    rows = df.select(key, F.col(var).alias("_var"), F.col(value).cast("double").alias("_x")).filter(is_finite("_x"))
+    centre = rows.groupBy("_var").agg(F.avg("_x").alias("_m"))
+    rows = rows.join(centre, "_var").withColumn("_x", F.col("_x") - F.col("_m"))
+    sums = pair_sums(
+        rows, key, "_var", {"one": F.lit(1.0), "x": F.col("_x"), "xx": F.col("_x") * F.col("_x")},
+        {"n": ("one", "one"), "s1": ("x", "one"), "s2": ("one", "x"), "s11": ("xx", "one"), "s22": ("one", "xx"), "s12": ("x", "x")},
+    )
+    n, s1, s2 = F.col("n"), F.col("s1"), F.col("s2")
+    spread = F.sqrt(F.greatest(F.col("s11") - s1 * s1 / n, F.lit(0.0))) * F.sqrt(F.greatest(F.col("s22") - s2 * s2 / n, F.lit(0.0)))
+    corr = F.try_divide(F.col("s12") - s1 * s2 / n, spread)
+    return sums.where((n > 0) | (F.col("var1") == F.col("var2"))).select(
+        "var1", "var2", F.when(F.col("var1") != F.col("var2"), corr).alias("corr")
+    ).withColumn("corr", F.when(F.abs("corr") > 1.0, F.signum("corr")).otherwise(F.col("corr")))
 
 
 def skim(df: DataFrame, cols: list[str]) -> DataFrame:

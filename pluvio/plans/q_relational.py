@@ -131,15 +131,17 @@ def csv_roundtrip(spark, sf):
     return io.read_csv(spark, path, "station bigint, proj_x bigint, proj_y bigint")
 
 
+_DRAW_LINES_SQL = (
+    "SELECT w.chain, w.iteration, n.name, d.value FROM (SELECT DISTINCT chain, iteration FROM draws) w "
+    "CROSS JOIN (SELECT DISTINCT name FROM draws) n LEFT JOIN draws d "
+    "ON d.chain = w.chain AND d.iteration = w.iteration AND d.name = n.name"
+)
+
+
 @query(
     "sampler_csv_long",
     "S11 R2",
-    with_ctes(
-        "SELECT w.chain, w.iteration, n.name, d.value FROM (SELECT DISTINCT chain, iteration FROM draws) w "
-        "CROSS JOIN (SELECT DISTINCT name FROM draws) n LEFT JOIN draws d "
-        "ON d.chain = w.chain AND d.iteration = w.iteration AND d.name = n.name",
-        "draws",
-    ),
+    with_ctes(_DRAW_LINES_SQL, "draws"),
 )
 def sampler_csv_long(spark, sf):
     """Wide per-iteration draw CSV (one column per parameter) back to long rows."""
@@ -152,6 +154,40 @@ def sampler_csv_long(spark, sf):
     return files.read_sampler_csv(spark, path, ["chain", "iteration"], schema)
 
 
+def _sampler_runs(spark, sf) -> str:
+    """A folder with two sampler runs, a file per chain: the earlier one has the draws' negatives, the later one the draws."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex[:12]}"
+    wide = shape.pivot_wider(Fixtures(spark, sf).draws(), ["chain", "iteration"], "name", "value", DRAW_NAMES)
+    earlier = wide.select("chain", "iteration", *[(-F.col(n)).alias(n) for n in DRAW_NAMES])
+    for run, draws in (("icar-202311052017", earlier), ("icar-202311101530", wide)):
+        files.write_sampler_csv(draws, path, run, "chain", "iteration", ["method = sample", f"id = {run}"])
+    return path
+
+
+@query("latest_run_draws", "S11 S12 R2", with_ctes(_DRAW_LINES_SQL, "draws"))
+def latest_run_draws(spark, sf):
+    """Two runs of sampler files with ``#`` lines; the later one alone is read."""
+    schema = "chain int, iteration bigint, " + ", ".join(f"{n} double" for n in DRAW_NAMES)
+    return files.read_latest_run(spark, _sampler_runs(spark, sf), ["chain", "iteration"], schema)
+
+
+@query(
+    "sampler_files_draws",
+    "X4 S11",
+    with_ctes(
+        f"SELECT run, chain, iteration, name, sign * value AS value FROM ({_DRAW_LINES_SQL}) "
+        "CROSS JOIN (VALUES ('icar-202311052017', -1), ('icar-202311101530', 1)) AS r(run, sign)",
+        "draws",
+    ),
+)
+def sampler_files_draws(spark, sf):
+    """All files of both runs, one file in and its draws out by a table function."""
+    draws = files.sampler_draws(spark, _sampler_runs(spark, sf))
+    return draws.select(files.run_of("source_file").alias("run"), "chain", "iteration", "name", "value")
+
+
 @query(
     "nested_estimates",
     "S13 R6 R7",
