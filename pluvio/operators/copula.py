@@ -296,12 +296,11 @@ def empirical_tail_dependence(df: DataFrame, key: str, index: str, u: str, thres
     """Upper and lower tail dependence between every pair of margins (C11).
 
     lambda_U = P(u_j > t | u_i > t) and lambda_L = P(u_j <= 1-t | u_i <= 1-t) over the keys that have
-    both margins; the counts of all pairs come from one pass (``pairs.pair_sums``).
+    both margins (null and NaN are absent); the counts of all pairs come from one pass (``pairs.pair_sums``).
     """
-    up = F.coalesce((F.col(u) > threshold).cast("int"), F.lit(0))
-    low = F.coalesce((F.col(u) <= 1.0 - threshold).cast("int"), F.lit(0))
+    up, low = F.col(u) > threshold, F.col(u) <= 1.0 - threshold
     sums = pair_sums(
-        df, key, index, {"one": F.lit(1.0), "up": up, "low": low},
+        df.where(dist.is_finite(u)), key, index, {"one": F.lit(1.0), "up": up.cast("int"), "low": low.cast("int")},
         {"n": ("one", "one"), "up_i": ("up", "one"), "low_i": ("low", "one"), "up_both": ("up", "up"), "low_both": ("low", "low")},
     )
     return sums.where("var1 < var2 AND n > 0").select(

@@ -1,11 +1,11 @@
 """Running block maxima over arriving files (ST1).
 
 Files landing in a folder are read as a stream; each micro-batch updates the
-per-(key, window) maximum held in the streaming state, and every updated
-row is appended to a Parquet table.  Because ``max`` is idempotent, a batch
-replayed after a failure only re-appends rows that do not change the final
-answer, and the table is re-aggregated with ``max`` when read.  Late rows are
-bounded by the watermark.
+per-(key, window) maximum held in the streaming state, and its updated rows
+are written to the folder of its epoch, which a replayed epoch overwrites.  Every so many epochs the
+folders are merged into one compacted table with one row per key and window, and
+removed when it is written.  ``max`` is idempotent, so a table that holds an epoch twice, after a failure between
+the two steps, reads the same.  Late rows are bounded by the watermark.
 """
 
 from __future__ import annotations
@@ -29,11 +29,14 @@ def stream_block_maxima(
     glob: str | None = None,
     out_dir: str | None = None,
     checkpoint: str | None = None,
+    compact_every: int = 20,
 ) -> DataFrame:
     """Run the stream over everything available now and return the maxima.
 
     Give ``out_dir`` and a lasting ``checkpoint`` together: a later call then reads
     only the files that are new and adds their maxima.  Without them the call stands alone.
+    The epochs are compacted after every ``compact_every`` of them and at the end.  One stream at a time
+    may write to ``out_dir``.
 
     Output: (key, window_start, value) with one row per key and window.
     """
@@ -65,7 +68,13 @@ def stream_block_maxima(
     start = F.to_utc_timestamp(F.col("w.start"), tz).cast("timestamp_ntz") if ntz else F.col("w.start")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(key, start.alias("window_start"), value).write.mode("append").parquet(out_dir)
+        rows = batch.select(key, start.alias("window_start"), value)
+        rows.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch}")
+        if (epoch + 1) % compact_every == 0:
+            compact_block_maxima(batch.sparkSession, out_dir, key, value)
+
+    # what an earlier stream left, whose epochs this one could number alike
+    compact_block_maxima(spark, out_dir, key, value)
 
     q = (
         agg.writeStream.outputMode("update")
@@ -75,9 +84,38 @@ def stream_block_maxima(
         .start()
     )
     q.awaitTermination()
+    compact_block_maxima(spark, out_dir, key, value)
+    tables = _tables(spark, out_dir)
+    if not tables:  # nothing has arrived yet
+        kinds = f"`{key}` {schema[key].dataType.simpleString()}, window_start {'timestamp_ntz' if ntz else 'timestamp'}, `{value}` {schema[value].dataType.simpleString()}"
+        return spark.createDataFrame([], kinds)
     return read_block_maxima(spark, out_dir, key, value)
 
 
+def _tables(spark: SparkSession, out_dir: str) -> list[str]:
+    """The completely written tables under ``out_dir``: epochs and compacted ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path) if f.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.toString() for p in found if fs.exists(done(p, "_SUCCESS")))
+
+
+def compact_block_maxima(spark: SparkSession, out_dir: str, key: str, value: str) -> None:
+    """Merge all tables under ``out_dir`` into one, with one row per key and window; they are removed
+    once it is written.  A failure before that leaves them as they were."""
+    tables = _tables(spark, out_dir)
+    if len(tables) < 2 and not any("/epoch=" in t for t in tables):
+        return
+    merged = spark.read.parquet(*tables).groupBy(key, "window_start").agg(F.max(value).alias(value))
+    merged.write.parquet(f"{out_dir.rstrip('/')}/compacted-{uuid.uuid4().hex[:12]}")
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_block_maxima(spark: SparkSession, out_dir: str, key: str, value: str) -> DataFrame:
-    """Final maxima from the appended updates (max of the updates per window)."""
-    return spark.read.parquet(out_dir).groupBy(key, "window_start").agg(F.max(value).alias(value))
+    """Final maxima of all tables written so far (max per key and window)."""
+    return spark.read.parquet(*_tables(spark, out_dir)).groupBy(key, "window_start").agg(F.max(value).alias(value))

@@ -101,6 +101,38 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.select("user_id", "window_start", "value").collect()))
 
 
+def test_stream_resumes_replays_and_compacts(spark, tmp_path):
+    from pluvio.streaming import blockmax as B
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    ev = spark.read.parquet(f"{SMALL}/events.parquet").select("user_id", "ts", "value")
+    first, second = ev.where("value < 20"), ev.where("value >= 20")
+
+    def run():
+        return sorted(map(tuple, B.stream_block_maxima(spark, src, "user_id", "ts", "value", late="4000 days", out_dir=out, checkpoint=ckpt).collect()))
+
+    def batch(df):
+        w = F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("window_start")
+        return sorted(map(tuple, df.groupBy("user_id", w).agg(F.max("value")).collect()))
+
+    first.write.parquet(src)
+    assert run() == batch(first)
+    second.write.mode("append").parquet(src)
+    assert run() == batch(ev)
+    assert run() == batch(ev)  # nothing new
+    # an epoch that is written again after it was compacted changes nothing, then goes into the table
+    replayed = B.read_block_maxima(spark, out, "user_id", "value").limit(50)
+    replayed.write.parquet(f"{out}/epoch=0")
+    assert sorted(map(tuple, B.read_block_maxima(spark, out, "user_id", "value").collect())) == batch(ev)
+    B.compact_block_maxima(spark, out, "user_id", "value")
+    tables = B._tables(spark, out)
+    assert len(tables) == 1 and spark.read.parquet(tables[0]).count() == len(batch(ev))
+    # a table that was not finished is not read
+    spark.read.parquet(tables[0]).withColumn("value", F.lit(1e9)).write.parquet(f"{out}/epoch=7")
+    (tmp_path / "out" / "epoch=7" / "_SUCCESS").unlink()
+    assert B._tables(spark, out) == tables
+
+
 def _fft_ess(x):
     import numpy as np
 

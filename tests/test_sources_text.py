@@ -59,3 +59,48 @@ def test_text_helpers(spark):
 def test_clean_names():
     assert text.clean_name(".Iteration") == "iteration"
     assert text.clean_name("Draw.click") == "draw_click"
+
+
+def test_latest_run_alone_is_read(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    wide = spark.createDataFrame([(c, i, c + i / 4, None if i == 2 else -1e-9 * i) for c in (1, 2) for i in (1, 2, 3)], "chain int, iteration long, a double, b double")
+    files.write_sampler_csv(wide.withColumn("a", F.col("a") + 100), path, "m-20230101", "chain", "iteration", ["old"])
+    files.write_sampler_csv(wide, path, "m-20231101", "chain", "iteration", ["method = sample", "seed, 5"])
+    want = sorted((r.chain, r.iteration, n, r[n]) for r in wide.collect() for n in "ab")
+    got = files.read_latest_run(spark, path, ["chain", "iteration"], "chain int, iteration bigint, a double, b double")
+    key = lambda r: r[:3]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert all("run=m-20231101" in f for f in got.inputFiles())
+    # comment lines stand before the header and at the end of each chain's file
+    one = [p for p in (tmp_path / "runs" / "run=m-20231101" / "file=1").iterdir() if p.suffix == ".txt"]
+    lines = one[0].read_text().splitlines()
+    assert len(one) == 1 and lines[:3] == ["# method = sample", "# seed, 5", "chain,iteration,a,b"] and lines[-1] == "# done"
+    by_function = files.sampler_draws(spark, f"{path}/run=m-20231101").drop("source_file")
+    assert sorted(map(tuple, by_function.collect()), key=key) == sorted(want, key=key)
+    assert files.latest_run(files.list_files(spark, path), files.run_of()).first().run == "m-20231101"
+
+
+def test_pair_sums_equal_the_self_join(spark, monkeypatch):
+    from pluvio.operators import copula, pairs, profile
+
+    monkeypatch.setattr(pairs, "BLOCK_ENTRIES", 20)
+    rows = [(k, v, float((k * 7 + ord(v)) % 11) / 11 + 1e6 * (v == "b")) for k in range(60) for v in "abcd" if (k + ord(v)) % 5]
+    rows += [(None, "a", 0.5), (3, None, 0.5), (1, "a", float("nan")), (1, "e", None), (2, "b", 1e6), (5, "f", 1.0), (6, "f", 1.0)]
+    df = spark.createDataFrame(rows, "k int, v string, x double").repartition(3)
+    a = df.where("x is not null and not isnan(x)").select("k", F.col("v").alias("v1"), F.col("x").alias("x1"))
+    b = a.select("k", F.col("v1").alias("v2"), F.col("x1").alias("x2"))
+    want = {(r.v1, r.v2): r.c for r in a.join(b, "k").where("v1 != v2 and v1 != 'f' and v2 != 'f'").groupBy("v1", "v2").agg(F.corr("x1", "x2").alias("c")).collect()}
+    got = {(r.var1, r.var2): r["corr"] for r in profile.correlation_long(df, "k", "v", "x").collect()}
+    assert {p: c for p, c in got.items() if p[0] == p[1]} == dict.fromkeys([(x, x) for x in "abcdf"])
+    constant = {p: c for p, c in got.items() if "f" in p and p != ("f", "f")}
+    assert constant and set(constant.values()) == {None}
+    assert {p for p in got if p[0] != p[1] and "f" not in p} == set(want)
+    for p, c in want.items():
+        assert abs(got[p] - c) < 1e-7, p
+    u = df.withColumn("x", F.col("x") % 1.0).where("k is not null and v is not null and x is not null and not isnan(x)")
+    up = u.alias("s").join(u.alias("t"), "k").where("s.v < t.v").groupBy("s.v", "t.v").agg(
+        F.try_divide(F.sum(((F.col("s.x") > 0.7) & (F.col("t.x") > 0.7)).cast("int")), F.sum((F.col("s.x") > 0.7).cast("int"))).alias("c")
+    )
+    tails = copula.empirical_tail_dependence(df.withColumn("x", F.col("x") % 1.0), "k", "v", "x", 0.7).collect()
+    assert {(r.i, r.j): r.lambda_upper for r in tails} == {(r[0], r[1]): r.c for r in up.collect()}
+    assert profile.correlation_long(df.limit(0), "k", "v", "x").count() == 0
