@@ -156,6 +156,31 @@ def kronecker_sum_precision(stations: DataFrame) -> DataFrame:
     return tx.unionByName(ty).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def lattice_log_det(stations: DataFrame, shift: float) -> DataFrame:
+    """log|R_x (+) R_y + shift I| on a complete lattice, one row ``log_det``.
+
+    The eigenvalues of the sum are sums of the axes' own, 2 - 2 cos(pi k / n) for a path of n cells, so every
+    station gives one of them: a scan and a sum, no factorisation.  NULL when the stations are not a complete
+    lattice of consecutive coordinates, and for an empty table.
+    """
+    xy = stations.select("proj_x", "proj_y")
+    bounds = xy.agg(*[f(c).alias(f"_{n}_{c}") for c in ("proj_x", "proj_y") for n, f in (("lo", F.min), ("hi", F.max))])
+    joined = xy.crossJoin(F.broadcast(bounds))  # one row
+
+    def cells(axis: str) -> Column:
+        return F.col(f"_hi_{axis}") - F.col(f"_lo_{axis}") + 1
+
+    def eigenvalue(axis: str) -> Column:
+        return 2.0 - 2.0 * F.cos(F.lit(math.pi) * (F.col(axis) - F.col(f"_lo_{axis}")) / cells(axis))
+
+    total = joined.agg(
+        F.sum(F.log(eigenvalue("proj_x") + eigenvalue("proj_y") + F.lit(float(shift)))).alias("_sum"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max(cells("proj_x") * cells("proj_y")).alias("_cells"),
+    )
+    return total.select(F.when(F.col("_n") == F.col("_cells"), F.col("_sum")).alias("log_det"))
+
+
 def icar_energy(values: DataFrame, edges: DataFrame, value: str, by: list[str] | None = None,
                 n_stations: Column | None = None) -> DataFrame:
     """ICAR log density -1/2 sum over undirected edges (x_i - x_j)^2 plus the soft

@@ -70,6 +70,30 @@ def kronecker_precision(spark, sf):
     return lattice.kronecker_sum_precision(Fixtures(spark, sf).stations())
 
 
+LATTICE_SHIFT = 0.1
+
+
+@query(
+    "lattice_log_det",
+    "G5",
+    # the pivots of the tridiagonal block that each eigenvalue of the x axis leaves on the y axis
+    with_ctes(
+        f"SELECT {rnd('sum(ln(r))', 6)} AS log_det FROM piv",
+        "stations",
+        extra=[
+            ("ax", "SELECT CAST(max(proj_x) - min(proj_x) + 1 AS BIGINT) AS nx, CAST(max(proj_y) - min(proj_y) + 1 AS BIGINT) AS ny FROM stations"),
+            ("lam", f"SELECT ny, 2.0 - 2.0 * cos({math.pi!r} * k / nx) + {LATTICE_SHIFT!r} AS s FROM (SELECT nx, ny, unnest(range(nx)) AS k FROM ax)"),
+            ("piv", "SELECT ny, s, 1 AS step, CASE WHEN ny = 1 THEN s ELSE 1.0 + s END AS r FROM lam UNION ALL "
+                    "SELECT ny, s, step + 1, CASE WHEN step + 1 = ny THEN 1.0 + s ELSE 2.0 + s END - 1.0 / r FROM piv WHERE step < ny"),
+        ],
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
+def lattice_log_det(spark, sf):
+    """Log-determinant of the shifted Kronecker sum by its spectrum; the oracle eliminates along one axis."""
+    d = lattice.lattice_log_det(Fixtures(spark, sf).stations(), LATTICE_SHIFT)
+    return d.select(F.round("log_det", 6).alias("log_det"))
+
+
 @query(
     "icar_energy",
     "G6 J11",

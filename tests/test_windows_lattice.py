@@ -74,3 +74,18 @@ def test_exact_quantiles_and_global_ranks(spark):
     a = {(r.g, r.v, r.u) for r in windows.global_average_rank_uniform(df, ["g"], "v").collect()}
     b = {(r.g, r.v, r.u) for r in windows.average_rank_uniform(df, ["g"], "v").collect()}
     assert a == b
+
+
+def test_lattice_log_det_equals_dense(spark):
+    import numpy as np
+
+    from pluvio.operators import lattice
+
+    for nx, ny in ((4, 3), (1, 5), (6, 1)):
+        rows = [(y * nx + x + 1, x + 3, y + 1) for y in range(ny) for x in range(nx)]
+        st = spark.createDataFrame(rows, "station long, proj_x long, proj_y long")
+        path = lambda n: np.diag([(i > 0) + (i < n - 1.0) for i in range(n)]) - np.eye(n, k=1) - np.eye(n, k=-1)
+        q = np.kron(np.eye(ny), path(nx)) + np.kron(path(ny), np.eye(nx)) + 0.3 * np.eye(nx * ny)
+        assert abs(lattice.lattice_log_det(st, 0.3).first().log_det - np.linalg.slogdet(q)[1]) < 1e-9
+    assert lattice.lattice_log_det(st.where("station != 3"), 0.3).first().log_det is None
+    assert lattice.lattice_log_det(st.limit(0), 0.3).first().log_det is None
