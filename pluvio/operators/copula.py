@@ -191,23 +191,6 @@ def ar1_correlation_entries(pairs: DataFrame, rho: float) -> DataFrame:
     return pairs.withColumn("v", F.pow(F.lit(rho), F.abs(F.col("i") - F.col("j"))))
 
 
-def ar1_precision_cholesky_coo(spark: SparkSession, n: int, rho: float) -> tuple[DataFrame, float]:
-    """Upper-bidiagonal R with R^T R = AR(1) precision, as COO, and log|R|.
-
-    Row i < n: R_ii = 1/sqrt(1-rho^2), R_i,i+1 = -rho/sqrt(1-rho^2);
-    R_nn = 1.  Matches the q vector of :func:`ar1_copula_logc`.
-    """
-    s = 1.0 / math.sqrt(1.0 - rho * rho)
-    rows = []
-    for i in range(1, n + 1):
-        if i < n:
-            rows += [(i, i, s), (i, i + 1, -rho * s)]
-        else:
-            rows.append((i, i, 1.0))
-    log_det = (n - 1) * math.log(s)
-    return spark.createDataFrame(rows, "i int, j int, v double"), log_det
-
-
 def t_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv: DataFrame, log_det_l: float,
                   nu: float, d: int) -> DataFrame:
     """t copula log-density per key.

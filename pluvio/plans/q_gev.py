@@ -496,6 +496,23 @@ def ar1_precision(spark, sf):
     return q.select("i", "j", F.round("v", 9).alias("v"))
 
 
+@query(
+    "ar1_correlation",
+    "C13",
+    with_ctes(
+        f"SELECT i, j, {rnd(f'pow({AR1_RHO!r}, abs(i - j))', 9)} AS v FROM (SELECT DISTINCT a.id AS i, b.id AS j FROM ids a JOIN ids b ON a.station = b.station)",
+        "precip", extra=[("ids", "SELECT station, CAST(year - 1994 AS INTEGER) AS id FROM precip")],
+    ),
+)
+def ar1_correlation(spark, sf):
+    """Entries of the AR(1) correlation at the pairs of years that some station has."""
+    ids = Fixtures(spark, sf).precip().select("station", (F.col("year") - 1994).cast("int").alias("id"))
+    # a station has its years: the list is as long as the record, and its pairs are distinct before any shuffle of them
+    years = ids.groupBy("station").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids").distinct()
+    pairs = years.select(F.explode("ids").alias("i"), "ids").select("i", F.explode("ids").alias("j")).distinct()
+    return copula.ar1_correlation_entries(pairs, AR1_RHO).select("i", "j", F.round("v", 9).alias("v"))
+
+
 @query(
     "t_copula",
     "C5 N3 N4",

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from pluvio.functions import sqltext as S
+from pluvio.functions import text
 from pluvio.operators import lattice, profile, regress, report, shape
 from pluvio.plans.fixtures import Fixtures
 from pluvio.plans.oracle_fixtures import rnd, with_ctes
@@ -182,6 +183,31 @@ def univariate_ols(spark, sf):
     return u.select("station", "type", "n", *[F.round(c, 9).alias(c) for c in ["estimate", "std_error", "statistic", "p_value"]])
 
 
+_P_SQL = "CASE WHEN n > 1 THEN 2.0 * (1.0 - " + S.t_cdf_int("abs(statistic)", "CAST(n - 1 AS INTEGER)") + ") END"
+
+
+@query(
+    "ols_texts",
+    "F6",
+    with_ctes(
+        "SELECT station, type, CASE WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', floor(p * 1000 + 0.5) / 1000) END AS p_text, "
+        "printf('%.1f', floor(r2 * 1000 + 0.5) / 10) || '%' AS r2_text FROM "
+        f"(SELECT station, type, {rnd(_P_SQL, 9)} AS p, {rnd('statistic * statistic / nullif(statistic * statistic + n - 1, 0)', 9)} AS r2 FROM uni)",
+        "edges", "precip_month", extra=[_VALS, _PAIRS, ("uni", _UNI_SQL)],
+    ),
+)
+def ols_texts(spark, sf):
+    """p-values and explained shares of the neighbour regressions as report text."""
+    u = regress.univariate_ols(_pairs(Fixtures(spark, sf)), ["station", "type"])
+    square = F.col("statistic") * F.col("statistic")
+    r2 = F.round(F.try_divide(square, square + F.col("n") - 1), 9)
+    p = F.round("p_value", 9)
+    return u.select(
+        "station", "type",
+        F.when(p.isNotNull(), text.p_value_text(p)).alias("p_text"), F.when(r2.isNotNull(), text.percent_text(r2)).alias("r2_text"),
+    )
+
+
 def _complete_neighbours(spark, sf):
     """The rows of the neighbours present in all months of a station, and their Gram tables."""
     fx = Fixtures(spark, sf)
