@@ -13,11 +13,11 @@ in the number of tokens, so a word's count is the sum over its path:
 
 Words are found by a small automaton over character classes (letters, single
 digits, other signs, contractions), computed for whole batches at once.  The
-byte stream is cut into chunks of fixed length, which run side by side; each chunk maps
-an entry state to its exit state and counts.  Entry states come from a warm-up
-over the bytes before; a prefix scan over the chunks compares each exit with
-the next entry and runs the chunks that entered wrongly again until all
-maps fit, so chunk borders may lie inside words of any length.
+byte stream is cut into chunks of fixed length, which run side by side.  Entry states
+are guessed by a warm-up over the bytes before; each chunk's exit is compared with
+the next one's entry, and chunks that entered wrongly run again until all
+fit, so chunk borders may lie inside words of any length.  (No maps over all entry
+states are made; see the README.)
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from pluvio.llm.common import whole_text
 
@@ -54,12 +54,49 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": DIGIT}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]:
-        out[c] = SPACE
-    return out
+class Signs:
+    """What the library makes of single code points, asked of the library itself: its class for
+    splitting words, and whether normal form or lower case need the library for the text around."""
+
+    def __init__(self):
+        # the planes beyond hold no assigned signs but private ones
+        points = [*range(1, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
+        every = "".join(map(chr, points))
+        at = np.array(points)
+
+        def having(pattern: str) -> np.ndarray:
+            out = np.zeros(0x110000, bool)
+            split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+            for _, (start, stop) in split.pre_tokenize_str(every):
+                out[at[start:stop]] = True
+            return out
+
+        self.classes = np.full(0x110000, OTHER, np.uint8)
+        for pattern, kind in (("\\p{L}+", LETTER), ("\\p{N}+", DIGIT), ("\\s+", SPACE)):
+            self.classes[having(pattern)] = kind
+        # one code point a line; the line feed itself (10) is neither changed nor composed
+        lines = "\n".join(chr(c) for c in points if c != 10)
+        alone = at[at != 10]
+        composed, apart, low = (n.normalize_str(lines).split("\n") for n in (normalizers.NFC(), normalizers.NFD(), normalizers.Lowercase()))
+        # text without these is in normal form C: changed alone, second in some decomposition, or a mark
+        self.unsettled = having("\\p{M}+")
+        self.unsettled[[c for c, x in zip(points, every) if unicodedata.combining(x)]] = True
+        self.unsettled[[c for c, x in zip(alone.tolist(), composed) if x != chr(c)]] = True
+        self.unsettled[sorted({ord(x) for parts in apart for x in parts[1:]})] = True
+        # lower case: str.lower looks around a final sigma, and its tables may be of another age
+        self.cased = np.zeros(0x110000, bool)
+        self.cased[[ord("\u03a3"), *(c for c, x in zip(alone.tolist(), low) if x != chr(c).lower())]] = True
+        self.compose, self.lower = normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
+
+    def normal(self, text: str) -> str:
+        """``text`` in normal form C and lower case, as the library has it."""
+        if text.isascii():
+            return text.lower()
+        cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if self.unsettled[cp].any():
+            text = self.compose(text)
+            cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        return self.lower(text) if self.cased[cp].any() else text.lower()
 
 
 class Transducer:
@@ -86,7 +123,8 @@ class Transducer:
         self.prefixes = whole | {t[:k] for t in self.tokens for k in range(len(t.rstrip(_END)))}
         self.specials = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.made: dict[str, tuple[list, list] | None] = {}
-        self.classes = _classes()
+        self.signs = Signs()
+        self.classes = self.signs.classes
         self.reset()
 
     # -- merges -------------------------------------------------------------
@@ -252,14 +290,14 @@ class Transducer:
         deal = lambda x: np.ascontiguousarray(x.reshape(chunks, CHUNK).T)
         c, f, e = deal(cols), deal(first), deal(final)
         out = np.zeros((CHUNK, chunks), np.int8)
-        # entry states: exact where a word begins in the warm-up, else a guess that the scan checks
+        # entry states: exact where a word begins in the warm-up, else a guess that is checked below
         entry = np.zeros(chunks, np.int32)
         if chunks > 1:
             tail = slice(CHUNK - WARM_UP, CHUNK)
             scratch = np.zeros((WARM_UP, chunks - 1), np.int8)
             entry[1:] = self.run(c[tail, :-1], f[tail, :-1], np.zeros((WARM_UP, chunks - 1), bool), entry[1:], scratch)
         exits = self.run(c, f, e, entry, out)
-        while chunks > 1:  # compose the chunks' maps: each must enter where the one before left
+        while chunks > 1:  # each must enter where the one before left
             wrong = np.flatnonzero((entry[1:] != exits[:-1]) & ~f[0, 1:]) + 1
             if not len(wrong):
                 break
@@ -300,10 +338,7 @@ class Transducer:
                 parts = self.specials.split(t)
                 n[i] += len(parts) - 1
                 t = "\n".join(parts)  # white space ends a word as a special token does
-            if not t.isascii() and not unicodedata.is_normalized("NFC", t):
-                t = unicodedata.normalize("NFC", t)
-            # lower case sign by sign: str.lower alone looks around a final sigma
-            clean.append("".join(c.lower() for c in t) if "Σ" in t else t.lower())
+            clean.append(self.signs.normal(t))
         text = "\n".join(clean)
         kind, first, width = self._words(text)
         ends = np.cumsum(width)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, library results and round trips; odd rows for each."""
 
 import hashlib
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -389,6 +390,27 @@ def test_token_counts(odd, empty, docs):
     assert token_counts(empty, path).count() == 0
 
 
+def test_token_counts_of_every_sign():
+    """Signs that normal form or case touch, and others, alone, between letters and before a mark: as the library counts."""
+    from tokenizers import Tokenizer
+
+    from pluvio.llm.token_counts import Transducer
+
+    path = P.path("word_bpe_49k.json")
+    lib, machine = Tokenizer.from_file(path), Transducer(path)
+    rng = np.random.default_rng(8)
+    touched = np.flatnonzero(machine.signs.unsettled | machine.signs.cased)
+    others = [c for c in rng.integers(1, 0x3_2000, 3000).tolist() if not 0xD800 <= c < 0xE000]
+    signs = [chr(c) for c in [*rng.choice(touched, 1500, replace=False).tolist(), *others]]
+    marks = [c for c in signs if unicodedata.category(c)[0] == "M"]
+    mixed = ["".join(rng.choice(signs, 2)) + "".join(rng.choice(marks, 2)) + "\u03a3A" for _ in range(1000)]
+    known = ["\u07fd\u094d", "\u1df7\u094d", "\ua7cb", "\ua7dc", "\U00013808", "\U0001385c", "\U00013988", "\u0130I\u0307", "\u1100\u1161\u11a8"]
+    texts = [f"{c}a{c}\u0301 {c}" for c in signs] + mixed + known
+    expected = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    got = np.concatenate([machine.counts(texts[i : i + 5000]) for i in range(0, len(texts), 5000)])
+    assert [t for t, n, m in zip(texts, expected, got) if n != m] == []
+
+
 # -- 9 URL rules --------------------------------------------------------------
 def test_url_rules_brute_force(spark):
     from pluvio.llm.url_filter import judge_urls
