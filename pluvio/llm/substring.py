@@ -7,8 +7,9 @@ stands and whatever is inserted before it.  From every border, as many pieces as
 make ``CHUNK_WORDS`` words are one variable chunk (short pieces alone recur by
 chance).  Chunks are matched by digest: those that occur twice or more come out of
 one range sort, the first occurrence (least identifier, then place) is the original, and
-repeated chunks that overlap or touch make spans.  A span of at least
-``min_words`` words is a repeated passage.
+repeated chunks that overlap or touch make spans.  Each span then grows, word by word,
+as long as the words at its edge equal those beside the first occurrence, so that it ends where
+the passage does.  A span of at least ``min_words`` words is a repeated passage.
 """
 
 from __future__ import annotations
@@ -20,17 +21,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import drop_table, keep, repeated_keys, scratch_tables, whole_text, write_table
+from pluvio.llm.common import drop_table, keep, repeated_keys, salted_join, scratch_tables, whole_text, write_table
 
 #: A word end is a border when this many high bits of the 16-bit gear hash are zero: a chunk has about 2 ** bits words.
 BORDER_BITS = 2
 #: Words of a chunk, at least.
 CHUNK_WORDS = 8
-#: Words of the shortest span; a passage loses up to a chunk at each end, so this is well under the 50 of the passages sought.
+#: Words of the shortest span; a passage without any chunk of its own is not found, so this is well under the 50 of the passages sought.
 MIN_WORDS = 16
+#: Words that a span can grow at each edge: a longer edge would hold a chunk but with probability 0.75 ** 40.
+EDGE_WORDS = 48
+#: Tasks over which the spans that repeat one first occurrence are dealt.
+FIRST_SALTS = 4
 #: The gear table: 16-bit values of the 256 bytes, by a fixed rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=6) & 0xFFFF for b in range(256)], np.uint16)
 _SPACE = np.zeros(256, bool)
@@ -107,6 +112,8 @@ def repeated_spans(
 
     ``kept`` marks spans whose chunks occur nowhere earlier (by identifier, then place);
     the others repeat earlier text, ``first_id`` being the least document that holds their first chunk.
+    A span ends where its words and those of the first occurrence part, at most ``EDGE_WORDS`` words beyond its
+    chunks; a passage in which no chunk of ``CHUNK_WORDS`` words lies whole is not found.
     Spans of one document and kind do not overlap.  ``text_key`` is a hash of identifier and text: rows that
     repeat an identifier with different texts are documents of their own, in the order of that hash; rows
     that repeat both are one place.  Null, empty and short texts have no spans; a null identifier is left
@@ -120,8 +127,10 @@ def repeated_spans(
         chunks, path = write_table(rows.mapInArrow(lambda it: _chunks(it, bits), _CHUNKS), "substring-chunks")
         shared, _ = write_table(repeated_keys(chunks, ["d1", "d2"], "id"), "substring-shared")
         drop_table(spark, path)
-        spans, spans_path = write_table(_spans(shared, min_words), "substring-spans")
-        keep(spans_path)
+        found, _ = write_table(_spans(shared), "substring-found")
+        texts = rows.where("_id IS NOT NULL").select("_own", "_text")
+        spans, path = write_table(_merged(_grown(found, texts)).where(F.col("n_words") >= min_words), "substring-spans")
+        keep(path)
     return spans.select(F.col("id").alias(id_col), "start", "length", "n_words", "first_id", (~F.col("again")).alias("kept"), "text_key")
 
 
@@ -129,22 +138,121 @@ def _text_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def _spans(shared: DataFrame, min_words: int) -> DataFrame:
-    """The spans that the chunks found twice or more make; one row per span and kind."""
+def _spans(shared: DataFrame) -> DataFrame:
+    """The spans that the chunks found twice or more make, one row per span and kind; ``first`` and ``last`` are
+    the places (text, byte) where the first chunk begins and the last one ends in their first occurrences."""
     place = F.struct("id", "text_key", "start")
-    firsts = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    matched = shared.join(firsts, ["d1", "d2"]).select(
+    firsts = shared.groupBy("d1", "d2").agg(F.min(F.struct("id", "text_key", "start", "size")).alias("f"), F.count("*").alias("n"))
+    matched = shared.join(firsts.where("n > 1").drop("n"), ["d1", "d2"]).select(
         "id", "text_key", "start", (F.col("start") + F.col("size")).alias("end"), "word", (F.col("word") + F.col("words")).alias("upto"),
-        (place != F.col("first")).alias("again"), F.col("first.id").alias("first_id"),
+        (place != F.struct("f.id", "f.text_key", "f.start")).alias("again"), F.col("f.id").alias("first_id"),
+        F.struct("f.text_key", F.col("f.start").alias("at")).alias("first"),
+        F.struct("f.text_key", (F.col("f.start") + F.col("f.size")).alias("at")).alias("last"),
     )
-    # spans: chunks of a document that touch, alike in being a repetition; a document's chunks are bounded by its text
+    return _runs(matched).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"), F.max("upto").alias("upto"),
+        F.min_by("first_id", "start").alias("first_id"), F.min_by("first", "start").alias("first"), F.max_by("last", "end").alias("last"),
+    )
+
+
+def _runs(pieces: DataFrame) -> GroupedData:
+    """``pieces`` grouped by runs that overlap or touch in one document, alike in being a repetition."""
+    # a document's pieces are bounded by its text
     order = Window.partitionBy("id", "text_key", "again").orderBy("start")
     begins = F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = matched.withColumn("_run", F.sum(F.coalesce(begins, F.lit(True)).cast("long")).over(order))
-    return runs.groupBy("id", "text_key", "again", "_run").agg(
+    runs = pieces.withColumn("_run", F.sum(F.coalesce(begins, F.lit(True)).cast("long")).over(order))
+    return runs.groupBy("id", "text_key", "again", "_run")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans that grew into each other put together, one row per span and kind."""
+    return _runs(spans).agg(
         F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"),
         (F.max("upto") - F.min("word")).cast("long").alias("n_words"), F.min_by("first_id", "start").alias("first_id"),
-    ).where(F.col("n_words") >= min_words)
+    )
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text and asked place, the bytes of up to ``EDGE_WORDS`` whole words before or behind it."""
+    for batch in batches:
+        rows = []
+        for key, text, asked in zip(batch.column("_own").to_pylist(), batch.column("_text"), batch.column("asked"), strict=True):
+            raw = bytes(text.as_buffer())
+            space = _SPACE[np.frombuffer(raw, np.uint8)]
+            begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+            for ask in asked.as_py():
+                at, word = ask["at"], int(np.searchsorted(begin, ask["at"]))
+                if ask["behind"]:  # one white space behind the last word, as in chunks
+                    upto = min(word + EDGE_WORDS, len(begin))
+                    edge = raw[at : end[upto - 1] + 1] if upto > word else b""
+                else:
+                    edge = raw[begin[max(word - EDGE_WORDS, 0)] : at] if word else b""
+                rows.append({"text_key": key, "at": at, "behind": ask["behind"], "ref": ask["ref"], "edge": edge})
+        kinds = pa.schema([("text_key", pa.int64()), ("at", pa.int64()), ("behind", pa.bool_()), ("ref", _REF), ("edge", pa.binary())])
+        yield pa.RecordBatch.from_pylist(rows, kinds)
+
+
+_REF = pa.struct([("text_key", pa.int64()), ("at", pa.int64()), ("behind", pa.bool_())])
+_REF_SQL = "struct<text_key:bigint,at:bigint,behind:boolean>"
+
+
+def _common(own: bytes, ref: bytes, behind: bool) -> tuple[int, int, int]:
+    """(equal words from the place on, their bytes in the one edge, in the other)."""
+    a, b = own.split(), ref.split()  # the ASCII white space of the contracts
+    if not behind:
+        a, b = a[::-1], b[::-1]
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    sizes = []
+    for edge in (own, ref):
+        at = 0 if behind else len(edge)
+        for w in a[:n]:
+            at = edge.index(w, at) + len(w) if behind else edge.rindex(w, 0, at)
+        sizes.append((min(at + 1, len(edge)) if behind else len(edge) - at) if n else 0)
+    return n, *sizes
+
+
+def _grown(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """``found`` spans grown at both edges by the words that they have in common with the first occurrence; a span
+    that is a first occurrence grows as far as the farthest of those that repeat it from its edge."""
+
+    @F.pandas_udf("struct<words:int,size:bigint,ref_size:bigint>")
+    def common(own: pd.Series, ref: pd.Series, behind: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_common(*x) for x in zip(own, ref, behind, strict=True)], columns=["words", "size", "ref_size"])
+
+    def side(at: str, other: str, behind: bool):
+        ref = F.struct(f"{other}.text_key", f"{other}.at", F.lit(behind).alias("behind"))
+        return F.struct(F.col(at).alias("at"), F.lit(behind).alias("behind"), ref.alias("ref"))
+
+    own = found.where("again").select("text_key", F.explode(F.array(side("start", "first", False), side("end", "last", True))).alias("ask"))
+    firsts = own.select("ask.ref.*").distinct().select(
+        "text_key", F.struct("at", "behind", F.lit(None).cast(_REF_SQL).alias("ref")).alias("ask")
+    )
+    # a text's places are bounded by its length
+    asked = own.unionByName(firsts).groupBy("text_key").agg(F.collect_set("ask").alias("asked"))
+    kinds = f"text_key long, at long, behind boolean, ref {_REF_SQL}, edge binary"
+    edges, _ = write_table(
+        texts.join(asked, texts["_own"] == asked["text_key"]).select("_own", "_text", "asked").mapInArrow(_edges, kinds)
+        .dropDuplicates(["text_key", "at", "behind", "ref"]),  # wholly repeated rows are one place
+        "substring-edges",
+    )
+    first = edges.where("ref IS NULL").select(F.struct("text_key", "at", "behind").alias("ref"), F.col("edge").alias("first_edge"))
+    shared = salted_join(edges.where("ref IS NOT NULL"), first, "ref", "text_key", salts=FIRST_SALTS)
+    grown, _ = write_table(
+        shared.select("text_key", "at", "behind", "ref", common("edge", "first_edge", "behind").alias("c")).where("c.words > 0"), "substring-grown"
+    )
+    more = grown.select("text_key", "at", "behind", F.lit(True).alias("again"), F.struct("c.words", "c.size").alias("more")).unionByName(
+        grown.groupBy("ref").agg(F.max(F.struct("c.words", F.col("c.ref_size").alias("size"))).alias("more"))
+        .select("ref.*", F.lit(False).alias("again"), "more")
+    )
+    before = more.where("NOT behind").select("text_key", F.col("at").alias("start"), "again", F.col("more").alias("_before"))
+    behind = more.where("behind").select("text_key", F.col("at").alias("end"), "again", F.col("more").alias("_behind"))
+    wide = found.join(before, ["text_key", "again", "start"], "left").join(behind, ["text_key", "again", "end"], "left")
+    by = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return wide.select(
+        "id", "text_key", "again", (F.col("start") - by("_before.size")).alias("start"), (F.col("end") + by("_behind.size")).alias("end"),
+        (F.col("word") - by("_before.words")).alias("word"), (F.col("upto") + by("_behind.words")).alias("upto"), "first_id",
+    )
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BORDER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

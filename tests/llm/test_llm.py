@@ -363,15 +363,77 @@ def test_repeated_passages(spark, odd, empty):
     assert {r.doc_id for r in got if r.kept} == {1} and {r.doc_id for r in got if not r.kept} == {2, 4, 5}
     for r in got:
         data = texts[r.doc_id].encode()[r.start : r.start + r.length].strip()
-        assert data in passage.encode() and len(data.split()) == r.n_words >= 30 and r.first_id == 1
+        assert data == passage.encode() and len(data.split()) == r.n_words == 60 and r.first_id == 1
     left = {r.doc_id: r.text for r in remove_repeats(df).collect()}
     assert left[1] == texts[1] and left[3] == texts[3] and len(left) == 5
-    assert len(left[4]) < len(passage) / 2 and len(left[2]) < len(texts[2]) - 200
+    assert left[4] == "" and left[5].strip() == "é" and left[2].split() == texts[2].replace(passage, "").split()
     assert repeated_spans(empty).count() == 0
     kept = remove_repeats(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def _long_repeats(texts, least):
+    """By brute force: the words of each text that stand, in a window of ``least`` words, in an earlier text or place."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w, hit = texts[i].split(), set()
+        for k in range(len(w) - least + 1):
+            window = tuple(w[k : k + least])
+            if window in seen:
+                hit.update(range(k, k + least))
+            seen.add(window)
+        out[i] = hit
+    return out
+
+
+def test_spans_against_all_windows(spark):
+    """Passages of 51 words and more between unlike words: 0.95 of their words covered; nothing outside found."""
+    from pluvio.llm.substring import CHUNK_WORDS, MIN_WORDS, remove_repeats, repeated_spans
+
+    rng = np.random.default_rng(61)
+    words = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n)]
+    passages = [words(rng.integers(51, 80)) for _ in range(40)]
+    white = [" ", "\n", "  ", "\t"]
+    texts = {}
+    for i in range(160):
+        parts = [w + str(rng.choice(white)) for w in words(rng.integers(0, 40))]
+        for p in rng.choice(40, rng.integers(0, 3), replace=False):  # passages are alike in white space too
+            parts += [" ".join(passages[p]) + str(rng.choice(white)), *(w + str(rng.choice(white)) for w in words(rng.integers(1, 40)))]
+        texts[i] = "".join(parts)
+    texts |= {500: " ".join(passages[0]) + " " + " ".join(passages[0]), 501: " ".join(passages[0][:9]), 502: "é" * 400, 503: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    wanted, allowed = _long_repeats(texts, 50), _long_repeats(texts, CHUNK_WORDS)
+    covered, spans = defaultdict(set), repeated_spans(df).collect()
+    for r in spans:
+        data = texts[r.doc_id].encode()
+        first = len(data[: r.start].split())
+        assert r.n_words == len(data[r.start : r.start + r.length].split()) >= MIN_WORDS
+        if not r.kept:
+            covered[r.doc_id].update(range(first, first + r.n_words))
+    total = sum(map(len, wanted.values()))
+    share = sum(len(wanted[i] & covered[i]) for i in texts) / total
+    print(f"covered {share:.4f} of {total} words")
+    assert total > 3000 and share >= 0.95
+    extra = sum(len(covered[i] - allowed[i]) for i in texts)
+    assert extra <= 0.001 * total  # an equal word by chance beside a passage
+    # no word goes that the corpus does not hold elsewhere; rows without repeats stay as they are
+    left = {r.doc_id: r.text for r in remove_repeats(df).collect()}
+    for i in texts:
+        assert left[i].split() == [w for k, w in enumerate(texts[i].split()) if k not in covered[i]]
+    held = set(" ".join(left.values()).split())
+    assert held == set(" ".join(texts.values()).split())
+
+
+@pytest.mark.parametrize("own,ref,behind,result", [
+    (b"a b  c ", b"x b c ", False, (2, 5, 4)), (b"", b"a", True, (0, 0, 0)), (b"a b", b"a b c", True, (2, 3, 4)),
+    (b"aa a\n", b"a a ", False, (1, 2, 2)), (b" x y", b"x z", True, (1, 3, 2)),
+])
+def test_words_in_common(own, ref, behind, result):
+    from pluvio.llm.substring import _common
+
+    assert _common(own, ref, behind) == result
+
+
 # -- 8 token counts -----------------------------------------------------------
 def test_token_counts(odd, empty, docs):
     from tokenizers import Tokenizer
