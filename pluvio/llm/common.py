@@ -81,6 +81,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def own_names(*names: str) -> list[str]:
+    """Column names made of ``names`` that no table of a caller has."""
+    mark = uuid.uuid4().hex[:8]
+    return [f"_{mark}_{n}" for n in names]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

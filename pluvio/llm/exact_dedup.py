@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import ASCII_SPACE, shuffle_partitions, whole_text, write_table
+from pluvio.llm.common import ASCII_SPACE, own_names, shuffle_partitions, whole_text, write_table
 
 #: Characters of the normalised text in the range key; splitters stay small whatever the texts are.
 SPLITTER_CHARS = 32
@@ -74,13 +74,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one row of each group.
 
-    Of rows that repeat an identifier and its text, any one stays.
+    Of rows that repeat an identifier and its text, any one stays.  Null texts count as empty, a null
+    identifier as one more identifier, kept only where its group has no other; an empty table stays empty;
+    columns of any names stay as they are.
     """
-    key = ["_key", "_null", "_sha"]  # plain equality: the join's partitions and order serve the last step too
+    key = own_names("key", "null", "sha")  # plain equality: the join's partitions and order serve the last step too
 
     def keyed(df: DataFrame, sha: Column) -> DataFrame:
         i = F.col(id_col)
-        return df.withColumns({"_key": F.coalesce(i.cast("string"), F.lit("")), "_null": i.isNull(), "_sha": sha})
+        return df.withColumns(dict(zip(key, (F.coalesce(i.cast("string"), F.lit("")), i.isNull(), sha), strict=True)))
 
     rows = keyed(docs, F.sha2(normalised(text_col).cast("binary"), 256))
     kept = keyed(exact_groups(docs, id_col, text_col).where("kept"), F.col("text_sha256")).select(*key)

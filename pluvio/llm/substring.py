@@ -14,7 +14,6 @@ the passage does.  A span of at least ``min_words`` words is a repeated passage.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import drop_table, keep, repeated_keys, salted_join, scratch_tables, whole_text, write_table
+from pluvio.llm.common import drop_table, keep, own_names, repeated_keys, salted_join, scratch_tables, whole_text, write_table
 
 #: A word end is a border when this many high bits of the 16-bit gear hash are zero: a chunk has about 2 ** bits words.
 BORDER_BITS = 2
@@ -262,10 +261,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BORD
     them null, empty and short texts and null identifiers, stay as they are.
     """
     spans = repeated_spans(docs, min_words, bits, id_col, text_col).where("NOT kept")
-    # names of our own that no column of docs has
-    mine = f"_{uuid.uuid4().hex[:8]}"
-    cuts = spans.groupBy(F.col("text_key").alias(f"{mine}_key")).agg(
-        F.sort_array(F.collect_set(F.struct("start", "length"))).alias(f"{mine}_cuts")
+    mine_own, mine_key, mine_cuts = own_names("own", "key", "cuts")
+    cuts = spans.groupBy(F.col("text_key").alias(mine_key)).agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias(mine_cuts)
     )
 
     @F.pandas_udf("string")
@@ -279,8 +277,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BORD
 
         return pd.Series([cut(t, c) for t, c in zip(texts, cuts, strict=True)])
 
-    keyed = docs.withColumn(f"{mine}_own", F.when(F.col(id_col).isNotNull(), _text_key(id_col, text_col)))
-    joined = keyed.join(cuts, F.col(f"{mine}_own") == F.col(f"{mine}_key"), "left")
-    found = F.col(f"{mine}_cuts")
+    keyed = docs.withColumn(mine_own, F.when(F.col(id_col).isNotNull(), _text_key(id_col, text_col)))
+    joined = keyed.join(cuts, F.col(mine_own) == F.col(mine_key), "left")
+    found = F.col(mine_cuts)
     changed = joined.where(found.isNotNull()).withColumn(text_col, without(whole_text(text_col), found))
     return changed.select(*docs.columns).unionByName(joined.where(found.isNull()).select(*docs.columns))

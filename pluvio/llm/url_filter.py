@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import write_table
+from pluvio.llm.common import own_names, write_table
 
 _SEP = "\u0001"
 
@@ -120,17 +120,18 @@ def judge_urls(
         F.struct(F.length("rule").alias("n"), F.length("_host").alias("h"), "rule", "verdict").alias("payload"),
     )
     fits = sweep(tries.select("key").distinct(), by_path, "url-paths").where(F.size("stack") > 0)
+    host, path, found = own_names("host", "path", "best")
     best = (
         tries.join(fits.select("key", F.try_element_at("stack", F.lit(-1))["payload"].alias("best")), "key")
-        .groupBy("_host", "_path")
-        .agg(F.max("best").alias("_best"))
+        .groupBy(F.col("_host").alias(host), F.col("_path").alias(path))
+        .agg(F.max("best").alias(found))
     )
     judged = pages.drop("host", "path", "rule", "verdict").withColumns(
         {"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}
     )
-    on = (judged["host"] == best["_host"]) & (judged["path"] == best["_path"])
+    on = (F.col("host") == F.col(host)) & (F.col("path") == F.col(path))
     return (
         judged.join(best, on, "left")
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))})
-        .drop("_host", "_path", "_best")
+        .withColumns({"rule": F.col(f"{found}.rule"), "verdict": F.coalesce(f"{found}.verdict", F.lit(default))})
+        .drop(host, path, found)
     )

@@ -569,6 +569,22 @@ def test_repeated_keys_over_batches(spark):
     assert {r["key"]: r["count"] for r in twice.collect()} == {k: 2 for k in range(300)} | {5000: 4000}
 
 
+# -- clashing names -----------------------------------------------------------
+def test_callers_columns_stay(spark):
+    """Columns named like private ones come back as they were."""
+    from pluvio.llm.exact_dedup import exact_dedup
+    from pluvio.llm.substring import remove_repeats
+    from pluvio.llm.url_filter import judge_urls
+
+    names = ["_key", "_null", "_sha", "_own", "_cuts", "_cut_id", "_host", "_path", "_best", "_salt", "_id", "_text"]
+    rows = [(1, "a b", "http://a.net/x", *names), (2, "a  b", None, *names), (3, None, "http://b.org/fr/", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string, " + ", ".join(f"{n} string" for n in names))
+    rules = spark.createDataFrame([("net/", "block")], "rule string, verdict string")
+    for got, ids in ((exact_dedup(docs), [1, 3]), (remove_repeats(docs), [1, 2, 3]), (judge_urls(docs, rules), [1, 2, 3])):
+        kept = got.select("doc_id", *names).orderBy("doc_id").collect()
+        assert [tuple(r) for r in kept] == [(i, *names) for i in ids]
+
+
 # -- pipeline and registration ------------------------------------------------
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
