@@ -1,9 +1,9 @@
 """Copula log-densities and dependence measures on long tables.
 
 Data are long: one row per (replicate/vector, id/dim) with a uniform ``u``.
-Quadratic forms with a D x D factor use a COO table (i, j, v) of L^-1 (or a
-sparse precision Cholesky) joined on the column index and summed by row, so
-the only per-key state is a handful of numbers.  Small matrix algebra on a
+Quadratic forms with a dense D x D factor gather a key's D values and multiply
+many keys at a time; a sparse precision Cholesky of any size is a COO table
+(i, j, v) joined on the column index and summed by row.  Small matrix algebra on a
 D x D parameter (Cholesky, inverse, determinant) happens on the driver with
 numpy - it is a parameter, not data.
 """
@@ -13,8 +13,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pluvio.functions import dist
 from pluvio.operators.pairs import pair_sums
@@ -69,15 +71,63 @@ def quadratic_form(df: DataFrame, key: list[str], index: str, value: str, coo: D
     return mx.groupBy(*key).agg(F.sum(F.col("_mx") * F.col("_mx")).alias("qf"))
 
 
-def gaussian_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv: DataFrame, log_det_l: float) -> DataFrame:
-    """Gaussian copula log-density per key.
+def _squared_lengths(index: pa.Array, values: pa.Array, factor: np.ndarray, columns: np.ndarray) -> pa.Array:
+    """||M x||^2 of each row's list of (index, value); null where no index is a column of M."""
+    j, x = index.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(index)), np.diff(index.offsets.to_numpy()))
+    at = np.minimum(np.searchsorted(columns, j), len(columns) - 1)
+    known = columns[at] == j
+    dense = np.zeros((len(index), len(columns)))
+    np.add.at(dense, (row[known], at[known]), x[known])
+    finite = np.isfinite(dense).all(axis=1)
+    out = np.full(len(index), np.nan)
+    out[finite] = ((dense[finite] @ factor.T) ** 2).sum(axis=1)
+    with np.errstate(invalid="ignore"):
+        for r in np.flatnonzero(~finite):  # infinity times an entry that M does not have is nothing
+            out[r] = (np.where(factor != 0, factor * dense[r], 0.0).sum(axis=1) ** 2).sum()
+    return pa.array(out, mask=np.bincount(row[known], minlength=len(index)) == 0)
+
+
+def dense_quadratic_form(df: DataFrame, key: list[str], index: str, value: str, coo: DataFrame, sums: list[Column]) -> DataFrame:
+    """``qf`` = ||M x||^2 per key beside the aggregates ``sums`` of the key's rows, for a dense D x D parameter M as COO.
+
+    A key's values are gathered once (D of them), and a task multiplies the
+    vectors of many keys at a time: no row is made per entry of M.  Values at other
+    indices and NULL values do not count; a NULL key or one without any index of M has no row.
+    """
+    entries = coo.select("i", "j", "v").collect()  # the parameter, made on the driver
+    rows, columns = (np.unique([e[k] for e in entries]) for k in (0, 1))
+    factor = np.zeros((len(rows), len(columns)))
+    for i, j, v in entries:
+        factor[np.searchsorted(rows, i), np.searchsorted(columns, j)] += v
+
+    @F.arrow_udf(DoubleType())
+    def squared(index: pa.Array, values: pa.Array) -> pa.Array:
+        return _squared_lengths(index, values, factor, columns)
+
+    x = df.withColumn("_j", F.col(index).cast("long")).withColumn("_x", F.col(value).cast("double"))
+    entry = F.when(F.col("_x").isNotNull() & F.col("_j").isNotNull(), F.struct("_j", "_x"))
+    found = x.groupBy(*key).agg(
+        F.collect_list(entry).alias("_v"), F.count_if(F.col("_j").isin(columns.tolist())).alias("_known"), *sums
+    )
+    keep = [c for c in found.columns if c not in ("_v", "_known")]
+    for k in key:
+        found = found.where(F.col(k).isNotNull())
+    return found.where("_known > 0").select(*keep, squared(F.col("_v._j"), F.col("_v._x")).alias("qf"))
+
 
-    log c = -sum ln L_ii - 1/2 (||L^-1 z||^2 - ||z||^2), z = Phi^-1(u).
+def gaussian_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv: DataFrame, log_det_l: float,
+                         extra: list[Column] | None = None) -> DataFrame:
+    """Gaussian copula log-density per key (C2), for a factor of D x D numbers.
+
+    log c = -sum ln L_ii - 1/2 (||L^-1 z||^2 - ||z||^2), z = Phi^-1(u).  ``extra``
+    aggregates (e.g. the margins' log-likelihood) are computed in the same pass.
     """
     z = normal_scores(df, u, "z")
-    qf = quadratic_form(z, key, index, "z", linv)
-    zz = z.groupBy(*key).agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
-    return qf.join(zz, key).select(*key, (F.lit(-log_det_l) - 0.5 * (F.col("qf") - F.col("zz"))).alias("log_c"))
+    zz = F.sum(F.col("z") * F.col("z")).alias("_zz")
+    qf = dense_quadratic_form(z, key, index, "z", linv, [zz, *(extra or [])])
+    keep = [c for c in qf.columns if c not in (*key, "_zz", "qf")]
+    return qf.select(*key, (F.lit(-log_det_l) - 0.5 * (F.col("qf") - F.col("_zz"))).alias("log_c"), *keep)
 
 
 def _ar1_pairs(z: Column, z_next: Column, rho: float) -> tuple[list[Column], Column]:
@@ -200,11 +250,10 @@ def t_copula_logc(df: DataFrame, key: list[str], index: str, u: str, linv: DataF
     - (nu+D)/2 ln(1 + ||L^-1 x||^2 / nu).  Gamma constants are folded here.
     """
     x = df.withColumn("x", dist.t_ppf(F.col(u), nu) if nu in (1, 2, 3) else dist.t_ppf_real(F.col(u), nu))
-    qf = quadratic_form(x, key, index, "x", linv)
-    marg = x.groupBy(*key).agg(F.sum(dist.t_logpdf(F.col("x"), nu)).alias("lm"))
+    qf = dense_quadratic_form(x, key, index, "x", linv, [F.sum(dist.t_logpdf(F.col("x"), nu)).alias("_lm")])
     const = math.lgamma((nu + d) / 2) - math.lgamma(nu / 2) - d / 2 * math.log(nu * math.pi) - log_det_l
     joint = F.lit(const) - (nu + d) / 2.0 * F.log1p(F.col("qf") / nu)
-    return qf.join(marg, key).select(*key, (joint - F.col("lm")).alias("log_c"))
+    return qf.select(*key, (joint - F.col("_lm")).alias("log_c"))
 
 
 # ---------------------------------------------------------------------------
