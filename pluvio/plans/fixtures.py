@@ -133,8 +133,11 @@ class Fixtures:
     # -- vectors ---------------------------------------------------------------
     @_shared
     def vectors(self) -> DataFrame:
-        """(vec_id, dim, x) long margins, one row per embedding entry."""
-        e = self.table("embeddings")
+        """(vec_id, dim, x) long margins, one row per embedding entry.
+
+        The vectors are dealt out before they become long: a file of one row group is read by one task.
+        """
+        e = self.table("embeddings").select("vec_id", "embedding").repartition("vec_id")
         return e.select("vec_id", F.posexplode("embedding").alias("dim", "x")).select(
             "vec_id", (F.col("dim") + 1).cast("int").alias("dim"), F.col("x").cast("double").alias("x")
         )

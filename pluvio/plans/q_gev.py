@@ -599,13 +599,13 @@ def joint_density(spark, sf):
     """Gaussian copula with fitted normal margins: log c + sum log f."""
     fx = Fixtures(spark, sf)
     v = fx.vectors()
-    m = profile.mean_sd(v, ["dim"], "x")
-    mv = v.join(m, "dim").withColumn("zs", (F.col("x") - F.col("mean")) / F.col("sd"))
+    m = profile.mean_sd(v, ["dim"], "x")  # one row per entry of a vector: broadcast
+    mv = v.join(F.broadcast(m), "dim").withColumn("zs", (F.col("x") - F.col("mean")) / F.col("sd"))
     mv = mv.withColumn("u", dist.norm_cdf("zs"))
     linv, ld = copula.cholesky_inverse_coo(spark, copula.equicorrelation(DIMS, GAUSS_RHO))
-    lc = copula.gaussian_copula_logc(mv, ["vec_id"], "dim", "u", linv, ld)
-    lm = mv.groupBy("vec_id").agg(F.sum(dist.norm_logpdf("zs") - F.log("sd")).alias("log_margins"))
-    return lc.join(lm, "vec_id").select(
+    margins = F.sum(dist.norm_logpdf("zs") - F.log("sd")).alias("log_margins")
+    joint = copula.gaussian_copula_logc(mv, ["vec_id"], "dim", "u", linv, ld, [margins])
+    return joint.select(
         "vec_id", F.round("log_c", 6).alias("log_c"), F.round("log_margins", 6).alias("log_margins"),
         F.round(F.col("log_c") + F.col("log_margins"), 6).alias("log_joint"),
     )
@@ -623,8 +623,8 @@ def joint_density(spark, sf):
 )
 def marginal_chain(spark, sf):
     v = Fixtures(spark, sf).vectors()
-    m = profile.mean_sd(v, ["dim"], "x")
-    u = v.join(m, "dim").withColumn("u", dist.norm_cdf((F.col("x") - F.col("mean")) / F.col("sd")))
+    m = profile.mean_sd(v, ["dim"], "x")  # one row per entry of a vector: broadcast
+    u = v.join(F.broadcast(m), "dim").withColumn("u", dist.norm_cdf((F.col("x") - F.col("mean")) / F.col("sd")))
     return u.select(
         "vec_id", "dim", F.round("u", 9).alias("u"), F.round(dist.exp_ppf("u", 2.0), 9).alias("y_exp"),
         F.round(dist.gev_quantile(F.col("u"), 0.0, 1.0, 0.1), 9).alias("y_gev"),

@@ -56,3 +56,38 @@ def test_t_copula_tends_to_gaussian(spark):
     t = {r.rep: r.log_c for r in copula.t_copula_logc(u, ["rep"], "id", "u", linv, ld, 400, 4).collect()}
     for k in g:
         assert abs(g[k] - t[k]) < 0.02
+
+
+def test_dense_quadratic_form_equals_the_join_by_entries(spark):
+    rows = [(1, 1, 0.5), (1, 2, -1.0), (1, 4, 2.0), (2, 3, 1.5), (2, 3, 0.25), (2, 9, 7.0), (3, 1, None), (4, 8, 1.0),
+            (5, 2, float("inf")), (6, None, 1.0), (6, 1, 3.0)]
+    df = spark.createDataFrame(rows, "rep int, id int, x double")
+    linv, _ = copula.cholesky_inverse_coo(spark, copula.ar1_correlation(4, 0.45))
+    want = {r.rep: r.qf for r in copula.quadratic_form(df, ["rep"], "id", "x", linv).collect()}
+    dense = copula.dense_quadratic_form(df, ["rep"], "id", "x", linv, [F.count("x").alias("n")])
+    got = {r.rep: r.qf for r in dense.collect()}
+    assert got.keys() == want.keys() == {1, 2, 3, 5, 6} and got[3] is want[3] is None and got[5] == want[5]
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in (1, 2, 6))
+
+
+def test_copulas_make_no_row_per_entry_of_the_factor(spark):
+    u = _u(spark).unionByName(spark.createDataFrame([(None, 1, 0.4)], "rep int, id int, u double"))
+    linv, ld = copula.cholesky_inverse_coo(spark, copula.ar1_correlation(4, 0.45))
+    for c in (copula.gaussian_copula_logc(u, ["rep"], "id", "u", linv, ld), copula.t_copula_logc(u, ["rep"], "id", "u", linv, ld, 5, 4)):
+        assert "Join" not in c._jdf.queryExecution().executedPlan().toString()
+        assert {r.rep for r in c.collect()} == {0, 1}  # a null key has no row
+
+
+def test_vectors_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from pluvio.plans.fixtures import Fixtures
+
+    e = spark.range(64).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.col("id") / 64.0).cast("array<float>").alias("embedding"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = Fixtures(spark, str(tmp_path)).vectors()
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        assert v.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set(setting, "true")
+    assert v.count() == 128
