@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions import dist
@@ -48,19 +48,29 @@ def gram_by_site(pairs: DataFrame, site: str, t: str, type_col: str, y: str, x:
     ``pairs`` holds (site, t, type, y, x): one row per site, time and
     neighbour type.  Returns long rows (site, a, b, v) with v = sum_t x_a x_b
     for neighbour types a, b, plus rows (site, a, '_y', sum_t x_a y) and
-    (site, '_y', '_y', sum_t y^2), and n = T per site.  The self-join is per
-    (site, t), so it is bounded by the number of neighbours squared.
+    (site, '_y', '_y', sum_t y^2), and n = T per site.  Rows go to tasks by
+    site once; a (site, t) cell's list holds its neighbours, and its products are
+    summed by site where they are made.
     """
-    p = pairs.select(site, t, type_col, y, x)
-    a = p.select(site, t, F.col(type_col).alias("a"), F.col(x).alias("xa"), F.col(y).alias("yy"))
-    b = p.select(site, t, F.col(type_col).alias("b"), F.col(x).alias("xb"))
-    xx = a.join(b, [site, t]).groupBy(site, "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("v"))
-    xy = a.groupBy(site, "a").agg(F.sum(F.col("xa") * F.col("yy")).alias("v")).withColumn("b", F.lit("_y"))
-    yrow = p.select(site, t, y).distinct()
-    yy = yrow.groupBy(site).agg(F.sum(F.col(y) * F.col(y)).alias("v"), F.count(F.lit(1)).alias("n"))
-    n = yy.select(site, "n")
-    yy = yy.select(site, F.lit("_y").alias("a"), F.lit("_y").alias("b"), "v")
-    return xx.unionByName(xy.select(site, "a", "b", "v")).unionByName(yy).join(n, site)
+    entry = F.struct(F.col(type_col).alias("a"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = pairs.where(F.col(site).isNotNull()).select(site, t, type_col, y, x).repartition(site).groupBy(site, t).agg(
+        F.collect_list(entry).alias("_e"), F.collect_set(F.struct((F.col(y).cast("double") + 0.0).alias("y"))).alias("_s")
+    )
+
+    def product(a, b, v):
+        return F.struct(a.alias("a"), b.alias("b"), v.alias("v"))
+
+    e, end = F.col("_e"), F.lit("_y")
+    xx = F.flatten(F.transform(e, lambda l: F.transform(e, lambda r: product(l["a"], r["a"], l["x"] * r["x"]))))
+    xy = F.transform(e, lambda l: product(l["a"], end, l["x"] * l["y"]))
+    yy = F.transform(F.col("_s"), lambda s: product(end, end, s["y"] * s["y"]))
+    # a NULL time has no partner
+    xx = F.when(F.col(t).isNotNull(), xx).otherwise(F.slice(xy, 1, 0))
+    sums = cells.select(site, F.inline(F.concat(xx, xy, yy))).groupBy(site, "a", "b").agg(
+        F.sum("v").alias("v"), F.count(F.lit(1)).alias("_n")
+    )
+    n = F.max(F.when((F.col("a") == "_y") & (F.col("b") == "_y"), F.col("_n"))).over(Window.partitionBy(site))
+    return sums.withColumn("n", n).select(site, "a", "b", "v", "n")
 
 
 def _half_step(a: float) -> float:

@@ -211,9 +211,14 @@ def ols_texts(spark, sf):
 def _complete_neighbours(spark, sf):
     """The rows of the neighbours present in all months of a station, and their Gram tables."""
     fx = Fixtures(spark, sf)
-    pairs = fx.edges().join(_vals(fx).select("station", "month", F.col("v").alias("y")), "station").join(
-        _vals(fx).select(F.col("station").alias("neighbor"), "month", F.col("v").alias("x")), ["neighbor", "month"], "left"
-    )
+    # a station's months are one list: an edge carries its neighbour's list, and everything after is by station
+    vals = _vals(fx).where(F.col("station").isNotNull())
+    y = vals.groupBy("station").agg(F.collect_list(F.struct("month", F.col("v").alias("y"))).alias("_y"))
+    entry = F.when(F.col("month").isNotNull(), F.struct("month", "v"))
+    x = vals.groupBy(F.col("station").alias("neighbor")).agg(F.map_from_entries(F.collect_list(entry)).alias("_x"))
+    sides = fx.edges().join(x, "neighbor", "left").join(y, "station").repartition("station")
+    months = F.transform("_y", lambda e: F.struct(e["month"].alias("month"), e["y"].alias("y"), F.try_element_at("_x", e["month"]).alias("x")))
+    pairs = sides.select("station", "neighbor", "type", F.inline(months))
     complete = shape.filter_finite(shape.drop_incomplete_groups(pairs, ["station", "type"], "x"), ["x", "y"])
     gram = regress.gram_by_site(complete, "station", "month", "type", "y", "x")
     return complete, gram
@@ -241,10 +246,20 @@ def site_regressions(spark, sf):
     months; the certificate of a fit is that each neighbour's product with the residuals is zero."""
     complete, gram = _complete_neighbours(spark, sf)
     fit = regress.site_regressions(gram, "station").select("station", F.col("term").alias("type"), "n", "estimate")
-    terms = complete.join(fit, ["station", "type"])
-    resid = terms.groupBy("station", "month").agg((F.first("y") - F.sum(F.col("estimate") * F.col("x"))).alias("_r"))
-    return terms.join(resid, ["station", "month"]).groupBy("station", F.col("type").alias("term"), "n").agg(
-        (F.round(F.sum(F.col("x") * F.col("_r")), 6) + F.lit(0.0)).alias("normal_equation")
+    fits = fit.groupBy("station").agg(F.map_from_entries(F.collect_list(F.struct("type", F.struct("n", "estimate")))).alias("_fit"))
+    cells = complete.repartition("station").groupBy("station", "month").agg(
+        F.first("y").alias("y"), F.collect_list(F.struct("type", "x")).alias("_x")
+    ).join(fits, "station")
+
+    def fitted(e):
+        return F.try_element_at("_fit", e["type"])
+
+    resid = F.col("y") - F.aggregate("_x", F.lit(0.0), lambda s, e: s + fitted(e)["estimate"] * e["x"])
+    terms = F.flatten(F.transform(F.array(resid), lambda r: F.transform(
+        "_x", lambda e: F.struct(e["type"].alias("term"), fitted(e)["n"].alias("n"), (e["x"] * r).alias("v"))
+    )))
+    return cells.select("station", F.inline(terms)).groupBy("station", "term", "n").agg(
+        (F.round(F.sum("v"), 6) + F.lit(0.0)).alias("normal_equation")
     )
 
 

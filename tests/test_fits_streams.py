@@ -90,6 +90,22 @@ def test_site_regression_recovers_coefficients(spark):
     assert abs(est["a"] - 0.6) < 1e-9 and abs(est["b"] + 0.25) < 1e-9
 
 
+def test_gram_by_site_sums_all_pairs_of_a_cell(spark):
+    rows = [(1, 1, "a", 2.0, 3.0), (1, 1, "b", 2.0, 5.0), (1, 1, "b", 2.0, 5.0), (1, 2, "a", -1.0, None), (1, 2, "b", -1.0, 4.0),
+            (1, None, "a", 7.0, 1.0), (2, 1, "a", None, 2.0), (None, 1, "a", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "station bigint, t int, type string, y double, x double")
+    got = {(r.station, r.a, r.b): (r.v, r.n) for r in regress.gram_by_site(df, "station", "t", "type", "y", "x").collect()}
+    want = {(1, "a", "a"): 9.0, (1, "a", "b"): 30.0, (1, "b", "a"): 30.0, (1, "b", "b"): 100.0 + 16.0, (1, "a", "_y"): 6.0 + 7.0,
+            (1, "b", "_y"): 20.0 - 4.0, (1, "_y", "_y"): 4.0 + 1.0 + 49.0, (2, "a", "a"): 4.0, (2, "a", "_y"): None, (2, "_y", "_y"): None}
+    assert got == {k: (v, 3 if k[0] == 1 else 1) for k, v in want.items()}
+
+
+def test_gram_of_rows_dealt_by_site_moves_no_row(spark):
+    df = spark.createDataFrame([(1, 1, "a", 1.0, 2.0)], "station bigint, t int, type string, y double, x double").repartition("station")
+    gram = regress.gram_by_site(df, "station", "t", "type", "y", "x")
+    assert gram._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # the caller's own
+
+
 def test_stream_equals_batch(spark):
     from pluvio.streaming.blockmax import stream_block_maxima
 
