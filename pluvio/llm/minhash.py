@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.llm.common import components, keep, repeated_keys, salted_join, scratch_tables, write_table
-from pluvio.llm.ngram_join import Shingler, family_links, near_sizes, set_table, verified_pairs
+from pluvio.llm.ngram_join import Shingler, family_links, few_verified_pairs, near_sizes, set_table, verified_pairs
 
 #: Coordinates of a band.
 BAND_ROWS = 6
@@ -237,7 +237,7 @@ def _links(texts: DataFrame, shared: DataFrame, shingle_words: int, num: int, de
         .where(near_sizes("l.size", "r.size", num, den))
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     )
-    more, _ = write_table(verified_pairs(pairs, sets, num, den), "minhash-links")
+    more, _ = write_table(few_verified_pairs(pairs, sets, num, den, "minhash"), "minhash-links")
     wide, _ = write_table(family_links(here.where(F.col("n") > HOT), sets, num, den), "minhash-links")
     return links.unionByName(more).unionByName(wide)
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import components, drop_table, keep, repeated_keys, salted_join, scratch_tables, write_table
+from pluvio.llm.common import components, drop_table, keep, maybe_among, repeated_keys, salted_join, scratch_tables, write_table
 
 #: Sets that share an entry before it counts as hot.
 HOT = 16
@@ -303,7 +303,7 @@ def _links(texts: DataFrame, shared: DataFrame, shared_path: str, shingle_words:
         .where("shared >= need")
         .select("a", "b").distinct()
     )
-    more, _ = write_table(verified_pairs(pairs, sets, num, den), "jaccard-links")
+    more, _ = write_table(few_verified_pairs(pairs, sets, num, den, "jaccard"), "jaccard-links")
     wide, _ = write_table(family_links(here.where(F.col("n") > HOT), sets, num, den), "jaccard-links")
     return links.unionByName(more).unionByName(wide)
 
@@ -339,7 +339,7 @@ def family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     sent = meets.select(
         "family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "c"
     )
-    return sent.join(sets, "id").groupBy("family", "i", "j").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
+    return sent.join(maybe_among(sets, "id", own.select("id")), "id").groupBy("family", "i", "j").applyInArrow(lambda t: _block_links(t, num, den), "a long, b long")
 
 
 def _block_links(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -382,8 +382,8 @@ def near_sizes(a: str, b: str, num: int, den: int):
 
 
 def set_table(texts: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
-    """The shingle sets of the texts that share an entry with another."""
-    wanted = texts.join(ids, texts["_id"] == ids["id"], "left_semi")
+    """The shingle sets of the texts that share an entry with another, and of a few others; no text is shuffled."""
+    wanted = maybe_among(texts, "_id", ids)
     return write_table(wanted.mapInArrow(lambda it: _sets(it, shingle_words), "id long, set binary"), "jaccard-shingles")[0]
 
 
@@ -394,6 +394,13 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return both.mapInArrow(lambda it: _verified(it, num, den), "a long, b long")
 
 
+def few_verified_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """``verified_pairs`` of pairs that hold few of the sets: the others are not sent."""
+    known, _ = write_table(pairs, f"{name}-pairs")
+    ids = known.select(F.explode(F.array("a", "b")).alias("id"))
+    return verified_pairs(known, maybe_among(sets, "id", ids), num, den)
+
+
 def near_dedup(
     docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -289,3 +289,52 @@ def test_repeats_are_cut_from_their_own_rows_only(spark):
     assert remove_repeats(df).columns == df.columns and len(got) == 5
     assert [got[k].text for k in (1, 2, 4, 5)] == [rows[0][1], clean, passage, None]
     assert got[3].text.startswith(again[:200]) and len(got[3].text) < len(rows[2][1]) - 120
+
+
+# -- what is sent and held --------------------------------------------------------
+def test_bitmap_keeps_all_keys_and_few_others(spark):
+    from pluvio.llm.common import maybe_among
+
+    rows = spark.range(100_000).selectExpr("IF(id % 10 = 3, NULL, id) AS k", "id AS v")
+    keys = spark.range(0, 100_000, 1000).selectExpr("id - 1 AS id").union(spark.sql("SELECT CAST(NULL AS bigint)"))
+    got = maybe_among(rows, "k", keys.union(keys)).collect()
+    assert all(r.asDict() == {"k": r.v, "v": r.v} for r in got) and len({r.v for r in got}) == len(got)
+    assert set(range(999, 99_000, 1000)) <= {r.k for r in got} and len(got) < 150
+    crowded = {r.k for r in maybe_among(rows, "k", keys, words=1).collect()}
+    assert {r.k for r in got if r.k % 1000 == 999} <= crowded  # a full bitmap loses nothing
+    assert maybe_among(rows, "k", keys.limit(0)).count() == 0
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark, monkeypatch):
+    from pluvio.llm import ngram_join
+
+    plans = []
+    monkeypatch.setattr(ngram_join, "write_table", lambda df, name: plans.append(df) or (df, ""))
+    rows = spark.range(1000).selectExpr("id AS _id", "repeat(concat('word', id, ' '), 20) AS _text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id for r in ngram_join.set_table(rows, spark.range(0, 1000, 100).distinct(), 3).collect()}
+        text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(range(0, 1000, 100)) <= got and len(got) < 50
+    assert "SortMergeJoin" not in text and "_text" not in "".join(x for x in text.split("\n") if "Exchange" in x)
+
+
+def test_batches_of_written_tables_are_bounded(spark):
+    import pyarrow as pa
+
+    from pluvio.llm.common import drop_table, write_table
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 9000, numPartitions=1).selectExpr("array_repeat('abcde', 430) AS w")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    table, path = write_table(rows.mapInArrow(sizes, "n long, size long"), "sizes")
+    got = table.collect()
+    drop_table(spark, path)
+    assert sum(r.n for r in got) == 9000 and max(r["size"] for r in got) <= 10 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == kept
