@@ -29,7 +29,7 @@ CACHED_WORDS = 400_000
 #: Words joined by a special token's string into one text for the library.
 JOINED_WORDS = 4_000
 #: Words handled at once, which bounds a task's memory whatever the batch holds.
-SLICE_WORDS = 1_000_000
+SLICE_WORDS = 250_000
 
 _LOADED: dict[str, WordEncoder] = {}
 

@@ -338,3 +338,14 @@ def test_batches_of_written_tables_are_bounded(spark):
     drop_table(spark, path)
     assert sum(r.n for r in got) == 9000 and max(r["size"] for r in got) <= 10 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == kept
+
+
+def test_words_are_handled_in_small_slices():
+    import pyarrow as pa
+
+    from pluvio.llm.tokenize import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([["a"] * 10_000] * 99 + [["b"] * 300_000])], ["_id", "_words"])
+    parts = list(slices(batch, "_words"))
+    assert [i for p in parts for i in p.column("_id").to_pylist()] == list(range(100))
+    assert all(p.num_rows == 1 or len(p.column("_words").flatten()) <= 250_000 for p in parts)
