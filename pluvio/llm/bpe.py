@@ -126,7 +126,7 @@ class RankEncoder(WordEncoder):
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
         self.width = np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        self.forget()
         self.packed = {k: v.to_bytes(4, "little") for k, v in self.ranks.items()}
 
     def encode_words(self, words: list[str]) -> Iterator[bytes]:

@@ -13,9 +13,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,26 @@ def drop_table(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def freed(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The generator ``task`` of a Python task, at whose end the worker's unused memory goes back to the system.
+
+    Spark keeps idle workers for later tasks, more of them than an executor has cores after a stage with two Python
+    steps; what they would keep of one stage stays beside the JVM in all later ones.
+    """
+
+    @wraps(task)
+    def run(*args, **named):
+        try:
+            yield from task(*args, **named)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return run
+
+
 def own_names(*names: str) -> list[str]:
     """Column names made of ``names`` that no table of a caller has."""
     mark = uuid.uuid4().hex[:8]
@@ -131,6 +153,7 @@ def whole_text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+@freed
 def _repeats(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of key-sorted batches whose key equals a neighbour's, and the task's first and last
     run, which may go on in the neighbouring task.  Holds back one row between batches."""

@@ -17,15 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import write_table
+from pluvio.llm.common import freed, write_table
 from pluvio.llm.tokenize import encoded, special_strings, word_columns
 
 _STREAM = "doc_id long, ids binary, doc_tokens long, part int, before long"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Ids held in one output batch of pieces.
-_BATCH_IDS = 2_000_000
+_BATCH_IDS = 500_000
 
 
+@freed
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     part, before = TaskContext.get().partitionId(), 0
     for keys, texts, width in encoded(batches, path):
@@ -40,6 +41,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         )
 
 
+@freed
 def _cut(batches: Iterator[pa.RecordBatch], window: int, width: str) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     kinds = [pa.int64()] * 6 + [pa.binary()]

@@ -271,6 +271,31 @@ def test_concatenate_and_cut(odd, empty, docs):
     assert pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_word_encoder_against_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from pluvio.llm import tokenize
+
+    path = P.path("byte_bpe_50k.json")
+    lib, coder = Tokenizer.from_file(path), tokenize.WordEncoder.of(path)
+    signs = [chr(c) for c in range(0x300)]
+    words = [*signs, *(" " + c * 3 for c in signs if c.isalpha()), *(f"a{c}e" for c in signs if c.isalpha()), " 日本語", "日本", "…!?", " therenation", "  ", "\n\n", "😀", "'s"]
+    texts = [words[i : i + 7] for i in range(0, len(words), 5)] + [[], ["the"] * 9]
+    monkeypatch.setattr(tokenize, "CODED_WORDS", 9)
+    monkeypatch.setattr(tokenize, "CACHED_WORDS", 300)
+    columns = [pa.array(range(len(texts) + 1)), pa.array([*texts, None], pa.list_(pa.string())), pa.array([None] * len(texts) + ["x <|endoftext|>"])]
+    batch = pa.RecordBatch.from_arrays(columns, ["_id", "_words", "_whole"])
+    plain = lambda t: lib.encode(t, add_special_tokens=False).ids
+    seen, most = {}, 0
+    for keys, ids, width in tokenize.encoded((batch.slice(i, 6) for i in range(0, batch.num_rows, 6)), path):
+        seen |= {k: np.frombuffer(x, width).tolist() for k, x in zip(keys, ids, strict=True)}
+        most = max(most, len(coder.known))
+    assert seen == {i: [x for w in t for x in plain(w)] for i, t in enumerate(texts)} | {len(texts): plain("x <|endoftext|>")}
+    # known words are Arrow arrays, and none stays in the idle worker behind a task
+    assert isinstance(coder.known, pa.StringArray) and 0 < most < 400 and len(coder.known) == len(coder.coded) == 0
+
+
 def test_best_fit_decreasing_brute_force():
     from pluvio.llm.token_matrix import best_fit_decreasing
 
