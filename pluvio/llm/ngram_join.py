@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import components, drop_table, keep, maybe_among, repeated_keys, salted_join, scratch_tables, write_table
+from pluvio.llm.common import components, drop_table, freed, keep, maybe_among, repeated_keys, salted_join, scratch_tables, write_table
 
 #: Sets that share an entry before it counts as hot.
 HOT = 16
@@ -136,8 +136,11 @@ def entries(shingles: np.ndarray, band: int, num: int, den: int) -> tuple[np.nda
 #: Index rows have entry and meta (size, band and allocation of the segment); one set row per text has size and digest.
 _INDEX = "id long, meta long, entry long, size long, digest binary"
 _META_BAND, _META_SIZE = 2, 1 << 12
+#: Index rows in one output batch.
+BATCH_ENTRIES = 200_000
 
 
+@freed
 def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(n)
     names = ["id", "meta", "entry", "size", "digest"]
@@ -173,7 +176,7 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Ite
                 metas.append(len(s) * _META_SIZE + band * _META_BAND + twice)
                 found.append(e)
                 held += len(e)
-            if held > 1_000_000:
+            if held > BATCH_ENTRIES:
                 yield rows()
                 ids, metas, found, held = [], [], [], 0
         if held:
@@ -187,6 +190,7 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Ite
             )
 
 
+@freed
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(n)
     for batch in batches:
@@ -196,6 +200,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([rows.column("_id"), pa.array(sets, pa.binary())], ["id", "set"])
 
 
+@freed
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import whole_text
+from pluvio.llm.common import freed, whole_text
 
 #: Texts the cost and selectivity estimate looks at, at most.
 SAMPLE_TEXTS = 400
@@ -157,6 +158,7 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "tex
 _MEASURED = "_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
+@freed
 def _judge(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for batch in batches:
@@ -189,7 +191,12 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_
     ordered = cascade_order(docs, rules, text_col)
 
     @F.pandas_udf("boolean")
-    def keeps(texts):
-        return texts.map(lambda t: not any(r.rejects(m) for m in (Measures(t),) for r in ordered)).astype(bool)
+    def keeps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return verdicts(batches)
+
+    @freed
+    def verdicts(batches):
+        for texts in batches:
+            yield texts.map(lambda t: not any(r.rejects(m) for m in (Measures(t),) for r in ordered)).astype(bool)
 
     return docs.where(keeps(whole_text(text_col)))

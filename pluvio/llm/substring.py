@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import drop_table, keep, own_names, repeated_keys, salted_join, scratch_tables, whole_text, write_table
+from pluvio.llm.common import drop_table, freed, keep, own_names, repeated_keys, salted_join, scratch_tables, whole_text, write_table
 
 #: A word end is a border when this many high bits of the 16-bit gear hash are zero: a chunk has about 2 ** bits words.
 BORDER_BITS = 2
@@ -71,6 +71,7 @@ def chunks_of(data: np.ndarray, bits: int = BORDER_BITS) -> tuple[np.ndarray, np
 _CHUNKS = "id long, text_key long, start long, size int, word int, words int, d1 long, d2 int"
 
 
+@freed
 def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "text_key", "start", "size", "word", "words", "d1", "d2"]
     for batch in batches:
@@ -171,6 +172,7 @@ def _merged(spans: DataFrame) -> DataFrame:
     )
 
 
+@freed
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text and asked place, the bytes of up to ``EDGE_WORDS`` whole words before or behind it."""
     for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvio.llm.common import whole_text
+from pluvio.llm.common import freed, whole_text
 from pluvio.llm.tokenize import encoded, special_strings, word_columns
 
 #: Bytes of text a shard is planned for; their ids are about half as many bytes.
@@ -83,6 +83,7 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
     return rows
 
 
+@freed
 def _split(batches: Iterator[pa.RecordBatch], path: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
     for keys, texts, kind in encoded(batches, path):
         end, step = np.array([end_id], kind).tobytes(), width * kind.itemsize

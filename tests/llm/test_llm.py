@@ -610,6 +610,42 @@ def test_callers_columns_stay(spark):
         assert [tuple(r) for r in kept] == [(i, *names) for i in ids]
 
 
+def test_index_batches_are_bounded():
+    import pyarrow as pa
+
+    from pluvio.llm import ngram_join
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(4000)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["_id", "_text"])
+    got = list(ngram_join._index(iter([batch]), 5, 80, 100))
+    one = max(b.num_rows for b in ngram_join._index(iter([batch.slice(0, 1)]), 5, 80, 100))
+    assert sum(b.num_rows for b in got) > 2 * ngram_join.BATCH_ENTRIES
+    assert max(b.num_rows for b in got) <= 200_000 + one
+    assert sum(b.column("size").is_valid().to_numpy(zero_copy_only=False).sum() for b in got) == 60
+
+
+def test_memory_goes_back_after_a_task():
+    from pathlib import Path
+
+    from pluvio.llm.common import freed
+
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4 // 1024
+
+    @freed
+    def task(n):
+        kept = [np.full(2000, i) for i in range(n)]  # blocks under malloc's threshold: a plain free keeps them
+        yield len(kept)
+        tail.append(np.full(2000, 1))  # and one above them that stays
+
+    tail = []
+    before = held()
+    assert list(task(10_000)) == [10_000]
+    assert held() - before < 60  # of 160 MB
+    half = task(10)
+    assert next(half) == 10
+    half.close()
+
+
 # -- pipeline and registration ------------------------------------------------
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
