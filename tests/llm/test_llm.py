@@ -615,13 +615,13 @@ def test_index_batches_are_bounded():
 
     from pluvio.llm import ngram_join
 
-    texts = [" ".join(f"w{i}x{k}" for k in range(4000)) for i in range(60)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["_id", "_text"])
+    texts = [" ".join(f"w{i}x{k}" for k in range(4000)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts)], ["_id", "_text"])
     got = list(ngram_join._index(iter([batch]), 5, 80, 100))
     one = max(b.num_rows for b in ngram_join._index(iter([batch.slice(0, 1)]), 5, 80, 100))
-    assert sum(b.num_rows for b in got) > 2 * ngram_join.BATCH_ENTRIES
+    assert sum(b.num_rows for b in got) > 1_100_000
     assert max(b.num_rows for b in got) <= 200_000 + one
-    assert sum(b.column("size").is_valid().to_numpy(zero_copy_only=False).sum() for b in got) == 60
+    assert sum(b.column("size").is_valid().to_numpy(zero_copy_only=False).sum() for b in got) == 600
 
 
 def test_memory_goes_back_after_a_task():
