@@ -274,7 +274,7 @@ def _links(texts: DataFrame, shared: DataFrame, shared_path: str, shingle_words:
     bands = own.select("band").distinct().withColumn("slack", slack("band"))
     group = Window.partitionBy("id", "band")
     hottest = group.orderBy(F.desc("n"), "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = marked.join(bands, "band").withColumn("lost", F.sum(F.when(F.col("hot"), F.col("weight")).otherwise(0)).over(hottest))
+    ranked = marked.join(F.broadcast(bands), "band").withColumn("lost", F.sum(F.when(F.col("hot"), F.col("weight")).otherwise(0)).over(hottest))
     drop = F.col("hot") & (F.col("lost") <= F.col("slack"))
     # what a linked set still shares with this one at least, after both dropped
     need = F.col("slack") + 1 - F.coalesce(F.max(F.when(drop, F.col("lost"))).over(group), F.lit(0))
@@ -313,14 +313,83 @@ def _links(texts: DataFrame, shared: DataFrame, shared_path: str, shingle_words:
     return links.unionByName(more).unionByName(wide)
 
 
+def family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among the texts that share hot entries.
+
+    Strangers share hot entries too, by what many texts quote, and one of them joins thousands, so the
+    texts meet by shingles: only those of which one of their rarest is the same are compared, pair by pair where
+    a shingle has few texts, else by blocks.
+    """
+    texts, _ = write_table(here.select("id", "c").distinct(), "jaccard-families")
+    rare, rare_path = write_table(rarest_shingles(texts, sets, num, den), "jaccard-rarest")
+    apart = rare.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("id").alias("first"), F.min("c").alias("low"), F.max("c").alias("high")
+    ).where("low < high")
+    met, _ = write_table(rare.join(apart.drop("low", "high"), "shingle"), "jaccard-met")
+    drop_table(texts.sparkSession, rare_path)
+    l, r = met.where(F.col("n") <= HOT).alias("l"), met.where(F.col("n") <= HOT).alias("r")
+    # at the first shingle that two sets share, what follows it in either bounds what they share
+    after = F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place"))
+    pairs = (
+        l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")))
+        .where(near_sizes("l.size", "r.size", num, den))
+        .where((after + 1) * (num + den) >= (F.col("l.size") + F.col("r.size")) * num)
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    )
+    few, _ = write_table(few_verified_pairs(pairs, sets, num, den, "jaccard"), "jaccard-links")
+    return few.unionByName(block_links(met.where(F.col("n") > HOT), sets, num, den))
+
+
+@freed
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "c", "text", "size", "shingle"]
+    for batch in batches:
+        at, ends = 0, np.cumsum([len(s.as_buffer()) // 8 for s in batch.column("set")])
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_ENTRIES, "right")))
+            part = batch.slice(at, upto - at)
+            found = [np.frombuffer(s.as_buffer(), np.int64) for s in part.column("set")]
+            size = np.array([len(f) for f in found])
+            text = np.array([xxhash.xxh3_64_intdigest(f) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(x, size)) for x in (part.column("id").to_numpy(), part.column("c").to_numpy(), text, size)]
+                + [pa.array(np.concatenate(found))],
+                names,
+            )
+            at = upto
+
+
+def rarest_shingles(texts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each of the ``texts`` (id, c) the rarest shingles, as far as a linked text may share none of them before.
+
+    Shingles are ordered by the number of texts that have them, those within one component first.  A set of s shares
+    at least num s / den with any linked one; were the first shared shingle not among the first s - num s / den + 1 of
+    both, too few would be left to share.  Shingles of one component take their places but link nothing, so they are not
+    returned.
+    """
+    chosen = texts.join(maybe_among(sets, "id", texts.select("id")), "id").select("id", "c", "set")
+    every, _ = write_table(chosen.mapInArrow(_exploded, "id long, c long, text long, size long, shingle long"), "jaccard-exploded")
+    spread, _ = write_table(
+        every.groupBy("shingle").agg(F.count("*").alias("held"), F.min("c").alias("low"), F.max("c").alias("high"))
+        .where("low < high").select("shingle", "held"),
+        "jaccard-spread",
+    )
+    common = maybe_among(every, "shingle", spread.select("shingle")).join(spread, "shingle")
+    group = Window.partitionBy("id", "text")
+    place = F.col("size") - F.count("*").over(group) + F.row_number().over(group.orderBy("held", "shingle"))
+    return common.withColumn("place", place).where(F.col("place") <= F.col("size") - F.expr(f"(size * {num} + {den - 1}) div {den}") + 1).select(
+        "shingle", "id", "c", "size", "place"
+    )
+
+
 #: Texts of a family compared at once with as many others.
 BLOCK = 256
 
 
-def family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components among the texts that share hot entries.
+def block_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among the texts that share a shingle of ``here`` (id, c, first: the least id that has it).
 
-    A family is what hot entries connect (copies of one popular text).  The texts outside its
+    A family is what these shingles connect (copies of one popular text).  The texts outside its
     largest component are compared with all of the family, in blocks against blocks, so no pair
     is a row: a text is sent once to every block it has to meet.
     """
@@ -328,7 +397,7 @@ def family_links(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     named = here.select("id", "c").distinct().join(family, F.col("id") == F.col("node"), "left").select(
         "id", "c", F.coalesce("component", "id").alias("family")
     )
-    texts, _ = write_table(named, "jaccard-families")
+    texts, _ = write_table(named, "jaccard-blocks")
     sizes = texts.groupBy("family", "c").count()
     largest = sizes.groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
     plan = largest.where("most < `all`").select(

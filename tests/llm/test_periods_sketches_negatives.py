@@ -349,3 +349,44 @@ def test_words_are_handled_in_small_slices():
     parts = list(slices(batch, "_words"))
     assert [i for p in parts for i in p.column("_id").to_pylist()] == list(range(100))
     assert all(p.num_rows == 1 or len(p.column("_words").flatten()) <= 250_000 for p in parts)
+
+
+def test_strangers_with_a_common_passage_do_not_meet_in_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    from pluvio.llm import ngram_join
+    from pluvio.llm.common import components
+
+    rng = np.random.default_rng(4)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(150)]
+    texts = {k: passage + [word() for _ in range(140)] for k in range(1000, 1300)}  # strangers
+    for k in range(90):  # near copies around the threshold, some of one length and some cut
+        copy = list(base) if k % 3 else base[: 150 - k // 3]
+        for at in rng.integers(0, len(copy), k % 7):
+            copy[at] = word() if k % 2 else "edited"
+        texts[k] = copy
+    texts[2000], texts[2001] = texts[1000], [*texts[1000][:-3], word(), word(), word()]  # of the strangers, two that link
+    shingle = ngram_join.Shingler(5)
+    found = {k: shingle(" ".join(t)) for k, t in texts.items()}
+    in_blocks, plain = 1000, ngram_join._block_links
+
+    def only_copies(table: pa.Table, num: int, den: int) -> pa.Table:
+        assert max(table.column("id").to_pylist()) < in_blocks, "a stranger is compared with all others"
+        return plain(table, num, den)
+
+    monkeypatch.setattr(ngram_join, "_block_links", only_copies)
+    here = spark.createDataFrame([(k, k, 0 if k < 1000 else 1000, 500) for k in texts], "id long, c long, first long, n long")
+    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in found.items()], "id long, set binary")
+    links = ngram_join.family_links(here, sets, 80, 100)
+    got = {r.node: r.component for r in components(links, "a", "b", "test").collect()}
+
+    top = {k: k for k in found}
+    for a in sorted(found):
+        for b in sorted(found):
+            both = len(np.intersect1d(found[a], found[b])) if a < b and (a < 1000) == (b < 1000) else 0
+            if both and 100 * both >= 80 * (len(found[a]) + len(found[b]) - both):
+                low, high = sorted((top[a], top[b]))
+                top = {k: low if t == high else t for k, t in top.items()}
+    assert got == {k: t for k, t in top.items() if k != t}
+    assert got[2000] == got[2001] == 1000 and len(got) > 20
